@@ -258,3 +258,105 @@ UNION ALL
 SELECT ts, port, """ + r6("rate", "rate") + ", " + attack_type_sql("port", "rate") + """ AS attack_type,
        'SIM' AS source FROM sc""",
 }
+
+
+def _ieee(num: str, den: str) -> str:
+    return (f"CASE WHEN {den} <> 0 THEN {num} / {den} WHEN {num} > 0 THEN 'Infinity'::DOUBLE "
+            f"WHEN {num} < 0 THEN '-Infinity'::DOUBLE ELSE 'NaN'::DOUBLE END")
+
+
+RAW_FLOWS = """
+raw AS (
+  SELECT row_number() OVER () AS rid, l_orderkey AS "Flow ID", l_linenumber AS line,
+         CAST([22, 23, 21, 3389, 5900, 3306, 5432, 1433, 1521, 80, 443, 53][l_partkey % 12 + 1] AS INTEGER)
+           AS "Destination Port",
+         """ + _ieee("l_quantity", "(l_discount + 0.0::DOUBLE)") + """ AS "Fwd Packets/s",
+         """ + _ieee("l_tax", "(l_discount + 0.0::DOUBLE)") + """ AS "Down/Up Ratio",
+         l_quantity AS "Total Fwd Packets",
+         l_extendedprice AS "Total Length of Fwd Packets",
+         """ + _ieee("l_extendedprice", "l_quantity") + """ AS "Fwd Packet Length Mean",
+         l_linenumber AS "Init_Win_bytes_forward",
+         CASE WHEN l_returnflag <> 'R' THEN l_tax * 1000 END AS "Fwd IAT Total",
+         CASE WHEN l_linestatus = 'O' THEN 'BENIGN' ELSE 'DDoS' END AS "Label"
+  FROM lineitem)"""
+
+_PRESENT = ["Destination Port", "Fwd Packets/s", "Down/Up Ratio", "Total Fwd Packets",
+            "Total Length of Fwd Packets", "Fwd Packet Length Mean", "Init_Win_bytes_forward",
+            "Fwd IAT Total"]
+
+
+def _proj_col(n: str) -> str:
+    if n in _PRESENT:
+        return f'coalesce(TRY_CAST("{n}" AS DOUBLE), 0.0::DOUBLE) AS "{n}"'
+    return f'0.0::DOUBLE AS "{n}"'
+
+
+PROJ = RAW_FLOWS + """,
+proj AS (SELECT rid, "Flow ID", line, "Label", """ + ", ".join(_proj_col(n) for n in FEATURES) + """ FROM raw),
+imp AS (SELECT rid, "Flow ID", line, "Label", """ + ", ".join(
+    f'CASE WHEN isfinite("{n}") THEN "{n}" ELSE 0.0::DOUBLE END AS "{n}"' for n in FEATURES) + """ FROM proj)"""
+
+
+def _zscores(src: str, fit: str) -> str:
+    stats = ", ".join(f'avg("{n}") AS m{i}, stddev_samp("{n}") AS s{i}' for i, n in enumerate(FEATURES))
+    zs = ", ".join(f'CASE WHEN s{i} IS NULL OR s{i} = 0 THEN 0.0::DOUBLE ELSE ("{n}" - m{i}) / s{i} END '
+                   f'+ 0.0::DOUBLE AS "{n}"' for i, n in enumerate(FEATURES))
+    return (f"st AS (SELECT {stats} FROM {fit}),\n"
+            f'z AS (SELECT rid, "Flow ID", line, "Label", {zs} FROM {src}, st)')
+
+
+FEATS6 = ", ".join(r6(f'"{n}"', n) for n in FEATURES)
+
+SQL.update({
+    "feature_projection": "WITH " + PROJ + '\nSELECT "Flow ID", line, ' + FEATS6 + " FROM proj",
+
+    "impute_zero": "WITH " + PROJ + '\nSELECT "Flow ID", line, ' + FEATS6 + " FROM imp",
+
+    "drop_nonfinite": "WITH " + PROJ + '\nSELECT "Flow ID", line, ' + FEATS6 + " FROM proj WHERE "
+    + " AND ".join(f'isfinite("{n}")' for n in FEATURES),
+
+    "standardise": "WITH " + PROJ + ",\n" + _zscores("imp", "imp") + '\nSELECT "Flow ID", line, ' + FEATS6
+    + " FROM z",
+
+    "threshold_p90": "WITH " + PROJ + ",\n" + _zscores("imp", "imp WHERE \"Label\" = 'BENIGN'") + """,
+e AS (SELECT "Label", (""" + " + ".join(f'"{n}" * "{n}"' for n in FEATURES) + f""") / {float(len(FEATURES))}::DOUBLE AS err FROM z)
+SELECT """ + r6("quantile_cont(err, 0.9)", "threshold") + """, CAST(count(err) AS BIGINT) AS n
+FROM e WHERE "Label" = 'BENIGN'""",
+
+    "error_share_topk": "WITH " + PROJ + ",\n" + _zscores("imp", "imp WHERE \"Label\" = 'BENIGN'") + """,
+tot AS (SELECT *, (""" + " + ".join(f'"{n}" * "{n}"' for n in FEATURES) + """) AS t FROM z),
+u AS (""" + "\n UNION ALL ".join(
+        f"""SELECT "Flow ID", line, rid, '{n}' AS feature,
+               CASE WHEN t = 0 THEN 0.0::DOUBLE ELSE ("{n}" * "{n}") / t END AS share FROM tot"""
+        for n in FEATURES) + """),
+r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY share DESC, feature) AS rk FROM u)
+SELECT "Flow ID", line, CAST(rk AS INTEGER) AS rank, feature, """ + r6("share", "share") + """
+FROM r WHERE rk <= 3""",
+
+    "eval_metrics": """WITH p AS (
+  SELECT l.doc_id, CAST(l.toxic AS INTEGER) AS truth, CAST(d.n_chars > 2000 AS INTEGER) AS prediction,
+         CAST(d.n_chars AS DOUBLE) AS score
+  FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
+c AS (SELECT CAST(count(*) AS BIGINT) AS n,
+             CAST(sum(CASE WHEN truth = 1 AND prediction = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp,
+             CAST(sum(CASE WHEN truth <> 1 AND prediction = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
+             CAST(sum(CASE WHEN truth <> 1 AND prediction <> 1 THEN 1 ELSE 0 END) AS BIGINT) AS tn,
+             CAST(sum(CASE WHEN truth = 1 AND prediction <> 1 THEN 1 ELSE 0 END) AS BIGINT) AS fn FROM p),
+m AS (SELECT *, CASE WHEN tp + fp = 0 THEN NULL ELSE tp::DOUBLE / (tp + fp) END AS prec,
+                CASE WHEN tp + fn = 0 THEN NULL ELSE tp::DOUBLE / (tp + fn) END AS rec FROM c),
+g AS (SELECT score, sum(truth) AS pos, sum(1 - truth) AS neg FROM p GROUP BY score),
+r AS (SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+             AS below FROM g),
+a AS (SELECT CAST(sum(pos * (below + neg * 0.5)) AS DOUBLE) AS u, CAST(sum(pos) AS DOUBLE) AS npos,
+             CAST(sum(neg) AS DOUBLE) AS nneg FROM r)
+SELECT n, tp, fp, tn, fn, """ + r6("(tp + tn)::DOUBLE / n", "accuracy") + ", " + r6("prec", "precision")
+    + ", " + r6("rec", "recall") + ", " + r6("CASE WHEN prec + rec = 0 THEN NULL ELSE 2 * prec * rec / (prec + rec) END", "f1")
+    + ", " + r6("CASE WHEN npos = 0 OR nneg = 0 THEN NULL ELSE u / (npos * nneg) END", "auc") + " FROM m, a",
+
+    "moving_mean_50": """SELECT event_id, user_id, """ + r6(
+        "avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)",
+        "moving_mean") + " FROM events",
+
+    "keep_last_200": """SELECT event_id, user_id, ts, """ + r6("value", "value") + """ FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 200""",
+})

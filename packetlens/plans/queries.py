@@ -17,8 +17,14 @@ from packetlens.operators import reports as R
 from packetlens.operators.flows import flow_features
 from packetlens.operators.scoring import ensemble_batch, ensemble_live, live_gate
 from packetlens.plans.detection import flow_attack_breakdown, score_rows, typed_flows
-from packetlens.schemas import fcol
-from packetlens.sources.fixtures import packets_from_events, scored_from_lineitem, table
+from packetlens.operators import clean as C
+from packetlens.operators import models as M
+from packetlens.operators import stats as S
+from packetlens.schemas import FEATURES, fcol
+from packetlens.sources.fixtures import (
+    doc_predictions, flows_from_lineitem, packets_from_events, scored_from_lineitem, table,
+    vectors_from_embeddings,
+)
 
 
 # Per-column digits for the comparison (default 6).
@@ -132,6 +138,115 @@ def q_feed_union(spark, sf):
     return for_check(R.feed_union({"live": live, "SIM": sim}))
 
 
+def _raw_flows(spark, sf):
+    return flows_from_lineitem(table(spark, sf, "lineitem"))
+
+
+_IDS = ["Flow ID", "line"]
+
+
+def _clean_flows(spark, sf):
+    return C.impute_nonfinite(C.feature_projection(_raw_flows(spark, sf), keep=_IDS + ["Label"]))
+
+
+def q_feature_projection(spark, sf):
+    return for_check(C.feature_projection(_raw_flows(spark, sf), keep=_IDS))
+
+
+def q_impute_zero(spark, sf):
+    return for_check(_clean_flows(spark, sf).drop("Label"))
+
+
+def q_drop_nonfinite(spark, sf):
+    return for_check(C.drop_nonfinite(C.feature_projection(_raw_flows(spark, sf), keep=_IDS)))
+
+
+def q_standardise(spark, sf):
+    d = _clean_flows(spark, sf).drop("Label")
+    return for_check(M.standardise(d, FEATURES))
+
+
+def _centroid_errors(spark, sf):
+    """Anomaly error of the mean model (PCA with k = 0): mean squared z-score,
+    statistics fitted on the benign rows."""
+    d = _clean_flows(spark, sf).withColumn("benign", F.col("Label") == "BENIGN")
+    z = M.standardise(d, FEATURES, fit_on=d.where("benign"))
+    sq = [F.col(fcol(c)) * F.col(fcol(c)) for c in FEATURES]
+    return z.withColumn("dl_error", sum(sq[1:], sq[0]) / F.lit(float(len(FEATURES))))
+
+
+def q_threshold_p90(spark, sf):
+    return for_check(S.calibrate_threshold(_centroid_errors(spark, sf), "dl_error", 0.9, benign="benign"))
+
+
+def q_error_share_topk(spark, sf):
+    d = _clean_flows(spark, sf).withColumn("benign", F.col("Label") == "BENIGN")
+    z = M.standardise(d, FEATURES, fit_on=d.where("benign"))
+    return for_check(S.error_share_topk(z, FEATURES, k=3, keep=_IDS))
+
+
+def q_eval_metrics(spark, sf):
+    p = doc_predictions(table(spark, sf, "labels"), table(spark, sf, "documents"))
+    return for_check(S.evaluate(p, "truth", "prediction", "score"))
+
+
+def _events(spark, sf):
+    return table(spark, sf, "events").select("event_id", "user_id", "ts", "value")
+
+
+def q_moving_mean_50(spark, sf):
+    out = R.moving_mean(_events(spark, sf), "value", ["ts", "event_id"], by=["user_id"], n=50)
+    return for_check(out.select("event_id", "user_id", "moving_mean"))
+
+
+def q_keep_last_200(spark, sf):
+    return for_check(R.keep_last(_events(spark, sf), ["ts", "event_id"], by=["user_id"], n=200))
+
+
+def _vectors(spark, sf):
+    return vectors_from_embeddings(table(spark, sf, "embeddings")).withColumn(
+        "attack", (~F.col("benign")).cast("int"))
+
+
+_SMALL_TREES = {"max_iter": 20, "max_depth": 4}
+
+
+def q_pca_error(spark, sf):
+    v = _vectors(spark, sf)
+    model = M.fit_anomaly(v, "x", k=8, benign="benign")
+    return model.errors(v).select("vec_id", "label", "dl_error")
+
+
+def q_tree_prob(spark, sf):
+    v = _vectors(spark, sf)
+    model = M.fit_trees(v, "x", "attack", **_SMALL_TREES)
+    return model.probability(v).select("vec_id", "attack", "ml_prob")
+
+
+def q_rf_select(spark, sf):
+    v = _vectors(spark, sf)
+    return M.rank_features(v, "x", "attack", names=[f"x{i}" for i in range(64)], top=30)
+
+
+def q_hybrid_live(spark, sf):
+    v = _vectors(spark, sf)
+    h = M.fit_hybrid(v, "x", "attack", "benign", k=8, quantile=0.9, **_SMALL_TREES)
+    return h.score_live(v).select("vec_id", "dl_error", "dl_score", "ml_prob", "final_score",
+                                  "label", "confidence")
+
+
+def q_hybrid_batch(spark, sf):
+    v = _vectors(spark, sf)
+    h = M.fit_hybrid(v, "x", "attack", "benign", k=8, quantile=0.9, **_SMALL_TREES)
+    return h.score_batch(v).select("vec_id", "dl_error", "dl_score", "ml_prob", "final_score", "label")
+
+
+def q_tree_only(spark, sf):
+    d = _clean_flows(spark, sf)
+    return M.tree_only_labels(d, FEATURES, "Label", max_iter=10, max_depth=3).select(
+        *[F.col(fcol(c)) for c in _IDS], "Label", "predicted_label")
+
+
 QUERIES = {
     "flow_features": q_flow_features,
     "attack_breakdown": q_attack_breakdown,
@@ -147,4 +262,19 @@ QUERIES = {
     "recent_alerts": q_recent_alerts,
     "port_class_join": q_port_class_join,
     "feed_union": q_feed_union,
+    "feature_projection": q_feature_projection,
+    "impute_zero": q_impute_zero,
+    "drop_nonfinite": q_drop_nonfinite,
+    "standardise": q_standardise,
+    "threshold_p90": q_threshold_p90,
+    "error_share_topk": q_error_share_topk,
+    "eval_metrics": q_eval_metrics,
+    "moving_mean_50": q_moving_mean_50,
+    "keep_last_200": q_keep_last_200,
+    "pca_error": q_pca_error,
+    "tree_prob": q_tree_prob,
+    "rf_select": q_rf_select,
+    "hybrid_live": q_hybrid_live,
+    "hybrid_batch": q_hybrid_batch,
+    "tree_only": q_tree_only,
 }

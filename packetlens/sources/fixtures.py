@@ -95,3 +95,29 @@ def doc_predictions(labels: DataFrame, documents: DataFrame) -> DataFrame:
         (F.col("n_chars") > 2000).cast("int").alias("prediction"),
         F.col("n_chars").cast("double").alias("score"),
     )
+
+
+def flows_from_lineitem(lineitem: DataFrame) -> DataFrame:
+    """lineitem -> a labelled flow table in the shape of a flow CSV.
+
+    Some of the 30 model columns are present (two with +-inf / NaN from
+    IEEE division by a zero discount, one with nulls), the rest are missing;
+    ``Flow ID`` is an extra column and ``Label`` the string label.
+    """
+    from packetlens.functions.columns import ieee_divide
+
+    port = F.element_at(F.array(*[F.lit(p) for p in LINEITEM_PORTS]),
+                        (F.col("l_partkey") % 12).cast("int") + 1)
+    return lineitem.select(
+        F.col("l_orderkey").alias("Flow ID"),
+        F.col("l_linenumber").alias("line"),
+        port.cast("int").alias("Destination Port"),
+        ieee_divide("l_quantity", F.col("l_discount") + 0.0).alias("Fwd Packets/s"),
+        ieee_divide("l_tax", F.col("l_discount") + 0.0).alias("Down/Up Ratio"),
+        F.col("l_quantity").alias("Total Fwd Packets"),
+        F.col("l_extendedprice").alias("Total Length of Fwd Packets"),
+        ieee_divide("l_extendedprice", "l_quantity").alias("Fwd Packet Length Mean"),
+        F.col("l_linenumber").alias("Init_Win_bytes_forward"),
+        F.when(F.col("l_returnflag") != "R", F.col("l_tax") * 1000).alias("Fwd IAT Total"),
+        F.when(F.col("l_linestatus") == "O", F.lit("BENIGN")).otherwise(F.lit("DDoS")).alias("Label"),
+    )
