@@ -96,6 +96,12 @@ def fit_anomaly(df: DataFrame, features, k: int = 8, benign: str | None = None)
     return AnomalyModel(pipe, features, dims)
 
 
+def _named_outputs(est):
+    est.setProbabilityCol("_prob")
+    est.setRawPredictionCol("_raw")
+    return est
+
+
 @dataclass
 class TreeModel:
     pipeline: PipelineModel
@@ -115,10 +121,9 @@ def fit_trees(df: DataFrame, features, label: str, max_iter: int = 300, max_dept
               seed: int = 7) -> TreeModel:
     """Boosted trees (defaults: 300 trees, depth 8, lr 0.05, row and column rate 0.8)."""
     d = with_vector(df, features).withColumn("_y", F.col(label).cast("double"))
-    gbt = GBTClassifier(featuresCol=VEC, labelCol="_y", maxIter=max_iter, maxDepth=max_depth,
-                        stepSize=step, subsamplingRate=subsample, featureSubsetStrategy=colsample,
-                        probabilityCol="_prob", rawPredictionCol="_raw", predictionCol="_pred",
-                        seed=seed)
+    gbt = _named_outputs(GBTClassifier(
+        featuresCol=VEC, labelCol="_y", maxIter=max_iter, maxDepth=max_depth, stepSize=step,
+        subsamplingRate=subsample, featureSubsetStrategy=colsample, predictionCol="_pred", seed=seed))
     return TreeModel(Pipeline(stages=[gbt]).fit(d), features)
 
 
@@ -174,9 +179,8 @@ def tree_only_labels(df: DataFrame, features, label: str, max_iter: int = 20, ma
     d = with_vector(df, features)
     idx = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc")
     sc = StandardScaler(inputCol=VEC, outputCol="_z", withMean=True, withStd=True)
-    gbt = GBTClassifier(featuresCol="_z", labelCol="_y", maxIter=max_iter, maxDepth=max_depth,
-                        probabilityCol="_prob", rawPredictionCol="_raw", predictionCol="_pred",
-                        seed=seed)
+    gbt = _named_outputs(GBTClassifier(featuresCol="_z", labelCol="_y", maxIter=max_iter,
+                                       maxDepth=max_depth, predictionCol="_pred", seed=seed))
     model = Pipeline(stages=[idx, sc, gbt]).fit(d)
     inv = IndexToString(inputCol="_pred", outputCol="predicted_label",
                         labels=model.stages[0].labels)
