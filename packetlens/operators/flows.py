@@ -192,3 +192,108 @@ def flow_features(packets: DataFrame, mode: str = "compat",
 
 def feature_columns(df: DataFrame) -> list[Column]:
     return [F.col(fcol(n)) for n in FEATURES]
+
+
+def flow_summary(packets: DataFrame, bucket_seconds: int = 300,
+                 min_duration: float = MIN_DURATION_S) -> DataFrame:
+    """FL2: the 30 features once per conversation, at its last emission.
+
+    Same schema as ``flow_features`` and equal to its last row per
+    conversation, but no window spans a conversation, so a conversation
+    holding a large share of all packets does not land in one task:
+
+    1. per (conversation, direction) first / last packet -> per conversation
+       the initiator, the first reply and the initiator's last packet
+       (partial aggregates, a few rows per conversation);
+    2. role flags by comparing each packet's (ts, id) with those;
+    3. gaps from windows over (conversation, time bucket), the previous
+       bucket's last timestamp per role coming from a per-bucket carry table;
+    4. one ``groupBy(conversation)`` of order-free aggregates.
+    """
+    p = _prepared(packets).withColumns({
+        "o": F.struct("ts_us", "packet_id"),
+        "win": F.when(F.col("proto") == 6, F.col("tcp_window")).otherwise(F.lit(0)),
+        "bucket": F.floor(F.col("ts_us") / F.lit(int(bucket_seconds * US))).cast("long"),
+    })
+    last_pkt = F.struct("ts_us", "packet_id", "hdr", "dst_port", "src_ip", "dst_ip", "src_port",
+                        "win", "pkt_len", "ts")
+    dirs = p.groupBy(*CONV, "from_lo").agg(F.min("o").alias("first_o"), F.max(last_pkt).alias("last"))
+    facts = dirs.groupBy(*CONV).agg(
+        F.min_by("from_lo", "first_o").alias("init_from_lo"),
+        F.min("first_o").alias("conv_first"),
+        F.when(F.count(F.lit(1)) == 2, F.max("first_o")).alias("reply_o"),
+        F.min_by("last", "first_o").alias("il"),
+    )
+    il_o = F.struct(F.col("il.ts_us"), F.col("il.packet_id"))
+    r = p.join(facts, CONV).withColumn("is_init", F.col("from_lo") == F.col("init_from_lo"))
+    r = r.withColumns({
+        "isF": F.col("is_init") & (F.col("reply_o").isNull() | (F.col("o") < F.col("reply_o"))),
+        "isB": ~F.col("is_init") & (F.col("o") <= il_o),
+    }).withColumn("isFB", F.col("isF") | F.col("isB"))
+
+    # Carry: last timestamp of each role in earlier buckets of the conversation.
+    per_bucket = r.groupBy(*CONV, "bucket").agg(
+        *[F.max(F.when(F.col(f), F.col("ts_us"))).alias(f"m{f}") for f in ("isF", "isB", "isFB")])
+    earlier = Window.partitionBy(*CONV).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carry = per_bucket.select(*CONV, "bucket", *[F.max(f"m{f}").over(earlier).alias(f"c{f}")
+                                                 for f in ("isF", "isB", "isFB")])
+    g = r.join(carry, CONV + ["bucket"])
+    before = (Window.partitionBy(*CONV, "bucket").orderBy("ts_us", "packet_id")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    g = g.withColumns({
+        f"iat{f[2:]}": F.when(F.col(f), F.col("ts_us") - F.coalesce(
+            F.last(F.when(F.col(f), F.col("ts_us")), ignorenulls=True).over(before), F.col(f"c{f}")))
+        for f in ("isF", "isB", "isFB")})
+
+    def on(flag, c="pkt_len"):
+        return F.when(F.col(flag), F.col(c))
+
+    s = g.groupBy(*CONV).agg(
+        F.first("il").alias("il"), F.first("conv_first").alias("conv_first"),
+        F.sum(F.col("isF").cast("int")).alias("nF"), F.sum(F.col("isB").cast("int")).alias("nB"),
+        F.sum(on("isF")).alias("sumF"), F.max(on("isF")).alias("maxF"), F.avg(on("isF")).alias("avgF"),
+        F.stddev_pop(on("isF")).alias("stdF"),
+        F.max(on("isB")).alias("maxB"), F.min(on("isB")).alias("minB"), F.avg(on("isB")).alias("avgB"),
+        F.min(on("isFB")).alias("minFB"), F.avg(on("isFB")).alias("avgFB"),
+        F.sum("iatF").alias("iatF_sum"), F.count("iatF").alias("iatF_n"),
+        F.stddev_pop("iatF").alias("iatF_std"), F.max("iatF").alias("iatF_max"),
+        F.sum("iatB").alias("iatB_sum"), F.count("iatB").alias("iatB_n"),
+        F.stddev_pop("iatFB").alias("iatFB_std"),
+        F.sum((F.col("isF") & (F.col("pkt_len") > F.col("il.hdr"))).cast("int")).alias("act"),
+    ).where(F.col("nF") >= 2)
+
+    z = F.lit(0.0)
+    d = lambda c: F.col(c).cast("double")
+    c0 = lambda c: F.coalesce(F.col(c).cast("double"), z)
+    sec = lambda c: F.coalesce(F.col(c).cast("double") / US, z)
+
+    def mean_s(total, n):
+        return F.coalesce(F.col(total).cast("double") / F.col(n) / US, z)
+
+    duration = F.greatest((F.col("il.ts_us") - F.col("conv_first.ts_us")) / US, F.lit(min_duration))
+    hdr = F.col("il.hdr").cast("double")
+    feats = {
+        'Destination Port': F.col("il.dst_port").cast("double"),
+        'Total Fwd Packets': d("nF"), 'Total Length of Fwd Packets': d("sumF"),
+        'Fwd Packet Length Max': d("maxF"), 'Fwd Packet Length Mean': d("avgF"),
+        'Fwd Packet Length Std': c0("stdF"), 'Bwd Packet Length Max': c0("maxB"),
+        'Bwd Packet Length Min': c0("minB"), 'Bwd Packet Length Mean': c0("avgB"),
+        'Min Packet Length': c0("minFB"), 'Packet Length Mean': c0("avgFB"),
+        'Fwd Packets/s': F.col("nF") / duration,
+        'Fwd Header Length': hdr, 'Fwd Header Length.1': hdr,
+        'Fwd IAT Total': sec("iatF_sum"), 'Fwd IAT Mean': mean_s("iatF_sum", "iatF_n"),
+        'Fwd IAT Std': sec("iatF_std"), 'Fwd IAT Max': sec("iatF_max"),
+        'Bwd IAT Mean': mean_s("iatB_sum", "iatB_n"), 'Flow IAT Std': sec("iatFB_std"),
+        'Average Packet Size': c0("avgFB"), 'Avg Fwd Segment Size': d("avgF"),
+        'Avg Bwd Segment Size': c0("avgB"), 'Subflow Fwd Packets': d("nF"),
+        'Subflow Fwd Bytes': d("sumF"), 'Subflow Bwd Packets': d("nB"),
+        'Down/Up Ratio': F.col("nB") / F.greatest(F.col("nF"), F.lit(1)).cast("double"),
+        'Init_Win_bytes_forward': F.col("il.win").cast("double"),
+        'Init_Win_bytes_backward': z,
+        'act_data_pkt_fwd': d("act"),
+    }
+    keys = [F.col("il.packet_id").alias("packet_id"), F.col("il.ts").alias("ts"),
+            F.col("il.src_ip").alias("src_ip"), F.col("il.dst_ip").alias("dst_ip"),
+            F.col("il.src_port").alias("src_port"), F.col("il.dst_port").alias("dst_port"),
+            F.col("proto"), F.col("il.pkt_len").alias("pkt_len")]
+    return s.select(*keys, *[feats[n].alias(n) for n in FEATURES])

@@ -99,7 +99,7 @@ r5 AS (SELECT *,
        WINDOW w AS (PARTITION BY ka, kb, proto ORDER BY ts, packet_id
                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 ff AS (
-  SELECT packet_id, ts, src_ip, dst_ip, src_port, dst_port, proto, pkt_len,
+  SELECT ka, kb, packet_id, ts, src_ip, dst_ip, src_port, dst_port, proto, pkt_len,
     dst_port AS "Destination Port", nF AS "Total Fwd Packets", sumF AS "Total Length of Fwd Packets",
     maxF AS "Fwd Packet Length Max", avgF AS "Fwd Packet Length Mean",
     coalesce(stdF, 0) AS "Fwd Packet Length Std", coalesce(maxB, 0) AS "Bwd Packet Length Max",
@@ -360,3 +360,8 @@ SELECT n, tp, fp, tn, fn, """ + r6("(tp + tn)::DOUBLE / n", "accuracy") + ", " +
     "keep_last_200": """SELECT event_id, user_id, ts, """ + r6("value", "value") + """ FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 200""",
 })
+
+SQL["flow_summary"] = ("WITH " + FLOWS + """
+SELECT packet_id, CAST(ts AS TIMESTAMP) AS ts, src_ip, dst_ip, src_port, dst_port, proto, pkt_len, """
+                       + FEATURE_SELECT + """ FROM ff
+QUALIFY row_number() OVER (PARTITION BY ka, kb, proto ORDER BY ts DESC, packet_id DESC) = 1""")
