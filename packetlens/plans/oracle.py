@@ -365,3 +365,23 @@ SQL["flow_summary"] = ("WITH " + FLOWS + """
 SELECT packet_id, CAST(ts AS TIMESTAMP) AS ts, src_ip, dst_ip, src_port, dst_port, proto, pkt_len, """
                        + FEATURE_SELECT + """ FROM ff
 QUALIFY row_number() OVER (PARTITION BY ka, kb, proto ORDER BY ts DESC, packet_id DESC) = 1""")
+
+SQL["stream_flow_features"] = SQL["flow_features"]
+SQL["stream_scores"] = "WITH " + LIVE + "\nSELECT " + LIVE_COLS + ", attack_type FROM gated"
+SQL["stream_counters"] = "WITH " + LIVE + """
+SELECT attack_type, CAST(count(*) AS BIGINT) AS total_packets,
+       CAST(sum(CASE WHEN label = 'ATTACK' THEN 1 ELSE 0 END) AS BIGINT) AS total_attacks,
+       CAST(sum(CASE WHEN label = 'ATTACK' THEN 0 ELSE 1 END) AS BIGINT) AS total_normal
+FROM gated GROUP BY attack_type"""
+SQL["stream_timeline"] = "WITH " + LIVE + """,
+r AS (SELECT CAST(floor(epoch(ts) / 604800) * 604800 AS BIGINT) AS b, label = 'ATTACK' AS a FROM gated),
+wm AS (SELECT epoch(max(ts)) - 604800 AS wm FROM gated)
+SELECT make_timestamp(b * 1000000) AS bucket_start,
+       CAST(sum(CASE WHEN a THEN 1 ELSE 0 END) AS BIGINT) AS attacks,
+       CAST(sum(CASE WHEN a THEN 0 ELSE 1 END) AS BIGINT) AS normal
+FROM r, wm WHERE b + 604800 <= wm GROUP BY b"""
+SQL["stream_alerts"] = "WITH " + LIVE + """
+SELECT ts, port, """ + r6("rate", "rate") + ", attack_type, " + r6("final_score", "final_score") + """,
+       CASE WHEN final_score > 0.75::DOUBLE THEN 'crit' ELSE 'warn' END AS severity
+FROM gated WHERE label = 'ATTACK'
+ORDER BY ts DESC, rate DESC, port DESC, dl_error DESC, ml_prob DESC LIMIT 15"""

@@ -251,6 +251,49 @@ def q_tree_only(spark, sf):
         *[F.col(fcol(c)) for c in _IDS], "Label", "predicted_label")
 
 
+def _stream_of(spark, df, name):
+    from packetlens.streaming.jobs import land, read_stream
+    path = land(df, name)
+    return read_stream(spark, path, spark.read.parquet(path).schema)
+
+
+def q_stream_flow_features(spark, sf):
+    from packetlens.streaming.flows import stream_flow_features
+    from packetlens.streaming.jobs import run_append
+    out, _ = run_append(stream_flow_features(_stream_of(spark, _packets(spark, sf), "packets")), "flows")
+    return for_check(spark.read.parquet(out))
+
+
+def _stream_scores(spark, sf):
+    from packetlens.streaming.jobs import stream_scores
+    return stream_scores(_stream_of(spark, _scored(spark, sf), "scored"), gate=True)
+
+
+def q_stream_scores(spark, sf):
+    from packetlens.streaming.jobs import run_append
+    out, _ = run_append(_stream_scores(spark, sf), "scores")
+    return for_check(spark.read.parquet(out).select(*_LIVE_COLS, "attack_type"))
+
+
+def q_stream_counters(spark, sf):
+    from packetlens.streaming.jobs import run_complete, stream_counters
+    out, _ = run_complete(stream_counters(_stream_scores(spark, sf)), "counters")
+    return for_check(spark.read.parquet(out))
+
+
+def q_stream_timeline(spark, sf):
+    from packetlens.streaming.jobs import run_append, stream_timeline
+    out, _ = run_append(stream_timeline(_stream_scores(spark, sf), "ts", "7 days", "7 days"), "timeline")
+    return for_check(spark.read.parquet(out))
+
+
+def q_stream_alerts(spark, sf):
+    from packetlens.streaming.jobs import run_append, stream_alerts
+    out, _ = run_append(stream_alerts(_stream_scores(spark, sf)), "alerts")
+    newest = R.newest(spark.read.parquet(out), _ORDER, 15)
+    return for_check(newest.select("ts", "port", "rate", "attack_type", "final_score", "severity"))
+
+
 QUERIES = {
     "flow_features": q_flow_features,
     "flow_summary": q_flow_summary,
@@ -282,4 +325,9 @@ QUERIES = {
     "hybrid_live": q_hybrid_live,
     "hybrid_batch": q_hybrid_batch,
     "tree_only": q_tree_only,
+    "stream_flow_features": q_stream_flow_features,
+    "stream_scores": q_stream_scores,
+    "stream_counters": q_stream_counters,
+    "stream_timeline": q_stream_timeline,
+    "stream_alerts": q_stream_alerts,
 }
