@@ -385,3 +385,6 @@ SELECT ts, port, """ + r6("rate", "rate") + ", attack_type, " + r6("final_score"
        CASE WHEN final_score > 0.75::DOUBLE THEN 'crit' ELSE 'warn' END AS severity
 FROM gated WHERE label = 'ATTACK'
 ORDER BY ts DESC, rate DESC, port DESC, dl_error DESC, ml_prob DESC LIMIT 15"""
+
+SQL["csv_scan"] = "WITH " + PROJ + """
+SELECT CAST("Flow ID" AS DOUBLE) AS "Flow ID", CAST(line AS DOUBLE) AS line, """ + FEATS6 + " FROM proj"

@@ -294,6 +294,16 @@ def q_stream_alerts(spark, sf):
     return for_check(newest.select("ts", "port", "rate", "attack_type", "final_score", "severity"))
 
 
+def q_csv_scan(spark, sf):
+    """S1 -> S2 -> P6 -> P3 over a flow CSV that Spark writes from lineitem."""
+    from packetlens.session import scratch_path
+    from packetlens.sources.files import read_flow_csv, write_flow_csv
+    path = scratch_path(spark, "flow-csv")
+    write_flow_csv(_raw_flows(spark, sf), path)
+    df = C.drop_label(read_flow_csv(spark, path))
+    return for_check(C.feature_projection(df, keep=_IDS))
+
+
 QUERIES = {
     "flow_features": q_flow_features,
     "flow_summary": q_flow_summary,
@@ -325,6 +335,7 @@ QUERIES = {
     "hybrid_live": q_hybrid_live,
     "hybrid_batch": q_hybrid_batch,
     "tree_only": q_tree_only,
+    "csv_scan": q_csv_scan,
     "stream_flow_features": q_stream_flow_features,
     "stream_scores": q_stream_scores,
     "stream_counters": q_stream_counters,
