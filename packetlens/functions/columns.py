@@ -130,8 +130,9 @@ def severity(score="final_score", crit: float = ALERT_CRIT) -> Column:
 
 
 def is_finite(x) -> Column:
-    x = _c(x)
-    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
+    """Not null, not NaN, not +-inf. One reference to ``x`` (NaN compares above
+    +inf in Spark), so an inlined upstream expression is not repeated."""
+    return F.coalesce(F.abs(_c(x)) < F.lit(float("inf")), F.lit(False))
 
 
 def ieee_divide(num, den) -> Column:

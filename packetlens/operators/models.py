@@ -42,24 +42,31 @@ def with_vector(df: DataFrame, features) -> DataFrame:
     return asm.transform(d).drop(*tmp)
 
 
-def standardise(df: DataFrame, columns: list[str], fit_on: DataFrame | None = None) -> DataFrame:
-    """M1: (x - mean) / sample std per column, statistics from ``fit_on`` (default df).
+def fit_standardiser(df: DataFrame, columns: list[str]) -> dict[str, tuple[float | None, float | None]]:
+    """M1 fit: mean and sample std per column in one distributed aggregate (one row)."""
+    row = df.agg(*[F.avg(fcol(c)).alias(f"m{i}") for i, c in enumerate(columns)],
+                 *[F.stddev_samp(fcol(c)).alias(f"s{i}") for i, c in enumerate(columns)]).first()
+    return {c: (row[f"m{i}"], row[f"s{i}"]) for i, c in enumerate(columns)}
+
+
+def apply_standardiser(df: DataFrame, stats: dict[str, tuple[float | None, float | None]]) -> DataFrame:
+    """M1 transform: (x - mean) / std with the fitted numbers as literals.
 
-    One aggregate row of means and standard deviations is joined to every row
-    (broadcast of one row). A column with zero spread maps to 0.0, as Spark
-    ML's StandardScaler does.
+    A column with zero (or undefined) spread maps to 0.0, as Spark ML's
+    StandardScaler does. Works on streaming DataFrames too.
     """
-    src = fit_on if fit_on is not None else df
-    stats = src.agg(*[F.avg(fcol(c)).alias(f"_m{i}") for i, c in enumerate(columns)],
-                    *[F.stddev_samp(fcol(c)).alias(f"_s{i}") for i, c in enumerate(columns)])
-    j = df.crossJoin(F.broadcast(stats))
     out = {}
-    for i, c in enumerate(columns):
-        s = F.col(f"_s{i}")
-        out[c] = F.when(s.isNull() | (s == 0), F.lit(0.0)).otherwise(
-            (F.col(fcol(c)) - F.col(f"_m{i}")) / s) + F.lit(0.0)
-    return j.withColumns(out).drop(*[f"_m{i}" for i in range(len(columns))],
-                                   *[f"_s{i}" for i in range(len(columns))])
+    for c, (m, s) in stats.items():
+        if s is None or s == 0 or m is None:
+            out[c] = F.lit(0.0)
+        else:
+            out[c] = (F.col(fcol(c)) - F.lit(float(m))) / F.lit(float(s)) + F.lit(0.0)
+    return df.withColumns(out)
+
+
+def standardise(df: DataFrame, columns: list[str], fit_on: DataFrame | None = None) -> DataFrame:
+    """M1: (x - mean) / sample std per column, statistics from ``fit_on`` (default df)."""
+    return apply_standardiser(df, fit_standardiser(fit_on if fit_on is not None else df, columns))
 
 
 def _sumsq(c: Column) -> Column:

@@ -24,19 +24,20 @@ from packetlens.schemas import fcol
 
 
 def _finite(c: Column) -> Column:
-    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))
+    from packetlens.functions.columns import is_finite
+    return is_finite(c)
 
 
 def _split_points(sub: DataFrame, lo: float, hi: float, bins: int) -> list[float]:
     probs = [i / bins for i in range(1, bins)]
-    approx = sub.agg(F.percentile_approx("x", probs, 10 * bins).alias("q")).first()["q"] or []
+    approx = sub.agg(F.percentile_approx("x", probs, 4 * bins).alias("q")).first()["q"] or []
     width = [lo + (hi - lo) * i / bins for i in range(1, bins)]
     pts = sorted({float(v) for v in list(approx) + width if lo < v <= hi})
     return [float("-inf")] + pts + [float("inf")]
 
 
 def kth_smallest(values: DataFrame, k: int, n: int, max_local: int = 100_000,
-                 bins: int = 1024) -> float:
+                 bins: int = 256) -> float:
     """The k-th smallest (0-based) of column ``x`` of ``values`` (n rows)."""
     lo, hi = None, None
     offset, count = 0, n
@@ -69,28 +70,38 @@ def kth_smallest(values: DataFrame, k: int, n: int, max_local: int = 100_000,
             raise RuntimeError("rank outside range")
 
 
-def exact_quantile(df: DataFrame, col: str, q: float, **kw) -> float | None:
+def _materialise(x: DataFrame, name: str) -> DataFrame:
+    """Write the single value column once to the shared checkpoint folder; the
+    selection rounds then scan it (with range filters pushed to parquet)
+    instead of recomputing the upstream job, and survive executor loss."""
+    from packetlens.session import scratch_path
+    path = scratch_path(x.sparkSession, name)
+    x.write.parquet(path)
+    return x.sparkSession.read.parquet(path)
+
+
+def exact_quantile(df: DataFrame, col: str, q: float, with_count: bool = False, **kw):
     """Linear-interpolation quantile (``percentile`` / ``quantile_cont``), exact."""
-    x = df.select(F.col(fcol(col)).cast("double").alias("x")).where(_finite(F.col("x")))
+    x = _materialise(df.select(F.col(fcol(col)).cast("double").alias("x")).where(_finite(F.col("x"))),
+                     "quantile-values")
     n = x.count()
     if n == 0:
-        return None
+        return (None, 0) if with_count else None
     pos = q * (n - 1)
     k = int(math.floor(pos))
     frac = pos - k
     a = kth_smallest(x, k, n, **kw)
-    if frac == 0 or k + 1 >= n:
-        return a
-    b = kth_smallest(x, k + 1, n, **kw)
-    return a + frac * (b - a)
+    if frac != 0 and k + 1 < n:
+        b = kth_smallest(x, k + 1, n, **kw)
+        a = a + frac * (b - a)
+    return (a, n) if with_count else a
 
 
 def calibrate_threshold(errors: DataFrame, err: str = "dl_error", q: float = 0.9,
                         benign: str | None = None) -> DataFrame:
     """One-row table with the q-quantile of the (benign) errors."""
     src = errors.where(F.col(benign)) if benign else errors
-    v = exact_quantile(src, err, q)
-    n = src.where(_finite(F.col(fcol(err)))).count()
+    v, n = exact_quantile(src, err, q, with_count=True)
     spark = errors.sparkSession
     return spark.createDataFrame([(v, n)], "threshold double, n bigint")
 

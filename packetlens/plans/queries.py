@@ -39,7 +39,13 @@ def check_round(c, digits: int = 6):
     return F.when(fin, r).otherwise(c)
 
 
+# The benchmark times the operators without this normalisation.
+CHECK = True
+
+
 def for_check(df: DataFrame) -> DataFrame:
+    if not CHECK:
+        return df
     cols = []
     for f in df.schema.fields:
         c = F.col(fcol(f.name))
