@@ -86,14 +86,55 @@ def _roles(df: DataFrame, w_run) -> DataFrame:
     }).withColumn("isFB", F.col("isF") | F.col("isB"))
 
 
-def flow_features(packets: DataFrame, mode: str = "compat",
+HOT_ROWS = 2_000_000
+BUCKET_SECONDS = 60
+
+
+def hot_conversations(packets: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Conversations with more than ``hot_rows`` packets (partial aggregate).
+
+    At most total_rows / hot_rows keys, so the result is safe to broadcast.
+    """
+    return (with_conversation(valid_packets(packets)).groupBy(*CONV).count()
+            .where(F.col("count") > hot_rows).select(*CONV))
+
+
+def flow_features(packets: DataFrame, mode: str = "compat", strategy: str = "auto",
+                  hot_rows: int = HOT_ROWS, bucket_seconds: int = BUCKET_SECONDS,
                   min_duration: float = MIN_DURATION_S) -> DataFrame:
     """FL1: one row per emitted initiator packet with the 30 features.
 
     Input: PACKET rows. Output: packet identity columns + FEATURES (double).
+
+    strategy ``window``: running windows per conversation (one exchange).
+    ``bucketed``: prefix scan over (conversation, time bucket), skew-safe.
+    ``auto`` (default): conversations above ``hot_rows`` packets take the
+    bucketed path, the rest the window path; both give identical rows.
     """
     if mode != "compat":
         raise ValueError(f"unknown mode {mode!r}; only 'compat' is defined")
+    if strategy == "window":
+        return _flow_features_window(packets, min_duration)
+    if strategy == "bucketed":
+        return flow_features_bucketed(packets, bucket_seconds, min_duration)
+    if strategy != "auto":
+        raise ValueError(f"unknown strategy {strategy!r}")
+    from packetlens.session import checkpoint_dir
+    checkpoint_dir(packets.sparkSession)
+    # Small and bounded; written once to the shared checkpoint folder so the
+    # emptiness test and the two joins below do not recompute it.
+    hot_keys = hot_conversations(packets, hot_rows).checkpoint(eager=True)
+    if hot_keys.isEmpty():
+        return _flow_features_window(packets, min_duration)
+    keyed = with_conversation(packets)
+    hot = F.broadcast(hot_keys)
+    cold_part = keyed.join(hot, CONV, "left_anti").select(*packets.columns)
+    hot_part = keyed.join(hot, CONV, "left_semi").select(*packets.columns)
+    return (_flow_features_window(cold_part, min_duration)
+            .unionByName(flow_features_bucketed(hot_part, bucket_seconds, min_duration)))
+
+
+def _flow_features_window(packets: DataFrame, min_duration: float = MIN_DURATION_S) -> DataFrame:
     w = Window.partitionBy(*CONV).orderBy(*ORDER)
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -297,3 +338,146 @@ def flow_summary(packets: DataFrame, bucket_seconds: int = 300,
             F.col("il.src_port").alias("src_port"), F.col("il.dst_port").alias("dst_port"),
             F.col("proto"), F.col("il.pkt_len").alias("pkt_len")]
     return s.select(*keys, *[feats[n].alias(n) for n in FEATURES])
+
+
+def _exact_std(n: Column, s1: Column, s2: Column) -> Column:
+    """Population std from exact integer moments: sqrt((n*S2 - S1^2) / n^2)."""
+    dec = "decimal(38,0)"
+    num = n.cast(dec) * s2.cast(dec) - s1.cast(dec) * s1.cast(dec)
+    nd = n.cast("double")
+    return F.when(n > 0, F.sqrt(F.greatest(num.cast("double") / (nd * nd), F.lit(0.0))))
+
+
+def flow_features_bucketed(packets: DataFrame, bucket_seconds: int = 300,
+                           min_duration: float = MIN_DURATION_S) -> DataFrame:
+    """FL1 as a prefix scan over (conversation, time bucket): skew-safe form.
+
+    Same rows and values as ``flow_features``; no task holds more than one
+    bucket of one conversation:
+
+    1. roles from partial aggregates (initiator, first reply) -- a few rows
+       per conversation, joined back (AQE broadcasts it when small, else a
+       shuffle join with skew splitting);
+    2. per bucket the last timestamp of each role, prefix-max over earlier
+       buckets -> each row's previous same-role timestamp is exact;
+    3. running values inside the bucket (window over (conversation, bucket))
+       plus a carry of bucket totals of earlier buckets (a window over the
+       per-bucket table, one row per bucket).
+
+    Standard deviations use exact integer moments (counts, sums and sums of
+    squares as DECIMAL(38,0)), which are associative, so the carry + local
+    combination is exact.
+    """
+    p = _prepared(packets).withColumns({
+        "o": F.struct("ts_us", "packet_id"),
+        "bucket": F.floor(F.col("ts_us") / F.lit(int(bucket_seconds * US))).cast("long"),
+        "lvl": F.floor((F.col("pkt_len") - 1) / 4).cast("int"),
+    })
+    dirs = p.groupBy(*CONV, "from_lo").agg(F.min("o").alias("first_o"))
+    facts = dirs.groupBy(*CONV).agg(
+        F.min_by("from_lo", "first_o").alias("init_from_lo"),
+        F.min("first_o.ts_us").alias("start_us"),
+        F.when(F.count(F.lit(1)) == 2, F.max("first_o")).alias("reply_o"))
+    r = p.join(facts, CONV).withColumn("is_init", F.col("from_lo") == F.col("init_from_lo"))
+    r = r.withColumns({
+        "isF": F.col("is_init") & (F.col("reply_o").isNull() | (F.col("o") < F.col("reply_o"))),
+        "isB": ~F.col("is_init"),
+    }).withColumn("isFB", F.col("isF") | F.col("isB"))
+    roles = ("isF", "isB", "isFB")
+
+    # 2. previous same-role timestamp across bucket boundaries
+    earlier = Window.partitionBy(*CONV).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    last_ts = (r.groupBy(*CONV, "bucket")
+               .agg(*[F.max(F.when(F.col(f), F.col("ts_us"))).alias(f"m{f}") for f in roles])
+               .select(*CONV, "bucket", *[F.max(f"m{f}").over(earlier).alias(f"c{f}") for f in roles]))
+    g = r.join(last_ts, CONV + ["bucket"])
+    wb = Window.partitionBy(*CONV, "bucket").orderBy("ts_us", "packet_id")
+    before = wb.rowsBetween(Window.unboundedPreceding, -1)
+    run = wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    g = g.withColumns({
+        f"iat{f[2:]}": F.when(F.col(f), F.col("ts_us") - F.coalesce(
+            F.last(F.when(F.col(f), F.col("ts_us")), ignorenulls=True).over(before), F.col(f"c{f}")))
+        for f in roles})
+
+    # 3. additive moments: running inside the bucket, totals per bucket
+    def on(flag, c="pkt_len"):
+        return F.when(F.col(flag), F.col(c))
+
+    dec = "decimal(38,0)"
+    sums = {
+        "nF": F.col("isF").cast("long"), "nB": F.col("isB").cast("long"), "nFB": F.col("isFB").cast("long"),
+        "sF": on("isF").cast("long"), "qF": (on("isF") * on("isF")).cast("long"),
+        "sB": on("isB").cast("long"), "sFB": on("isFB").cast("long"),
+        "gFn": F.col("iatF").isNotNull().cast("long"), "gFs": F.col("iatF"),
+        "gFq": F.col("iatF").cast(dec) * F.col("iatF").cast(dec),
+        "gBn": F.col("iatB").isNotNull().cast("long"), "gBs": F.col("iatB"),
+        "gXn": F.col("iatFB").isNotNull().cast("long"), "gXs": F.col("iatFB"),
+        "gXq": F.col("iatFB").cast(dec) * F.col("iatFB").cast(dec),
+    }
+    for m in range(MAX_HDR_LEVEL + 1):
+        sums[f"h{m}"] = (F.col("isF") & (F.col("lvl") >= m)).cast("long")
+    maxes = {"xF": on("isF"), "xB": on("isB"), "gFx": F.col("iatF")}
+    mins = {"iB": on("isB"), "iX": on("isFB")}
+
+    g = g.withColumns({**{f"_{k}": v for k, v in sums.items()}, **{f"_{k}": v for k, v in maxes.items()},
+                       **{f"_{k}": v for k, v in mins.items()}})
+    local = {k: F.sum(f"_{k}").over(run) for k in sums}
+    local.update({k: F.max(f"_{k}").over(run) for k in maxes})
+    local.update({k: F.min(f"_{k}").over(run) for k in mins})
+    g = g.withColumns({f"l{k}": v for k, v in local.items()})
+
+    totals = g.groupBy(*CONV, "bucket").agg(
+        *[F.sum(f"_{k}").alias(f"t{k}") for k in sums],
+        *[F.max(f"_{k}").alias(f"t{k}") for k in maxes],
+        *[F.min(f"_{k}").alias(f"t{k}") for k in mins])
+    carry = totals.select(
+        *CONV, "bucket",
+        *[F.sum(f"t{k}").over(earlier).alias(f"c{k}") for k in sums],
+        *[F.max(f"t{k}").over(earlier).alias(f"c{k}") for k in maxes],
+        *[F.min(f"t{k}").over(earlier).alias(f"c{k}") for k in mins])
+    g = g.join(carry, CONV + ["bucket"])
+
+    def tot(k):
+        return F.coalesce(F.col(f"c{k}"), F.lit(0)) + F.coalesce(F.col(f"l{k}"), F.lit(0))
+
+    g = g.withColumns({k: tot(k) for k in sums})
+    g = g.withColumns({k: F.greatest(F.col(f"c{k}"), F.col(f"l{k}")) for k in maxes})
+    g = g.withColumns({k: F.least(F.col(f"c{k}"), F.col(f"l{k}")) for k in mins})
+    g = g.where(F.col("is_init") & (F.col("nF") >= 2))
+
+    z = F.lit(0.0)
+    d = lambda c: F.col(c).cast("double")
+    c0 = lambda c: F.coalesce(F.col(c).cast("double"), z)
+
+    def ratio(a, b):
+        return F.when(F.col(b) > 0, F.col(a).cast("double") / F.col(b)).otherwise(z)
+
+    duration = F.greatest((F.col("ts_us") - F.col("start_us")) / US, F.lit(min_duration))
+    level = F.least(F.greatest((F.col("hdr") / 4).cast("int"), F.lit(0)), F.lit(MAX_HDR_LEVEL))
+    act = F.element_at(F.array(*[F.col(f"h{m}") for m in range(MAX_HDR_LEVEL + 1)]), level + 1)
+    feats = {
+        'Destination Port': d("dst_port"),
+        'Total Fwd Packets': d("nF"), 'Total Length of Fwd Packets': d("sF"),
+        'Fwd Packet Length Max': d("xF"), 'Fwd Packet Length Mean': ratio("sF", "nF"),
+        'Fwd Packet Length Std': F.coalesce(_exact_std(F.col("nF"), F.col("sF"), F.col("qF")), z),
+        'Bwd Packet Length Max': c0("xB"), 'Bwd Packet Length Min': c0("iB"),
+        'Bwd Packet Length Mean': ratio("sB", "nB"),
+        'Min Packet Length': c0("iX"), 'Packet Length Mean': ratio("sFB", "nFB"),
+        'Fwd Packets/s': F.col("nF") / duration,
+        'Fwd Header Length': d("hdr"), 'Fwd Header Length.1': d("hdr"),
+        'Fwd IAT Total': F.col("gFs").cast("double") / US,
+        'Fwd IAT Mean': ratio("gFs", "gFn") / US,
+        'Fwd IAT Std': F.coalesce(_exact_std(F.col("gFn"), F.col("gFs"), F.col("gFq")), z) / US,
+        'Fwd IAT Max': c0("gFx") / US,
+        'Bwd IAT Mean': ratio("gBs", "gBn") / US,
+        'Flow IAT Std': F.coalesce(_exact_std(F.col("gXn"), F.col("gXs"), F.col("gXq")), z) / US,
+        'Average Packet Size': ratio("sFB", "nFB"), 'Avg Fwd Segment Size': ratio("sF", "nF"),
+        'Avg Bwd Segment Size': ratio("sB", "nB"), 'Subflow Fwd Packets': d("nF"),
+        'Subflow Fwd Bytes': d("sF"), 'Subflow Bwd Packets': d("nB"),
+        'Down/Up Ratio': F.col("nB") / F.greatest(F.col("nF"), F.lit(1)).cast("double"),
+        'Init_Win_bytes_forward': F.when(F.col("proto") == 6, F.col("tcp_window"))
+                                   .otherwise(F.lit(0)).cast("double"),
+        'Init_Win_bytes_backward': z,
+        'act_data_pkt_fwd': act.cast("double"),
+    }
+    return g.select(*KEEP, *[feats[name].alias(name) for name in FEATURES])

@@ -388,3 +388,5 @@ ORDER BY ts DESC, rate DESC, port DESC, dl_error DESC, ml_prob DESC LIMIT 15"""
 
 SQL["csv_scan"] = "WITH " + PROJ + """
 SELECT CAST("Flow ID" AS DOUBLE) AS "Flow ID", CAST(line AS DOUBLE) AS line, """ + FEATS6 + " FROM proj"
+
+SQL["flow_features_bucketed"] = SQL["flow_features"]

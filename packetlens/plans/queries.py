@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from packetlens.functions.columns import attack_type, rule_flags
 from packetlens.operators import reports as R
-from packetlens.operators.flows import flow_features, flow_summary
+from packetlens.operators.flows import flow_features, flow_features_bucketed, flow_summary
 from packetlens.operators.scoring import ensemble_batch, ensemble_live, live_gate
 from packetlens.plans.detection import flow_attack_breakdown, score_rows, typed_flows
 from packetlens.operators import clean as C
@@ -69,6 +69,10 @@ def q_flow_features(spark, sf):
     return for_check(flow_features(_packets(spark, sf)))
 
 
+def q_flow_features_bucketed(spark, sf):
+    return for_check(flow_features_bucketed(_packets(spark, sf), bucket_seconds=86400))
+
+
 def q_flow_summary(spark, sf):
     return for_check(flow_summary(_packets(spark, sf)))
 
@@ -312,6 +316,7 @@ def q_csv_scan(spark, sf):
 
 QUERIES = {
     "flow_features": q_flow_features,
+    "flow_features_bucketed": q_flow_features_bucketed,
     "flow_summary": q_flow_summary,
     "attack_breakdown": q_attack_breakdown,
     "attack_type": q_attack_type,

@@ -154,7 +154,36 @@ def test_one_exchange_and_pushed_filter(spark, tmp_path):
     path = str(tmp_path / "p")
     to_df(spark, pk).write.parquet(path)
     df = spark.read.parquet(path)
-    plan = flow_features(df)._jdf.queryExecution().executedPlan().toString()
+    plan = flow_features(df, strategy="window")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 1
     scan = df.where("proto in (6, 17)")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in scan and "proto" in scan
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 3), st.integers(0, 3), st.sampled_from([6, 17]),
+                          st.integers(20, 200), st.integers(5, 15), st.integers(5, 15)),
+                min_size=1, max_size=60))
+def test_bucketed_equals_brute_force(spark, items):
+    from packetlens.operators.flows import flow_features_bucketed
+    pk = [packet(i, ts * 250_000, s, d, proto, ln, ihl, off, win=i * 7 % 65536)
+          for i, (ts, s, d, proto, ln, ihl, off) in enumerate(items)]
+    want = brute_force(pk)
+    got = {r["packet_id"]: r.asDict() for r in flow_features_bucketed(to_df(spark, pk), bucket_seconds=1).collect()}
+    assert set(got) == set(want)
+    for pid, w in want.items():
+        for k, v in w.items():
+            assert got[pid][k] == pytest.approx(float(v), rel=1e-9, abs=1e-9), (pid, k)
+
+
+def test_auto_split_equals_window(spark):
+    rnd = random.Random(11)
+    pk = [packet(i, rnd.randrange(0, 10_000_000), rnd.randrange(4), rnd.randrange(4),
+                 rnd.choice([6, 17]), rnd.randrange(20, 300), 5, rnd.randrange(5, 16))
+          for i in range(300)]
+    df = to_df(spark, pk)
+    a = flow_features(df, strategy="window").toPandas().set_index("packet_id").sort_index()
+    b = flow_features(df, strategy="auto", hot_rows=20, bucket_seconds=1).toPandas().set_index("packet_id").sort_index()
+    assert list(a.index) == list(b.index)
+    for c in FEATURES:
+        assert a[c].to_numpy() == pytest.approx(b[c].to_numpy(), rel=1e-9, abs=1e-9), c
