@@ -101,10 +101,36 @@ def timeline(df: DataFrame, ts: str = "ts", label: str = "label",
 
 
 def moving_mean(df: DataFrame, value: str, order: list[str], by: list[str] | None = None,
-                n: int = 50, out: str = "moving_mean") -> DataFrame:
-    """Mean of the last ``n`` values (current included) per key."""
-    w = Window.partitionBy(*(by or [])).orderBy(*order).rowsBetween(-(n - 1), 0)
-    return df.withColumn(out, F.avg(value).over(w))
+                n: int = 50, out: str = "moving_mean", strategy: str = "window",
+                ts: str | None = None, bucket_seconds: int = 3600) -> DataFrame:
+    """Mean of the last ``n`` values (current included) per key.
+
+    ``window``: one bounded-frame window per key. ``blocked``: skew-safe --
+    rows get their exact per-key position from per-(key, time bucket) counts
+    and prefix offsets, then each row is sent to its block of ``n`` positions
+    and, as look-back, to the next block; every window group holds at most
+    2n rows whatever the key's size. ``ts`` is the event-time column used for
+    the buckets (default: the first order column).
+    """
+    if strategy == "window":
+        w = Window.partitionBy(*(by or [])).orderBy(*order).rowsBetween(-(n - 1), 0)
+        return df.withColumn(out, F.avg(value).over(w))
+    keys = list(by or [])
+    t = ts or order[0]
+    d = df.withColumn("_bk", F.floor(F.unix_seconds(F.col(t).cast("timestamp")) / int(bucket_seconds)).cast("long"))
+    counts = d.groupBy(*keys, "_bk").agg(F.count(F.lit(1)).alias("_c"))
+    offs = counts.select(*keys, "_bk", F.coalesce(F.sum("_c").over(
+        Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0)).alias("_off"))
+    d = d.join(offs, keys + ["_bk"])
+    d = d.withColumn("_i", F.col("_off") - 1 + F.row_number().over(
+        Window.partitionBy(*keys, "_bk").orderBy(*order)))
+    d = d.withColumn("_blk", F.floor(F.col("_i") / n).cast("long"))
+    d = d.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    d = d.withColumn("_g", F.col("_blk") + F.col("_copy"))
+    w = Window.partitionBy(*keys, "_g").orderBy("_i").rowsBetween(-(n - 1), 0)
+    res = d.withColumn(out, F.avg(value).over(w)).where(F.col("_copy") == 0)
+    return res.drop("_bk", "_off", "_i", "_blk", "_copy", "_g")
 
 
 def keep_last(df: DataFrame, order: list[str], by: list[str] | None = None, n: int = 200) -> DataFrame:

@@ -390,3 +390,5 @@ SQL["csv_scan"] = "WITH " + PROJ + """
 SELECT CAST("Flow ID" AS DOUBLE) AS "Flow ID", CAST(line AS DOUBLE) AS line, """ + FEATS6 + " FROM proj"
 
 SQL["flow_features_bucketed"] = SQL["flow_features"]
+
+SQL["moving_mean_50_blocked"] = SQL["moving_mean_50"]

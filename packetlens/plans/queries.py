@@ -213,6 +213,12 @@ def q_moving_mean_50(spark, sf):
     return for_check(out.select("event_id", "user_id", "moving_mean"))
 
 
+def q_moving_mean_50_blocked(spark, sf):
+    out = R.moving_mean(_events(spark, sf), "value", ["ts", "event_id"], by=["user_id"], n=50,
+                        strategy="blocked", ts="ts", bucket_seconds=86400)
+    return for_check(out.select("event_id", "user_id", "moving_mean"))
+
+
 def q_keep_last_200(spark, sf):
     return for_check(R.keep_last(_events(spark, sf), ["ts", "event_id"], by=["user_id"], n=200))
 
@@ -339,6 +345,7 @@ QUERIES = {
     "error_share_topk": q_error_share_topk,
     "eval_metrics": q_eval_metrics,
     "moving_mean_50": q_moving_mean_50,
+    "moving_mean_50_blocked": q_moving_mean_50_blocked,
     "keep_last_200": q_keep_last_200,
     "pca_error": q_pca_error,
     "tree_prob": q_tree_prob,
