@@ -392,3 +392,14 @@ SELECT CAST("Flow ID" AS DOUBLE) AS "Flow ID", CAST(line AS DOUBLE) AS line, """
 SQL["flow_features_bucketed"] = SQL["flow_features"]
 
 SQL["moving_mean_50_blocked"] = SQL["moving_mean_50"]
+
+# Closed conversations only: the idle timer (last packet + idle) must be
+# below the final watermark (newest packet - idle), both in milliseconds.
+SQL["stream_flow_summary"] = ("WITH " + FLOWS + """,
+lastp AS (SELECT ka, kb, proto, max(ts_us) AS last_us FROM c GROUP BY ka, kb, proto),
+mx AS (SELECT max(ts_us) AS mx FROM c)
+SELECT packet_id, CAST(ts AS TIMESTAMP) AS ts, src_ip, dst_ip, src_port, dst_port, proto, pkt_len, """
+                              + FEATURE_SELECT + """
+FROM ff JOIN lastp USING (ka, kb, proto), mx
+WHERE last_us // 1000 + 86400000 < mx // 1000 - 86400000
+QUALIFY row_number() OVER (PARTITION BY ka, kb, proto ORDER BY ts DESC, packet_id DESC) = 1""")

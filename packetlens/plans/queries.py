@@ -280,6 +280,17 @@ def q_stream_flow_features(spark, sf):
     return for_check(spark.read.parquet(out))
 
 
+STREAM_IDLE_S = 86400
+
+
+def q_stream_flow_summary(spark, sf):
+    from packetlens.streaming.flows import stream_flow_summary
+    from packetlens.streaming.jobs import run_append
+    stream = _stream_of(spark, _packets(spark, sf), "packets")
+    out, _ = run_append(stream_flow_summary(stream, idle_seconds=STREAM_IDLE_S), "flow-summary")
+    return for_check(spark.read.parquet(out))
+
+
 def _stream_scores(spark, sf):
     from packetlens.streaming.jobs import stream_scores
     return stream_scores(_stream_of(spark, _scored(spark, sf), "scored"), gate=True)
@@ -355,6 +366,7 @@ QUERIES = {
     "tree_only": q_tree_only,
     "csv_scan": q_csv_scan,
     "stream_flow_features": q_stream_flow_features,
+    "stream_flow_summary": q_stream_flow_summary,
     "stream_scores": q_stream_scores,
     "stream_counters": q_stream_counters,
     "stream_timeline": q_stream_timeline,

@@ -34,7 +34,13 @@ STATE = T.StructType(
     [T.StructField("init_lo", T.BooleanType()), T.StructField("seen", T.BooleanType())]
     + [T.StructField(c, T.LongType()) for c in _LONGS]
     + [T.StructField(c, T.DoubleType()) for c in _DOUBLES]
-    + [T.StructField("hist", T.ArrayType(T.LongType()))])
+    + [T.StructField("hist", T.ArrayType(T.LongType()))]
+    # last emitted row (summary mode)
+    + [T.StructField("e_pid", T.LongType()), T.StructField("e_ts", T.LongType()),
+       T.StructField("e_src_ip", T.StringType()), T.StructField("e_dst_ip", T.StringType()),
+       T.StructField("e_src_port", T.IntegerType()), T.StructField("e_dst_port", T.IntegerType()),
+       T.StructField("e_proto", T.IntegerType()), T.StructField("e_len", T.IntegerType()),
+       T.StructField("e_feats", T.ArrayType(T.DoubleType()))])
 
 OUTPUT = T.StructType(
     [T.StructField("packet_id", T.LongType()), T.StructField("ts", T.TimestampType()),
@@ -68,9 +74,21 @@ def _gaps(ts, mask, last):
     return np.where(mask, ts - prev, np.nan)
 
 
-def _update(key, batches, state, min_duration: float, idle_ms: int | None = None):
+def _closed_row(st: dict) -> pd.DataFrame:
+    row = {"packet_id": st["e_pid"], "ts": pd.Timestamp(st["e_ts"] * 1000, tz="UTC"),
+           "src_ip": st["e_src_ip"], "dst_ip": st["e_dst_ip"], "src_port": st["e_src_port"],
+           "dst_port": st["e_dst_port"], "proto": st["e_proto"], "pkt_len": st["e_len"]}
+    row.update(dict(zip(FEATURES, st["e_feats"])))
+    return pd.DataFrame([row])
+
+
+def _update(key, batches, state, min_duration: float, idle_ms: int | None = None,
+            summary: bool = False):
     if state.hasTimedOut:
+        st = dict(zip([f.name for f in STATE.fields], state.get))
         state.remove()
+        if summary and st.get("e_pid") is not None:
+            yield _closed_row(st)
         return
     pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts_us", "packet_id"])
     if pdf.empty:
@@ -182,10 +200,19 @@ def _update(key, batches, state, min_duration: float, idle_ms: int | None = None
         "gFB_k": kFB, "gFB_s1": float(s1FB[last]), "gFB_s2": float(s2FB[last]),
         "hist": [int(v) for v in hist[last]],
     }
+    for k in ("e_pid", "e_ts", "e_src_ip", "e_dst_ip", "e_src_port", "e_dst_port", "e_proto", "e_len",
+              "e_feats"):
+        new[k] = st[k] if st else None
+    if len(out):
+        e = out.iloc[-1]
+        new.update({"e_pid": int(e["packet_id"]), "e_ts": int(ts[np.flatnonzero(emit)[-1]]),
+                    "e_src_ip": e["src_ip"], "e_dst_ip": e["dst_ip"], "e_src_port": int(e["src_port"]),
+                    "e_dst_port": int(e["dst_port"]), "e_proto": int(e["proto"]), "e_len": int(e["pkt_len"]),
+                    "e_feats": [float(e[n]) for n in FEATURES]})
     state.update(tuple(new[f.name] for f in STATE.fields))
     if idle_ms:
         state.setTimeoutTimestamp(int(ts[last] // 1000) + idle_ms)
-    if len(out):
+    if len(out) and not summary:
         yield out
 
 
@@ -207,3 +234,20 @@ def stream_flow_features(packets: DataFrame, idle_seconds: float | None = None,
     return (prepared.select(*CONV, *cols)
             .groupBy(*CONV)
             .applyInPandasWithState(fn, OUTPUT, STATE, "append", timeout))
+
+
+def stream_flow_summary(packets: DataFrame, idle_seconds: float,
+                        min_duration: float = MIN_DURATION_S) -> DataFrame:
+    """ST2 + ST3: one row per closed conversation (idle for ``idle_seconds`` of
+    event time): its last emission, as ``flow_summary`` gives it. State is
+    one fixed-size row per open conversation; nothing is collected."""
+    prepared = _prepared(packets).withWatermark("ts", f"{int(idle_seconds)} seconds")
+    cols = [c for c in KEEP if c not in CONV] + ["ts_us", "from_lo", "hdr", "tcp_window"]
+    idle_ms = int(idle_seconds * 1000)
+
+    def fn(key, batches, state):
+        yield from _update(key, batches, state, min_duration, idle_ms, summary=True)
+
+    return (prepared.select(*CONV, *cols)
+            .groupBy(*CONV)
+            .applyInPandasWithState(fn, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout))
