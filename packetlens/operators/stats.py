@@ -36,38 +36,60 @@ def _split_points(sub: DataFrame, lo: float, hi: float, bins: int) -> list[float
     return [float("-inf")] + pts + [float("inf")]
 
 
-def kth_smallest(values: DataFrame, k: int, n: int, max_local: int = 100_000,
-                 bins: int = 256) -> float:
-    """The k-th smallest (0-based) of column ``x`` of ``values`` (n rows)."""
+def select_ranks(values: DataFrame, ranks: list[int], n: int, max_local: int = 100_000,
+                 bins: int = 256) -> dict[int, float]:
+    """Values at the given 0-based ranks of column ``x`` (n rows), exactly.
+
+    Each round keeps the value range that holds all wanted ranks (adjacent
+    ranks usually share one bucket), until at most ``max_local`` rows remain;
+    only the distinct values of that range, with counts, reach the driver.
+    """
+    lo_r, hi_r = min(ranks), max(ranks)
     lo, hi = None, None
     offset, count = 0, n
     while True:
         sub = values if lo is None else values.where((F.col("x") >= lo) & (F.col("x") <= hi))
-        if count <= max_local:
+        if count <= max_local or (lo is not None and lo == hi):
+            if lo is not None and lo == hi:
+                return {r: lo for r in ranks}
             rows = sub.groupBy("x").agg(F.count(F.lit(1)).alias("c")).orderBy("x").collect()
-            seen = offset
+            out, seen = {}, offset
             for r in rows:
+                for k in ranks:
+                    if k not in out and seen + r["c"] > k:
+                        out[k] = float(r["x"])
                 seen += r["c"]
-                if seen > k:
-                    return float(r["x"])
-            raise RuntimeError("rank outside range")
+            if len(out) != len(ranks):
+                raise RuntimeError("rank outside range")
+            return out
         if lo is None:
             ext = sub.agg(F.min("x").alias("a"), F.max("x").alias("b")).first()
             lo, hi = float(ext["a"]), float(ext["b"])
-        if lo == hi:
-            return lo
+            if lo == hi:
+                return {r: lo for r in ranks}
         splits = _split_points(sub, lo, hi, bins)
         bz = Bucketizer(splits=splits, inputCol="x", outputCol="b", handleInvalid="keep")
         stats = (bz.transform(sub).groupBy("b")
                  .agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("a"), F.max("x").alias("z"))
                  .orderBy("b").collect())
+        seen, first, last, new_offset, new_count = offset, None, None, offset, 0
         for r in stats:
-            if offset + r["c"] > k:
-                lo, hi, count = float(r["a"]), float(r["z"]), int(r["c"])
+            if first is None and seen + r["c"] > lo_r:
+                first, new_offset = r, seen
+            if first is not None:
+                new_count += r["c"]
+            if seen + r["c"] > hi_r:
+                last = r
                 break
-            offset += r["c"]
-        else:
+            seen += r["c"]
+        if first is None or last is None:
             raise RuntimeError("rank outside range")
+        lo, hi, offset, count = float(first["a"]), float(last["z"]), new_offset, new_count
+
+
+def kth_smallest(values: DataFrame, k: int, n: int, **kw) -> float:
+    """The k-th smallest (0-based) of column ``x`` of ``values`` (n rows)."""
+    return select_ranks(values, [k], n, **kw)[k]
 
 
 def _materialise(x: DataFrame, name: str) -> DataFrame:
@@ -90,10 +112,11 @@ def exact_quantile(df: DataFrame, col: str, q: float, with_count: bool = False,
     pos = q * (n - 1)
     k = int(math.floor(pos))
     frac = pos - k
-    a = kth_smallest(x, k, n, **kw)
-    if frac != 0 and k + 1 < n:
-        b = kth_smallest(x, k + 1, n, **kw)
-        a = a + frac * (b - a)
+    ranks = [k, k + 1] if (frac != 0 and k + 1 < n) else [k]
+    got = select_ranks(x, ranks, n, **kw)
+    a = got[k]
+    if len(ranks) == 2:
+        a = a + frac * (got[k + 1] - a)
     return (a, n) if with_count else a
 
 
