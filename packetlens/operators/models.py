@@ -197,3 +197,33 @@ def tree_only_labels(df: DataFrame, features, label: str, max_iter: int = 20, ma
 def dl_scores(df: DataFrame, err: str = "dl_error", threshold: float = THRESHOLD) -> DataFrame:
     """M3 alone."""
     return df.withColumn("dl_score", dl_score(err, threshold))
+
+
+def evaluate_models(df: DataFrame, features, label: str, benign: str, k: int = 8,
+                    test_fraction: float = 0.2, seed: int = 17, quantile: float | None = 0.9,
+                    **tree_kw) -> DataFrame:
+    """Held-out quality of the anomaly model alone, the trees alone and the hybrid.
+
+    Rows are split at random (seeded) into train / test; models are fitted on
+    train only. Predictions on test: anomaly = error above the calibrated
+    threshold, trees = probability > 0.5, hybrid = live verdict. One metrics
+    row per model (see ``stats.evaluate``).
+    """
+    from packetlens.operators.stats import evaluate
+    train, test = df.randomSplit([1 - test_fraction, test_fraction], seed=seed)
+    h = fit_hybrid(train, features, label, benign, k=k, quantile=quantile, **tree_kw)
+    scored = h.score_live(test).withColumn("truth", F.col(label).cast("int"))
+    thr = F.lit(float(h.threshold))
+    parts = {
+        "anomaly": scored.select("truth", (F.col("dl_error") > thr).cast("int").alias("prediction"),
+                                 F.col("dl_error").alias("score")),
+        "trees": scored.select("truth", (F.col("ml_prob") > 0.5).cast("int").alias("prediction"),
+                               F.col("ml_prob").alias("score")),
+        "hybrid": scored.select("truth", (F.col("label") == "ATTACK").cast("int").alias("prediction"),
+                                F.col("final_score").alias("score")),
+    }
+    out = None
+    for name, part in parts.items():
+        m = evaluate(part).withColumn("model", F.lit(name))
+        out = m if out is None else out.unionByName(m)
+    return out.withColumn("threshold", thr)

@@ -261,6 +261,11 @@ def q_hybrid_batch(spark, sf):
     return h.score_batch(v).select("vec_id", "dl_error", "dl_score", "ml_prob", "final_score", "label")
 
 
+def q_model_quality(spark, sf):
+    v = _vectors(spark, sf)
+    return M.evaluate_models(v, "x", "attack", "benign", k=8, **_SMALL_TREES)
+
+
 def q_tree_only(spark, sf):
     d = _clean_flows(spark, sf)
     return M.tree_only_labels(d, FEATURES, "Label", max_iter=10, max_depth=3).select(
@@ -364,6 +369,7 @@ QUERIES = {
     "hybrid_live": q_hybrid_live,
     "hybrid_batch": q_hybrid_batch,
     "tree_only": q_tree_only,
+    "model_quality": q_model_quality,
     "csv_scan": q_csv_scan,
     "stream_flow_features": q_stream_flow_features,
     "stream_flow_summary": q_stream_flow_summary,
