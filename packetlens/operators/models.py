@@ -227,3 +227,32 @@ def evaluate_models(df: DataFrame, features, label: str, benign: str, k: int = 8
         m = evaluate(part).withColumn("model", F.lit(name))
         out = m if out is None else out.unionByName(m)
     return out.withColumn("threshold", thr)
+
+
+def save_hybrid(model: HybridModel, path: str) -> None:
+    """Both pipelines plus the threshold as ``{"threshold": x}`` JSON."""
+    import os
+
+    from packetlens.sources.files import threshold_json
+    model.anomaly.pipeline.write().overwrite().save(os.path.join(path, "anomaly"))
+    model.trees.pipeline.write().overwrite().save(os.path.join(path, "trees"))
+    meta = {"dims": model.anomaly.dims,
+            "features": model.anomaly.features if isinstance(model.anomaly.features, str)
+            else list(model.anomaly.features)}
+    from pyspark.sql import SparkSession
+    s = SparkSession.getActiveSession()
+    s.createDataFrame([(threshold_json(model.threshold), __import__("json").dumps(meta))],
+                      "threshold string, meta string").coalesce(1).write.mode("overwrite").parquet(
+        os.path.join(path, "meta"))
+
+
+def load_hybrid(spark, path: str) -> HybridModel:
+    """Load what ``save_hybrid`` wrote."""
+    import json
+    import os
+    row = spark.read.parquet(os.path.join(path, "meta")).first()
+    meta = json.loads(row["meta"])
+    thr = json.loads(row["threshold"])["threshold"]
+    feats = meta["features"]
+    return HybridModel(AnomalyModel(PipelineModel.load(os.path.join(path, "anomaly")), feats, meta["dims"]),
+                       TreeModel(PipelineModel.load(os.path.join(path, "trees")), feats), float(thr))

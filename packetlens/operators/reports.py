@@ -168,3 +168,29 @@ def port_class(df: DataFrame, port: str = "port") -> DataFrame:
         "class_port int, port_class string")
     j = df.join(F.broadcast(classes), df[port] == classes["class_port"], "left").drop("class_port")
     return j.withColumn("port_class", F.coalesce("port_class", F.lit("other")))
+
+
+def log_records(df: DataFrame, ts: str = "ts") -> DataFrame:
+    """P9 + P10 + P8 + P11: the display projection of scored rows.
+
+    Time as %H:%M:%S, probabilities as "x.y%", score as "0.000", absent
+    fields as their defaults ('?' for endpoints, 0 for numbers).
+    """
+    from packetlens.functions.columns import clock_text, col_or, pct_text, proto_name, score_text, verdict_display
+    cols = set(df.columns)
+
+    def get(c, default):
+        return col_or(c, default) if c in cols else F.lit(default)
+
+    return df.select(
+        clock_text(ts).alias("Time"),
+        get("src_ip", "?").alias("Src IP"),
+        get("dst_port", 0).alias("Dst Port"),
+        (proto_name("proto") if "proto" in cols else F.lit("?")).alias("Proto"),
+        get("pkt_len", 0).alias("Pkt Len"),
+        pct_text(get("ml_prob", 0.0)).alias("ML Prob"),
+        pct_text(get("dl_score", 0.0)).alias("DL Score"),
+        score_text(get("final_score", 0.0)).alias("Score"),
+        get("label", "NORMAL").alias("Verdict"),
+        verdict_display(get("label", "NORMAL")).alias("Display"),
+    )
