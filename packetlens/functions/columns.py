@@ -15,6 +15,7 @@ __all__ = [
     "confidence", "gate_label", "severity", "clip01", "round_score",
     "dl_score", "ensemble_live_score", "is_finite", "ieee_divide",
     "verdict_display", "pct_text", "score_text", "clock_text", "col_or",
+    "thousands", "day_text", "short_name", "is_tcp_text", "merge_counts",
 ]
 
 # Ports that identify an attack type.
@@ -161,3 +162,29 @@ def score_text(x) -> Column:
 def clock_text(ts) -> Column:
     """``%H:%M:%S`` of an event time."""
     return F.date_format(_c(ts), "HH:mm:ss")
+
+
+def thousands(x) -> Column:
+    """``f"{n:,}"``: integer with thousands separators."""
+    return F.format_number(_c(x).cast("long"), 0)
+
+
+def day_text(ts) -> Column:
+    """``%A %d %b %Y`` (e.g. Monday 01 Jan 2024)."""
+    return F.date_format(_c(ts), "EEEE dd MMM yyyy")
+
+
+def short_name(x, n: int = 18) -> Column:
+    """First ``n`` characters (label prefixes such as feature names or protocol tags)."""
+    return F.substring(_c(x), 1, n)
+
+
+def is_tcp_text(x) -> Column:
+    """``s.startswith("TCP")``."""
+    return _c(x).startswith("TCP")
+
+
+def merge_counts(counts, key, value) -> Column:
+    """``{**counts, key: value}`` on a map column (right side wins)."""
+    rest = F.map_filter(_c(counts), lambda k, v: k != _c(key))
+    return F.map_concat(rest, F.create_map(_c(key), _c(value)))

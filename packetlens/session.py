@@ -60,3 +60,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the checkpoint folder for one job's output."""
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def cluster_settings(input_bytes: int, executors: int = 1000, cores_per_executor: int = 4,
+                     target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings sized from the input volume (apply with ``get_spark(extra=...)``).
+
+    Shuffle partitions target ~256 MB each (at least 2 per core), so window
+    and aggregate partitions fit in executor memory; AQE coalesces small
+    ones and splits skewed join partitions above 5x the median.
+    """
+    cores = executors * cores_per_executor
+    parts = max(2 * cores, int(input_bytes // target_partition_bytes) + 1)
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+    }

@@ -56,3 +56,19 @@ def test_log_formatting(spark):
     r = df.select(pct_text("p").alias("a"), score_text("s").alias("b"), verdict_display("label").alias("c"),
                   clock_text(F.to_timestamp(F.lit("2024-01-01 13:05:09"))).alias("d")).first()
     assert r["a"] in ("25.0%",) and r["b"] == "0.123" and r["c"] == "⚠ ATTACK" and r["d"] == "13:05:09"
+
+
+def test_display_functions(spark):
+    from packetlens.functions.columns import day_text, is_tcp_text, merge_counts, short_name, thousands
+    df = spark.createDataFrame([(1234567, "Fwd Packet Length Mean", "TCP/6")], "n long, name string, p string")
+    r = df.select(thousands("n").alias("a"), short_name("name").alias("b"), is_tcp_text("p").alias("c"),
+                  day_text(F.to_timestamp(F.lit("2024-01-01 00:00:00"))).alias("d"),
+                  merge_counts(F.create_map(F.lit("DDoS"), F.lit(1)), F.lit("DDoS"), F.lit(2)).alias("m")).first()
+    assert (r["a"], r["b"], r["c"], r["d"]) == ("1,234,567", "Fwd Packet Length ", True, "Monday 01 Jan 2024")
+    assert r["m"]["DDoS"] == 2
+
+
+def test_cluster_settings():
+    from packetlens.session import cluster_settings
+    s = cluster_settings(100 << 40)
+    assert int(s["spark.sql.shuffle.partitions"]) >= 400_000
