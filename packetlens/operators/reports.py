@@ -82,19 +82,23 @@ def timeline(df: DataFrame, ts: str = "ts", label: str = "label",
     """Attack / normal counts per tumbling event-time bucket.
 
     Always ``last_n`` buckets ending at the newest one; empty buckets are 0.
-    The cut-off is a scalar aggregate, applied as a filter before the group,
-    so only the last ``last_n`` buckets are aggregated.
+    The newest bucket is a scalar aggregate; the cut-off is then a literal
+    filter before the group, so only the last ``last_n`` buckets are
+    aggregated, and the zero spine is ``last_n`` generated rows.
     """
     w = int(bucket_seconds)
     b = (F.floor(F.unix_seconds(F.col(ts)) / w) * w).cast("long")
     rows = df.select(b.alias("b"), _is_attack(label).alias("a"))
-    newest = rows.agg(F.max("b").alias("mx"))
-    lo = F.col("mx") - (last_n - 1) * w
-    spine = newest.select(F.explode(F.sequence(lo, F.col("mx"), F.lit(w).cast("long"))).alias("b"))
-    recent = rows.join(F.broadcast(newest), rows["b"] >= lo).select("b", "a")
-    counted = recent.groupBy("b").agg(F.sum(F.col("a").cast("long")).alias("attacks"),
-                                      F.sum((~F.col("a")).cast("long")).alias("normal"))
-    zeros = spine.select("b", F.lit(0).cast("long").alias("attacks"), F.lit(0).cast("long").alias("normal"))
+    mx = rows.agg(F.max("b")).first()[0]
+    if mx is None:
+        return df.sparkSession.createDataFrame([], "bucket_start timestamp, attacks long, normal long")
+    lo = int(mx) - (last_n - 1) * w
+    counted = (rows.where(F.col("b") >= F.lit(lo)).groupBy("b")
+               .agg(F.sum(F.col("a").cast("long")).alias("attacks"),
+                    F.sum((~F.col("a")).cast("long")).alias("normal")))
+    zeros = df.sparkSession.range(last_n).select(
+        (F.lit(lo) + F.col("id") * w).alias("b"), F.lit(0).cast("long").alias("attacks"),
+        F.lit(0).cast("long").alias("normal"))
     return (counted.unionByName(zeros).groupBy("b")
             .agg(F.sum("attacks").alias("attacks"), F.sum("normal").alias("normal"))
             .select(F.timestamp_seconds("b").alias("bucket_start"), "attacks", "normal"))

@@ -45,16 +45,19 @@ def ensemble_batch(df: DataFrame, err: str = "dl_error", ml: str = "ml_prob",
                    threshold: float = THRESHOLD) -> DataFrame:
     """M6 + A5 + J4: dl = min-max of the error over the whole batch; 0.5*dl + 0.5*ml.
 
-    The extremes are one aggregate row joined to every row (a broadcast nested
-    loop join against one row). max == min gives a null score -> NORMAL.
+    The batch extremes are one distributed aggregate (a single row of two
+    numbers) folded into the plan as literals. max == min gives a null score
+    -> NORMAL.
     """
-    ext = df.agg(F.min(err).alias("_mn"), F.max(err).alias("_mx"))
-    j = df.crossJoin(F.broadcast(ext))
-    dl = F.try_divide(F.col(err) - F.col("_mn"), F.col("_mx") - F.col("_mn"))
-    return (j.withColumn("dl_score", dl)
+    ext = df.agg(F.min(err).alias("mn"), F.max(err).alias("mx")).first()
+    mn, mx = ext["mn"], ext["mx"]
+    if mn is None or mx is None or mx == mn:
+        dl = F.lit(None).cast("double")
+    else:
+        dl = (F.col(err) - F.lit(float(mn))) / F.lit(float(mx) - float(mn))
+    return (df.withColumn("dl_score", dl)
             .withColumn("final_score", F.lit(0.5) * F.col("dl_score") + F.lit(0.5) * F.col(ml))
-            .withColumn("label", verdict("final_score", threshold))
-            .drop("_mn", "_mx"))
+            .withColumn("label", verdict("final_score", threshold)))
 
 
 __all__ = ["ensemble_live", "live_gate", "ensemble_batch", "clip01"]

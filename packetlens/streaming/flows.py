@@ -66,11 +66,10 @@ def _run(prev, x, fn, mask):
 
 def _gaps(ts, mask, last):
     """Gap of each masked row to the previous masked row (state ``last`` first)."""
-    t = np.where(mask, ts.astype("float64"), np.nan)
-    prev = pd.Series(t).shift(1)
-    if last is not None:
-        prev.iloc[0] = float(last)
-    prev = prev.ffill().to_numpy()
+    idx = np.where(mask, np.arange(len(ts)), -1)
+    prev_idx = np.concatenate([[-1], np.maximum.accumulate(idx)[:-1]])
+    first = np.nan if last is None else float(last)
+    prev = np.where(prev_idx >= 0, ts[np.maximum(prev_idx, 0)].astype("float64"), first)
     return np.where(mask, ts - prev, np.nan)
 
 
@@ -180,9 +179,9 @@ def _update(key, batches, state, min_duration: float, idle_ms: int | None = None
         'act_data_pkt_fwd': act,
     }
     emit = is_init & (nF >= 2)
-    out = pdf.loc[emit, KEEP].copy()
-    for name in FEATURES:
-        out[name] = np.asarray(feats[name], dtype="float64")[emit]
+    cols = {c: pdf[c].to_numpy()[emit] for c in KEEP}
+    cols.update({name: np.asarray(feats[name], dtype="float64")[emit] for name in FEATURES})
+    out = pd.DataFrame(cols)
 
     last = n - 1
     nz = lambda a: None if np.isnan(a[last]) else int(a[last])
