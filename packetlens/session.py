@@ -38,9 +38,38 @@ def get_spark(app: str = "packetlens", master: str | None = None,
     # zone because event-time buckets and `ts_s` depend on it.
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make ``packetlens`` importable in the Python workers (executors).
+
+    Python-backed operators (the stateful streaming flow tracker) pickle
+    references to this package; workers started elsewhere cannot import it
+    from the driver's ``sys.path``. The package is zipped once per session
+    into the checkpoint folder and distributed with ``addPyFile``.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_packetlens_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    dest = os.path.join(checkpoint_dir(spark), f"packetlens-{uuid.uuid4().hex[:8]}.zip")
+    if dest.startswith("file:"):
+        dest = dest[len("file:"):]
+    os.makedirs(os.path.dirname(dest), exist_ok=True)
+    with zipfile.ZipFile(dest, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(dest)
+    sc._packetlens_shipped = True
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints, stream state and intermediate tables.
 

@@ -218,6 +218,8 @@ def _update(key, batches, state, min_duration: float, idle_ms: int | None = None
 def stream_flow_features(packets: DataFrame, idle_seconds: float | None = None,
                          min_duration: float = MIN_DURATION_S) -> DataFrame:
     """ST1 (+ ST3 with ``idle_seconds``): FL1 on a streaming packet DataFrame."""
+    from packetlens.session import ship_package
+    ship_package(packets.sparkSession)
     prepared = _prepared(packets)
     cols = [c for c in KEEP if c not in CONV] + ["ts_us", "from_lo", "hdr", "tcp_window"]
     timeout = GroupStateTimeout.NoTimeout
@@ -240,6 +242,8 @@ def stream_flow_summary(packets: DataFrame, idle_seconds: float,
     """ST2 + ST3: one row per closed conversation (idle for ``idle_seconds`` of
     event time): its last emission, as ``flow_summary`` gives it. State is
     one fixed-size row per open conversation; nothing is collected."""
+    from packetlens.session import ship_package
+    ship_package(packets.sparkSession)
     prepared = _prepared(packets).withWatermark("ts", f"{int(idle_seconds)} seconds")
     cols = [c for c in KEEP if c not in CONV] + ["ts_us", "from_lo", "hdr", "tcp_window"]
     idle_ms = int(idle_seconds * 1000)
