@@ -37,7 +37,7 @@ def _split_points(sub: DataFrame, lo: float, hi: float, bins: int) -> list[float
 
 
 def select_ranks(values: DataFrame, ranks: list[int], n: int, max_local: int = 100_000,
-                 bins: int = 256) -> dict[int, float]:
+                 bins: int = 256, extremes: tuple[float, float] | None = None) -> dict[int, float]:
     """Values at the given 0-based ranks of column ``x`` (n rows), exactly.
 
     Each round keeps the value range that holds all wanted ranks (adjacent
@@ -45,10 +45,10 @@ def select_ranks(values: DataFrame, ranks: list[int], n: int, max_local: int = 1
     only the distinct values of that range, with counts, reach the driver.
     """
     lo_r, hi_r = min(ranks), max(ranks)
-    lo, hi = None, None
+    lo, hi = extremes if extremes else (None, None)
     offset, count = 0, n
     while True:
-        sub = values if lo is None else values.where((F.col("x") >= lo) & (F.col("x") <= hi))
+        sub = values if (lo is None or count == n) else values.where((F.col("x") >= lo) & (F.col("x") <= hi))
         if count <= max_local or (lo is not None and lo == hi):
             if lo is not None and lo == hi:
                 return {r: lo for r in ranks}
@@ -106,9 +106,11 @@ def exact_quantile(df: DataFrame, col: str, q: float, with_count: bool = False,
     """Linear-interpolation quantile (``percentile`` / ``quantile_cont``), exact."""
     x = _materialise(df.select(F.col(fcol(col)).cast("double").alias("x")).where(_finite(F.col("x"))),
                      "quantile-values")
-    n = x.count()
+    agg = x.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("a"), F.max("x").alias("b")).first()
+    n = int(agg["n"])
     if n == 0:
         return (None, 0) if with_count else None
+    kw.setdefault("extremes", (float(agg["a"]), float(agg["b"])))
     pos = q * (n - 1)
     k = int(math.floor(pos))
     frac = pos - k
