@@ -89,9 +89,13 @@ def _update(key, batches, state, min_duration: float, idle_ms: int | None = None
         if summary and st.get("e_pid") is not None:
             yield _closed_row(st)
         return
-    pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts_us", "packet_id"])
+    parts = list(batches)
+    pdf = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
     if pdf.empty:
         return
+    order = np.lexsort((pdf["packet_id"].to_numpy(), pdf["ts_us"].to_numpy()))
+    if not np.array_equal(order, np.arange(len(order))):
+        pdf = pdf.iloc[order].reset_index(drop=True)
     st = dict(zip([f.name for f in STATE.fields], state.get)) if state.exists else None
     n = len(pdf)
     ts = pdf["ts_us"].to_numpy(dtype="int64")
