@@ -105,10 +105,14 @@ def timeline(df: DataFrame, ts: str = "ts", label: str = "label",
 
 
 def moving_mean(df: DataFrame, value: str, order: list[str], by: list[str] | None = None,
-                n: int = 50, out: str = "moving_mean", strategy: str = "window",
-                ts: str | None = None, bucket_seconds: int = 3600) -> DataFrame:
+                n: int = 50, out: str = "moving_mean", strategy: str = "auto",
+                ts: str | None = None, bucket_seconds: int = 3600,
+                hot_rows: int = 2_000_000) -> DataFrame:
     """Mean of the last ``n`` values (current included) per key.
 
+    ``auto`` (default): keys with more than ``hot_rows`` rows (found with a
+    partial aggregate; a bounded set, checkpointed and broadcast) take the
+    blocked path, the others the window path.
     ``window``: one bounded-frame window per key. ``blocked``: skew-safe --
     rows get their exact per-key position from per-(key, time bucket) counts
     and prefix offsets, then each row is sent to its block of ``n`` positions
@@ -116,9 +120,20 @@ def moving_mean(df: DataFrame, value: str, order: list[str], by: list[str] | Non
     2n rows whatever the key's size. ``ts`` is the event-time column used for
     the buckets (default: the first order column).
     """
-    if strategy == "window":
+    if strategy == "window" or (strategy == "auto" and not by):
         w = Window.partitionBy(*(by or [])).orderBy(*order).rowsBetween(-(n - 1), 0)
         return df.withColumn(out, F.avg(value).over(w))
+    if strategy == "auto":
+        from packetlens.session import checkpoint_dir
+        checkpoint_dir(df.sparkSession)
+        hot = (df.groupBy(*by).count().where(F.col("count") > hot_rows).select(*by)
+               .checkpoint(eager=True))
+        if hot.isEmpty():
+            return moving_mean(df, value, order, by, n, out, "window")
+        cold = df.join(F.broadcast(hot), by, "left_anti")
+        warm = df.join(F.broadcast(hot), by, "left_semi")
+        return (moving_mean(cold, value, order, by, n, out, "window")
+                .unionByName(moving_mean(warm, value, order, by, n, out, "blocked", ts, bucket_seconds)))
     keys = list(by or [])
     t = ts or order[0]
     d = df.withColumn("_bk", F.floor(F.unix_seconds(F.col(t).cast("timestamp")) / int(bucket_seconds)).cast("long"))

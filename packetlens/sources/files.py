@@ -82,4 +82,4 @@ def write_scores(df: DataFrame, path: str, partition_by: list[str] | None = None
 
 
 __all__ = ["read_flow_csv", "write_flow_csv", "flow_csv_schema", "dedupe_names", "read_packets",
-           "read_threshold", "threshold_json", "write_scores", "F"]
+           "read_threshold", "threshold_json", "write_scores"]

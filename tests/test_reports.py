@@ -41,3 +41,15 @@ def test_keep_last_per_key(spark):
     df = spark.createDataFrame([(k, i) for k in (1, 2) for i in range(300)], "k int, i int")
     out = R.keep_last(df, ["i"], by=["k"], n=200)
     assert out.count() == 400 and out.agg({"i": "min"}).first()[0] == 100
+
+
+def test_moving_mean_auto_split(spark):
+    rnd = random.Random(4)
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, 1 if i % 4 else rnd.randrange(2, 6), base + dt.timedelta(seconds=rnd.randrange(0, 9000)), rnd.random())
+            for i in range(800)]
+    df = spark.createDataFrame(rows, "id long, k long, ts timestamp_ntz, v double")
+    a = R.moving_mean(df, "v", ["ts", "id"], by=["k"], n=50, strategy="window").toPandas().set_index("id").sort_index()
+    b = R.moving_mean(df, "v", ["ts", "id"], by=["k"], n=50, strategy="auto", hot_rows=100, ts="ts",
+                      bucket_seconds=300).toPandas().set_index("id").sort_index()
+    assert b["moving_mean"].to_numpy() == pytest.approx(a["moving_mean"].to_numpy(), rel=1e-12)
