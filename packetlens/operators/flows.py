@@ -90,18 +90,25 @@ HOT_ROWS = 2_000_000
 BUCKET_SECONDS = 60
 
 
-def hot_conversations(packets: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def hot_conversations(packets: DataFrame, hot_rows: int = HOT_ROWS,
+                      target_rows: int = HOT_ROWS // 4) -> DataFrame:
     """Conversations with more than ``hot_rows`` packets (partial aggregate).
 
     At most total_rows / hot_rows keys, so the result is safe to broadcast.
+    ``bucket_us`` sizes each hot conversation's time buckets to hold about
+    ``target_rows`` packets at its average rate.
     """
-    return (with_conversation(valid_packets(packets)).groupBy(*CONV).count()
-            .where(F.col("count") > hot_rows).select(*CONV))
+    span = F.max(F.unix_micros("ts")) - F.min(F.unix_micros("ts")) + 1
+    return (with_conversation(valid_packets(packets)).groupBy(*CONV)
+            .agg(F.count(F.lit(1)).alias("n"), span.alias("span"))
+            .where(F.col("n") > hot_rows)
+            .select(*CONV, F.greatest(F.lit(1), F.ceil(F.col("span") * target_rows / F.col("n")))
+                    .cast("long").alias("bucket_us")))
 
 
 def flow_features(packets: DataFrame, mode: str = "compat", strategy: str = "auto",
                   hot_rows: int = HOT_ROWS, bucket_seconds: int = BUCKET_SECONDS,
-                  min_duration: float = MIN_DURATION_S) -> DataFrame:
+                  min_duration: float = MIN_DURATION_S, target_rows: int | None = None) -> DataFrame:
     """FL1: one row per emitted initiator packet with the 30 features.
 
     Input: PACKET rows. Output: packet identity columns + FEATURES (double).
@@ -109,7 +116,8 @@ def flow_features(packets: DataFrame, mode: str = "compat", strategy: str = "aut
     strategy ``window``: running windows per conversation (one exchange).
     ``bucketed``: prefix scan over (conversation, time bucket), skew-safe.
     ``auto`` (default): conversations above ``hot_rows`` packets take the
-    bucketed path, the rest the window path; both give identical rows.
+    bucketed path with buckets sized to about ``target_rows`` packets each
+    (default hot_rows / 4), the rest the window path; both give identical rows.
     """
     if mode != "compat":
         raise ValueError(f"unknown mode {mode!r}; only 'compat' is defined")
@@ -123,15 +131,16 @@ def flow_features(packets: DataFrame, mode: str = "compat", strategy: str = "aut
     checkpoint_dir(packets.sparkSession)
     # Small and bounded; written once to the shared checkpoint folder so the
     # emptiness test and the two joins below do not recompute it.
-    hot_keys = hot_conversations(packets, hot_rows).checkpoint(eager=True)
+    hot_keys = hot_conversations(packets, hot_rows, target_rows or max(1, hot_rows // 4)).checkpoint(eager=True)
     if hot_keys.isEmpty():
         return _flow_features_window(packets, min_duration)
     keyed = with_conversation(packets)
     hot = F.broadcast(hot_keys)
-    cold_part = keyed.join(hot, CONV, "left_anti").select(*packets.columns)
-    hot_part = keyed.join(hot, CONV, "left_semi").select(*packets.columns)
+    cold_part = keyed.join(hot.select(*CONV), CONV, "left_anti").select(*packets.columns)
+    hot_part = keyed.join(hot, CONV, "inner").select(*packets.columns, "bucket_us")
     return (_flow_features_window(cold_part, min_duration)
-            .unionByName(flow_features_bucketed(hot_part, bucket_seconds, min_duration)))
+            .unionByName(flow_features_bucketed(hot_part, bucket_seconds, min_duration,
+                                                bucket_col="bucket_us")))
 
 
 def _flow_features_window(packets: DataFrame, min_duration: float = MIN_DURATION_S) -> DataFrame:
@@ -349,7 +358,8 @@ def _exact_std(n: Column, s1: Column, s2: Column) -> Column:
 
 
 def flow_features_bucketed(packets: DataFrame, bucket_seconds: int = 300,
-                           min_duration: float = MIN_DURATION_S) -> DataFrame:
+                           min_duration: float = MIN_DURATION_S,
+                           bucket_col: str | None = None) -> DataFrame:
     """FL1 as a prefix scan over (conversation, time bucket): skew-safe form.
 
     Same rows and values as ``flow_features``; no task holds more than one
@@ -366,11 +376,14 @@ def flow_features_bucketed(packets: DataFrame, bucket_seconds: int = 300,
 
     Standard deviations use exact integer moments (counts, sums and sums of
     squares as DECIMAL(38,0)), which are associative, so the carry + local
-    combination is exact.
+    combination is exact. ``bucket_col`` (microseconds per bucket, per row)
+    overrides ``bucket_seconds``, e.g. sized per conversation from its rate;
+    any bucketing monotone in time gives the same result.
     """
+    width = F.col(bucket_col) if bucket_col else F.lit(int(bucket_seconds * US))
     p = _prepared(packets).withColumns({
         "o": F.struct("ts_us", "packet_id"),
-        "bucket": F.floor(F.col("ts_us") / F.lit(int(bucket_seconds * US))).cast("long"),
+        "bucket": F.floor(F.col("ts_us") / width).cast("long"),
         "lvl": F.floor((F.col("pkt_len") - 1) / 4).cast("int"),
     })
     dirs = p.groupBy(*CONV, "from_lo").agg(F.min("o").alias("first_o"))

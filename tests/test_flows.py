@@ -183,7 +183,7 @@ def test_auto_split_equals_window(spark):
           for i in range(300)]
     df = to_df(spark, pk)
     a = flow_features(df, strategy="window").toPandas().set_index("packet_id").sort_index()
-    b = flow_features(df, strategy="auto", hot_rows=20, bucket_seconds=1).toPandas().set_index("packet_id").sort_index()
+    b = flow_features(df, strategy="auto", hot_rows=20, target_rows=3).toPandas().set_index("packet_id").sort_index()
     assert list(a.index) == list(b.index)
     for c in FEATURES:
         assert a[c].to_numpy() == pytest.approx(b[c].to_numpy(), rel=1e-9, abs=1e-9), c
