@@ -244,8 +244,8 @@ def feature_columns(df: DataFrame) -> list[Column]:
     return [F.col(fcol(n)) for n in FEATURES]
 
 
-def flow_summary(packets: DataFrame, bucket_seconds: int = 300,
-                 min_duration: float = MIN_DURATION_S) -> DataFrame:
+def flow_summary(packets: DataFrame, bucket_seconds: int | None = None,
+                 min_duration: float = MIN_DURATION_S, target_rows: int = HOT_ROWS // 4) -> DataFrame:
     """FL2: the 30 features once per conversation, at its last emission.
 
     Same schema as ``flow_features`` and equal to its last row per
@@ -259,23 +259,34 @@ def flow_summary(packets: DataFrame, bucket_seconds: int = 300,
     3. gaps from windows over (conversation, time bucket), the previous
        bucket's last timestamp per role coming from a per-bucket carry table;
     4. one ``groupBy(conversation)`` of order-free aggregates.
+
+    Bucket width: ``bucket_seconds`` if given, else per conversation from its
+    packet count and time span (about ``target_rows`` packets per bucket; a
+    small conversation is one bucket).
     """
     p = _prepared(packets).withColumns({
         "o": F.struct("ts_us", "packet_id"),
         "win": F.when(F.col("proto") == 6, F.col("tcp_window")).otherwise(F.lit(0)),
-        "bucket": F.floor(F.col("ts_us") / F.lit(int(bucket_seconds * US))).cast("long"),
     })
     last_pkt = F.struct("ts_us", "packet_id", "hdr", "dst_port", "src_ip", "dst_ip", "src_port",
                         "win", "pkt_len", "ts")
-    dirs = p.groupBy(*CONV, "from_lo").agg(F.min("o").alias("first_o"), F.max(last_pkt).alias("last"))
+    dirs = p.groupBy(*CONV, "from_lo").agg(F.min("o").alias("first_o"), F.max(last_pkt).alias("last"),
+                                           F.count(F.lit(1)).alias("n"))
     facts = dirs.groupBy(*CONV).agg(
         F.min_by("from_lo", "first_o").alias("init_from_lo"),
         F.min("first_o").alias("conv_first"),
         F.when(F.count(F.lit(1)) == 2, F.max("first_o")).alias("reply_o"),
         F.min_by("last", "first_o").alias("il"),
+        F.sum("n").alias("conv_n"),
+        (F.max("last.ts_us") - F.min("first_o.ts_us") + 1).alias("conv_span"),
     )
+    if bucket_seconds:
+        width = F.lit(int(bucket_seconds * US))
+    else:
+        width = F.greatest(F.lit(1), F.ceil(F.col("conv_span") * target_rows / F.col("conv_n"))).cast("long")
     il_o = F.struct(F.col("il.ts_us"), F.col("il.packet_id"))
-    r = p.join(facts, CONV).withColumn("is_init", F.col("from_lo") == F.col("init_from_lo"))
+    r = (p.join(facts, CONV).withColumn("is_init", F.col("from_lo") == F.col("init_from_lo"))
+         .withColumn("bucket", F.floor(F.col("ts_us") / width).cast("long")))
     r = r.withColumns({
         "isF": F.col("is_init") & (F.col("reply_o").isNull() | (F.col("o") < F.col("reply_o"))),
         "isB": ~F.col("is_init") & (F.col("o") <= il_o),

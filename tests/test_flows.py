@@ -141,12 +141,13 @@ def test_summary_is_last_emission(spark):
     ff = flow_features(df).toPandas()
     last = (ff.sort_values(["ts", "packet_id"]).groupby(["src_ip", "dst_ip", "src_port", "dst_port", "proto"])
             .tail(1))
-    summ = flow_summary(df, bucket_seconds=600).toPandas()
-    assert len(summ) <= len(last)
-    a = summ.set_index("packet_id").sort_index()
-    b = ff.set_index("packet_id").loc[a.index]
-    for c in FEATURES:
-        assert a[c].to_numpy() == pytest.approx(b[c].to_numpy(), rel=1e-9, abs=1e-9), c
+    for kw in ({"bucket_seconds": 600}, {"target_rows": 3}, {}):
+        summ = flow_summary(df, **kw).toPandas()
+        assert len(summ) <= len(last)
+        a = summ.set_index("packet_id").sort_index()
+        b = ff.set_index("packet_id").loc[a.index]
+        for c in FEATURES:
+            assert a[c].to_numpy() == pytest.approx(b[c].to_numpy(), rel=1e-9, abs=1e-9), (kw, c)
 
 
 def test_one_exchange_and_pushed_filter(spark, tmp_path):
