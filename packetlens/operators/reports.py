@@ -126,17 +126,27 @@ def moving_mean(df: DataFrame, value: str, order: list[str], by: list[str] | Non
     if strategy == "auto":
         from packetlens.session import checkpoint_dir
         checkpoint_dir(df.sparkSession)
-        hot = (df.groupBy(*by).count().where(F.col("count") > hot_rows).select(*by)
+        t_us = F.unix_micros(F.col(ts or order[0]).cast("timestamp"))
+        hot = (df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), (F.max(t_us) - F.min(t_us) + 1).alias("_span"))
+               .where(F.col("_n") > hot_rows)
+               .select(*by, F.greatest(F.lit(1), F.ceil(F.col("_span") * max(1, hot_rows // 4) / F.col("_n")))
+                       .cast("long").alias("_width_us"))
                .checkpoint(eager=True))
         if hot.isEmpty():
             return moving_mean(df, value, order, by, n, out, "window")
-        cold = df.join(F.broadcast(hot), by, "left_anti")
-        warm = df.join(F.broadcast(hot), by, "left_semi")
+        cold = df.join(F.broadcast(hot.select(*by)), by, "left_anti")
+        warm = df.join(F.broadcast(hot), by, "inner")
         return (moving_mean(cold, value, order, by, n, out, "window")
-                .unionByName(moving_mean(warm, value, order, by, n, out, "blocked", ts, bucket_seconds)))
+                .unionByName(moving_mean(warm, value, order, by, n, out, "blocked", ts, bucket_seconds)
+                             .drop("_width_us")))
     keys = list(by or [])
     t = ts or order[0]
-    d = df.withColumn("_bk", F.floor(F.unix_seconds(F.col(t).cast("timestamp")) / int(bucket_seconds)).cast("long"))
+    # Bucket width: per key (``_width_us``, sized from its rate) when present, else fixed.
+    if "_width_us" in df.columns:
+        bk = F.floor(F.unix_micros(F.col(t).cast("timestamp")) / F.col("_width_us"))
+    else:
+        bk = F.floor(F.unix_seconds(F.col(t).cast("timestamp")) / int(bucket_seconds))
+    d = df.withColumn("_bk", bk.cast("long"))
     counts = d.groupBy(*keys, "_bk").agg(F.count(F.lit(1)).alias("_c"))
     offs = counts.select(*keys, "_bk", F.coalesce(F.sum("_c").over(
         Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)),
