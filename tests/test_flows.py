@@ -188,3 +188,20 @@ def test_auto_split_equals_window(spark):
     assert list(a.index) == list(b.index)
     for c in FEATURES:
         assert a[c].to_numpy() == pytest.approx(b[c].to_numpy(), rel=1e-9, abs=1e-9), c
+
+
+def test_quarantine_and_header_defaults(spark):
+    from pyspark.sql import functions as F
+
+    from packetlens.functions.columns import header_len
+    from packetlens.operators.flows import quarantined_packets, valid_packets
+    pk = [packet(1, 0, 0, 1), packet(2, 1, 0, 1, ihl=16), packet(3, 2, 0, 1, off=None),
+          packet(4, 3, 0, 1, proto=17), packet(5, 4, 0, 1, proto=1)]
+    pk[0]["src_port"] = 70000          # not a 16-bit port
+    df = to_df(spark, pk)
+    good = {r["packet_id"] for r in valid_packets(df).collect()}
+    bad = {r["packet_id"]: r["reason"] for r in quarantined_packets(df).collect()}
+    assert good == {3, 4} and bad == {1: "malformed", 2: "malformed"}
+    hl = {r["packet_id"]: r["h"] for r in df.select("packet_id", header_len().alias("h")).collect()}
+    assert hl[3] == 40 and hl[4] == 28     # TCP without dataofs -> 20 + 20; UDP -> 20 + 8
+    assert F is not None
