@@ -30,17 +30,35 @@ _LONGS = ["start_us", "nF", "sumF", "sqF", "maxF", "nB", "sumB", "maxB", "minB",
           "gF_n", "gF_sum", "gF_max", "gB_n", "gB_sum", "gFB_n"]
 _DOUBLES = ["gF_k", "gF_s1", "gF_s2", "gFB_k", "gFB_s1", "gFB_s2"]
 
-STATE = T.StructType(
-    [T.StructField("init_lo", T.BooleanType()), T.StructField("seen", T.BooleanType())]
-    + [T.StructField(c, T.LongType()) for c in _LONGS]
-    + [T.StructField(c, T.DoubleType()) for c in _DOUBLES]
-    + [T.StructField("hist", T.ArrayType(T.LongType()))]
-    # last emitted row (summary mode)
-    + [T.StructField("e_pid", T.LongType()), T.StructField("e_ts", T.LongType()),
-       T.StructField("e_src_ip", T.StringType()), T.StructField("e_dst_ip", T.StringType()),
-       T.StructField("e_src_port", T.IntegerType()), T.StructField("e_dst_port", T.IntegerType()),
-       T.StructField("e_proto", T.IntegerType()), T.StructField("e_len", T.IntegerType()),
-       T.StructField("e_feats", T.ArrayType(T.DoubleType()))])
+_FIELDS = ["init_lo", "seen"] + _LONGS + ["e_pid", "e_ts", "e_len"]
+_NULL = np.iinfo(np.int64).min
+
+# State is one binary value per conversation: the integer fields, the 31
+# level counts, then the float fields and the last emitted feature row, as
+# packed int64 / float64 arrays (a single field keeps the per-group state
+# transfer small).
+STATE = T.StructType([T.StructField("blob", T.BinaryType())])
+
+
+def _pack(st: dict) -> bytes:
+    ints = [_NULL if st[k] is None else int(st[k]) for k in _FIELDS] + [int(v) for v in st["hist"]]
+    flts = [np.nan if st[k] is None else float(st[k]) for k in _DOUBLES]
+    feats = st["e_feats"] if st["e_feats"] is not None else [np.nan] * len(FEATURES)
+    return (np.array(ints, dtype="int64").tobytes() + np.array(flts + list(feats), dtype="float64").tobytes())
+
+
+def _unpack(blob: bytes) -> dict:
+    ni = len(_FIELDS) + LEVELS
+    ints = np.frombuffer(blob, dtype="int64", count=ni)
+    flts = np.frombuffer(blob, dtype="float64", offset=ni * 8)
+    st = {k: (None if v == _NULL else int(v)) for k, v in zip(_FIELDS, ints[:len(_FIELDS)])}
+    st["init_lo"], st["seen"] = bool(st["init_lo"]), bool(st["seen"])
+    st["hist"] = ints[len(_FIELDS):].tolist()
+    st.update({k: (None if np.isnan(v) else float(v)) for k, v in zip(_DOUBLES, flts[:len(_DOUBLES)])})
+    feats = flts[len(_DOUBLES):]
+    st["e_feats"] = None if st["e_pid"] is None else feats.tolist()
+    return st
+
 
 OUTPUT = T.StructType(
     [T.StructField("packet_id", T.LongType()), T.StructField("ts", T.TimestampType()),
@@ -49,6 +67,9 @@ OUTPUT = T.StructType(
      T.StructField("proto", T.IntegerType()), T.StructField("pkt_len", T.IntegerType())]
     + [T.StructField(n, T.DoubleType()) for n in FEATURES])
 
+# Per-packet input of the state update; endpoints come from the group key.
+INPUT_COLS = ["packet_id", "ts_us", "pkt_len", "from_lo", "hdr", "tcp_window"]
+
 _NONE = {"maxF": None, "maxB": None, "minB": None, "minFB": None,
          "lastF": None, "lastB": None, "lastFB": None, "gF_max": None}
 
@@ -73,21 +94,32 @@ def _gaps(ts, mask, last):
     return np.where(mask, ts - prev, np.nan)
 
 
-def _closed_row(st: dict) -> pd.DataFrame:
-    row = {"packet_id": st["e_pid"], "ts": pd.Timestamp(st["e_ts"] * 1000, tz="UTC"),
-           "src_ip": st["e_src_ip"], "dst_ip": st["e_dst_ip"], "src_port": st["e_src_port"],
-           "dst_port": st["e_dst_port"], "proto": st["e_proto"], "pkt_len": st["e_len"]}
-    row.update(dict(zip(FEATURES, st["e_feats"])))
-    return pd.DataFrame([row])
+def _endpoints(key, from_lo):
+    """(src_ip, dst_ip, src_port, dst_port) of packets sent from the lo / hi endpoint."""
+    lo_ip, lo_port, hi_ip, hi_port, _ = key
+    src_ip = np.where(from_lo, lo_ip, hi_ip)
+    dst_ip = np.where(from_lo, hi_ip, lo_ip)
+    src_port = np.where(from_lo, lo_port, hi_port).astype("int32")
+    dst_port = np.where(from_lo, hi_port, lo_port).astype("int32")
+    return src_ip, dst_ip, src_port, dst_port
+
+
+def _closed_row(key, st: dict) -> pd.DataFrame:
+    src_ip, dst_ip, src_port, dst_port = _endpoints(key, np.array([st["init_lo"]]))
+    row = {"packet_id": [st["e_pid"]], "ts": pd.to_datetime([st["e_ts"]], unit="us", utc=True),
+           "src_ip": src_ip, "dst_ip": dst_ip, "src_port": src_port, "dst_port": dst_port,
+           "proto": np.array([key[4]], dtype="int32"), "pkt_len": np.array([st["e_len"]], dtype="int32")}
+    row.update({n: [v] for n, v in zip(FEATURES, st["e_feats"])})
+    return pd.DataFrame(row)
 
 
 def _update(key, batches, state, min_duration: float, idle_ms: int | None = None,
             summary: bool = False):
     if state.hasTimedOut:
-        st = dict(zip([f.name for f in STATE.fields], state.get))
+        st = _unpack(state.get[0])
         state.remove()
         if summary and st.get("e_pid") is not None:
-            yield _closed_row(st)
+            yield _closed_row(key, st)
         return
     parts = list(batches)
     pdf = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
@@ -96,7 +128,7 @@ def _update(key, batches, state, min_duration: float, idle_ms: int | None = None
     order = np.lexsort((pdf["packet_id"].to_numpy(), pdf["ts_us"].to_numpy()))
     if not np.array_equal(order, np.arange(len(order))):
         pdf = pdf.iloc[order].reset_index(drop=True)
-    st = dict(zip([f.name for f in STATE.fields], state.get)) if state.exists else None
+    st = _unpack(state.get[0]) if state.exists else None
     n = len(pdf)
     ts = pdf["ts_us"].to_numpy(dtype="int64")
     ln = pdf["pkt_len"].to_numpy(dtype="int64")
@@ -141,6 +173,7 @@ def _update(key, batches, state, min_duration: float, idle_ms: int | None = None
     kFB, s1FB, s2FB = shifted(gFB, vFB, st["gFB_k"] if st else None, g("gFB_s1", 0.0), g("gFB_s2", 0.0))
 
     hdr = pdf["hdr"].to_numpy(dtype="int64")
+    src_ip, dst_ip, src_port, dst_port = _endpoints(key, from_lo)
     lvl = np.floor((ln - 1) / 4).astype("int64")
     above = (isF[:, None] & (lvl[:, None] >= np.arange(LEVELS)[None, :])).astype("int64")
     hist0 = np.array(st["hist"] if st else [0] * LEVELS, dtype="int64")
@@ -161,7 +194,7 @@ def _update(key, batches, state, min_duration: float, idle_ms: int | None = None
     us = 1e6
     z = lambda a: np.nan_to_num(a, nan=0.0)
     feats = {
-        'Destination Port': pdf["dst_port"].to_numpy("float64"),
+        'Destination Port': dst_port.astype("float64"),
         'Total Fwd Packets': nF, 'Total Length of Fwd Packets': sumF,
         'Fwd Packet Length Max': maxF, 'Fwd Packet Length Mean': avgF, 'Fwd Packet Length Std': stdF,
         'Bwd Packet Length Max': z(maxB), 'Bwd Packet Length Min': z(minB),
@@ -177,13 +210,17 @@ def _update(key, batches, state, min_duration: float, idle_ms: int | None = None
         'Average Packet Size': avgFB, 'Avg Fwd Segment Size': avgF, 'Avg Bwd Segment Size': avgB,
         'Subflow Fwd Packets': nF, 'Subflow Fwd Bytes': sumF, 'Subflow Bwd Packets': nB,
         'Down/Up Ratio': nB / np.maximum(nF, 1),
-        'Init_Win_bytes_forward': np.where(pdf["proto"].to_numpy() == 6,
-                                           pdf["tcp_window"].fillna(0).to_numpy("float64"), 0.0),
+        'Init_Win_bytes_forward': (pdf["tcp_window"].fillna(0).to_numpy("float64") if key[4] == 6
+                                   else np.zeros(n)),
         'Init_Win_bytes_backward': np.zeros(n),
         'act_data_pkt_fwd': act,
     }
     emit = is_init & (nF >= 2)
-    cols = {c: pdf[c].to_numpy()[emit] for c in KEEP}
+    cols = {"packet_id": pdf["packet_id"].to_numpy()[emit],
+            "ts": pd.to_datetime(ts[emit], unit="us", utc=True),
+            "src_ip": src_ip[emit], "dst_ip": dst_ip[emit], "src_port": src_port[emit],
+            "dst_port": dst_port[emit], "proto": np.full(int(emit.sum()), key[4], dtype="int32"),
+            "pkt_len": ln[emit].astype("int32")}
     cols.update({name: np.asarray(feats[name], dtype="float64")[emit] for name in FEATURES})
     out = pd.DataFrame(cols)
 
@@ -203,16 +240,13 @@ def _update(key, batches, state, min_duration: float, idle_ms: int | None = None
         "gFB_k": kFB, "gFB_s1": float(s1FB[last]), "gFB_s2": float(s2FB[last]),
         "hist": [int(v) for v in hist[last]],
     }
-    for k in ("e_pid", "e_ts", "e_src_ip", "e_dst_ip", "e_src_port", "e_dst_port", "e_proto", "e_len",
-              "e_feats"):
+    for k in ("e_pid", "e_ts", "e_len", "e_feats"):
         new[k] = st[k] if st else None
     if len(out):
-        e = out.iloc[-1]
-        new.update({"e_pid": int(e["packet_id"]), "e_ts": int(ts[np.flatnonzero(emit)[-1]]),
-                    "e_src_ip": e["src_ip"], "e_dst_ip": e["dst_ip"], "e_src_port": int(e["src_port"]),
-                    "e_dst_port": int(e["dst_port"]), "e_proto": int(e["proto"]), "e_len": int(e["pkt_len"]),
-                    "e_feats": [float(e[n]) for n in FEATURES]})
-    state.update(tuple(new[f.name] for f in STATE.fields))
+        i = np.flatnonzero(emit)[-1]
+        new.update({"e_pid": int(cols["packet_id"][-1]), "e_ts": int(ts[i]), "e_len": int(ln[i]),
+                    "e_feats": [float(cols[n][-1]) for n in FEATURES]})
+    state.update((_pack(new),))
     if idle_ms:
         state.setTimeoutTimestamp(int(ts[last] // 1000) + idle_ms)
     if len(out) and not summary:
@@ -225,13 +259,14 @@ def stream_flow_features(packets: DataFrame, idle_seconds: float | None = None,
     from packetlens.session import ship_package
     ship_package(packets.sparkSession)
     prepared = _prepared(packets)
-    cols = [c for c in KEEP if c not in CONV] + ["ts_us", "from_lo", "hdr", "tcp_window"]
+    cols = INPUT_COLS
     timeout = GroupStateTimeout.NoTimeout
     idle_ms = None
     if idle_seconds:
         idle_ms = int(idle_seconds * 1000)
         timeout = GroupStateTimeout.EventTimeTimeout
         prepared = prepared.withWatermark("ts", f"{int(idle_seconds)} seconds")
+        cols = INPUT_COLS + ["ts"]
 
     def fn(key, batches, state):
         yield from _update(key, batches, state, min_duration, idle_ms)
@@ -249,7 +284,7 @@ def stream_flow_summary(packets: DataFrame, idle_seconds: float,
     from packetlens.session import ship_package
     ship_package(packets.sparkSession)
     prepared = _prepared(packets).withWatermark("ts", f"{int(idle_seconds)} seconds")
-    cols = [c for c in KEEP if c not in CONV] + ["ts_us", "from_lo", "hdr", "tcp_window"]
+    cols = INPUT_COLS + ["ts"]          # the watermark column must stay in the input
     idle_ms = int(idle_seconds * 1000)
 
     def fn(key, batches, state):
