@@ -186,13 +186,13 @@ def error_share_topk(df: DataFrame, residuals: list[str], k: int = 3,
     """
     sq = [F.col(fcol(c)) * F.col(fcol(c)) for c in residuals]
     total = sum(sq[1:], sq[0])
+    # (0 - share, name) ascending = share descending, ties by name; built-in
+    # sort_array, no lambda comparator in the per-row path.
     items = F.array(*[F.struct(
-        F.coalesce(F.try_divide(s, total), F.lit(0.0)).alias("share"),
+        (F.lit(0.0) - F.coalesce(F.try_divide(s, total), F.lit(0.0))).alias("neg"),
         F.lit(c).alias("feature")) for s, c in zip(sq, residuals)])
-    ranked = F.slice(F.array_sort(items, lambda a, b: F.when(a["share"] > b["share"], -1)
-                                  .when(a["share"] < b["share"], 1)
-                                  .when(a["feature"] < b["feature"], -1)
-                                  .when(a["feature"] > b["feature"], 1).otherwise(0)), 1, k)
+    ranked = F.slice(F.sort_array(items, asc=True), 1, k)
     out = df.select(*[F.col(fcol(c)) for c in (keep or [])], F.posexplode(ranked).alias("pos", "item"))
     return out.select(*[F.col(fcol(c)) for c in (keep or [])], (F.col("pos") + 1).alias("rank"),
-                      F.col("item.feature").alias("feature"), F.col("item.share").alias("share"))
+                      F.col("item.feature").alias("feature"),
+                      (F.lit(0.0) - F.col("item.neg")).alias("share"))
