@@ -80,7 +80,7 @@ def vectors_from_embeddings(embeddings: DataFrame) -> DataFrame:
     """embeddings -> (vec_id, x array<double>, label, benign)."""
     return embeddings.select(
         "vec_id",
-        F.transform("embedding", lambda v: v.cast("double")).alias("x"),
+        F.col("embedding").cast("array<double>").alias("x"),
         "label",
         (F.col("label") < 5).alias("benign"),
     )
