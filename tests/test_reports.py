@@ -53,3 +53,11 @@ def test_moving_mean_auto_split(spark):
     b = R.moving_mean(df, "v", ["ts", "id"], by=["k"], n=50, strategy="auto", hot_rows=100, ts="ts",
                       bucket_seconds=300).toPandas().set_index("id").sort_index()
     assert b["moving_mean"].to_numpy() == pytest.approx(a["moving_mean"].to_numpy(), rel=1e-12)
+
+
+def test_empty_inputs(spark):
+    empty = spark.createDataFrame([], "ts timestamp, label string, attack_type string")
+    assert R.timeline(empty, "ts", "label").count() == 0
+    out = R.attack_breakdown(empty).collect()
+    assert len(out) == 5 and all(r["n"] == 0 and r["pct"] == 0.0 for r in out)
+    assert R.session_counters(empty).first()["attack_rate"] == 0.0
