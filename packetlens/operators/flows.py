@@ -240,10 +240,6 @@ def _flow_features_window(packets: DataFrame, min_duration: float = MIN_DURATION
     return df.select(*KEEP, *[feats[name].alias(name) for name in FEATURES])
 
 
-def feature_columns(df: DataFrame) -> list[Column]:
-    return [F.col(fcol(n)) for n in FEATURES]
-
-
 def flow_summary(packets: DataFrame, bucket_seconds: int | None = None,
                  min_duration: float = MIN_DURATION_S, target_rows: int = HOT_ROWS // 4) -> DataFrame:
     """FL2: the 30 features once per conversation, at its last emission.

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from packetlens.operators.flows import CONV, KEEP, MAX_HDR_LEVEL, MIN_DURATION_S, _prepared
+from packetlens.operators.flows import CONV, MAX_HDR_LEVEL, MIN_DURATION_S, _prepared
 from packetlens.schemas import FEATURES
 
 LEVELS = MAX_HDR_LEVEL + 1
@@ -70,9 +70,6 @@ OUTPUT = T.StructType(
 # Per-packet input of the state update; endpoints come from the group key.
 INPUT_COLS = ["packet_id", "ts_us", "pkt_len", "from_lo", "hdr", "tcp_window"]
 
-_NONE = {"maxF": None, "maxB": None, "minB": None, "minFB": None,
-         "lastF": None, "lastB": None, "lastFB": None, "gF_max": None}
-
 
 def _run(prev, x, fn, mask):
     """Running reduction of x over mask rows, continuing from ``prev`` (None = empty)."""
