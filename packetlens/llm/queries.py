@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetlens.llm import bpe, chat, exact, mix, quality, sitelines, urlfilter, warc
+from packetlens.llm import bpe, chat, exact, grade, mix, nearjoin, quality, sitelines, urlfilter, warc
 from packetlens.llm.common import table
 from packetlens.session import scratch_path
 
@@ -35,6 +35,14 @@ def op3_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_decisions(table(spark, sf_dir, "documents"))
 
 
+def op4_ordinal_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grade.graded_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearjoin.near_classes(table(spark, sf_dir, "documents")).drop("rk", "class_rk")
+
+
 def op6_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode_texts(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return out.select("row.doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"),
@@ -65,6 +73,8 @@ QUERIES = {
     "op1_curriculum_mix": op1_curriculum_mix,
     "op2_chat_spans": op2_chat_spans,
     "op3_adaptive_quality": op3_adaptive_quality,
+    "op4_ordinal_grade": op4_ordinal_grade,
+    "op5_chosen_path_join": op5_chosen_path_join,
     "op6_trie_bpe": op6_trie_bpe,
     "op7_site_lines": op7_site_lines,
     "op8_warc_segments": op8_warc_segments,
