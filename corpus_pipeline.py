@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packetlens.llm import mix, quality, sitelines
+from packetlens.llm import bpe, mix, nearjoin, quality, sitelines
 from packetlens.llm.common import materialise, prepare, table
 
 
@@ -21,16 +21,30 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sitelines.cleaned_documents(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class stays."""
+    prepare(spark)
+    return nearjoin.one_per_class(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents once per copy that the mix takes, in training order."""
     prepare(spark)
     return mix.mixed_documents(docs)
 
 
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids beside the documents' columns."""
+    prepare(spark)
+    return bpe.encoded_documents(docs)
+
+
 STAGES = [
     ("quality rules", quality_rules),
     ("line dedup", line_dedup),
+    ("near dedup", near_dedup),
     ("mix sources", mix_sources),
+    ("tokenize", tokenize),
 ]
 
 
