@@ -90,13 +90,13 @@ _SEEDS = _mix(np.arange(1, T + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C1
 _FLIPS = _mix(_SEEDS)
 
 
-def min_tokens(s: np.ndarray) -> np.ndarray:
-    """16-bit tokens of a set, one per hash function."""
+def min_values(s: np.ndarray) -> np.ndarray:
+    """64-bit tokens of a set, one per hash function (the sketch keeps 16 bits of each)."""
     least = np.full(T, np.iinfo(np.uint64).max, np.uint64)
     with np.errstate(over="ignore"):
         for at in range(0, len(s), 2048):
             np.minimum(least, ((s[at:at + 2048, None] ^ _FLIPS) * _SEEDS).min(axis=0), out=least)
-    return (_mix(least) >> np.uint64(48)).astype("<u2")
+    return _mix(least)
 
 
 def positions(node) -> np.ndarray:
@@ -250,9 +250,9 @@ def set_table(docs: DataFrame, runs: int, key: str = "doc_id", text: str = "text
                     if len(s) == 0:
                         digests.append(None), tokens.append(None), paths.append([])
                         continue
-                    t = min_tokens(s)
+                    t = min_values(s)
                     digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    tokens.append(t.tobytes())
+                    tokens.append((t >> np.uint64(48)).astype("<u2").tobytes())
                     paths.append([int(child_nodes(r, at_, t[at_:at_ + 1])[0].astype(np.int64)) for r in seeds for at_ in positions(r)])
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0), rows.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
