@@ -39,8 +39,8 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 SETTLED = r"[\u0000-ɏЀ-ҁḀ-ỿ‐-⁞₠-₫ぁ-ゖ一-龥가-힣]*"
 
 CHUNK_WORDS = 500_000
-KNOWN_WORDS = 250_000
-KNOWN_PAIRS = 500_000
+KNOWN_WORDS = 1_000_000
+KNOWN_PAIRS = 1_000_000
 
 
 def byte_letters() -> list[str]:
@@ -59,6 +59,7 @@ class TrieEncoder:
         to_bytes = lambda s: bytes(letter_byte[c] for c in s)
         self.ids = {to_bytes(s): i for s, i in spec["model"]["vocab"].items()}
         self.bytes_of = {i: b for b, i in self.ids.items()}
+        self.size_of = {i: len(b) for i, b in self.bytes_of.items()}
         self.rank = {}
         for n, m in enumerate(spec["model"]["merges"]):
             a, b = (to_bytes(x) for x in (m.split(" ") if isinstance(m, str) else m))
@@ -69,6 +70,10 @@ class TrieEncoder:
         self.longest = max(map(len, self.ids))
         # tokens that their own bytes don't merge into can't end an encoding
         self.ids = {b: i for b, i in self.ids.items() if self.merge(b, ()) == [i]}
+        # the longest token by its last three bytes: longer suffixes needn't be looked up
+        self.reach: dict[bytes, int] = {}
+        for b in self.ids:
+            self.reach[b[-3:]] = max(self.reach.get(b[-3:], 0), len(b))
         self.apart: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
         self.split = regex.compile(SPLIT)
@@ -118,32 +123,38 @@ class TrieEncoder:
             word[node] = w
         done: dict[str, bytes] = {}
         path, last = bytearray(), [-1]  # the prefix of the node; last[d]: last token of its first d bytes
-        todo = [(first[0], 1)]
+        todo = [(first[0], 1)] if first[0] >= 0 else []
+        size, last_token, longest = self.size_of, self.last_token, self.longest
         while todo:
             node, depth = todo.pop()
-            if node < 0:
-                continue
-            todo.append((after[node], depth))
-            todo.append((first[node], depth + 1))
+            if after[node] >= 0:
+                todo.append((after[node], depth))
+            if first[node] >= 0:
+                todo.append((first[node], depth + 1))
             del path[depth - 1:], last[depth:]
             path.append(byte[node])
-            last.append(self.last_token(bytes(path[-self.longest:]), last))
+            last.append(last_token(bytes(path[-longest:]), last))
             if word[node] is not None:
                 ids, d = [], depth
                 while d:
                     ids.append(last[d])
-                    d -= len(self.bytes_of[last[d]])
-                done[word[node]] = b"".join(i.to_bytes(4, "little") for i in reversed(ids))
+                    d -= size[last[d]]
+                done[word[node]] = b"".join([i.to_bytes(4, "little") for i in reversed(ids)])
         return done
 
     def last_token(self, tail: bytes, last: list[int]) -> int:
-        """The token that ends the encoding of a prefix of ``len(last)`` bytes with that tail."""
+        """The token that ends the encoding of a prefix of ``len(last)`` bytes, of which ``tail`` is the end."""
         n = len(tail)
-        for k in range(n):
-            t = self.ids.get(tail[k:])
+        start = len(last) - n
+        ids, apart = self.ids, self.apart
+        for k in range(max(0, n - self.reach.get(tail[-3:], 2)), n):
+            t = ids.get(tail[k:])
             if t is not None:
-                before = len(last) - (n - k)
-                if before == 0 or self.stay_apart(last[before], t):
+                before = start + k
+                if before == 0:
+                    return t
+                same = apart.get(last[before] << 20 | t)
+                if same or same is None and self.stay_apart(last[before], t):
                     return t
         raise ValueError("no token ends this prefix")
 
