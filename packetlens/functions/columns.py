@@ -29,7 +29,8 @@ RULE_DDOS_RATE = 1000.0
 RULE_PORT_RATE = 200.0
 RULE_SCAN_RATE = 100.0
 # Scoring constants.
-THRESHOLD = 0.5          # anomaly threshold and decision edge
+THRESHOLD = 0.5          # anomaly threshold: scale of the error
+DECISION = 0.5           # decision edge of the final score
 ML_WEIGHT = 0.3          # additive weight of the tree probability
 ML_GATE = 0.30           # live gate: minimum tree probability
 SCORE_GATE = 0.75        # live gate: minimum final score
@@ -108,7 +109,7 @@ def ensemble_live_score(dl="dl_score", ml="ml_prob", weight: float = ML_WEIGHT)
     return clip01(_c(dl) + F.lit(weight) * _c(ml))
 
 
-def verdict(score="final_score", threshold: float = THRESHOLD) -> Column:
+def verdict(score="final_score", threshold: float = DECISION) -> Column:
     """ATTACK iff the unrounded score exceeds the threshold (NaN/null -> NORMAL)."""
     s = _c(score)
     return F.when(s.isNotNull() & ~F.isnan(s) & (s > F.lit(threshold)), "ATTACK").otherwise("NORMAL")

@@ -37,14 +37,14 @@ def valid_packets(packets: DataFrame) -> DataFrame:
 
 
 def quarantined_packets(packets: DataFrame) -> DataFrame:
-    """TCP/UDP rows that ``valid_packets`` would drop, with the reason."""
-    return (packets.where(F.col("proto").isin(6, 17))
-            .where(~F.coalesce(_valid_expr(), F.lit(False)))
-            .withColumn("reason", F.lit("malformed")))
+    """The complement of ``valid_packets`` among TCP/UDP rows and rows without
+    a protocol, with the reason (other protocols are P1's filter)."""
+    ok = F.coalesce(F.col("proto").isin(6, 17) & _valid_expr(), F.lit(False))
+    return packets.where(F.coalesce(F.col("proto").isin(6, 17), F.lit(True)) & ~ok).withColumn("reason", F.lit("malformed"))
 
 
 def _valid_expr() -> Column:
-    """Well-formed packet: identity, endpoints and time present, ports 16-bit,
+    """Well-formed packet: identity, endpoints, length and time present, ports 16-bit,
     ihl / dataofs 4-bit (so header lengths are multiples of 4 up to 120).
 
     Each column is referenced once: Catalyst inlines the source projection
@@ -54,7 +54,7 @@ def _valid_expr() -> Column:
     nibbles = (F.coalesce(F.col("ip_ihl"), F.lit(0)).bitwiseOR(F.coalesce(F.col("tcp_dataofs"), F.lit(0)))
                .bitwiseAND(F.lit(~15)) == 0)
     present = F.concat(F.col("src_ip"), F.col("dst_ip")).isNotNull() & \
-        (F.unix_micros(F.col("ts")) + F.col("packet_id")).isNotNull()
+        (F.unix_micros(F.col("ts")) + F.col("packet_id") + F.col("pkt_len")).isNotNull()
     return ports16 & nibbles & present
 
 
@@ -426,7 +426,7 @@ def flow_features_bucketed(packets: DataFrame, bucket_seconds: int = 300,
     dec = "decimal(38,0)"
     sums = {
         "nF": F.col("isF").cast("long"), "nB": F.col("isB").cast("long"), "nFB": F.col("isFB").cast("long"),
-        "sF": on("isF").cast("long"), "qF": (on("isF") * on("isF")).cast("long"),
+        "sF": on("isF").cast("long"), "qF": on("isF").cast("long") * on("isF").cast("long"),
         "sB": on("isB").cast("long"), "sFB": on("isFB").cast("long"),
         "gFn": F.col("iatF").isNotNull().cast("long"), "gFs": F.col("iatF"),
         "gFq": F.col("iatF").cast(dec) * F.col("iatF").cast(dec),

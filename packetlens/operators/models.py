@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetlens.functions.columns import THRESHOLD, dl_score
+from packetlens.operators.clean import drop_nonfinite, impute_nonfinite
 from packetlens.operators.scoring import ensemble_batch, ensemble_live
 from packetlens.schemas import fcol
 
@@ -42,6 +43,24 @@ def with_vector(df: DataFrame, features) -> DataFrame:
     return asm.transform(d).drop(*tmp)
 
 
+def _finite(x: Column) -> Column:
+    return F.coalesce(F.abs(x.cast("double")) < F.lit(float("inf")), F.lit(False))
+
+
+def imputed(df: DataFrame, features) -> DataFrame:
+    """P4 on the model's features: an array column or a list of columns."""
+    if isinstance(features, str):
+        return df.withColumn(features, F.transform(features, lambda x: F.when(_finite(x), x).otherwise(F.lit(0).cast("double"))))
+    return impute_nonfinite(df, list(features))
+
+
+def finite_only(df: DataFrame, features) -> DataFrame:
+    """P5 on the model's features."""
+    if isinstance(features, str):
+        return df.where(F.coalesce(F.forall(features, _finite), F.lit(False)))
+    return drop_nonfinite(df, list(features))
+
+
 def fit_standardiser(df: DataFrame, columns: list[str]) -> dict[str, tuple[float | None, float | None]]:
     """M1 fit: mean and sample std per column in one distributed aggregate (one row)."""
     row = df.agg(*[F.avg(fcol(c)).alias(f"m{i}") for i, c in enumerate(columns)],
@@ -154,27 +173,32 @@ class HybridModel:
     threshold: float = THRESHOLD
 
     def score_live(self, df: DataFrame) -> DataFrame:
-        """M7: error -> dl score -> tree probability -> additive ensemble -> verdict."""
-        e = self.anomaly.errors(df, "dl_error")
+        """M7: impute (P4) -> error -> dl score -> tree probability -> additive ensemble -> verdict."""
+        e = self.anomaly.errors(imputed(df, self.anomaly.features), "dl_error")
         p = self.trees.probability(e, "ml_prob")
         return ensemble_live(p, "dl_error", "ml_prob", threshold=self.threshold)
 
     def score_batch(self, df: DataFrame) -> DataFrame:
-        """M8: error -> min-max over the batch -> 0.5/0.5 ensemble -> verdict."""
-        e = self.anomaly.errors(df, "dl_error")
+        """M8: drop rows with non-finite features (P5) -> error -> min-max over the batch -> 0.5/0.5 ensemble -> verdict."""
+        e = self.anomaly.errors(finite_only(df, self.anomaly.features), "dl_error")
         p = self.trees.probability(e, "ml_prob")
-        return ensemble_batch(p, "dl_error", "ml_prob", threshold=self.threshold)
+        return ensemble_batch(p, "dl_error", "ml_prob")
 
 
 def fit_hybrid(df: DataFrame, features, label: str, benign: str, k: int = 8,
                quantile: float | None = 0.9, **tree_kw) -> HybridModel:
-    """Train both models; the threshold is the benign error quantile (M12) or 0.5."""
+    """Train both models on rows with finite features; the threshold is the
+    benign error quantile (M12), or 0.5 without one."""
     from packetlens.operators.stats import exact_quantile
+    df = finite_only(df, features)
+    if df.where(F.col(benign)).isEmpty():
+        raise ValueError("the anomaly model needs benign rows with finite features")
     an = fit_anomaly(df, features, k=k, benign=benign)
     thr = THRESHOLD
     if quantile is not None:
         errs = an.errors(df.where(F.col(benign)), "_err")
-        thr = exact_quantile(errs, "_err", quantile)
+        found = exact_quantile(errs, "_err", quantile)
+        thr = THRESHOLD if found is None else found
     trees = fit_trees(df, features, label, **tree_kw)
     return HybridModel(an, trees, float(thr))
 

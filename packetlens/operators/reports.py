@@ -25,8 +25,8 @@ def session_counters(df: DataFrame, label: str = "label", by: list[str] | None =
     a = _is_attack(label)
     out = df.groupBy(*(by or [])).agg(
         F.count(F.lit(1)).alias("total_packets"),
-        F.sum(a.cast("long")).alias("total_attacks"),
-        F.sum((~a).cast("long")).alias("total_normal"),
+        F.coalesce(F.sum(a.cast("long")), F.lit(0)).alias("total_attacks"),
+        F.coalesce(F.sum((~a).cast("long")), F.lit(0)).alias("total_normal"),
     )
     return out.withColumn(
         "attack_rate",
@@ -110,7 +110,8 @@ def moving_mean(df: DataFrame, value: str, order: list[str], by: list[str] | Non
                 hot_rows: int = 2_000_000) -> DataFrame:
     """Mean of the last ``n`` values (current included) per key.
 
-    ``auto`` (default): keys with more than ``hot_rows`` rows (found with a
+    ``auto`` (default): without ``by`` the blocked path over buckets sized from
+    the table's rate; with it, keys with more than ``hot_rows`` rows (found with a
     partial aggregate; a bounded set, checkpointed and broadcast) take the
     blocked path, the others the window path.
     ``window``: one bounded-frame window per key. ``blocked``: skew-safe --
@@ -120,7 +121,14 @@ def moving_mean(df: DataFrame, value: str, order: list[str], by: list[str] | Non
     2n rows whatever the key's size. ``ts`` is the event-time column used for
     the buckets (default: the first order column).
     """
-    if strategy == "window" or (strategy == "auto" and not by):
+    if strategy == "auto" and not by:
+        # one global key: buckets by its rate, so that no task holds all rows
+        t_us = F.unix_micros(F.col(ts or order[0]).cast("timestamp"))
+        n_rows, span = df.agg(F.count(F.lit(1)), F.max(t_us) - F.min(t_us) + 1).first()
+        width = max(1, -(-(span or 1) * max(1, min(hot_rows, 500_000)) // max(1, n_rows)))
+        return moving_mean(df.withColumn("_width_us", F.lit(width).cast("long")), value, order, by, n, out, "blocked",
+                           ts, bucket_seconds).drop("_width_us")
+    if strategy == "window":
         w = Window.partitionBy(*(by or [])).orderBy(*order).rowsBetween(-(n - 1), 0)
         return df.withColumn(out, F.avg(value).over(w))
     if strategy == "auto":
@@ -203,7 +211,8 @@ def log_records(df: DataFrame, ts: str = "ts") -> DataFrame:
     """P9 + P10 + P8 + P11: the display projection of scored rows.
 
     Time as %H:%M:%S, probabilities as "x.y%", score as "0.000", absent
-    fields as their defaults ('?' for endpoints, 0 for numbers).
+    fields as their defaults ('?' for endpoints, ports and protocol, 0 for
+    other numbers).
     """
     from packetlens.functions.columns import clock_text, col_or, pct_text, proto_name, score_text, verdict_display
     cols = set(df.columns)
@@ -214,8 +223,8 @@ def log_records(df: DataFrame, ts: str = "ts") -> DataFrame:
     return df.select(
         clock_text(ts).alias("Time"),
         get("src_ip", "?").alias("Src IP"),
-        get("dst_port", 0).alias("Dst Port"),
-        (proto_name("proto") if "proto" in cols else F.lit("?")).alias("Proto"),
+        (F.coalesce(F.col("dst_port").cast("string"), F.lit("?")) if "dst_port" in cols else F.lit("?")).alias("Dst Port"),
+        (F.when(F.col("proto").isNull(), "?").otherwise(proto_name("proto")) if "proto" in cols else F.lit("?")).alias("Proto"),
         get("pkt_len", 0).alias("Pkt Len"),
         pct_text(get("ml_prob", 0.0)).alias("ML Prob"),
         pct_text(get("dl_score", 0.0)).alias("DL Score"),

@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetlens.functions.columns import attack_type
+from packetlens.functions.columns import DDOS_RATE, PORTSCAN_RATE, attack_type
 from packetlens.operators.flows import flow_features
 from packetlens.operators.reports import attack_breakdown
 from packetlens.operators.scoring import ensemble_live, live_gate
 from packetlens.schemas import fcol
 
-# Rate edges for the events-derived packets: their gaps are minutes, so the
+# Rate edges that the registered queries pass for the events-derived packets: their gaps are minutes, so the
 # packet rates sit far below the dataset-scale edges (40,000 / 4,000). The
 # ratio of the two edges is kept.
 EVENT_DDOS_RATE = 1e-4
 EVENT_SCAN_RATE = 1e-5
 
 
-def typed_flows(packets: DataFrame, ddos_rate: float = EVENT_DDOS_RATE,
-                scan_rate: float = EVENT_SCAN_RATE) -> DataFrame:
+def typed_flows(packets: DataFrame, ddos_rate: float = DDOS_RATE,
+                scan_rate: float = PORTSCAN_RATE) -> DataFrame:
     """P1, P2 -> FL1 -> R1: flow feature rows with their attack type."""
     ff = flow_features(packets)
     return ff.withColumn("attack_type", attack_type(F.col(fcol("Destination Port")),

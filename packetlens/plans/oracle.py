@@ -392,6 +392,8 @@ SELECT CAST("Flow ID" AS DOUBLE) AS "Flow ID", CAST(line AS DOUBLE) AS line, """
 SQL["flow_features_bucketed"] = SQL["flow_features"]
 
 SQL["moving_mean_50_blocked"] = SQL["moving_mean_50"]
+SQL["moving_mean_50_global"] = "SELECT event_id, " + r6(
+    "avg(value) OVER (ORDER BY ts, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)", "moving_mean") + " FROM events"
 
 # Closed conversations only: the idle timer (last packet + idle) must be
 # below the final watermark (newest packet - idle), both in milliseconds.

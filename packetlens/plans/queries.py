@@ -16,7 +16,7 @@ from packetlens.functions.columns import attack_type, rule_flags
 from packetlens.operators import reports as R
 from packetlens.operators.flows import flow_features, flow_features_bucketed, flow_summary
 from packetlens.operators.scoring import ensemble_batch, ensemble_live, live_gate
-from packetlens.plans.detection import flow_attack_breakdown, score_rows, typed_flows
+from packetlens.plans.detection import EVENT_DDOS_RATE, EVENT_SCAN_RATE, flow_attack_breakdown, score_rows, typed_flows
 from packetlens.operators import clean as C
 from packetlens.operators import models as M
 from packetlens.operators import stats as S
@@ -78,7 +78,7 @@ def q_flow_summary(spark, sf):
 
 
 def q_attack_breakdown(spark, sf):
-    return for_check(flow_attack_breakdown(_packets(spark, sf)))
+    return for_check(flow_attack_breakdown(_packets(spark, sf), ddos_rate=EVENT_DDOS_RATE, scan_rate=EVENT_SCAN_RATE))
 
 
 def q_attack_type(spark, sf):
@@ -145,7 +145,7 @@ def q_port_class_join(spark, sf):
 
 
 def q_feed_union(spark, sf):
-    live = typed_flows(_packets(spark, sf)).select(
+    live = typed_flows(_packets(spark, sf), EVENT_DDOS_RATE, EVENT_SCAN_RATE).select(
         "ts", F.col(fcol("Destination Port")).cast("int").alias("port"),
         F.col(fcol("Fwd Packets/s")).alias("rate"), "attack_type")
     sim = _scored(spark, sf).select("ts", "port", "rate", attack_type("port", "rate").alias("attack_type"))
@@ -219,6 +219,11 @@ def q_moving_mean_50_blocked(spark, sf):
     return for_check(out.select("event_id", "user_id", "moving_mean"))
 
 
+def q_moving_mean_50_global(spark, sf):
+    out = R.moving_mean(_events(spark, sf), "value", ["ts", "event_id"], n=50, hot_rows=4096)
+    return for_check(out.select("event_id", "moving_mean"))
+
+
 def q_keep_last_200(spark, sf):
     return for_check(R.keep_last(_events(spark, sf), ["ts", "event_id"], by=["user_id"], n=200))
 
@@ -362,6 +367,7 @@ QUERIES = {
     "eval_metrics": q_eval_metrics,
     "moving_mean_50": q_moving_mean_50,
     "moving_mean_50_blocked": q_moving_mean_50_blocked,
+    "moving_mean_50_global": q_moving_mean_50_global,
     "keep_last_200": q_keep_last_200,
     "pca_error": q_pca_error,
     "tree_prob": q_tree_prob,

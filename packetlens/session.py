@@ -47,8 +47,8 @@ def ship_package(spark: SparkSession) -> None:
 
     Python-backed operators (the stateful streaming flow tracker) pickle
     references to this package; workers started elsewhere cannot import it
-    from the driver's ``sys.path``. The package is zipped once per session
-    into the checkpoint folder and distributed with ``addPyFile``.
+    from the driver's ``sys.path``. The package is zipped once per session in
+    the driver's own scratch folder; ``addPyFile`` sends it to the executors.
     """
     import zipfile
 
@@ -56,10 +56,7 @@ def ship_package(spark: SparkSession) -> None:
     if getattr(sc, "_packetlens_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    dest = os.path.join(checkpoint_dir(spark), f"packetlens-{uuid.uuid4().hex[:8]}.zip")
-    if dest.startswith("file:"):
-        dest = dest[len("file:"):]
-    os.makedirs(os.path.dirname(dest), exist_ok=True)
+    dest = os.path.join(tempfile.mkdtemp(prefix="packetlens-zip-"), f"packetlens-{uuid.uuid4().hex[:8]}.zip")
     with zipfile.ZipFile(dest, "w", zipfile.ZIP_DEFLATED) as z:
         for d, _, files in os.walk(root):
             for f in files:
@@ -73,12 +70,15 @@ def ship_package(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints, stream state and intermediate tables.
 
-    On a cluster this is whatever ``spark.checkpoint.dir`` names (a shared
-    file system). Only when the setting is absent -- local runs and tests --
-    a private folder under the system temp dir is created and registered.
+    On a cluster this is whatever ``spark.checkpoint.dir`` names, or what was
+    given to ``setCheckpointDir`` (a shared file system). Only in local mode,
+    when neither is set, a private folder under the system temp dir is created
+    and registered; elsewhere that is an error, as executors couldn't see it.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="packetlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
