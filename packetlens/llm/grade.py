@@ -62,7 +62,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_ordinal(rows: list[np.ndarray], grade: np.ndarray, top: int, steps: int = 200, l1: float = 2e-4,
+def fit_ordinal(rows: list[np.ndarray], grade: np.ndarray, top: int, steps: int = 200, l1: float = 6e-4,
                 least_docs: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) of the cumulative-link model for grades 0..top."""
     weights, cuts = np.zeros(FEATURES), np.linspace(-1.0, 1.0, top) if top > 1 else np.zeros(top)
@@ -127,6 +127,8 @@ def fit(docs: DataFrame, rated: DataFrame, top: int = 2, max_rated: int = MAX_RA
 
     ordered = numbers.repartition(1).sortWithinPartitions("o").select("x", "grade")
     model = ordered.mapInArrow(run, "weights binary, cuts binary").first()
+    if model is None:  # no rated document at all
+        return fit_ordinal([], np.array([], int), top)
     return np.frombuffer(model["weights"]), np.frombuffer(model["cuts"])
 
 
