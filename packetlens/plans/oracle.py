@@ -391,6 +391,14 @@ SELECT CAST("Flow ID" AS DOUBLE) AS "Flow ID", CAST(line AS DOUBLE) AS line, """
 
 SQL["flow_features_bucketed"] = SQL["flow_features"]
 
+SQL["attack_only_breakdown"] = ("WITH " + LIVE + """,
+t AS (SELECT """ + attack_type_sql("port", "rate") + """ AS attack_type FROM gated WHERE label = 'ATTACK'),
+types(attack_type, type_order) AS (VALUES ('DDoS', 1), ('PortScan', 2), ('BruteForce', 3), ('SQLInject', 4), ('Other', 5)),
+cnt AS (SELECT types.attack_type, types.type_order, CAST(count(t.attack_type) AS BIGINT) AS n
+        FROM types LEFT JOIN t ON t.attack_type = types.attack_type
+        GROUP BY types.attack_type, types.type_order)
+SELECT attack_type, CAST(type_order AS INTEGER) AS type_order, n,
+       """ + r6("n * 100.0::DOUBLE / greatest(sum(n) OVER (), 1)", "pct") + " FROM cnt")
 SQL["moving_mean_50_blocked"] = SQL["moving_mean_50"]
 SQL["moving_mean_50_global"] = "SELECT event_id, " + r6(
     "avg(value) OVER (ORDER BY ts, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)", "moving_mean") + " FROM events"

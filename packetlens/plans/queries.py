@@ -119,6 +119,11 @@ def q_session_counters(spark, sf):
 TIMELINE_BUCKET_S = 7 * 86400
 
 
+def q_attack_only_breakdown(spark, sf):
+    """A4 as the live job counts it: ATTACK rows after the gate."""
+    return for_check(R.attack_breakdown(score_rows(_scored(spark, sf), gate=True), "attack_type", label="label"))
+
+
 def q_timeline(spark, sf):
     return for_check(R.timeline(score_rows(_scored(spark, sf)), "ts", "label",
                                 bucket_seconds=TIMELINE_BUCKET_S, last_n=40))
@@ -353,6 +358,7 @@ QUERIES = {
     "ensemble_batch": q_ensemble_batch,
     "score_bands": q_score_bands,
     "session_counters": q_session_counters,
+    "attack_only_breakdown": q_attack_only_breakdown,
     "timeline": q_timeline,
     "recent_logs": q_recent_logs,
     "recent_alerts": q_recent_alerts,
