@@ -20,7 +20,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetlens.functions.columns import THRESHOLD, dl_score
@@ -165,6 +165,39 @@ def rank_features(df: DataFrame, features, label: str, names: list[str] | None =
     return t.orderBy(F.col("importance").desc(), F.col("feature")).limit(top)
 
 
+def permutation_importance(df: DataFrame, model: TreeModel, label: str, order: str,
+                           buckets: int = 4096, seed: int = 7) -> DataFrame:
+    """M15 (b): per feature, the rise of the model's log loss when that feature's
+    values are exchanged between rows; one job for all features.
+
+    Rows are dealt to random buckets by a hash of the row id ``order``; in its
+    bucket each row takes the values of the next row (the last row those of the
+    first). Each row then gives one scored copy per feature, reduced by a
+    partial aggregate. ``buckets`` sets how many rows a window holds.
+    """
+    features = list(model.features)
+    names = [f"_v{i}" for i in range(len(features))]
+    rows = df.select(F.col(fcol(order)).alias("_id"), F.col(fcol(label)).cast("double").alias("_t"),
+                     F.array(*[F.col(fcol(c)).cast("double") for c in features]).alias("_x"))
+    at = Window.partitionBy("_b").orderBy(F.xxhash64("_id", F.lit(seed + 1)), "_id")
+    whole = at.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = (rows.withColumn("_b", F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(buckets)))
+            .withColumn("_other", F.coalesce(F.lead("_x").over(at), F.first("_x").over(whole))))
+    # copy -1 is the row as it is, copy j has feature j from the other row
+    copies = rows.withColumn("_j", F.explode(F.sequence(F.lit(-1), F.lit(len(features) - 1))))
+    copies = copies.select("_t", "_j", *[
+        F.when(F.col("_j") == i, F.col("_other")[i]).otherwise(F.col("_x")[i]).alias(n) for i, n in enumerate(names)])
+    scored = TreeModel(model.pipeline, names).probability(copies, "_p")
+    p = F.least(F.greatest(F.col("_p"), F.lit(1e-12)), F.lit(1 - 1e-12))
+    loss = scored.groupBy("_j").agg(
+        F.avg(-F.col("_t") * F.log(p) - (1 - F.col("_t")) * F.log(1 - p)).alias("loss"))
+    # one row per feature and one for the base
+    base = F.max(F.when(F.col("_j") < 0, F.col("loss"))).over(Window.partitionBy())
+    return (loss.withColumn("importance", F.col("loss") - base).where(F.col("_j") >= 0)
+            .select(F.element_at(F.array(*[F.lit(c) for c in features]), F.col("_j") + 1).alias("feature"), "importance")
+            .orderBy(F.col("importance").desc(), "feature"))
+
+
 @dataclass
 class HybridModel:
     """Anomaly model + tree model + threshold (the hybrid detector)."""

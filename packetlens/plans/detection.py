@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetlens.functions.columns import DDOS_RATE, PORTSCAN_RATE, attack_type
+from packetlens.functions.columns import DDOS_RATE, PORTSCAN_RATE, attack_type, severity
 from packetlens.operators.flows import flow_features
-from packetlens.operators.reports import attack_breakdown
+from packetlens.operators.models import HybridModel, fit_hybrid, load_hybrid, save_hybrid
+from packetlens.operators.reports import attack_breakdown, session_counters
 from packetlens.operators.scoring import ensemble_live, live_gate
-from packetlens.schemas import fcol
+from packetlens.schemas import FEATURES, fcol
+from packetlens.session import scratch_path, write_once
 
 # Rate edges that the registered queries pass for the events-derived packets: their gaps are minutes, so the
 # packet rates sit far below the dataset-scale edges (40,000 / 4,000). The
@@ -38,3 +40,49 @@ def score_rows(scored: DataFrame, gate: bool = False) -> DataFrame:
     if gate:
         out = live_gate(out)
     return out.withColumn("attack_type", attack_type("port", "rate"))
+
+
+def fit_detector(flows: DataFrame, **model_options) -> HybridModel:
+    """Both models on the 30 flow columns. ``flows`` are typed flow rows; the
+    weak label of a row is its attack type (all but Other are attacks)."""
+    attack = F.col("attack_type") != "Other"
+    train = flows.select(*[F.col(fcol(c)) for c in FEATURES], attack.cast("int").alias("attack"),
+                         (~attack).alias("benign"))
+    return fit_hybrid(train, list(FEATURES), "attack", "benign", **model_options)
+
+
+def detect(flows: DataFrame, model: HybridModel, gate: bool = True) -> DataFrame:
+    """Typed flow rows -> P4 -> M2, M3, M4 -> M5 -> R3, R4 -> R5 -> alert severity
+    (null for NORMAL rows)."""
+    out = model.score_live(flows)
+    if gate:
+        out = live_gate(out)
+    return out.withColumn("severity", F.when(F.col("label") == "ATTACK", severity("final_score")))
+
+
+def detect_batch(packets: DataFrame, ddos_rate: float = DDOS_RATE, scan_rate: float = PORTSCAN_RATE,
+                 model_path: str | None = None, **model_options) -> DataFrame:
+    """Packets -> flow features -> saved and reloaded model -> verdicts.
+
+    The flow rows are written once, as fitting passes over them many times. A
+    model found under ``model_path`` (S6) is used as it is; without a path one
+    is fitted on these flows, saved to the shared folder and loaded from there.
+    """
+    spark = packets.sparkSession
+    flows = write_once(typed_flows(packets, ddos_rate, scan_rate), "detect-flows")
+    if model_path is None:
+        model_path = scratch_path(spark, "detector")
+        save_hybrid(fit_detector(flows, **model_options), model_path)
+    return detect(flows, load_hybrid(spark, model_path))
+
+
+def detection_report(verdicts: DataFrame) -> DataFrame:
+    """Counters (A1, A3) and the breakdown of ATTACK rows (A4) as
+    ``section, name, value`` rows; one row of counters and five types."""
+    counters = session_counters(verdicts).select(F.explode(F.map_from_arrays(
+        F.array(*[F.lit(c) for c in ("total_packets", "total_attacks", "total_normal", "attack_rate")]),
+        F.array(*[F.col(c).cast("double") for c in ("total_packets", "total_attacks", "total_normal", "attack_rate")])))
+        .alias("name", "value")).select(F.lit("counter").alias("section"), "name", "value")
+    types = attack_breakdown(verdicts, "attack_type", label="label").select(
+        F.lit("attack_type").alias("section"), F.col("attack_type").alias("name"), F.col("n").cast("double").alias("value"))
+    return counters.unionByName(types)

@@ -413,3 +413,31 @@ SELECT packet_id, CAST(ts AS TIMESTAMP) AS ts, src_ip, dst_ip, src_port, dst_por
 FROM ff JOIN lastp USING (ka, kb, proto), mx
 WHERE last_us // 1000 + 86400000 < mx // 1000 - 86400000
 QUALIFY row_number() OVER (PARTITION BY ka, kb, proto ORDER BY ts DESC, packet_id DESC) = 1""")
+
+SQL["packet_quarantine"] = "WITH " + PACKETS + """,
+b AS (
+  SELECT packet_id,
+         CASE WHEN packet_id % 11 = 0 THEN NULL WHEN packet_id % 13 = 0 THEN 1 ELSE proto END AS proto,
+         packet_id % 7 = 0 OR packet_id % 17 = 0 OR packet_id % 19 = 0 OR packet_id % 23 = 0 AS broken
+  FROM packets),
+t AS (SELECT packet_id, CASE WHEN proto IS NULL OR (proto IN (6, 17) AND broken) THEN 'quarantined'
+                             WHEN proto IN (6, 17) THEN 'valid' ELSE 'other_protocol' END AS part FROM b),
+names(part) AS (VALUES ('valid'), ('quarantined'), ('other_protocol'))
+SELECT part, CAST(count(packet_id) AS BIGINT) AS n, CAST(sum(packet_id) AS BIGINT) AS id_sum
+FROM names LEFT JOIN t USING (part) GROUP BY part"""
+
+SQL["csv_quarantine"] = """
+SELECT CASE WHEN l_linestatus = 'O' THEN 'BENIGN' ELSE 'DDoS' END AS "Label",
+       CASE WHEN (l_orderkey + l_linenumber) % 9 = 0 THEN 'quarantined' ELSE 'valid' END AS part,
+       CAST(count(*) AS BIGINT) AS n, CAST(sum(l_orderkey) AS DOUBLE) AS id_sum
+FROM lineitem GROUP BY ALL"""
+
+# Texts are rounded half up on the decimal value, as Spark's formatter does.
+SQL["log_records"] = "WITH " + LIVE + """
+SELECT strftime(ts, '%H:%M:%S') AS "Time", '?' AS "Src IP", CAST(port AS VARCHAR) AS "Dst Port", '?' AS "Proto",
+       CAST(0 AS INTEGER) AS "Pkt Len",
+       printf('%.1f', CAST(round(CAST(ml_prob AS DECIMAL(18, 9)) * 100, 1) AS DOUBLE)) || '%' AS "ML Prob",
+       printf('%.1f', CAST(round(CAST(dl_score AS DECIMAL(18, 9)) * 100, 1) AS DOUBLE)) || '%' AS "DL Score",
+       printf('%.3f', CAST(round(CAST(final_score AS DECIMAL(18, 9)), 3) AS DOUBLE)) AS "Score",
+       label AS "Verdict", CASE WHEN label = 'ATTACK' THEN '⚠ ATTACK' ELSE '✓ NORMAL' END AS "Display"
+FROM gated"""

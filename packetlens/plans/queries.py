@@ -14,13 +14,18 @@ from pyspark.sql import types as T
 
 from packetlens.functions.columns import attack_type, rule_flags
 from packetlens.operators import reports as R
-from packetlens.operators.flows import flow_features, flow_features_bucketed, flow_summary
+from packetlens.operators.flows import (
+    flow_features, flow_features_bucketed, flow_summary, quarantined_packets, valid_packets,
+)
 from packetlens.operators.scoring import ensemble_batch, ensemble_live, live_gate
-from packetlens.plans.detection import EVENT_DDOS_RATE, EVENT_SCAN_RATE, flow_attack_breakdown, score_rows, typed_flows
+from packetlens.plans.detection import (
+    EVENT_DDOS_RATE, EVENT_SCAN_RATE, detect_batch, detection_report, flow_attack_breakdown, score_rows, typed_flows,
+)
 from packetlens.operators import clean as C
 from packetlens.operators import models as M
 from packetlens.operators import stats as S
 from packetlens.schemas import FEATURES, fcol
+from packetlens.session import write_once
 from packetlens.sources.fixtures import (
     doc_predictions, flows_from_lineitem, packets_from_events, scored_from_lineitem, table,
     vectors_from_embeddings,
@@ -346,6 +351,70 @@ def q_csv_scan(spark, sf):
     return for_check(C.feature_projection(df, keep=_IDS))
 
 
+def q_packet_quarantine(spark, sf):
+    """P1 + P7: packets whose fields are broken by rules of their id, counted by
+    where they end: kept, quarantined, or another protocol."""
+    i = F.col("packet_id")
+    p = _packets(spark, sf).withColumns({
+        "pkt_len": F.when(i % 7 != 0, F.col("pkt_len")),
+        "proto": F.when(i % 11 == 0, F.lit(None)).when(i % 13 == 0, F.lit(1)).otherwise(F.col("proto")),
+        "src_port": F.when(i % 17 == 0, F.lit(70000)).otherwise(F.col("src_port")),
+        "dst_ip": F.when(i % 19 != 0, F.col("dst_ip")),
+        "ip_ihl": F.when(i % 23 == 0, F.lit(16)).otherwise(F.col("ip_ihl")),
+    })
+    parts = {"valid": valid_packets(p), "quarantined": quarantined_packets(p),
+             "other_protocol": p.where(~F.col("proto").isin(6, 17))}
+    out = None
+    for name, part in parts.items():
+        c = part.agg(F.count(F.lit(1)).alias("n"), F.sum("packet_id").alias("id_sum")).withColumn("part", F.lit(name))
+        out = c if out is None else out.unionByName(c)
+    return for_check(out)
+
+
+def q_csv_quarantine(spark, sf):
+    """S1 + P7: a flow CSV whose numbers are text on some rows; good and malformed
+    rows are counted per label with the total of a column of the good ones."""
+    from packetlens.session import scratch_path
+    from packetlens.sources.files import read_flow_csv, split_flow_csv, write_flow_csv
+    path = scratch_path(spark, "flow-csv")
+    rows = _raw_flows(spark, sf)
+    broken = F.when((F.col("Flow ID") + F.col("line")) % 9 == 0, F.lit("n/a")).otherwise(
+        F.col("Total Fwd Packets").cast("string"))
+    write_flow_csv(rows.withColumn("Total Fwd Packets", broken), path)
+    good, bad = split_flow_csv(read_flow_csv(spark, path))
+
+    def count(df, part):
+        return df.groupBy("Label").agg(F.count(F.lit(1)).alias("n"), F.sum("Flow ID").alias("id_sum")).withColumn("part", F.lit(part))
+    return for_check(count(good, "valid").unionByName(count(bad, "quarantined")))
+
+
+def q_log_records(spark, sf):
+    rows = score_rows(_scored(spark, sf), gate=True).withColumnRenamed("port", "dst_port")
+    return for_check(R.log_records(rows))
+
+
+def _detected(spark, sf):
+    return detect_batch(_packets(spark, sf), EVENT_DDOS_RATE, EVENT_SCAN_RATE, **_SMALL_TREES)
+
+
+def q_detect_flows(spark, sf):
+    """The composed job: packets -> features -> reloaded model -> gate -> type -> severity."""
+    return _detected(spark, sf).select(
+        "packet_id", "ts", "src_ip", "dst_ip", "dst_port", "proto", "dl_error", "dl_score", "ml_prob",
+        "final_score", "label", "confidence", "attack_type", "severity")
+
+
+def q_detect_report(spark, sf):
+    return detection_report(_detected(spark, sf))
+
+
+def q_permutation_importance(spark, sf):
+    flows = write_once(typed_flows(_packets(spark, sf), EVENT_DDOS_RATE, EVENT_SCAN_RATE)
+                       .withColumn("attack", (F.col("attack_type") != "Other").cast("int")), "importance-flows")
+    model = M.fit_trees(flows, list(FEATURES), "attack", **_SMALL_TREES)
+    return M.permutation_importance(flows, model, "attack", "packet_id")
+
+
 QUERIES = {
     "flow_features": q_flow_features,
     "flow_features_bucketed": q_flow_features_bucketed,
@@ -383,6 +452,12 @@ QUERIES = {
     "tree_only": q_tree_only,
     "model_quality": q_model_quality,
     "csv_scan": q_csv_scan,
+    "csv_quarantine": q_csv_quarantine,
+    "packet_quarantine": q_packet_quarantine,
+    "log_records": q_log_records,
+    "detect_flows": q_detect_flows,
+    "detect_report": q_detect_report,
+    "permutation_importance": q_permutation_importance,
     "stream_flow_features": q_stream_flow_features,
     "stream_flow_summary": q_stream_flow_summary,
     "stream_scores": q_stream_scores,
