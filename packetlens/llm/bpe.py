@@ -77,15 +77,24 @@ class TrieEncoder:
         self.ids = {to_bytes(s): i for s, i in spec["model"]["vocab"].items()}
         self.bytes_of = {i: b for b, i in self.ids.items()}
         self.size_of = {i: len(b) for i, b in self.bytes_of.items()}
-        self.rank = {}
-        for n, m in enumerate(spec["model"]["merges"]):
-            a, b = (to_bytes(x) for x in (m.split(" ") if isinstance(m, str) else m))
-            self.rank[self.ids[a], self.ids[b]] = (n, self.ids[a + b])
+        self.rank: dict[int, int] = {}  # of a pair of tokens, as one number
+        self.made: dict[int, tuple[int, int, int]] = {i: (-1, i, i) for b, i in self.ids.items() if len(b) == 1}
+        parts_of = [[self.ids[to_bytes(x)] for x in (m.split(" ") if isinstance(m, str) else m)] for m in spec["model"]["merges"]]
+        result = [self.ids[self.bytes_of[a] + self.bytes_of[b]] for a, b in parts_of]
+        first_made = {c: n for n, c in reversed(list(enumerate(result)))}
+        for n, (a, b) in enumerate(parts_of):
+            if max(first_made.get(a, -1), first_made.get(b, -1)) >= n:
+                raise ValueError("a merge must come after those that make its parts")
+            self.rank[a << 20 | b] = n
+        # A token's rank and parts, if its bytes alone merge into it; only such
+        # tokens can end an encoding.
+        for n, (a, b) in enumerate(parts_of):
+            if a in self.made and b in self.made and self.no_merge_across(a, b, n):
+                self.made.setdefault(result[n], (n, a, b))
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for text, i in self.added.items():
             self.bytes_of[i] = text.encode()
-        # tokens that their own bytes don't merge into can't end an encoding
-        self.ids = {b: i for b, i in self.ids.items() if self.merge(b, ()) == [i]}
+        self.ids = {b: i for b, i in self.ids.items() if i in self.made}
         # The state of a prefix is its longest end that starts a token; from it
         # come the tokens that are ends of the prefix, longest first. Both memos
         # are bounded by the vocabulary.
@@ -99,24 +108,35 @@ class TrieEncoder:
         self.next_state: dict[int, int] = {}
         self.ends_of: dict[int, tuple[tuple[int, int], ...]] = {}
         self.apart: dict[int, bool] = {}
-        self.added_ids = {i: i.to_bytes(4, "little") for i in self.added.values()}
+        self.four = {i: i.to_bytes(4, "little") for i in self.bytes_of}
+        self.added_ids = {i: self.four[i] for i in self.added.values()}
         self.known: dict[str | int, bytes] = dict(self.added_ids)
         self.split = _plain_split()
         self.settled = regex.compile(SETTLED)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.library = None
 
-    def merge(self, left: bytes, right: Iterable[int]) -> list[int]:
-        """Plain BPE over the bytes of ``left`` followed by those of the tokens ``right``."""
-        parts = [self.ids_of_byte(b) for b in left + b"".join(self.bytes_of[t] for t in right)]
-        while True:
-            best = min((self.rank[p] + (k,) for k, p in enumerate(zip(parts, parts[1:])) if p in self.rank), default=None)
-            if best is None:
-                return parts
-            parts[best[2]:best[2] + 2] = [best[1]]
+    def no_merge_across(self, u: int, t: int, before: int) -> bool:
+        """Whether no merge of a rank below ``before`` joins the bytes of ``u`` to
+        those of ``t`` that follow.
 
-    def ids_of_byte(self, b: int) -> int:
-        return self.ids[bytes((b,))]
+        Merges run by rank, equal ones from left to right, so the tokens at the
+        border follow from each one's parts: go back in time, undo the later of
+        the two, and see whether the pair before merged while it was there.
+        """
+        made, rank = self.made, self.rank
+        left_until = right_until = before
+        while True:
+            r = rank.get(u << 20 | t)
+            if r is not None and r < left_until and r <= right_until and r < before:
+                return False
+            (n, _, left), (m, right, _) = made[u], made[t]
+            if n < 0 and m < 0:
+                return True
+            if n > m:
+                u, left_until = left, n
+            else:
+                t, right_until = right, m
 
     def stay_apart(self, u: int, t: int) -> bool:
         """Whether merging the bytes of both tokens gives just them again."""
@@ -125,55 +145,50 @@ class TrieEncoder:
         if found is None:
             if len(self.apart) >= KNOWN_PAIRS:
                 self.apart.clear()
-            found = self.apart[key] = self.merge(self.bytes_of[u], (t,)) == [u, t]
+            found = self.apart[key] = self.no_merge_across(u, t, len(self.rank))
         return found
 
     def learn(self, new: Iterable[str]) -> dict[str, bytes]:
-        """Encode distinct words: insert them into a trie, walk it depth first."""
-        child: dict[int, int] = {}
-        byte, first, after, word = [0], [-1], [-1], [None]
-        for w in new:
-            node = 0
-            for b in w.encode():
-                at = node << 8 | b
-                to = child.get(at)
-                if to is None:
-                    to = child[at] = len(byte)
-                    byte.append(b)
-                    first.append(-1)
-                    after.append(first[node])
-                    word.append(None)
-                    first[node] = to
-                node = to
-            word[node] = w
+        """Encode distinct words, given in order.
+
+        Their trie is held as the ordered words: a node is a prefix, its words
+        are next to each other. Going from word to word walks the trie depth
+        first: back up to the shared prefix, whose states stay, and down along
+        the bytes of the word that no earlier word had.
+        """
         done: dict[str, bytes] = {}
         last, state = [-1], [0]  # of the first d bytes of the node's prefix: last token, state
-        todo = [(first[0], 1)] if first[0] >= 0 else []
-        size, apart, next_state, ends_of = self.size_of, self.apart, self.next_state, self.ends_of
-        while todo:
-            node, depth = todo.pop()
-            if after[node] >= 0:
-                todo.append((after[node], depth))
-            if first[node] >= 0:
-                todo.append((first[node], depth + 1))
-            del last[depth:], state[depth:]
-            now = next_state.get(state[-1] << 8 | byte[node])
-            if now is None:
-                now = self.enter(state[-1], byte[node])
-            for t, n in ends_of[now]:
-                if n == depth:
-                    break
-                same = apart.get(last[depth - n] << 20 | t)
-                if same or same is None and self.stay_apart(last[depth - n], t):
+        path = b""
+        size, apart, next_state, ends_of, four = self.size_of, self.apart, self.next_state, self.ends_of, self.four
+        for word in new:
+            byte = word.encode()
+            depth = 0
+            for x, y in zip(path, byte):
+                if x != y:
                     break
-            last.append(t)
-            state.append(now)
-            if word[node] is not None:
-                ids, d = [], depth
-                while d:
-                    ids.append(last[d])
-                    d -= size[last[d]]
-                done[word[node]] = b"".join([i.to_bytes(4, "little") for i in reversed(ids)])
+                depth += 1
+            path = byte
+            del last[depth + 1:], state[depth + 1:]
+            now = state[depth]
+            for c in byte[depth:]:
+                depth += 1
+                to = next_state.get(now << 8 | c)
+                now = self.enter(now, c) if to is None else to
+                for t, n in ends_of[now]:
+                    if n == depth:
+                        break
+                    same = apart.get(last[depth - n] << 20 | t)
+                    if same or same is None and self.stay_apart(last[depth - n], t):
+                        break
+                last.append(t)
+                state.append(now)
+            ids = []
+            while depth:
+                t = last[depth]
+                ids.append(four[t])
+                depth -= size[t]
+            ids.reverse()
+            done[word] = b"".join(ids)
         return done
 
     def enter(self, state: int, byte: int) -> int:

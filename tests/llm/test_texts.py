@@ -202,3 +202,21 @@ def test_graded_documents(spark):
     assert len(got) == 303 and all(got[i].kept == bool(i % 3) for i in range(200, 300))
     assert all(0 <= r.expected_grade <= 2 and 0 <= r.tail_probability <= 1 for r in got.values())
     assert grade.graded_documents(d.limit(0), labels.limit(0)).count() == 0
+
+
+def test_bpe_words_of_few_letters_match_the_library():
+    """Repeated letters make merges of equal rank and merges across word parts."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    from packetlens.llm import bpe
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("aest é\n'1-", k=rng.randint(0, 40))) for _ in range(3000)]
+    texts += [c * n for c in "ae -=é" for n in range(1, 70)]
+    with open(bpe.tokenizer_path(), "rb") as f:
+        encoder = bpe.TrieEncoder(f.read())
+    library = Tokenizer.from_file(bpe.tokenizer_path())
+    for text, ids in zip(texts, encoder.encode(texts)):
+        assert list(memoryview(ids).cast("I")) == library.encode(text, add_special_tokens=False).ids
+        assert encoder.decode(ids) == text
