@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from packetlens.functions.columns import header_len
 from packetlens.schemas import FEATURES, fcol
+from packetlens.session import write_once
 
 CONV = ["lo_ip", "lo_port", "hi_ip", "hi_port", "proto"]
 ORDER = ["ts", "packet_id"]
@@ -88,6 +89,8 @@ def _roles(df: DataFrame, w_run) -> DataFrame:
 
 HOT_ROWS = 2_000_000
 BUCKET_SECONDS = 60
+# A side is broadcast only if a count shows at most so many rows.
+BROADCAST_ROWS = 500_000
 
 
 def hot_conversations(packets: DataFrame, hot_rows: int = HOT_ROWS,
@@ -140,7 +143,7 @@ def flow_features(packets: DataFrame, mode: str = "compat", strategy: str = "aut
     hot_part = keyed.join(hot, CONV, "inner").select(*packets.columns, "bucket_us")
     return (_flow_features_window(cold_part, min_duration)
             .unionByName(flow_features_bucketed(hot_part, bucket_seconds, min_duration,
-                                                bucket_col="bucket_us")))
+                                                bucket_col="bucket_us", hot_rows=0)))
 
 
 def _flow_features_window(packets: DataFrame, min_duration: float = MIN_DURATION_S) -> DataFrame:
@@ -240,8 +243,25 @@ def _flow_features_window(packets: DataFrame, min_duration: float = MIN_DURATION
     return df.select(*KEEP, *[feats[name].alias(name) for name in FEATURES])
 
 
+def _with_facts(p: DataFrame, facts: DataFrame, hot_rows: int) -> DataFrame:
+    """Packets with the facts of their conversation (``facts`` holds its packet
+    count ``conv_n``). Conversations above ``hot_rows`` packets, at most
+    rows / hot_rows of them, get theirs by broadcast if a count allows it: their
+    packets stay where they are and are next shuffled by bucket. The others are
+    joined on the conversation."""
+    facts = write_once(facts, "flow-facts")
+    hot = facts.where(F.col("conv_n") > hot_rows)
+    n_hot = hot.limit(BROADCAST_ROWS + 1).count()
+    if n_hot == 0 or n_hot > BROADCAST_ROWS:
+        return p.join(facts, CONV)
+    rest = p.join(F.broadcast(hot.select(*CONV)), CONV, "left_anti")
+    return (p.join(F.broadcast(hot), CONV)
+            .unionByName(rest.join(facts.where(F.col("conv_n") <= hot_rows), CONV)))
+
+
 def flow_summary(packets: DataFrame, bucket_seconds: int | None = None,
-                 min_duration: float = MIN_DURATION_S, target_rows: int = HOT_ROWS // 4) -> DataFrame:
+                 min_duration: float = MIN_DURATION_S, target_rows: int = HOT_ROWS // 4,
+                 hot_rows: int = HOT_ROWS // 4) -> DataFrame:
     """FL2: the 30 features once per conversation, at its last emission.
 
     Same schema as ``flow_features`` and equal to its last row per
@@ -281,7 +301,7 @@ def flow_summary(packets: DataFrame, bucket_seconds: int | None = None,
     else:
         width = F.greatest(F.lit(1), F.ceil(F.col("conv_span") * target_rows / F.col("conv_n"))).cast("long")
     il_o = F.struct(F.col("il.ts_us"), F.col("il.packet_id"))
-    r = (p.join(facts, CONV).withColumn("is_init", F.col("from_lo") == F.col("init_from_lo"))
+    r = (_with_facts(p, facts, hot_rows).withColumn("is_init", F.col("from_lo") == F.col("init_from_lo"))
          .withColumn("bucket", F.floor(F.col("ts_us") / width).cast("long")))
     r = r.withColumns({
         "isF": F.col("is_init") & (F.col("reply_o").isNull() | (F.col("o") < F.col("reply_o"))),
@@ -366,15 +386,15 @@ def _exact_std(n: Column, s1: Column, s2: Column) -> Column:
 
 def flow_features_bucketed(packets: DataFrame, bucket_seconds: int = 300,
                            min_duration: float = MIN_DURATION_S,
-                           bucket_col: str | None = None) -> DataFrame:
+                           bucket_col: str | None = None, hot_rows: int = HOT_ROWS // 4) -> DataFrame:
     """FL1 as a prefix scan over (conversation, time bucket): skew-safe form.
 
     Same rows and values as ``flow_features``; no task holds more than one
     bucket of one conversation:
 
     1. roles from partial aggregates (initiator, first reply) -- a few rows
-       per conversation, joined back (AQE broadcasts it when small, else a
-       shuffle join with skew splitting);
+       per conversation, joined back (by broadcast for conversations above
+       ``hot_rows`` packets, whose number is bounded and counted);
     2. per bucket the last timestamp of each role, prefix-max over earlier
        buckets -> each row's previous same-role timestamp is exact;
     3. running values inside the bucket (window over (conversation, bucket))
@@ -393,12 +413,12 @@ def flow_features_bucketed(packets: DataFrame, bucket_seconds: int = 300,
         "bucket": F.floor(F.col("ts_us") / width).cast("long"),
         "lvl": F.floor((F.col("pkt_len") - 1) / 4).cast("int"),
     })
-    dirs = p.groupBy(*CONV, "from_lo").agg(F.min("o").alias("first_o"))
+    dirs = p.groupBy(*CONV, "from_lo").agg(F.min("o").alias("first_o"), F.count(F.lit(1)).alias("n"))
     facts = dirs.groupBy(*CONV).agg(
         F.min_by("from_lo", "first_o").alias("init_from_lo"),
-        F.min("first_o.ts_us").alias("start_us"),
+        F.min("first_o.ts_us").alias("start_us"), F.sum("n").alias("conv_n"),
         F.when(F.count(F.lit(1)) == 2, F.max("first_o")).alias("reply_o"))
-    r = p.join(facts, CONV).withColumn("is_init", F.col("from_lo") == F.col("init_from_lo"))
+    r = _with_facts(p, facts, hot_rows).withColumn("is_init", F.col("from_lo") == F.col("init_from_lo"))
     r = r.withColumns({
         "isF": F.col("is_init") & (F.col("reply_o").isNull() | (F.col("o") < F.col("reply_o"))),
         "isB": ~F.col("is_init"),

@@ -205,3 +205,24 @@ def test_quarantine_and_header_defaults(spark):
     hl = {r["packet_id"]: r["h"] for r in df.select("packet_id", header_len().alias("h")).collect()}
     assert hl[3] == 40 and hl[4] == 28     # TCP without dataofs -> 20 + 20; UDP -> 20 + 8
     assert F is not None
+
+
+@pytest.mark.parametrize("hot_rows", [3])
+def test_hot_conversations_by_broadcast_give_the_same_rows(spark, hot_rows):
+    """Some, all or few conversations take the broadcast side of the facts join;
+    packets of 65,535 bytes overflow nothing on either path."""
+    from pyspark.sql import functions as F
+
+    from packetlens.operators.flows import flow_features_bucketed
+    from packetlens.sources.fixtures import packets_from_events, table
+    p = packets_from_events(table(spark, "/root/testdata/sf0.001", "events")).withColumn(
+        "pkt_len", F.when(F.col("packet_id") % 5 == 0, F.lit(65535)).otherwise(F.col("pkt_len")))
+    rows = lambda df: df.toPandas().sort_values("packet_id").reset_index(drop=True)
+    want = rows(flow_features(p, strategy="window"))
+    got = rows(flow_features_bucketed(p, bucket_seconds=86400, hot_rows=hot_rows))
+    last = rows(flow_summary(p, target_rows=2, hot_rows=hot_rows))
+    whole = want[want["packet_id"].isin(last["packet_id"])].reset_index(drop=True)
+    assert list(got["packet_id"]) == list(want["packet_id"]) and list(whole["packet_id"]) == list(last["packet_id"])
+    for c in FEATURES:
+        assert got[c].to_numpy() == pytest.approx(want[c].to_numpy(), rel=1e-9, abs=1e-6), c
+        assert last[c].to_numpy() == pytest.approx(whole[c].to_numpy(), rel=1e-9, abs=1e-6), c
