@@ -7,10 +7,12 @@ the later one, the template has rewritten history, and the row says how many
 characters it took back. The text's own span inside a turn is found by
 rendering the same prefix once more with a marker in place of the text.
 
-A conversation is streamed turn by turn in order, with at most ``lookback``
-turns in memory: prefixes are rendered whole up to that length, and over the
-last turns of a longer conversation. So memory and work per turn are bounded,
-however long a conversation is.
+By default every prefix is rendered whole, from the first turn on: right for
+any template, but the turns of a conversation are held in memory, one task has
+them all, and the work grows with the square of their number. With ``lookback``
+at most so many turns are held and rendered, which bounds memory and work per
+turn. That is exact only for a template declared ``local``, so any other raises
+``ValueError``.
 
 Defined results: null role or text is empty; a null conversation id is a
 conversation of its own; rows are taken in the order of turn (nulls first),
@@ -58,19 +60,37 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
+def local(reach: int) -> Callable[[Template], Template]:
+    """Declares that a turn changes the output by what depends on it and the
+    ``reach`` turns before it only: what it adds and what it takes back."""
+    def declared(template: Template) -> Template:
+        template.reach = reach
+        return template
+    return declared
+
+
+def check_lookback(template: Template, lookback: int | None) -> None:
+    reach = getattr(template, "reach", None)
+    if lookback is not None and (reach is None or lookback < 2 * reach + 2):
+        raise ValueError("lookback needs a template declared local, and 2 * reach + 2 turns at least")
+
+
+@local(reach=0)
 def turn_template(turns: list[Turn]) -> str:
     """Every turn between control strings; those inside roles and texts are escaped."""
     return "".join(f"{START}{escape_role(role)}\n{escape(text)}{END}\n" for role, text in turns)
 
 
-def render_spans(turns: Iterator[Turn], template: Template, lookback: int) -> Iterator[tuple[str, int, int, int]]:
+def render_spans(turns: Iterator[Turn], template: Template, lookback: int | None = None) -> Iterator[tuple[str, int, int, int]]:
     """Per turn: what the output gained, characters taken back before that, and
-    the text's span inside the gain (-1, -1 if the template doesn't show it)."""
+    the text's span inside the gain (-1, -1 if the template doesn't show it).
+    A conversation of more than ``lookback`` turns needs a local template."""
     seen: list[Turn] = []
     before = template([])
     lead = before
     for turn in turns:
-        if len(seen) >= lookback:
+        if lookback is not None and len(seen) >= lookback:
+            check_lookback(template, lookback)
             seen = seen[len(seen) // 2 + 1:]
             before = template(seen)
         now = template([*seen, turn])
@@ -122,11 +142,13 @@ def _written(rows: Iterator[tuple], names: list[str], schema: pa.Schema, size: i
 
 def format_conversations(rows: DataFrame, template: Template = turn_template, conv: str = "conv_id",
                          turn: str = "turn", role: str = "role", text: str = "text",
-                         learn_from: tuple[str, ...] = ("assistant",), lookback: int = 64) -> DataFrame:
+                         learn_from: tuple[str, ...] = ("assistant",), lookback: int | None = None) -> DataFrame:
     """One row per turn: ``conv_id, n, gain, back, loss_from, loss_to``. A
     conversation's formatted text is built by appending the gains in order, each
     after taking ``back`` characters off the end; ``loss_from`` and ``loss_to``
-    mark the text to learn from inside the gain (-1 where there is none)."""
+    mark the text to learn from inside the gain (-1 where there is none).
+    ``lookback`` (off by default) is for local templates, see the module's text."""
+    check_lookback(template, lookback)
     src = rows.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"),
                       F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ordered = src.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")

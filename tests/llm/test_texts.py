@@ -148,6 +148,36 @@ def test_templates_that_rewrite_history():
     assert [x for x, _ in seen] == [False, False, True, False] and seen[3][1] == "so#no"
 
 
+def test_long_conversations_are_rendered_whole(spark):
+    def moving(turns):  # system prompt before the last user turn, reasoning of earlier turns stripped, turns counted
+        at = max((i for i, (r, _) in enumerate(turns) if r == "user"), default=0)
+        body = [f"{i}/{r}:{t if i >= at else t.split('#')[-1]};" for i, (r, t) in enumerate(turns) if i]
+        return "".join(body[:at - 1] + [f"[{turns[0][1]}]"] + body[at - 1:]) if at else "".join(body)
+
+    turns = [("system", "be brief"), ("user", "go")] + [("tool" if i % 90 else "user", f"why{i}#so{i}") for i in range(2, 200)]
+    d = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    text = ""
+    for k, r in enumerate(chat.format_conversations(d, moving).orderBy("n").collect()):
+        text = (text[:-r.back] if r.back else text) + r.gain
+        assert text == moving(turns[:k + 1])
+    with pytest.raises(ValueError):
+        chat.format_conversations(d, moving, lookback=64)
+    with pytest.raises(ValueError):
+        list(chat.render_spans(iter(turns), moving, 64))
+
+
+def test_lookback_of_local_templates_is_exact():
+    @chat.local(reach=2)
+    def newest_marked(turns):  # a mark that the next turn takes away, and the role two turns before
+        return "".join(f"{turns[i - 2][0] if i > 1 else ''}|{t}" + ("*" if i == len(turns) - 1 else "") for i, (_, t) in enumerate(turns))
+
+    turns = [(f"r{i}", f"t{i}") for i in range(50)]
+    whole = list(chat.render_spans(iter(turns), newest_marked))
+    assert list(chat.render_spans(iter(turns), newest_marked, 6)) == whole
+    with pytest.raises(ValueError):
+        list(chat.render_spans(iter(turns), newest_marked, 5))
+
+
 def test_warc_round_trip(spark):
     big = "<p>é\r\n\r\nWARC/1.1\r\n" * 3000
     rows = [(1, "http://a b/é\r\nX: y", big), (2, None, big), (3, "u", ""), (4, "u", None), (5, "u", "x" * 999), (6, "u", "x" * 999),
