@@ -14,6 +14,13 @@ at most so many turns are held and rendered, which bounds memory and work per
 turn. That is exact only for a template declared ``local``, so any other raises
 ``ValueError``.
 
+Conversations of a local template are also cut into blocks of ``block_turns``
+turns, each rendered by itself after the ``reach`` turns before it, so a very
+long conversation is spread over many tasks. Positions come from counts of
+(conversation, range of turn) and their prefix sums; only turns with the same
+number must be numbered by one task. ``read_conversations`` still reads a
+conversation in one task: its digests run over the whole of it.
+
 Defined results: null role or text is empty; a null conversation id is a
 conversation of its own; rows are taken in the order of turn (nulls first),
 role and text, so ties and repeated rows are turns like any other; an empty
@@ -26,13 +33,14 @@ import hashlib
 import os.path
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packetlens.llm.common import materialise
+from packetlens.llm.common import materialise, small
 
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
@@ -81,13 +89,15 @@ def turn_template(turns: list[Turn]) -> str:
     return "".join(f"{START}{escape_role(role)}\n{escape(text)}{END}\n" for role, text in turns)
 
 
-def render_spans(turns: Iterator[Turn], template: Template, lookback: int | None = None) -> Iterator[tuple[str, int, int, int]]:
+def render_spans(turns: Iterator[Turn], template: Template, lookback: int | None = None,
+                 earlier: list[Turn] | None = None) -> Iterator[tuple[str, int, int, int]]:
     """Per turn: what the output gained, characters taken back before that, and
     the text's span inside the gain (-1, -1 if the template doesn't show it).
-    A conversation of more than ``lookback`` turns needs a local template."""
-    seen: list[Turn] = []
-    before = template([])
-    lead = before
+    A conversation of more than ``lookback`` turns needs a local template.
+    ``earlier``: the turns just before, if these aren't the conversation's first."""
+    seen: list[Turn] = list(earlier or [])
+    before = template(seen)
+    lead = before if earlier is None else ""
     for turn in turns:
         if lookback is not None and len(seen) >= lookback:
             check_lookback(template, lookback)
@@ -111,19 +121,19 @@ def render_spans(turns: Iterator[Turn], template: Template, lookback: int | None
         before = now
 
 
-def _runs(batches, column: int) -> Iterator[tuple[object, Iterator[list]]]:
-    """Rows in order, as one iterator per run of equal values in ``column``."""
+def _runs(batches, columns: int) -> Iterator[tuple[tuple, Iterator[tuple]]]:
+    """Rows in order, as one iterator per run of equal values in the first ``columns``."""
     rows = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns]))
     row = next(rows, None)
 
     def run(key):
         nonlocal row
-        while row is not None and row[column] == key:
+        while row is not None and row[:columns] == key:
             yield row
             row = next(rows, None)
 
     while row is not None:
-        key = row[column]
+        key = row[:columns]
         yield key, (own := run(key))
         for _ in own:
             pass
@@ -140,9 +150,38 @@ def _written(rows: Iterator[tuple], names: list[str], schema: pa.Schema, size: i
         yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*held)))), schema)
 
 
+def _in_blocks(src: DataFrame, reach: int, block_turns: int) -> DataFrame:
+    """``src`` with ``blk`` and ``i``: conversations above ``block_turns`` turns
+    in blocks of so many, numbered in order, each with the ``reach`` turns
+    before it; others whole, with a null ``i``."""
+    turn = F.col("turn").cast("double")
+    spans = src.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.min(turn).alias("lo"), F.max(turn).alias("hi"))
+    width = F.greatest(F.lit(1.0), (F.col("hi") - F.col("lo") + 1) * block_turns / F.col("n"))
+    long = materialise(spans.where(F.col("n") > block_turns).select(F.col("conv_id").alias("c"), "lo", width.alias("width")), "chat-long")
+    whole = src.withColumns({"blk": F.lit(0).cast("long"), "i": F.lit(None).cast("long")})
+    if long.isEmpty():
+        return whole
+    long = small(long)
+    same = F.col("conv_id").eqNullSafe(F.col("c"))
+    bucket = F.coalesce(F.floor((turn - F.col("lo")) / F.col("width")), F.lit(-1)).cast("long")
+    rows = src.join(long, same).select(*src.columns, bucket.alias("b"))
+    counts = rows.groupBy("conv_id", "b").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("conv_id").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = materialise(counts.select(F.col("conv_id").alias("c"), F.col("b").alias("at"),
+                                       F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")), "chat-starts")
+    own = Window.partitionBy("conv_id", "b").orderBy("turn", "role", "text")
+    placed = (rows.join(small(starts), same & (F.col("b") == F.col("at")))
+              .withColumn("i", F.col("start") + F.row_number().over(own) - 1))
+    blk = F.floor(F.col("i") / block_turns).cast("long")
+    copied = F.when(F.col("i") % block_turns >= block_turns - reach, F.array(blk, blk + 1)).otherwise(F.array(blk))
+    placed = placed.withColumn("blk", F.explode(copied)).select(whole.columns)
+    return whole.join(long, same, "left_anti").unionByName(placed)
+
+
 def format_conversations(rows: DataFrame, template: Template = turn_template, conv: str = "conv_id",
                          turn: str = "turn", role: str = "role", text: str = "text",
-                         learn_from: tuple[str, ...] = ("assistant",), lookback: int | None = None) -> DataFrame:
+                         learn_from: tuple[str, ...] = ("assistant",), lookback: int | None = None,
+                         block_turns: int = 512) -> DataFrame:
     """One row per turn: ``conv_id, n, gain, back, loss_from, loss_to``. A
     conversation's formatted text is built by appending the gains in order, each
     after taking ``back`` characters off the end; ``loss_from`` and ``loss_to``
@@ -151,22 +190,36 @@ def format_conversations(rows: DataFrame, template: Template = turn_template, co
     check_lookback(template, lookback)
     src = rows.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"),
                       F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ordered = src.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    reach = getattr(template, "reach", None)
+    if reach is None:
+        parts = src.withColumns({"blk": F.lit(0).cast("long"), "i": F.lit(None).cast("long")})
+    else:
+        block_turns = max(block_turns, reach + 1)
+        parts = _in_blocks(src, reach, block_turns)
+    ordered = (parts.repartition("conv_id", "blk").sortWithinPartitions("conv_id", "blk", "i", "turn", "role", "text")
+               .select("conv_id", "blk", "i", "role", "text"))
     names = ["conv_id", "n", "gain", "back", "loss_from", "loss_to"]
     arrow = pa.schema([("conv_id", pa.int64()), ("n", pa.int64()), ("gain", pa.string()), ("back", pa.int64()),
                        ("loss_from", pa.int64()), ("loss_to", pa.int64())])
 
     def run(batches):
         def out():
-            for key, own in _runs(batches, 0):
+            for (key, blk), own in _runs(batches, 2):
                 roles: list[str] = []
+                first, earlier = blk * block_turns, [] if blk else None
+                if blk:
+                    for row in own:
+                        if row[2] >= first:
+                            own = chain([row], own)
+                            break
+                        earlier.append(row[3:])
 
                 def turns(own=own, roles=roles):
-                    for _, _, r, t in own:
+                    for *_, r, t in own:
                         roles[:] = [r]
                         yield r, t
 
-                for n, (gain, back, a, b) in enumerate(render_spans(turns(), template, lookback)):
+                for n, (gain, back, a, b) in enumerate(render_spans(turns(), template, lookback, earlier), first):
                     learn = roles[0] in learn_from
                     yield key, n, gain, back, a if learn else -1, b if learn else -1
         yield from _written(out(), names, arrow)
@@ -183,7 +236,7 @@ def read_conversations(formatted: DataFrame) -> DataFrame:
 
     def run(batches):
         def out():
-            for key, own in _runs(batches, 0):
+            for (key,), own in _runs(batches, 1):
                 turns, loss, n, loss_chars, chars, text = hashlib.sha256(), hashlib.sha256(), 0, 0, 0, ""
                 for _, _, gain, back, a, b in own:
                     if back:

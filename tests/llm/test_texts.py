@@ -166,11 +166,29 @@ def test_long_conversations_are_rendered_whole(spark):
         list(chat.render_spans(iter(turns), moving, 64))
 
 
-def test_lookback_of_local_templates_is_exact():
-    @chat.local(reach=2)
-    def newest_marked(turns):  # a mark that the next turn takes away, and the role two turns before
-        return "".join(f"{turns[i - 2][0] if i > 1 else ''}|{t}" + ("*" if i == len(turns) - 1 else "") for i, (_, t) in enumerate(turns))
+@chat.local(reach=2)
+def newest_marked(turns):  # a mark that the next turn takes away, and the role two turns before
+    return "[BOS]" + "".join(f"{turns[i - 2][0] if i > 1 else ''}|{t}" + ("*" if i == len(turns) - 1 else "") for i, (_, t) in enumerate(turns))
+
+
+def test_long_conversations_in_blocks(spark):
+    rows = [(c, t, f"r{k % 7}", f"t{k}") for c in (1, None) for k, t in enumerate([None, None, *range(0, 90, 3), *[90] * 5, *range(91, 130), 2**62])]
+    rows += [(2, k, "r", f"t{k}") for k in range(5)]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for template in (newest_marked, chat.turn_template):
+        got = collections.defaultdict(list)
+        for r in chat.format_conversations(d, template, learn_from=("r", "r3"), block_turns=8).orderBy("conv_id", "n").collect():
+            got[r.conv_id].append((r.n, r.gain, r.back))
+        for conv in (1, None, 2):
+            own = sorted(((r[1] is not None, r[1] or 0, r[2], r[3]) for r in rows if r[0] == conv))
+            want = chat.render_spans(((r[2], r[3]) for r in own), template)
+            assert got[conv] == [(n, gain, back) for n, (gain, back, *_) in enumerate(want)]
+    # no task renders all turns of the long conversation
+    parts = chat._in_blocks(d.select("conv_id", "turn", "role", "text"), 2, 8).groupBy("conv_id", "blk").count().collect()
+    assert max(r["count"] for r in parts) <= 8 + 2
+
 
+def test_lookback_of_local_templates_is_exact():
     turns = [(f"r{i}", f"t{i}") for i in range(50)]
     whole = list(chat.render_spans(iter(turns), newest_marked))
     assert list(chat.render_spans(iter(turns), newest_marked, 6)) == whole
