@@ -73,3 +73,13 @@ def test_pipeline_on_little(spark, rows):
         out = stage(spark, docs, SF)
         assert out.columns[:5] == docs.columns
         assert out.count() <= len(rows)
+
+
+def test_line_dedup_stage_drops_lines(spark):
+    folder = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    want = con.sql(SQL["op7_site_lines"]).df()
+    got = corpus_pipeline.line_dedup(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+    assert dict(zip(want.doc_id, want.text)) == {r.doc_id: r.text for r in got.select("doc_id", "text").collect()}
+    assert want.n_dropped.sum() == 142 and (want.n_dropped > 0).sum() == 111
