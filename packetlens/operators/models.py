@@ -166,16 +166,19 @@ def rank_features(df: DataFrame, features, label: str, names: list[str] | None =
 
 
 def permutation_importance(df: DataFrame, model: TreeModel, label: str, order: str,
-                           buckets: int = 4096, seed: int = 7) -> DataFrame:
+                           buckets: int | None = None, seed: int = 7) -> DataFrame:
     """M15 (b): per feature, the rise of the model's log loss when that feature's
     values are exchanged between rows; one job for all features.
 
     Rows are dealt to random buckets by a hash of the row id ``order``; in its
     bucket each row takes the values of the next row (the last row those of the
     first). Each row then gives one scored copy per feature, reduced by a
-    partial aggregate. ``buckets`` sets how many rows a window holds.
+    partial aggregate. ``buckets`` sets how many rows a window holds (default:
+    about 1,000, from a count), as a row alone in its bucket keeps its values.
     """
     features = list(model.features)
+    if buckets is None:
+        buckets = max(1, df.count() // 1000)
     names = [f"_v{i}" for i in range(len(features))]
     rows = df.select(F.col(fcol(order)).alias("_id"), F.col(fcol(label)).cast("double").alias("_t"),
                      F.array(*[F.col(fcol(c)).cast("double") for c in features]).alias("_x"))

@@ -68,6 +68,14 @@ def test_one_invalid_row_leaves_the_others_alone(packets):
     assert first not in batch and "ATTACK" in batch.values()
 
 
+def test_importance_permutes_small_tables_whole(spark):
+    df = spark.createDataFrame([(i, float(i % 2), float(i % 3), i % 2) for i in range(200)], "id long, a double, b double, y int")
+    model = M.fit_trees(df, ["a", "b"], "y", max_iter=5, max_depth=2)
+    got = {r["feature"]: r["importance"] for r in M.permutation_importance(df, model, "y", "id").collect()}
+    whole = {r["feature"]: r["importance"] for r in M.permutation_importance(df, model, "y", "id", buckets=1).collect()}
+    assert got == pytest.approx(whole) and got["a"] > 0.5
+
+
 def test_importance_ranks_the_deciding_column_first(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(600, 3))
