@@ -159,7 +159,11 @@ def moving_mean(df: DataFrame, value: str, order: list[str], by: list[str] | Non
     offs = counts.select(*keys, "_bk", F.coalesce(F.sum("_c").over(
         Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0)).alias("_off"))
-    d = d.join(offs, keys + ["_bk"])
+    # null-safe: rows without a time are a bucket of their own, the first one
+    named = {c: f"_off_{i}" for i, c in enumerate([*keys, "_bk"])}
+    offs = offs.withColumnsRenamed(named)
+    same = [F.col(c).eqNullSafe(F.col(o)) for c, o in named.items()]
+    d = d.join(offs, same).drop(*named.values())
     d = d.withColumn("_i", F.col("_off") - 1 + F.row_number().over(
         Window.partitionBy(*keys, "_bk").orderBy(*order)))
     d = d.withColumn("_blk", F.floor(F.col("_i") / n).cast("long"))

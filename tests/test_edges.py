@@ -72,3 +72,14 @@ def test_global_moving_mean_in_buckets(spark):
     v = [i % 13 for i in range(500)]
     want = {i: sum(v[max(0, i - 49):i + 1]) / len(v[max(0, i - 49):i + 1]) for i in range(500)}
     assert got == pytest.approx(want)
+
+
+def test_blocked_moving_mean_keeps_null_times(spark):
+    when = F.when(F.col("id") % 6 != 0, F.timestamp_seconds(F.col("id") * 7))
+    key = F.when(F.col("id") % 5 != 0, F.col("id") % 2)
+    df = spark.range(500).select("id", when.alias("ts"), key.alias("k"), (F.col("id") % 13).cast("double").alias("v"))
+    for by in (None, ["k"]):
+        want = {r.id: r.moving_mean for r in moving_mean(df, "v", ["ts", "id"], by=by, n=50, strategy="window").collect()}
+        strategy = "blocked" if by else "auto"
+        got = {r.id: r.moving_mean for r in moving_mean(df, "v", ["ts", "id"], by=by, n=50, hot_rows=60, strategy=strategy).collect()}
+        assert len(got) == 500 and got == pytest.approx(want)
