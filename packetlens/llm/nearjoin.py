@@ -10,10 +10,11 @@ words if it has fewer). Steps:
 2. Chosen paths: in each of ``RUNS`` runs a set follows ``BRANCH`` sampled
    positions; sets with the same token at the position share the bucket. A
    bucket above ``LEAF`` sets is split again on positions sampled for it, until
-   it is small or its sets are alike; then all of it is compared. A pair at
-   similarity 0.8 outlives any depth of one run with probability above 0.93
-   (root of q = (1 - 0.8 + 0.8 q) ** 2), so ``RUNS`` runs reach a recall of
-   0.9999.
+   it is small or its sets are alike; then all of it is compared. Two sets that
+   agree on a share s of their tokens part at some depth of one run with
+   probability q (root of q = (1 - s + s q) ** 2). ``missed`` averages q ** RUNS
+   over s and adds the pairs that step 3 doesn't let through; ``RUNS`` runs reach
+   a recall of 0.9999 at similarity 0.8 with both counted.
    Buckets split inside one task; those above ``bucket_rows`` sets are split by
    Spark first, and if their sets are too alike to split, dealt out as pairs of
    blocks.
@@ -51,17 +52,29 @@ T = 128
 BRANCH = 2
 LEAF = 200
 DEPTH = 6
-LOOSE = 0.66
+LOOSE = 0.62
 BUCKET_ROWS = 4096
 BLOCK_ROWS = 1024
 
 
+def missed(runs: int, similarity: float = 0.8, loose: float = LOOSE) -> float:
+    """Probability that a pair at ``similarity`` meets in no run or isn't let through."""
+    def parted(s: float) -> float:
+        q = 0.0
+        for _ in range(200):
+            q = (1 - s + s * q) ** BRANCH
+        return q ** runs
+
+    return sum(math.comb(T, x) * similarity ** x * (1 - similarity) ** (T - x) * (parted(x / T) if x >= loose * T else 1.0)
+               for x in range(T + 1))
+
+
 def runs_for(recall: float, similarity: float = 0.8) -> int:
     """Runs until a pair at ``similarity`` is found with probability ``recall``."""
-    q = 0.0
-    for _ in range(200):
-        q = (1 - similarity + similarity * q) ** BRANCH
-    return max(1, math.ceil(math.log(1 - recall) / math.log(q)))
+    for runs in range(1, 65):
+        if missed(runs, similarity) <= 1 - recall:
+            return runs
+    raise ValueError(f"LOOSE drops too many pairs at {similarity} for a recall of {recall}")
 
 
 def _mix(x):

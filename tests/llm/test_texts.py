@@ -68,6 +68,12 @@ def test_near_join_odd_rows(spark):
     assert nearjoin.near_classes(d.limit(0)).count() == 0 and nearjoin.one_per_class(d.limit(0)).count() == 0
 
 
+def test_recall_counts_both_filters():
+    assert nearjoin.missed(4, loose=0.66) > 1e-4 > nearjoin.missed(4)
+    with pytest.raises(ValueError):
+        nearjoin.runs_for(0.9999, 0.6)
+
+
 def test_runs_and_components(spark):
     assert nearjoin.runs_for(0.9999) == 4
     edges = [(i, i + 1) for i in range(40)] + [(100, 300), (200, 300), (5, 5)]
