@@ -61,8 +61,8 @@ def op8_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    on_list = F.arrays_overlap(F.split("host", r"\."), F.array(*[F.lit(x) for x in LISTED_LABELS]))
-    return urlfilter.judge_urls(table(spark, sf_dir, "pages"), on_list, URL_RULES)
+    on_list = spark.createDataFrame([(x,) for x in LISTED_LABELS], "key string")
+    return urlfilter.judge_urls(table(spark, sf_dir, "pages"), on_list, URL_RULES, keys_of=urlfilter.labels)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

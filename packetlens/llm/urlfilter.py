@@ -13,18 +13,19 @@ with the corpus; beyond ``max_bits`` a filter isn't sent to every task and the
 same question is answered by a left join on the key instead.
 
 Defined results: a null url, or one without ``://``, has an empty host and path
-and is judged like the key ''; repeated rows are judged alike; an empty table
+and is judged like the key ''; null keys of a list list nothing; repeated rows are judged alike; an empty table
 gives an empty result; other columns of the input are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetlens.llm.common import materialise
+from packetlens.llm.common import materialise, small
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -129,13 +130,38 @@ def listed(key: Column, levels: list[Level]) -> Column:
     return answer
 
 
-def judge_urls(pages: DataFrame, is_listed: Column, rules: list[Rule], key: str = "page_id",
-               url: str = "url", **options) -> DataFrame:
-    """``page_id, host, path, rule, verdict`` for every page. ``is_listed`` is a
-    predicate on the columns ``host`` and ``path`` and says which hosts are on
-    the list (asked once per distinct host)."""
+def domains(host: Column) -> Column:
+    """The host and its parent domains."""
+    parts = F.split(host, r"\.")
+    return F.transform(parts, lambda _, i: F.array_join(F.slice(parts, i + 1, F.size(parts)), "."))
+
+
+def labels(host: Column) -> Column:
+    """The labels of the host."""
+    return F.split(host, r"\.")
+
+
+def marked(hosts: DataFrame, keys: DataFrame, keys_of: Callable[[Column], Column]) -> DataFrame:
+    """``key, listed`` for every distinct ``key`` of ``hosts``: listed if one of
+    its ``keys_of`` is in the one column of ``keys`` (of any number of rows)."""
+    on_list = keys.select(F.translate(F.col(f"`{keys.columns[0]}`"), _UPPER, _LOWER).alias("k")).where("k is not null").distinct()
+    on_list = small(materialise(on_list.withColumn("hit", F.lit(True)), "url-list"))
+    asked = hosts.select("key", F.explode(F.array_distinct(keys_of(F.col("key")))).alias("k"))
+    return asked.join(on_list, "k", "left").groupBy("key").agg(F.max(F.coalesce("hit", F.lit(False))).alias("listed"))
+
+
+def judge_urls(pages: DataFrame, is_listed: Column | DataFrame, rules: list[Rule], key: str = "page_id",
+               url: str = "url", keys_of: Callable[[Column], Column] = domains, **options) -> DataFrame:
+    """``page_id, host, path, rule, verdict`` for every page. ``is_listed`` is the
+    list, a frame with one column of keys: a host is on it if one of its
+    ``keys_of`` is (by default the host and its parent domains). Or it is a
+    predicate on the columns ``host`` and ``path``, asked once per distinct host."""
     src = pages.select(F.col(key).alias("page_id"), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
-    universe = materialise(src.groupBy(F.col("host").alias("key")).agg(F.max(is_listed).alias("listed")), "url-keys")
+    if isinstance(is_listed, DataFrame):
+        universe = marked(src.select(F.col("host").alias("key")).distinct(), is_listed, keys_of)
+    else:
+        universe = src.groupBy(F.col("host").alias("key")).agg(F.max(is_listed).alias("listed"))
+    universe = materialise(universe, "url-keys")
     levels = build_cascade(universe, **options)
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     if levels is None:

@@ -130,6 +130,20 @@ def test_urls(spark):
     assert urlfilter.judge_urls(pages.limit(0), F.lit(False), rules).count() == 0
 
 
+def test_urls_against_a_long_list(spark):
+    hosts = [f"h{i}.net" for i in range(300)] + ["a.b.h3.net", "xh3.net", "h3.net.org", "", "B.H4.Net"]
+    pages = spark.createDataFrame([(i, f"http://{h}/p") for i, h in enumerate(hosts)], "page_id long, url string")
+    keys = spark.range(20_000).select(F.concat(F.lit("H"), F.col("id") * 3, F.lit(".net")).alias("a.key"))
+    keys = keys.unionByName(keys.limit(5)).union(spark.createDataFrame([(None,)], "k string"))
+    listed = {f"h{3 * i}.net" for i in range(20_000)}
+    want = {i: "block" if any(h.lower().split(".", k)[-1] in listed for k in range(4)) else "allow" for i, h in enumerate(hosts)}
+    for bits in (1 << 20, 1):
+        got = urlfilter.judge_urls(pages, keys, [], max_bits=bits).collect()
+        assert len(got) == len(hosts) and {r.page_id: r.verdict for r in got} == want
+    by_label = urlfilter.judge_urls(pages, spark.createDataFrame([("b",), ("h7",)], "k string"), [], keys_of=urlfilter.labels)
+    assert {r.page_id for r in by_label.where("verdict = 'block'").collect()} == {7, 300, 304}
+
+
 def test_mix(spark, odd):
     rows = [(i, "w " * (1 + i * 7 % 40), "en", ["a", "b", "c", None][0 if i % 2 else i // 2 % 4]) for i in range(600)]
     d = docs(spark, rows)
