@@ -9,9 +9,9 @@ changed since it was pushed is skipped. A character without a piece of its own n
 its UTF-8 bytes (byte fallback).
 
 Vocabulary, scores and the flags of a ``.model`` file are read with its library;
-merging is done here. Texts are cut where no piece of the file can reach across: at
-the start of a run of blanks, between a letter and a sign behind it, and at ASCII
-characters without a piece (line ends); what holds is read off the pieces. A worker
+merging is done here. Texts are cut where no piece of the file reaches across: at
+the start of a run of blanks, at ASCII characters without a piece (line ends), and
+between neighbours that no piece holds; what holds is read off the pieces. A worker
 keeps the counts of short segments (at most twice ``KNOWN``). The job is one map over the documents: no shuffle,
 nothing gathered, and a lost task repeats its own rows only.
 
@@ -26,6 +26,7 @@ none can clash.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
@@ -41,62 +42,60 @@ _BLANK = "▁"  # how the vocabulary writes a blank
 _ROWS = 256  # texts decoded at once
 
 
-class SegmentCounts(dict):
-    """Segment -> number of tokens; computes what it doesn't hold. The counts used
-    since the last ``KNOWN`` new segments are kept, the others forgotten."""
+class Known(dict):
+    """Text -> number of tokens; computes what it doesn't hold. Short texts used since
+    the last ``KNOWN`` new ones are kept, and as many older ones."""
 
-    def __init__(self, ranks: dict[str, int]):
+    def __init__(self, compute: Callable[[str], int]):
         super().__init__()
-        self.ranks, self.older = ranks, {}
+        self.compute, self.older = compute, {}
 
-    def __missing__(self, segment: str) -> int:
-        n = self.older.get(segment)
+    def __missing__(self, text: str) -> int:
+        n = self.older.get(text)
         if n is None:
-            n = self.count(segment)
-        if len(segment) <= LONGEST_KNOWN:
+            n = self.compute(text)
+        if len(text) <= LONGEST_KNOWN:
             if len(self) >= KNOWN:
                 self.older = dict(self)
                 self.clear()
-            self[segment] = n
+            self[text] = n
         return n
 
-    def count(self, segment: str) -> int:
-        symbols = segment.replace(" ", _BLANK)
-        return self.initial(symbols) - self.merges(symbols)
-
-    def initial(self, symbols: str) -> int:
-        """Symbols before any merge: one a character, or its bytes if it has no piece."""
-        ranks = self.ranks
-        alone = "".join([c for c in symbols if c not in ranks])
-        return len(symbols) - len(alone) + len(alone.encode()) if alone else len(symbols)
-
-    def merges(self, symbols: str) -> int:
-        # A symbol is named by where it starts; after[i] is where it ends, which is
-        # the next symbol's start. A heap entry is (rank, start, end) of a pair as
-        # one integer. Symbols only grow, so a pair is as it was pushed if it still
-        # ends there; the start of a symbol that was merged away leads nowhere.
-        rank, n = self.ranks.get, len(symbols)
-        bits = (n + 2).bit_length()
-        two, mask = 2 * bits, (1 << bits) - 1
-        after, before = list(range(1, n + 2)), list(range(-1, n))
-        after.append(0)
-        heap = [r << two | i << bits | i + 2 for i in range(n - 1) if (r := rank(symbols[i:i + 2])) is not None]
-        heapify(heap)
-        done = 0
-        while heap:
-            key = heappop(heap)
-            start, end = key >> bits & mask, key & mask
-            middle = after[start]
-            if after[middle] != end:
-                continue
-            after[start], after[middle] = end, n + 1
-            before[end] = start
-            if end < n and (r := rank(symbols[start:(stop := after[end])])) is not None:
-                heappush(heap, r << two | start << bits | stop)
-            if (prior := before[start]) >= 0 and (r := rank(symbols[prior:end])) is not None:
-                heappush(heap, r << two | prior << bits | end)
-            done += 1
-        return done
+
+def initial_symbols(symbols: str, ranks: dict[str, int]) -> int:
+    """One for a character, or its bytes if it has no piece."""
+    alone = "".join([c for c in symbols if c not in ranks])
+    return len(symbols) - len(alone) + len(alone.encode()) if alone else len(symbols)
+
+
+def merges(symbols: str, ranks: dict[str, int]) -> int:
+    """How many pairs merge, lowest rank first, then from the left."""
+    # A symbol is named by where it starts; after[i] is where it ends, which is
+    # the next symbol's start. A heap entry is (rank, start, end) of a pair as
+    # one integer. Symbols only grow, so a pair is as it was pushed if it still
+    # ends there; the start of a symbol that was merged away leads nowhere.
+    rank, n = ranks.get, len(symbols)
+    bits = (n + 2).bit_length()
+    two, mask = 2 * bits, (1 << bits) - 1
+    after, before = list(range(1, n + 2)), list(range(-1, n))
+    after.append(0)
+    heap = [r << two | i << bits | i + 2 for i in range(n - 1) if (r := rank(symbols[i:i + 2])) is not None]
+    heapify(heap)
+    done = 0
+    while heap:
+        key = heappop(heap)
+        start, end = key >> bits & mask, key & mask
+        middle = after[start]
+        if after[middle] != end:
+            continue
+        after[start], after[middle] = end, n + 1
+        before[end] = start
+        if end < n and (r := rank(symbols[start:(stop := after[end])])) is not None:
+            heappush(heap, r << two | start << bits | stop)
+        if (prior := before[start]) >= 0 and (r := rank(symbols[prior:end])) is not None:
+            heappush(heap, r << two | prior << bits | end)
+        done += 1
+    return done
 
 
 class PieceCounter:
@@ -109,27 +108,21 @@ class PieceCounter:
         plain = [i for i in every if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
         scores = sorted({-sp.get_score(i) for i in plain})
         order = {x: k for k, x in enumerate(scores)}
-        ranks = {sp.id_to_piece(i): order[-sp.get_score(i)] for i in plain}
-        if any(sp.is_unused(i) for i in plain) or any(re.search(f"[^{_BLANK}]{_BLANK}", p) for p in ranks):
-            raise ValueError("the model has unused pieces, or pieces with a blank after another character")
-        if not any(sp.is_byte(i) for i in every):
-            raise ValueError("the model has no bytes for unknown characters")
+        self.ranks = {sp.id_to_piece(i): order[-sp.get_score(i)] for i in plain}
+        # the neighbours that some piece holds: between others nothing ever merges
+        self.neighbours = {p[i:i + 2] for p in self.ranks for i in range(len(p) - 1)}
         probe = " ﬁ   x\t "
-        if sp.normalize(probe) != _BLANK + probe.replace(" ", _BLANK):
-            raise ValueError("the model changes texts before it cuts them")
-        self.counts = SegmentCounts(ranks)
+        if any(sp.is_unused(i) for i in plain) or not any(sp.is_byte(i) for i in every):
+            raise ValueError("the model has unused pieces, or no bytes for unknown characters")
+        if any(x[1] == _BLANK != x[0] for x in self.neighbours) or sp.normalize(probe) != _BLANK + probe.replace(" ", _BLANK):
+            raise ValueError("the model changes texts first, or has pieces with a blank after another character")
         # ASCII characters without a piece (such as line ends) merge with nothing: one byte, one token
-        cut = {chr(c) for c in range(128)} - ranks.keys() - {" "}
-        pairs = {x for p in ranks for x in zip(p, p[1:])}
-        if any(a in cut or b in cut for a, b in pairs):
+        alone = {chr(c) for c in range(128)} - self.ranks.keys() - {" "}
+        if any(alone & set(x) for x in self.neighbours):
             raise ValueError("the model merges characters that have no piece of their own")
-        # signs that no piece holds after a letter: a letter and a sign behind it never merge
-        signs = {c for c in ranks if len(c) == 1 and not c.isalnum() and c != _BLANK}
-        while after_letter := {b for a, b in pairs if b in signs and a not in signs and a != _BLANK}:
-            signs -= after_letter
-        of = lambda chars: "".join(map(re.escape, sorted(chars)))
-        letters, sign = f"[^ {of(signs | cut)}]", f"[{of(signs)}]" if signs else "(?!)"
-        self.segments = re.compile(f" +{sign}*{letters}*|{sign}+{letters}*|{letters}+").findall
+        cut = "".join(map(re.escape, sorted(alone)))
+        self.segments = re.compile(f" +[^ {cut}]*|[^ {cut}]+").findall
+        self.of_segment, self.of_part = Known(self.segment), Known(self.part)
 
     def __call__(self, text: str) -> int:
         if not text:
@@ -137,7 +130,16 @@ class PieceCounter:
         # one blank is put before every text; the sign for a blank reads as one
         text = " " + text.replace(_BLANK, " ")
         found = self.segments(text)
-        return sum(map(self.counts.__getitem__, found)) + len(text) - len("".join(found))
+        return sum(map(self.of_segment.__getitem__, found)) + len(text) - len("".join(found))
+
+    def segment(self, segment: str) -> int:
+        """Cut between neighbours that no piece holds."""
+        symbols = segment.replace(" ", _BLANK)
+        ends = [i for i in range(1, len(symbols)) if symbols[i - 1:i + 1] not in self.neighbours]
+        return sum(self.of_part[symbols[a:b]] for a, b in zip([0, *ends], [*ends, len(symbols)]))
+
+    def part(self, symbols: str) -> int:
+        return initial_symbols(symbols, self.ranks) - merges(symbols, self.ranks)
 
 
 def model_path() -> str:
