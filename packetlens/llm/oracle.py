@@ -123,10 +123,39 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
+_P = "1 + (1000000000::HUGEINT * ({c} + 5)) // ({n} + 5 * v)"
+
+_OP11 = rf"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+t AS (SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT id) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+s AS (SELECT lang, source, coalesce(sum(n), 0)::BIGINT AS total, (SELECT count(*) FROM k WHERE k.lang = g.lang) AS v
+      FROM g LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+l AS (SELECT lang, sum(total)::BIGINT AS total FROM s GROUP BY lang),
+lt AS (SELECT lang, term, sum(n)::BIGINT AS n FROM c GROUP BY ALL),
+p AS (SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n, {_P.format(c='coalesce(c.n, 0)', n='s.total')} AS p,
+             {_P.format(c='lt.n', n='l.total')} AS q
+      FROM s JOIN k ON s.lang = k.lang LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term
+      JOIN l ON l.lang = s.lang JOIN lt ON lt.lang = k.lang AND lt.term = k.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+       CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM x QUALIFY part = 'pair' OR rank <= 50
+"""
+
 SQL = {
     "op1_curriculum_mix": _OP1,
     "op3_adaptive_quality": _OP3,
     "op7_site_lines": _OP7,
     "op9_bloom_cascade": _OP9,
     "op10_exact_dedup": _OP10,
+    "op11_source_audit": _OP11,
 }

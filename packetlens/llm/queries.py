@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetlens.llm import bpe, chat, exact, grade, heapbpe, mix, nearjoin, quality, sitelines, urlfilter, warc
+from packetlens.llm import audit, bpe, chat, exact, grade, heapbpe, mix, nearjoin, quality, sitelines, urlfilter, warc
 from packetlens.llm.common import table
 from packetlens.session import scratch_path
 
@@ -69,6 +69,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.source_divergences(table(spark, sf_dir, "documents"))
+
+
 def op13_heap_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heapbpe.document_token_counts(table(spark, sf_dir, "documents"))
 
@@ -84,5 +88,6 @@ QUERIES = {
     "op8_warc_segments": op8_warc_segments,
     "op9_bloom_cascade": op9_bloom_cascade,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_source_audit": op11_source_audit,
     "op13_heap_counts": op13_heap_counts,
 }
