@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetlens.llm import audit, bpe, chat, exact, grade, heapbpe, mix, nearjoin, quality, sitelines, urlfilter, warc
+from packetlens.llm import audit, bpe, chat, exact, grade, heapbpe, mix, nearjoin, negatives, quality, sitelines, urlfilter, warc
 from packetlens.llm.common import table
 from packetlens.session import scratch_path
 
@@ -73,6 +73,12 @@ def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.source_divergences(table(spark, sf_dir, "documents"))
 
 
+def op12_segment_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # every seventh row carries a wrong label
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
 def op13_heap_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heapbpe.document_token_counts(table(spark, sf_dir, "documents"))
 
@@ -89,5 +95,6 @@ QUERIES = {
     "op9_bloom_cascade": op9_bloom_cascade,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_source_audit": op11_source_audit,
+    "op12_segment_negatives": op12_segment_negatives,
     "op13_heap_counts": op13_heap_counts,
 }
