@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from packetlens.session import checkpoint_dir, scratch_path, ship_package
 
 # A word is a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-# A side is broadcast only if it was counted and holds at most so many rows.
+# A side is broadcast only if it was counted and holds at most so many rows and bytes.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 
 
 def prepare(spark: SparkSession) -> None:
@@ -42,10 +44,31 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` (already materialised, narrow) with a broadcast hint if a count
-    shows at most ``rows`` rows; otherwise unchanged, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def value_bytes(value: Column, kind: T.DataType) -> Column:
+    """About the bytes that a value takes; null: 8."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        n = F.octet_length(value) + 8
+    elif isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, T.NumericType):
+            n = F.size(value) * 8 + 8
+        else:
+            n = F.aggregate(value, F.lit(8).cast("long"), lambda a, x: a + value_bytes(x, kind.elementType))
+    elif isinstance(kind, T.MapType):
+        n = value_bytes(F.map_keys(value), T.ArrayType(kind.keyType)) + value_bytes(F.map_values(value), T.ArrayType(kind.valueType))
+    elif isinstance(kind, T.StructType):
+        n = sum((value_bytes(value[f.name], f.dataType) for f in kind.fields), F.lit(8))
+    else:
+        n = F.lit(8)
+    return F.coalesce(n.cast("long"), F.lit(8).cast("long"))
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` (already materialised) with a broadcast hint if it is counted to hold
+    at most ``rows`` rows and ``most_bytes`` bytes; otherwise unchanged, for a
+    shuffled join."""
+    each = sum((value_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0))
+    n, size = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(each)).first()
+    return F.broadcast(df) if n <= rows and (size or 0) <= most_bytes else df
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

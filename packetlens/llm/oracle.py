@@ -44,13 +44,31 @@ SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken
 FROM u
 """
 
-_METRICS = [("word_length", "word_chars", "n_words", 2500, True), ("symbols", "n_symbols", "n_words", 150, False),
-            ("repeated_lines", "n_dup_lines", "n_lines", 500, False),
-            ("repeated_words", "n_repeat_words", "n_words", 300, False), ("upper_case", "n_upper", "word_chars", 300, False)]
+_METRICS = [("word_length", "word_chars", "n_words", 75, 4, True), ("symbols", "n_symbols", "n_words", 75, 4, False),
+            ("repeated_lines", "n_dup_lines", "n_lines", 99, 1, False),
+            ("repeated_words", "n_repeat_words", "n_words", 99, 1, False), ("upper_case", "n_upper", "word_chars", 75, 4, False)]
 
 _VALUES = " UNION ALL ".join(
-    f"SELECT doc_id, lang, source, '{k}' AS metric, {top} * 1000 // {bottom} AS v, {slack} AS slack, {both} AS both_sides, base_failed "
-    f"FROM m WHERE {bottom} > 0" for k, top, bottom, slack, both in _METRICS)
+    f"SELECT doc_id, lang, source, '{k}' AS metric, {top} * 1000 // {bottom} AS v, {share} AS share, {spread} AS spread, {both} AS both_sides, base_failed "
+    f"FROM m WHERE {bottom} > 0" for k, top, bottom, share, spread, both in _METRICS)
+
+
+def _limits(keys: str) -> str:
+    """Limits from the quantiles of the merged sketches of ``keys``."""
+    by = f"{keys}metric, share, spread"
+    return f"""(SELECT {keys}metric, total, greatest(0, lower - greatest((upper - lower) * spread, lower // 10) - 10) AS lo,
+              upper + greatest((upper - lower) * spread, upper // 10) + 10 AS hi
+       FROM (SELECT {by}, any_value(total) AS total, min(b) FILTER (upto * 100 >= total * 25) AS lower,
+                    min(b) FILTER (upto * 100 >= total * share) AS upper
+             FROM (SELECT {by}, b, CAST(sum(count(*)) OVER (PARTITION BY {by} ORDER BY b) AS BIGINT) AS upto,
+                          CAST(sum(count(*)) OVER (PARTITION BY {by}) AS BIGINT) AS total FROM b GROUP BY {by}, b)
+             GROUP BY {by}))"""
+
+
+def _leaning(end: str) -> str:
+    """A group's limit leans on its language's, and that on the corpus's."""
+    return f"(o.{end} * o.total + ((l.{end} * l.total + w.{end} * 20) // (l.total + 20)) * 20) // (o.total + 20)"
+
 
 _OP3 = rf"""
 WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
@@ -68,18 +86,13 @@ m0 AS (SELECT a.doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words,
        FROM a LEFT JOIN r ON a.doc_id = r.doc_id),
 m AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m0),
 v AS ({_VALUES}),
-b AS (SELECT lang, source, metric, (v >> greatest(length(bin(v)) - 7, 0)) << greatest(length(bin(v)) - 7, 0) AS b
+b AS (SELECT lang, source, metric, share, spread, (v >> greatest(length(bin(v)) - 7, 0)) << greatest(length(bin(v)) - 7, 0) AS b
       FROM v WHERE NOT base_failed),
-k3 AS (SELECT lang, source, metric, quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.75) AS q3, count(*) AS n FROM b GROUP BY ALL),
-k2 AS (SELECT lang, metric, quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.75) AS q3, count(*) AS n FROM b GROUP BY ALL),
-k1 AS (SELECT metric, quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.75) AS q3 FROM b GROUP BY ALL),
-q AS (SELECT k3.lang, k3.source, k3.metric,
-             CASE WHEN k3.n >= 200 THEN k3.q1 WHEN k2.n >= 200 THEN k2.q1 ELSE k1.q1 END AS q1,
-             CASE WHEN k3.n >= 200 THEN k3.q3 WHEN k2.n >= 200 THEN k2.q3 ELSE k1.q3 END AS q3
-      FROM k3 JOIN k2 ON k3.lang IS NOT DISTINCT FROM k2.lang AND k3.metric = k2.metric JOIN k1 ON k3.metric = k1.metric),
+q AS (SELECT o.lang, o.source, o.metric, {_leaning('lo')} AS lo, {_leaning('hi')} AS hi
+      FROM {_limits('lang, source, ')} o JOIN {_limits('lang, ')} l ON o.lang IS NOT DISTINCT FROM l.lang AND o.metric = l.metric
+      JOIN {_limits('')} w ON o.metric = w.metric),
 bad AS (SELECT DISTINCT doc_id FROM v JOIN q ON v.metric = q.metric AND v.lang IS NOT DISTINCT FROM q.lang
-        AND v.source IS NOT DISTINCT FROM q.source
-        WHERE v > q3 + greatest((q3 - q1) * 4, slack) OR (both_sides AND v < q1 - greatest((q3 - q1) * 4, slack)))
+        AND v.source IS NOT DISTINCT FROM q.source WHERE v > hi OR (both_sides AND v < lo))
 SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND bad.doc_id IS NULL AS kept
 FROM m LEFT JOIN bad ON m.doc_id = bad.doc_id
@@ -87,11 +100,12 @@ FROM m LEFT JOIN bad ON m.doc_id = bad.doc_id
 
 _OP7 = f"""
 WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
-x AS (SELECT source, unnest(list_distinct(list_filter(list_transform(ls, lambda y: trim(y, {_BLANK})), lambda y: y <> ''))) AS line FROM d),
+o AS (SELECT DISTINCT source, text FROM d),
+x AS (SELECT source, unnest(list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda y: trim(y, {_BLANK})), lambda y: y <> ''))) AS line FROM o),
 c AS (SELECT source, line, count(*) AS n FROM x GROUP BY ALL),
-p AS (SELECT source, count(*) AS pages FROM documents GROUP BY source HAVING count(*) >= 20),
+p AS (SELECT source, count(*) AS pages FROM o GROUP BY source),
 b AS (SELECT c.source, list(line) AS bad FROM c JOIN p ON c.source IS NOT DISTINCT FROM p.source
-      WHERE n >= 2 AND n > pages * 0.1 GROUP BY c.source),
+      WHERE n >= 5 AND n > pages * 0.01 GROUP BY c.source),
 e AS (SELECT doc_id, ls, list_filter(ls, lambda y: NOT coalesce(list_contains(bad, trim(y, {_BLANK})), false)) AS good
       FROM d LEFT JOIN b ON d.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines,

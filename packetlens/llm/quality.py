@@ -1,17 +1,20 @@
 """Quality rules with adaptive thresholds (native).
 
-Per document a fixed base rule, then rules whose limits come from the corpus:
-for every (language, source) a mergeable quantile sketch of each metric gives
-its quartiles, and a value beyond ``upper quartile + spread * interquartile
-range`` (or below the mirrored limit) rejects the document. Fixed cutoffs only
-remain as ``slack``, the least distance between quartile and limit, so that a
-group whose metric hardly varies doesn't reject what differs by a trifle.
+Per document a fixed base rule, then rules whose limits come from the corpus: for
+every (language, source) a mergeable quantile sketch of each metric gives a lower
+and an upper quantile, and a value beyond ``upper + spread * (upper - lower)`` (for
+some metrics also below the mirrored limit) rejects the document. Quartiles serve
+metrics whose bulk varies; metrics that are 0 for nearly all documents, with a
+thin tail of honest values, use the 99th percentile. In a group that hardly varies
+the distance to the limit is a tenth of the quantile and ``ROOM`` thousandths, so
+that trifles reject nothing; there are no other cutoffs.
 
 The sketch of a metric is a log-linear histogram of its value in thousandths:
 64 to 128 buckets per power of two, so a quantile is off by at most 1/64 of its
 value. Buckets are integers made by shifts, so sketches merge by adding counts
-and don't depend on how rows are dealt out. Groups below ``min_docs`` documents
-use the merged sketch of their language, and below that, of the corpus.
+and don't depend on how rows are dealt out. The limit of a small group leans on its
+language's, and that on the corpus's: a limit of ``n`` documents has the weight ``n``,
+the wider one the weight ``prior``.
 
 Metrics of a document: word length, symbols per word, repeated lines per line,
 repeated words per word, and the share of upper-case letters.
@@ -33,13 +36,15 @@ from packetlens.llm.common import let, materialise, packed, small, unpacked, wor
 _SPACE = " \t\n\x0b\f\r"
 _WINDOW = 8
 
-# metric: (numerator, denominator, least distance from quartile to limit in thousandths, both sides)
+ROOM = 10  # thousandths
+
+# metric: (numerator, denominator, upper quantile in hundredths, spread, both sides)
 METRICS = {
-    "word_length": ("word_chars", "n_words", 2500, True),
-    "symbols": ("n_symbols", "n_words", 150, False),
-    "repeated_lines": ("n_dup_lines", "n_lines", 500, False),
-    "repeated_words": ("n_repeat_words", "n_words", 300, False),
-    "upper_case": ("n_upper", "word_chars", 300, False),
+    "word_length": ("word_chars", "n_words", 75, 4, True),
+    "symbols": ("n_symbols", "n_words", 75, 4, False),
+    "repeated_lines": ("n_dup_lines", "n_lines", 99, 1, False),
+    "repeated_words": ("n_repeat_words", "n_words", 99, 1, False),
+    "upper_case": ("n_upper", "word_chars", 75, 4, False),
 }
 
 
@@ -116,37 +121,37 @@ def sketches(measured: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Merge sketches to ``keys`` and read their quartiles (least bucket that reaches a quarter, three quarters)."""
+def _by_metric(place: int) -> Column:
+    """The parameter of the row's metric."""
+    return F.element_at(F.create_map(*[x for k, v in METRICS.items() for x in (F.lit(k), F.lit(v[place]))]), F.col("metric"))
+
+
+def _limits(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """Merge sketches to ``keys``; of each, its quantiles (the least bucket that reaches
+    the share), the limits ``lo`` and ``hi`` that they give, and its documents."""
     merged = sketch.groupBy(*keys, "metric", "b").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*keys, "metric")
     ranked = merged.select("*", F.sum("n").over(w.orderBy("b")).alias("upto"), F.sum("n").over(w).alias("total"))
-    reached = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("total") * q, F.col("b")))
-    return ranked.groupBy(*keys, "metric").agg(reached(1).alias("q1"), reached(3).alias("q3"), F.max("total").alias("total"))
+    reached = lambda share: F.min(F.when(F.col("upto") * 100 >= F.col("total") * share, F.col("b")))
+    q = ranked.groupBy(*keys, "metric").agg(reached(25).alias("lower"), reached(_by_metric(2)).alias("upper"), F.max("total").alias("total"))
+    reach = lambda c: F.greatest((F.col("upper") - F.col("lower")) * _by_metric(3), F.expr(f"{c} div 10")) + ROOM
+    return q.select("*", F.greatest(F.lit(0), F.col("lower") - reach("lower")).alias("lo"), (F.col("upper") + reach("upper")).alias("hi"))
 
 
-def thresholds(sketch: DataFrame, min_docs: int = 200, spread: int = 4) -> DataFrame:
+def thresholds(sketch: DataFrame, prior: int = 20) -> DataFrame:
     """``lang, source`` and a struct of limits ``lo``, ``hi`` per metric."""
-    groups = sketch.select("lang", "source", "metric").distinct()
-    own, lang = _quartiles(sketch, ["lang", "source"]), _quartiles(sketch, ["lang"])
-    whole = _quartiles(sketch.withColumn("all", F.lit(1)), ["all"]).drop("all")
-
-    def nested(df: DataFrame, name: str) -> DataFrame:
-        keys = [c for c in df.columns if c in ("lang", "source", "metric")]
-        return df.select(*[F.col(c).alias(f"{name}_{c}") for c in keys], F.struct("q1", "q3", "total").alias(name))
-
-    out = groups
-    for name, df in (("own", own), ("lang_all", lang), ("whole", whole)):
-        side = nested(df, name)
-        on = [F.col(c).eqNullSafe(F.col(f"{name}_{c}")) for c in ("lang", "source", "metric") if f"{name}_{c}" in side.columns]
-        out = out.join(side, on, "left")
-    q = F.when(F.col("own.total") >= min_docs, F.col("own")).when(F.col("lang_all.total") >= min_docs, F.col("lang_all")).otherwise(F.col("whole"))
-    slack = F.create_map(*[x for k, v in METRICS.items() for x in (F.lit(k), F.lit(v[2]))])
-    both = F.create_map(*[x for k, v in METRICS.items() for x in (F.lit(k), F.lit(v[3]))])
-    reach = F.greatest((F.col("q.q3") - F.col("q.q1")) * spread, F.element_at(slack, F.col("metric")).cast("long"))
-    limits = out.select("lang", "source", "metric", q.alias("q")).select(
-        "lang", "source", "metric",
-        F.when(F.element_at(both, F.col("metric")), F.col("q.q1") - reach).alias("lo"), (F.col("q.q3") + reach).alias("hi"))
+    whole = _limits(sketch.withColumn("all", F.lit(1)), ["all"]).drop("all")
+    out = sketch.select("lang", "source", "metric").distinct()
+    for name, df in (("own", _limits(sketch, ["lang", "source"])), ("wider", _limits(sketch, ["lang"])), ("whole", whole)):
+        keys = [c for c in ("lang", "source", "metric") if c in df.columns]
+        side = df.select(*[F.col(c).alias(f"{name}_{c}") for c in keys], F.struct("lo", "hi", "total").alias(name))
+        out = out.join(side, [F.col(c).eqNullSafe(F.col(f"{name}_{c}")) for c in keys], "left")
+
+    def blended(end: str) -> Column:
+        wider = f"((wider.{end} * wider.total + whole.{end} * {prior}) div (wider.total + {prior}))"
+        return F.expr(f"(own.{end} * own.total + {wider} * {prior}) div (own.total + {prior})")
+
+    limits = out.select("lang", "source", "metric", F.when(_by_metric(4), blended("lo")).alias("lo"), blended("hi").alias("hi"))
     return limits.groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(
         F.struct("metric", F.struct("lo", "hi")))).alias("limits"))
 
@@ -159,10 +164,10 @@ def _inside(m: Column, limits: Column) -> Column:
     return ok
 
 
-def judge(measured: DataFrame, min_docs: int = 200, spread: int = 4) -> DataFrame:
+def judge(measured: DataFrame, prior: int = 20) -> DataFrame:
     """``measured`` (materialised) with ``base_failed`` and ``kept``."""
     passed = measured.select("lang", "source", "m").where(~base_failed(F.col("m")))
-    limits = materialise(thresholds(sketches(passed), min_docs, spread), "quality-limits")
+    limits = materialise(thresholds(sketches(passed), prior), "quality-limits")
     limits = small(limits, 10_000).select(F.col("lang").alias("l"), F.col("source").alias("s"), "limits")
     joined = measured.join(limits, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left")
     failed = base_failed(F.col("m"))
@@ -182,4 +187,3 @@ def kept_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents that pass, with the columns of the input."""
     measured = materialise(with_metrics(docs), "quality-documents")
     return unpacked(judge(measured, **options).where("kept"), docs.columns)
-

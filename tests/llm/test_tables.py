@@ -85,8 +85,8 @@ def test_quality_limits_follow_the_group(spark):
 def test_sketches_merge(spark):
     d = docs(spark, [(i, "word " * (i % 50 + 1), "en", f"s{i % 3}") for i in range(120)])
     m = quality.with_metrics(d)
-    one = quality._quartiles(quality.sketches(m), ["lang"]).orderBy("metric").collect()
-    whole = quality._quartiles(quality.sketches(m.withColumn("source", F.lit("x"))), ["lang"]).orderBy("metric").collect()
+    one = quality._limits(quality.sketches(m), ["lang"]).orderBy("metric").collect()
+    whole = quality._limits(quality.sketches(m.withColumn("source", F.lit("x"))), ["lang"]).orderBy("metric").collect()
     assert one == whole
 
 
