@@ -88,10 +88,12 @@ def _build(keys: DataFrame, n: int, seed: int, bits_per_key: int, hashes: int) -
     at = F.explode(F.array(*_positions(F.col("key"), bits, hashes, seed)))
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int"))
     parts = keys.select(at.alias("at")).groupBy((F.col("at") / 64).cast("long").alias("word")).agg(F.bit_or(mask).alias("mask"))
-    # a dense array: at most bits / 64 entries, bounded by max_bits
-    filled = parts.agg(F.map_from_entries(F.collect_list(F.struct("word", "mask"))).alias("m"))
-    words = filled.select(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(bits // 64 - 1).cast("long")),
-                                      lambda w: F.coalesce(F.element_at("m", w), F.lit(0).cast("long"))).alias("words"))
+    # a dense array of bits / 64 entries, bounded by max_bits: the parts and a zero for
+    # every word are added up and laid out in order, in time linear in the words
+    zeros = keys.sparkSession.range(bits // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("mask"))
+    every = parts.unionByName(zeros).groupBy("word").agg(F.bit_or("mask").alias("mask"))
+    laid = every.agg(F.array_sort(F.collect_list(F.struct("word", "mask"))).alias("w"))
+    words = laid.select(F.col("w.mask").alias("words"))
     return Level(materialise(words, "bloom-level"), bits, hashes, seed)
 
 
