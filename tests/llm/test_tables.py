@@ -90,10 +90,29 @@ def test_sketches_merge(spark):
     assert one == whole
 
 
+def test_quality_production_limits_decide(spark):
+    """Sources of near-identical pages keep trifles; a junk text goes in each; the spread and the group matter."""
+    def text(i, word, extra=""):
+        return " ".join(f"{word}{(i * 7 + j) % 90}" for j in range(60)) + extra
+    same = [(i, text(0, "abcd") + f" x{i % 3}", "en", "same") for i in range(100)]
+    wide = [(1000 + i, " ".join("abcdefghij"[:2 + (i + j) % 9] + str((i * 3 + j) % 60) for j in range(60 + i % 5)), "en", "wide") for i in range(100)]
+    long = [(2000 + i, text(i, "abcdefghijklm"), "de", "long") for i in range(100)]
+    junk = [(5000 + k, text(k, "abcdefghijklm"), "en", "same") for k in range(3)] + [(6000, text(1, "ab###"), "en", "wide")]
+    got = {r.doc_id: r.kept for r in quality.quality_decisions(docs(spark, same + wide + long + junk)).collect()}
+    assert all(got[r[0]] for r in same + wide + long) and not any(got[r[0]] for r in junk)  # long words are usual in "long" only
+
+
+def test_quality_small_group_leans_on_its_language(spark):
+    usual = [(i, " ".join(f"word{(i * 7 + j) % 90}" for j in range(60)), "en", "s") for i in range(200)]
+    lone = [(900, " ".join(f"ab###{j}" for j in range(60)), "en", "tiny"), (901, " ".join(f"word{j}" for j in range(60)), "en", "tiny2")]
+    got = {r.doc_id: r.kept for r in quality.quality_decisions(docs(spark, usual + lone)).collect()}
+    assert not got[900] and got[901] and all(got[i] for i in range(200))
+
+
 def test_site_lines(spark, odd):
     rows = [(i, f"menu\nown line {i}\n\n  menu \nrare" if i < 30 else f"own {i}\nshared", "en", "a" if i < 40 else None) for i in range(60)]
     d = docs(spark, rows)
-    got = {r.doc_id: r for r in sitelines.drop_site_lines(d, ratio=0.5, min_pages=20).select("row.doc_id", "cleaned", "n_lines", "n_dropped").collect()}
+    got = {r.doc_id: r for r in sitelines.drop_site_lines(d, ratio=0.5).select("row.doc_id", "cleaned", "n_lines", "n_dropped").collect()}
     assert got[0].cleaned == "own line 0\n" and (got[0].n_lines, got[0].n_dropped) == (5, 3)   # menu twice, rare once
     assert got[35].cleaned == "own 35\nshared"          # 10 of 40 pages
     assert got[50].cleaned == "own 50"                  # null host: all 20 pages
@@ -104,6 +123,46 @@ def test_site_lines(spark, odd):
     assert sitelines.cleaned_documents(odd.limit(0)).count() == 0
 
 
+def test_site_lines_of_small_and_large_hosts(spark):
+    """With production parameters: a host of five pages is judged, copies of a page are one page."""
+    small_host = [(i, f"nav bar\nbody {i}", "en", "five") for i in range(5)]
+    four = [(100 + i, f"nav bar\nbody {i}", "en", "four") for i in range(4)]
+    copies = [(200 + i, "one\ntwo\nthree", "en", "copied") for i in range(300)] + [(600 + i, f"text {i}", "en", "copied") for i in range(20)]
+    large = [(1000 + i, f"{'footer' if i % 90 == 0 else 'own ' + str(i)}\n{'odd line' if i < 5 else 'more ' + str(i)}", "en", "large") for i in range(900)]
+    got = {r.doc_id: r.text for r in sitelines.cleaned_documents(docs(spark, small_host + four + copies + large)).collect()}
+    assert all(got[i] == f"body {i}" for i in range(5)) and all(got[100 + i] == four[i][1] for i in range(4))
+    assert all(got[r[0]] == r[1] for r in copies)
+    for i, text, *_ in large:  # 10 of 900 pages hold the footer, 5 the odd line
+        assert got[i] == (text.split("\n")[1] if i % 90 == 10 else text)
+
+
+def test_exact_groups_hot_text(spark):
+    """Half of all rows share one text: its members aren't shuffled on the way back."""
+    d = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("t"), F.col("id") % 500)).alias("text"))
+    out = exact.exact_groups(d, hot_rows=100)
+    assert out.where("group_size = 2000 and keep_id = 3998").count() == 2000 and out.where("kept").count() == 251
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") >= 2
+
+
+def test_broadcast_is_counted_in_bytes(spark):
+    from packetlens.llm.common import small
+    d = spark.range(10).select("id", F.array_repeat(F.lit("x" * 100), 100).alias("a"), F.struct(F.lit(b"12")).alias("s"), F.lit(None).cast("map<string,int>").alias("m"))
+    hinted = lambda x: "strategy=broadcast" in x.join(d, "id")._jdf.queryExecution().analyzed().toString()
+    assert hinted(small(d, most_bytes=200_000)) and not hinted(small(d, most_bytes=50_000)) and not hinted(small(d, rows=9))
+    assert hinted(small(d.limit(0)))
+
+
+def test_filter_build_is_linear(spark):
+    import time
+    keys = spark.range(300_000).select(F.concat(F.lit("k"), "id").alias("key"))
+    began = time.time()
+    level = urlfilter._build(keys, 300_000, 1, 10, 5)
+    assert time.time() - began < 60
+    asked = spark.range(600_000).select(F.concat(F.lit("k"), "id").alias("key")).where(urlfilter._passes(F.col("key"), level))
+    assert 300_000 <= asked.count() < 310_000 and keys.join(asked, "key").count() == 300_000
+
+
 def test_cascade_is_exact(spark):
     keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"), (F.col("id") % 3 == 0).alias("listed")).cache()
     levels = urlfilter.build_cascade(keys, bits_per_key=2, hashes=1)
