@@ -16,6 +16,9 @@ flag relative to the canonical order, which replaces a self-join of the
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,9 +57,8 @@ def _valid_expr() -> Column:
     ports16 = F.shiftright(F.col("src_port").bitwiseOR(F.col("dst_port")), 16) == 0
     nibbles = (F.coalesce(F.col("ip_ihl"), F.lit(0)).bitwiseOR(F.coalesce(F.col("tcp_dataofs"), F.lit(0)))
                .bitwiseAND(F.lit(~15)) == 0)
-    present = F.concat(F.col("src_ip"), F.col("dst_ip")).isNotNull() & \
-        (F.unix_micros(F.col("ts")) + F.col("packet_id") + F.col("pkt_len")).isNotNull()
-    return ports16 & nibbles & present
+    present = [F.col(c).isNotNull() for c in ("src_ip", "dst_ip", "ts", "packet_id", "pkt_len")]
+    return reduce(and_, present, ports16 & nibbles)
 
 
 def with_conversation(packets: DataFrame) -> DataFrame:
@@ -147,11 +149,33 @@ def flow_features(packets: DataFrame, mode: str = "compat", strategy: str = "aut
 
 
 def _flow_features_window(packets: DataFrame, min_duration: float = MIN_DURATION_S) -> DataFrame:
-    w = Window.partitionBy(*CONV).orderBy(*ORDER)
+    return _window_features(_prepared(packets), CONV, min_duration)
+
+
+def flow_sessions(packets: DataFrame, idle_seconds: float, min_duration: float = MIN_DURATION_S) -> DataFrame:
+    """ST2's batch twin: the 30 features once per session, at its last emission.
+
+    A conversation that was silent for more than ``idle_seconds`` starts anew: its
+    packets are numbered by islands between such gaps, and an island is treated
+    like a conversation. Sessions that never emit have no row.
+    """
+    p = _prepared(packets)
+    at = Window.partitionBy(*CONV).orderBy(*ORDER)
+    opens = F.coalesce(F.col("ts_us") - F.lag("ts_us").over(at) > int(idle_seconds * US), F.lit(False))
+    # islands: the same partitioning and order as the running windows below, so one exchange
+    p = p.withColumn("opens", opens.cast("int")).withColumn("session", F.sum("opens").over(at.rowsBetween(Window.unboundedPreceding, 0)))
+    by = [*CONV, "session"]
+    rows = _window_features(p, by, min_duration, keep=[*KEEP, *[c for c in by if c not in KEEP]])
+    last = Window.partitionBy(*by).orderBy(*ORDER)
+    return rows.withColumn("later", F.lead("packet_id").over(last)).where("later is null").select(*KEEP, *[F.col(fcol(n)) for n in FEATURES])
+
+
+def _window_features(prepared: DataFrame, by: list[str], min_duration: float, keep: list[str] = KEEP) -> DataFrame:
+    w = Window.partitionBy(*by).orderBy(*ORDER)
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
 
-    df = _roles(_prepared(packets), run)
+    df = _roles(prepared, run)
 
     # Gaps are exact integer microseconds: sums, means and maxima do not
     # depend on summation order (or on how a flow is split across tasks).
@@ -240,7 +264,7 @@ def _flow_features_window(packets: DataFrame, min_duration: float = MIN_DURATION
         'Init_Win_bytes_backward': z,
         'act_data_pkt_fwd': F.element_at(F.col("above"), hdr_level + 1).cast("double"),
     }
-    return df.select(*KEEP, *[feats[name].alias(name) for name in FEATURES])
+    return df.select(*keep, *[feats[name].alias(name) for name in FEATURES])
 
 
 def _with_facts(p: DataFrame, facts: DataFrame, hot_rows: int) -> DataFrame:

@@ -23,10 +23,13 @@ EVENT_SCAN_RATE = 1e-5
 def typed_flows(packets: DataFrame, ddos_rate: float = DDOS_RATE,
                 scan_rate: float = PORTSCAN_RATE) -> DataFrame:
     """P1, P2 -> FL1 -> R1: flow feature rows with their attack type."""
-    ff = flow_features(packets)
-    return ff.withColumn("attack_type", attack_type(F.col(fcol("Destination Port")),
-                                                     F.col(fcol("Fwd Packets/s")),
-                                                     ddos_rate, scan_rate))
+    return with_type(flow_features(packets), ddos_rate, scan_rate)
+
+
+def with_type(flows: DataFrame, ddos_rate: float = DDOS_RATE, scan_rate: float = PORTSCAN_RATE) -> DataFrame:
+    """R1 on flow feature rows."""
+    return flows.withColumn("attack_type", attack_type(F.col(fcol("Destination Port")), F.col(fcol("Fwd Packets/s")),
+                                                       ddos_rate, scan_rate))
 
 
 def flow_attack_breakdown(packets: DataFrame, **kw) -> DataFrame:

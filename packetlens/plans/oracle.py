@@ -403,16 +403,26 @@ SQL["moving_mean_50_blocked"] = SQL["moving_mean_50"]
 SQL["moving_mean_50_global"] = "SELECT event_id, " + r6(
     "avg(value) OVER (ORDER BY ts, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)", "moving_mean") + " FROM events"
 
-# Closed conversations only: the idle timer (last packet + idle) must be
-# below the final watermark (newest packet - idle), both in milliseconds.
-SQL["stream_flow_summary"] = ("WITH " + FLOWS + """,
-lastp AS (SELECT ka, kb, proto, max(ts_us) AS last_us FROM c GROUP BY ka, kb, proto),
-mx AS (SELECT max(ts_us) AS mx FROM c)
+# Sessions: a conversation that was silent for more than a day starts anew.
+_SESSIONS = (FLOWS.replace("r1 AS (SELECT *, (first_value", """s0 AS (SELECT *, coalesce(ts_us - lag(ts_us) OVER w > 86400000000, false) AS opens FROM c
+       WINDOW w AS (PARTITION BY ka, kb, proto ORDER BY ts, packet_id)),
+s1 AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER w AS island FROM s0
+       WINDOW w AS (PARTITION BY ka, kb, proto ORDER BY ts, packet_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+r1 AS (SELECT *, (first_value""").replace("AS is_init FROM c\n", "AS is_init FROM s1\n")
+    .replace("PARTITION BY ka, kb, proto ORDER BY ts, packet_id\n", "PARTITION BY ka, kb, proto, island ORDER BY ts, packet_id\n")
+    .replace("SELECT ka, kb, packet_id, ts,", "SELECT ka, kb, island, packet_id, ts,"))
+SQL["flow_sessions"] = ("WITH " + _SESSIONS + """
 SELECT packet_id, CAST(ts AS TIMESTAMP) AS ts, src_ip, dst_ip, src_port, dst_port, proto, pkt_len, """
-                              + FEATURE_SELECT + """
-FROM ff JOIN lastp USING (ka, kb, proto), mx
-WHERE last_us // 1000 + 86400000 < mx // 1000 - 86400000
-QUALIFY row_number() OVER (PARTITION BY ka, kb, proto ORDER BY ts DESC, packet_id DESC) = 1""")
+                        + FEATURE_SELECT + """
+FROM ff QUALIFY row_number() OVER (PARTITION BY ka, kb, proto, island ORDER BY ts DESC, packet_id DESC) = 1""")
+SQL["stream_flow_summary"] = SQL["flow_sessions"]
+SQL["stream_scores_resumed"] = SQL["stream_scores"]
+
+# The first file's newest packet sets the watermark that the second file meets.
+SQL["stream_late"] = "WITH " + PACKETS + """,
+w AS (SELECT max(epoch_us(ts)) // 1000 - 7 * 86400000 AS ms FROM packets WHERE packet_id % 10 <> 0),
+k AS (SELECT packet_id, CASE WHEN packet_id % 10 = 0 AND epoch_us(ts) < ms * 1000 THEN 'late' ELSE 'kept' END AS part FROM packets, w)
+SELECT part, CAST(count(*) AS BIGINT) AS n, CAST(sum(packet_id) AS BIGINT) AS id_sum FROM k GROUP BY part"""
 
 SQL["packet_quarantine"] = "WITH " + PACKETS + """,
 b AS (

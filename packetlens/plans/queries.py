@@ -8,6 +8,9 @@ rounded to 6 digits, event times as wall-clock UTC).
 
 from __future__ import annotations
 
+from datetime import timedelta
+
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,17 +18,17 @@ from pyspark.sql import types as T
 from packetlens.functions.columns import attack_type, rule_flags
 from packetlens.operators import reports as R
 from packetlens.operators.flows import (
-    flow_features, flow_features_bucketed, flow_summary, quarantined_packets, valid_packets,
+    flow_features, flow_features_bucketed, flow_sessions, flow_summary, quarantined_packets, valid_packets,
 )
 from packetlens.operators.scoring import ensemble_batch, ensemble_live, live_gate
 from packetlens.plans.detection import (
-    EVENT_DDOS_RATE, EVENT_SCAN_RATE, detect_batch, detection_report, flow_attack_breakdown, score_rows, typed_flows,
+    EVENT_DDOS_RATE, EVENT_SCAN_RATE, detect_batch, detection_report, fit_detector, flow_attack_breakdown, score_rows, typed_flows,
 )
 from packetlens.operators import clean as C
 from packetlens.operators import models as M
 from packetlens.operators import stats as S
 from packetlens.schemas import FEATURES, fcol
-from packetlens.session import write_once
+from packetlens.session import scratch_path, write_once
 from packetlens.sources.fixtures import (
     doc_predictions, flows_from_lineitem, packets_from_events, scored_from_lineitem, table,
     vectors_from_embeddings,
@@ -293,24 +296,103 @@ def _stream_of(spark, df, name):
     return read_stream(spark, path, spark.read.parquet(path).schema)
 
 
+STREAM_FILES = 4
+STREAM_IDLE_S = 86400
+
+
+def _shuffled_packets(spark, sf, name):
+    """The packets as a bounded stream of files that each span the whole time, closed
+    by a marker, and the delay that covers their disorder."""
+    from packetlens.streaming.jobs import land_flush, land_in_files, read_stream
+    packets = _packets(spark, sf)
+    path = land_in_files(packets, name, STREAM_FILES)
+    first, last = spark.read.parquet(path).agg(F.min("ts"), F.max("ts")).first()
+    delay = (last - first).total_seconds() + 1
+    land_flush(spark, path, last + timedelta(seconds=2 * delay + 2 * STREAM_IDLE_S))
+    return read_stream(spark, path, packets.schema, max_files=1), delay
+
+
 def q_stream_flow_features(spark, sf):
+    """ST1 + S4: packets out of order, one file a micro-batch."""
     from packetlens.streaming.flows import stream_flow_features
     from packetlens.streaming.jobs import run_append
-    out, _ = run_append(stream_flow_features(_stream_of(spark, _packets(spark, sf), "packets")), "flows")
+    stream, delay = _shuffled_packets(spark, sf, "packets")
+    out, _ = run_append(stream_flow_features(stream, delay, slot_seconds=86400), "flows")
     return for_check(spark.read.parquet(out))
 
 
-STREAM_IDLE_S = 86400
-
-
 def q_stream_flow_summary(spark, sf):
+    """ST2 + ST3: the sessions of the same stream."""
     from packetlens.streaming.flows import stream_flow_summary
     from packetlens.streaming.jobs import run_append
-    stream = _stream_of(spark, _packets(spark, sf), "packets")
-    out, _ = run_append(stream_flow_summary(stream, idle_seconds=STREAM_IDLE_S), "flow-summary")
+    stream, delay = _shuffled_packets(spark, sf, "sessions")
+    out, _ = run_append(stream_flow_summary(stream, STREAM_IDLE_S, delay, slot_seconds=86400), "flow-summary")
     return for_check(spark.read.parquet(out))
 
 
+def q_flow_sessions(spark, sf):
+    """The batch twin of the streaming sessions."""
+    return for_check(flow_sessions(_packets(spark, sf), STREAM_IDLE_S))
+
+
+def q_stream_late(spark, sf):
+    """ST8: every tenth packet comes after all others; those behind the watermark are
+    routed aside, and kept and late ones add up to the input."""
+    from packetlens.streaming.flows import track_flows
+    from packetlens.streaming.jobs import land_flush, read_stream, run_append
+    packets, path = _packets(spark, sf), scratch_path(spark, "landing-late")
+    held = F.col("packet_id") % 10 == 0
+    for part in (packets.where(~held), packets.where(held)):
+        part.coalesce(1).write.mode("append").parquet(path)
+    land_flush(spark, path, packets.agg(F.max("ts")).first()[0] + timedelta(days=60))
+    stream = read_stream(spark, path, packets.schema, max_files=1)
+    out, _ = run_append(track_flows(stream, ("kept",), delay_seconds=7 * 86400, slot_seconds=86400), "late")
+    rows = spark.read.parquet(out).where("packet_id >= 0")
+    return rows.groupBy(F.col("kind").alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sum("packet_id").alias("id_sum"))
+
+
+def q_stream_detect(spark, sf):
+    """ST1, M7, R5, R1, ST5, ST7, ST8: the live job over the shuffled packets with a saved model."""
+    from packetlens.streaming.jobs import stream_detect
+    packets = _packets(spark, sf)
+    path = scratch_path(spark, "detector")
+    flows = write_once(typed_flows(packets, EVENT_DDOS_RATE, EVENT_SCAN_RATE), "detect-flows")
+    M.save_hybrid(fit_detector(flows, **_SMALL_TREES), path)
+    stream, delay = _shuffled_packets(spark, sf, "detect")
+    log, _ = stream_detect(stream, path, scratch_path(spark, "live"), delay, EVENT_DDOS_RATE, EVENT_SCAN_RATE, slot_seconds=86400)
+    return log.read("verdicts").select(*_VERDICT_COLS)
+
+
+class Interrupted(Exception):
+    """Ends a stream in the middle, as a lost driver would."""
+
+
+def q_stream_scores_resumed(spark, sf):
+    """S4 + S5: a bounded stream that stops after writing a batch and before
+    publishing it, and is started again from its checkpoint."""
+    from packetlens.streaming.jobs import read_stream, run_batches, stream_scores
+    scored = _scored(spark, sf)
+    landing, base = scratch_path(spark, "landing-resumed"), scratch_path(spark, "resumed")
+    scored.repartition(STREAM_FILES).write.parquet(landing)
+    calls = []
+
+    def stopping(written):
+        calls.append(1)
+        if len(calls) == 2:
+            raise Interrupted
+        return written["scores"].limit(0)
+
+    def start():
+        stream = stream_scores(read_stream(spark, landing, scored.schema, max_files=1))
+        return run_batches(stream, base, lambda batch: {"scores": batch}, {"nothing": stopping})[0]
+    try:
+        start()
+    except StreamingQueryException as e:
+        if "Interrupted" not in str(e):
+            raise
+    return for_check(start().read("scores").select(*_LIVE_COLS, "attack_type"))
+
+
 def _stream_scores(spark, sf):
     from packetlens.streaming.jobs import stream_scores
     return stream_scores(_stream_of(spark, _scored(spark, sf), "scored"), gate=True)
@@ -325,7 +407,7 @@ def q_stream_scores(spark, sf):
 def q_stream_counters(spark, sf):
     from packetlens.streaming.jobs import run_complete, stream_counters
     out, _ = run_complete(stream_counters(_stream_scores(spark, sf)), "counters")
-    return for_check(spark.read.parquet(out))
+    return for_check(out)
 
 
 def q_stream_timeline(spark, sf):
@@ -393,15 +475,17 @@ def q_log_records(spark, sf):
     return for_check(R.log_records(rows))
 
 
+_VERDICT_COLS = ["packet_id", "ts", "src_ip", "dst_ip", "dst_port", "proto", "dl_error", "dl_score", "ml_prob",
+                 "final_score", "label", "confidence", "attack_type", "severity"]
+
+
 def _detected(spark, sf):
     return detect_batch(_packets(spark, sf), EVENT_DDOS_RATE, EVENT_SCAN_RATE, **_SMALL_TREES)
 
 
 def q_detect_flows(spark, sf):
     """The composed job: packets -> features -> reloaded model -> gate -> type -> severity."""
-    return _detected(spark, sf).select(
-        "packet_id", "ts", "src_ip", "dst_ip", "dst_port", "proto", "dl_error", "dl_score", "ml_prob",
-        "final_score", "label", "confidence", "attack_type", "severity")
+    return _detected(spark, sf).select(*_VERDICT_COLS)
 
 
 def q_detect_report(spark, sf):
@@ -460,7 +544,11 @@ QUERIES = {
     "permutation_importance": q_permutation_importance,
     "stream_flow_features": q_stream_flow_features,
     "stream_flow_summary": q_stream_flow_summary,
+    "flow_sessions": q_flow_sessions,
+    "stream_late": q_stream_late,
+    "stream_detect": q_stream_detect,
     "stream_scores": q_stream_scores,
+    "stream_scores_resumed": q_stream_scores_resumed,
     "stream_counters": q_stream_counters,
     "stream_timeline": q_stream_timeline,
     "stream_alerts": q_stream_alerts,

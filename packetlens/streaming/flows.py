@@ -1,64 +1,62 @@
-"""ST1: streaming flow features with per-conversation state.
-
-``groupBy(conversation).applyInPandasWithState``: each micro-batch hands a
-conversation's new packets (sorted by time, id) to a vectorised update that
-continues the running statistics kept in state -- counts, integer sums,
-maxima/minima, the last timestamp per role, shifted gap sums for the
-standard deviations and cumulative counts per header level -- and emits the
-same rows as the batch ``flow_features``. State is a fixed-size row per
-conversation; with ``idle_seconds`` it expires on an event-time timeout
-(replacing the tracker's FIFO eviction).
-
-Order: packets are ordered within a micro-batch. Feed time-ordered batches
-(files / offsets in time order, or a watermark delay that covers disorder).
+"""ST1-ST3, ST8: streaming flow features, idle-gap sessions, order and late rows.
+
+``groupBy(shard).transformWithStateInPandas``: a shard is a hash of the conversation,
+so one call of the processor brings a micro-batch's packets of many conversations at
+once, and the update of their running statistics is one pass of array operations.
+
+*Order.* With ``delay_seconds`` packets wait in map state, by time slot, until the
+watermark has passed the slot's end: an event-time timer then releases the slot's packets
+in the order (time, id). So files may come in any order within the delay. Without a
+delay each micro-batch is sorted and processed as it comes; batches must then be in
+time order.
+
+*Late packets.* A packet behind the watermark can no longer be put in order. It is
+not tracked but goes out as a row of kind ``late``, so that nothing is lost
+unnoticed: kept + late + waiting = input.
+
+*Sessions.* With ``idle_seconds`` a conversation that was silent for longer starts
+anew: its statistics begin again with the next packet, wherever micro-batches end.
+The session's last emission goes out as a row of kind ``session`` once its gap is
+seen, or once the watermark has passed it; its state is dropped. This replaces the
+tracker's FIFO eviction.
+
+State of a conversation is one record of fixed size, with exact integer moments (sums of
+squared gaps as 128 bits), so values don't depend on how packets are dealt to
+micro-batches. A waiting packet takes some 60 bytes. One conversation's packets are
+followed in one task, in chunks of ``CHUNK`` packets.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from packetlens.operators.flows import CONV, MAX_HDR_LEVEL, MIN_DURATION_S, _prepared
 from packetlens.schemas import FEATURES
 
 LEVELS = MAX_HDR_LEVEL + 1
-_LONGS = ["start_us", "nF", "sumF", "sqF", "maxF", "nB", "sumB", "maxB", "minB",
-          "nFB", "sumFB", "minFB", "lastF", "lastB", "lastFB",
-          "gF_n", "gF_sum", "gF_max", "gB_n", "gB_sum", "gFB_n"]
-_DOUBLES = ["gF_k", "gF_s1", "gF_s2", "gFB_k", "gFB_s1", "gFB_s2"]
-
-_FIELDS = ["init_lo", "seen"] + _LONGS + ["e_pid", "e_ts", "e_len"]
-_NULL = np.iinfo(np.int64).min
-
-# State is one binary value per conversation: the integer fields, the 31
-# level counts, then the float fields and the last emitted feature row, as
-# packed int64 / float64 arrays (a single field keeps the per-group state
-# transfer small).
-STATE = T.StructType([T.StructField("blob", T.BinaryType())])
-
-
-def _pack(st: dict) -> bytes:
-    ints = [_NULL if st[k] is None else int(st[k]) for k in _FIELDS] + [int(v) for v in st["hist"]]
-    flts = [np.nan if st[k] is None else float(st[k]) for k in _DOUBLES]
-    feats = st["e_feats"] if st["e_feats"] is not None else [np.nan] * len(FEATURES)
-    return (np.array(ints, dtype="int64").tobytes() + np.array(flts + list(feats), dtype="float64").tobytes())
-
-
-def _unpack(blob: bytes) -> dict:
-    ni = len(_FIELDS) + LEVELS
-    ints = np.frombuffer(blob, dtype="int64", count=ni)
-    flts = np.frombuffer(blob, dtype="float64", offset=ni * 8)
-    st = {k: (None if v == _NULL else int(v)) for k, v in zip(_FIELDS, ints[:len(_FIELDS)])}
-    st["init_lo"], st["seen"] = bool(st["init_lo"]), bool(st["seen"])
-    st["hist"] = ints[len(_FIELDS):].tolist()
-    st.update({k: (None if np.isnan(v) else float(v)) for k, v in zip(_DOUBLES, flts[:len(_DOUBLES)])})
-    feats = flts[len(_DOUBLES):]
-    st["e_feats"] = None if st["e_pid"] is None else feats.tolist()
-    return st
-
+CHUNK = 200_000
+SEP = "\x1f"
+_NONE, _BIG = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+
+_LONGS = ["nF", "sumF", "sqF", "nB", "sumB", "nFB", "sumFB", "gF_n", "gF_sum", "gB_n", "gB_sum", "gFB_n", "gFB_sum"]
+_TOPS = ["maxF", "maxB", "gF_max"]          # running maxima
+_LOWS = ["minB", "minFB"]                   # running minima
+_LASTS = ["lastF", "lastB", "lastFB"]       # last time of each role
+STATE = np.dtype([("last_us", "<i8"), ("start_us", "<i8"), ("init_lo", "?"), ("replies", "<i8"),
+                  *[(k, "<i8") for k in (*_LONGS, *_TOPS, *_LOWS, *_LASTS)], ("above", "<i8", (LEVELS,)),
+                  ("gF_sq", "<u8", (2,)), ("gFB_sq", "<u8", (2,)),
+                  ("emitted", "?"), ("e_pid", "<i8"), ("e_us", "<i8"), ("e_len", "<i8"), ("e_feats", "<f8", (len(FEATURES),))])
+
+PACKET_ROWS = pa.schema([("conv", pa.string()), ("packet_id", pa.int64()), ("ts_us", pa.int64()), ("pkt_len", pa.int64()),
+                         ("from_lo", pa.bool_()), ("hdr", pa.int64()), ("win", pa.int64())])
 
 OUTPUT = T.StructType(
     [T.StructField("packet_id", T.LongType()), T.StructField("ts", T.TimestampType()),
@@ -66,227 +64,337 @@ OUTPUT = T.StructType(
      T.StructField("src_port", T.IntegerType()), T.StructField("dst_port", T.IntegerType()),
      T.StructField("proto", T.IntegerType()), T.StructField("pkt_len", T.IntegerType())]
     + [T.StructField(n, T.DoubleType()) for n in FEATURES])
-
-# Per-packet input of the state update; endpoints come from the group key.
-INPUT_COLS = ["packet_id", "ts_us", "pkt_len", "from_lo", "hdr", "tcp_window"]
-
-
-def _run(prev, x, fn, mask):
-    """Running reduction of x over mask rows, continuing from ``prev`` (None = empty)."""
-    v = np.where(mask, x, np.nan).astype("float64")
-    if prev is not None:
-        v = np.concatenate([[float(prev)], v])
-    out = fn.accumulate(np.where(np.isnan(v), -np.inf if fn is np.maximum else np.inf, v))
-    out = out[1:] if prev is not None else out
-    bad = np.isinf(out)
-    return np.where(bad, np.nan, out)
-
-
-def _gaps(ts, mask, last):
-    """Gap of each masked row to the previous masked row (state ``last`` first)."""
-    idx = np.where(mask, np.arange(len(ts)), -1)
-    prev_idx = np.concatenate([[-1], np.maximum.accumulate(idx)[:-1]])
-    first = np.nan if last is None else float(last)
-    prev = np.where(prev_idx >= 0, ts[np.maximum(prev_idx, 0)].astype("float64"), first)
-    return np.where(mask, ts - prev, np.nan)
-
-
-def _endpoints(key, from_lo):
-    """(src_ip, dst_ip, src_port, dst_port) of packets sent from the lo / hi endpoint."""
-    lo_ip, lo_port, hi_ip, hi_port, _ = key
-    src_ip = np.where(from_lo, lo_ip, hi_ip)
-    dst_ip = np.where(from_lo, hi_ip, lo_ip)
-    src_port = np.where(from_lo, lo_port, hi_port).astype("int32")
-    dst_port = np.where(from_lo, hi_port, lo_port).astype("int32")
-    return src_ip, dst_ip, src_port, dst_port
-
-
-def _closed_row(key, st: dict) -> pd.DataFrame:
-    src_ip, dst_ip, src_port, dst_port = _endpoints(key, np.array([st["init_lo"]]))
-    row = {"packet_id": [st["e_pid"]], "ts": pd.to_datetime([st["e_ts"]], unit="us", utc=True),
-           "src_ip": src_ip, "dst_ip": dst_ip, "src_port": src_port, "dst_port": dst_port,
-           "proto": np.array([key[4]], dtype="int32"), "pkt_len": np.array([st["e_len"]], dtype="int32")}
-    row.update({n: [v] for n, v in zip(FEATURES, st["e_feats"])})
-    return pd.DataFrame(row)
-
-
-def _update(key, batches, state, min_duration: float, idle_ms: int | None = None,
-            summary: bool = False):
-    if state.hasTimedOut:
-        st = _unpack(state.get[0])
-        state.remove()
-        if summary and st.get("e_pid") is not None:
-            yield _closed_row(key, st)
-        return
-    parts = list(batches)
-    pdf = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
-    if pdf.empty:
-        return
-    order = np.lexsort((pdf["packet_id"].to_numpy(), pdf["ts_us"].to_numpy()))
-    if not np.array_equal(order, np.arange(len(order))):
-        pdf = pdf.iloc[order].reset_index(drop=True)
-    st = _unpack(state.get[0]) if state.exists else None
-    n = len(pdf)
-    ts = pdf["ts_us"].to_numpy(dtype="int64")
-    ln = pdf["pkt_len"].to_numpy(dtype="int64")
-    from_lo = pdf["from_lo"].to_numpy(dtype=bool)
-    init_lo = st["init_lo"] if st else bool(from_lo[0])
-    start_us = st["start_us"] if st else int(ts[0])
-    is_init = from_lo == init_lo
-    seen = np.logical_or.accumulate(~is_init) | (st["seen"] if st else False)
-    isF, isB = is_init & ~seen, ~is_init
+TRACKED = T.StructType([T.StructField("kind", T.StringType()), *OUTPUT.fields])
+
+
+def _fresh(n: int) -> np.ndarray:
+    """Records of conversations without a packet."""
+    s = np.zeros(n, STATE)
+    for k in ("start_us", *_TOPS, *_LASTS):
+        s[k] = _NONE
+    for k in _LOWS:
+        s[k] = _BIG
+    return s
+
+
+class _Segments:
+    """Runs of rows that belong together, with running values inside each."""
+
+    def __init__(self, starts: np.ndarray, n: int):
+        self.n, self.first_of = n, starts
+        self.last_of = np.append(starts[1:], n) - 1
+        self.seg = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
+        self.first = starts[self.seg]
+        self.place = np.arange(n) - self.first
+
+    def sums(self, x: np.ndarray, prior: np.ndarray) -> np.ndarray:
+        c = np.cumsum(x, axis=0)
+        return c - (c - x)[self.first] + prior[self.seg]
+
+    def tops(self, x: np.ndarray, prior: np.ndarray, op=np.maximum) -> np.ndarray:
+        step, longest = 1, int(self.place.max(initial=0))
+        while step <= longest:
+            ahead = x.copy()
+            ahead[step:] = np.where(self.place[step:] >= step, op(x[step:], x[:-step]), x[step:])
+            x, step = ahead, step * 2
+        return op(x, prior[self.seg])
+
+    def last_time(self, ts: np.ndarray, mask: np.ndarray, prior: np.ndarray) -> np.ndarray:
+        """Time of the last masked row up to each row (``_NONE``: there is none)."""
+        at = np.maximum.accumulate(np.where(mask, np.arange(self.n), -1))
+        return np.where(at >= self.first, ts[np.maximum(at, 0)], prior[self.seg])
+
+    def before(self, x: np.ndarray, prior: np.ndarray) -> np.ndarray:
+        """``x`` of the row before in the run; ``prior`` at its start."""
+        out = np.empty_like(x)
+        out[1:] = x[:-1]
+        out[self.first_of] = prior
+        return out
+
+
+def _big(words: np.ndarray) -> np.ndarray:
+    return words[:, 0].astype(object) * (1 << 64) + words[:, 1].astype(object)
+
+
+def _std(n: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> np.ndarray:
+    """Population deviation from exact integer moments."""
+    spread = (n.astype(object) * s2 - s1.astype(object) * s1.astype(object)).astype(np.float64)
+    return np.sqrt(np.maximum(spread, 0.0)) / np.maximum(n, 1)
+
+
+def advance(seg: _Segments, p: dict[str, np.ndarray], state: np.ndarray, min_duration: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Continue ``state`` (one record a run) over the packets ``p``: the rows
+    that emit, the 30 features of each, and the new state."""
+    ts, ln, from_lo, hdr = p["ts_us"], p["pkt_len"], p["from_lo"], p["hdr"]
+    new = state["start_us"] == _NONE
+    state["start_us"] = np.where(new, ts[seg.first_of], state["start_us"])
+    state["init_lo"] = np.where(new, from_lo[seg.first_of], state["init_lo"])
+    is_init = from_lo == state["init_lo"][seg.seg]
+    replies = seg.sums((~is_init).astype(np.int64), state["replies"])
+    isF, isB = is_init & (replies == 0), ~is_init
     isFB = isF | isB
-
-    def g(name, default=0):
-        return (st[name] if st and st[name] is not None else default)
-
-    cnt = lambda m, s0: s0 + np.cumsum(m.astype("int64"))
-    nF, nB, nFB = cnt(isF, g("nF")), cnt(isB, g("nB")), cnt(isFB, g("nFB"))
-    sumF = g("sumF") + np.cumsum(np.where(isF, ln, 0))
-    sqF = g("sqF") + np.cumsum(np.where(isF, ln * ln, 0))
-    sumB = g("sumB") + np.cumsum(np.where(isB, ln, 0))
-    sumFB = g("sumFB") + np.cumsum(np.where(isFB, ln, 0))
-    maxF = _run(g("maxF", None), ln, np.maximum, isF)
-    maxB = _run(g("maxB", None), ln, np.maximum, isB)
-    minB = _run(g("minB", None), ln, np.minimum, isB)
-    minFB = _run(g("minFB", None), ln, np.minimum, isFB)
-
-    gF, gB, gFB = (_gaps(ts, isF, g("lastF", None)), _gaps(ts, isB, g("lastB", None)),
-                   _gaps(ts, isFB, g("lastFB", None)))
-    vF, vB, vFB = ~np.isnan(gF), ~np.isnan(gB), ~np.isnan(gFB)
-    gF_n, gB_n, gFB_n = cnt(vF, g("gF_n")), cnt(vB, g("gB_n")), cnt(vFB, g("gFB_n"))
-    gF_sum = g("gF_sum") + np.cumsum(np.where(vF, np.nan_to_num(gF), 0).astype("int64"))
-    gB_sum = g("gB_sum") + np.cumsum(np.where(vB, np.nan_to_num(gB), 0).astype("int64"))
-    gF_max = _run(g("gF_max", None), np.nan_to_num(gF), np.maximum, vF)
-
-    def shifted(gap, valid, k0, s10, s20):
-        k = k0 if k0 is not None else (float(gap[valid][0]) if valid.any() else None)
-        if k is None:
-            return None, np.full(n, s10 or 0.0), np.full(n, s20 or 0.0)
-        d = np.where(valid, gap - k, 0.0)
-        return k, (s10 or 0.0) + np.cumsum(d), (s20 or 0.0) + np.cumsum(d * d)
-
-    kF, s1F, s2F = shifted(gF, vF, st["gF_k"] if st else None, g("gF_s1", 0.0), g("gF_s2", 0.0))
-    kFB, s1FB, s2FB = shifted(gFB, vFB, st["gFB_k"] if st else None, g("gFB_s1", 0.0), g("gFB_s2", 0.0))
-
-    hdr = pdf["hdr"].to_numpy(dtype="int64")
-    src_ip, dst_ip, src_port, dst_port = _endpoints(key, from_lo)
-    lvl = np.floor((ln - 1) / 4).astype("int64")
-    above = (isF[:, None] & (lvl[:, None] >= np.arange(LEVELS)[None, :])).astype("int64")
-    hist0 = np.array(st["hist"] if st else [0] * LEVELS, dtype="int64")
-    hist = hist0[None, :] + np.cumsum(above, axis=0)
-    act = hist[np.arange(n), np.clip(hdr // 4, 0, LEVELS - 1)]
-
-    def std_pop(s1, s2, cnt_):
-        with np.errstate(invalid="ignore", divide="ignore"):
-            m = s1 / cnt_
-            return np.sqrt(np.maximum(s2 / cnt_ - m * m, 0.0))
-
-    with np.errstate(invalid="ignore", divide="ignore"):
-        avgF = sumF / nF
-        avgB = np.where(nB > 0, sumB / np.maximum(nB, 1), 0.0)
-        avgFB = np.where(nFB > 0, sumFB / np.maximum(nFB, 1), 0.0)
-        varF = (nF * sqF - sumF * sumF) / (nF.astype("float64") ** 2)
-    stdF = np.sqrt(np.maximum(np.nan_to_num(varF), 0.0))
-    us = 1e6
-    z = lambda a: np.nan_to_num(a, nan=0.0)
+    zero = np.zeros(seg.n, np.int64)
+
+    run = {"replies": replies}
+    for role, mask in (("F", isF), ("B", isB), ("FB", isFB)):
+        run[f"n{role}"] = seg.sums(mask.astype(np.int64), state[f"n{role}"])
+        run[f"sum{role}"] = seg.sums(np.where(mask, ln, 0), state[f"sum{role}"])
+        run[f"last{role}"] = seg.last_time(ts, mask, state[f"last{role}"])
+        was = seg.before(run[f"last{role}"], state[f"last{role}"])
+        has = mask & (was != _NONE)
+        gap = np.where(has, ts - np.where(has, was, 0), 0)
+        run[f"g{role}_n"] = seg.sums(has.astype(np.int64), state[f"g{role}_n"])
+        run[f"g{role}_sum"] = seg.sums(gap, state[f"g{role}_sum"])
+        if role != "B":
+            run[f"g{role}_sq"] = seg.sums(gap.astype(object) * gap, _big(state[f"g{role}_sq"]))
+        if role == "F":
+            run["gF_max"] = seg.tops(np.where(has, gap, _NONE), state["gF_max"])
+    run["sqF"] = seg.sums(np.where(isF, ln * ln, 0), state["sqF"])
+    run["maxF"] = seg.tops(np.where(isF, ln, _NONE), state["maxF"])
+    run["maxB"] = seg.tops(np.where(isB, ln, _NONE), state["maxB"])
+    run["minB"] = seg.tops(np.where(isB, ln, _BIG), state["minB"], np.minimum)
+    run["minFB"] = seg.tops(np.where(isFB, ln, _BIG), state["minFB"], np.minimum)
+    level = np.floor_divide(ln - 1, 4)
+    run["above"] = seg.sums((isF[:, None] & (level[:, None] >= np.arange(LEVELS))).astype(np.int64), state["above"])
+
+    emit = np.flatnonzero(is_init & (run["nF"] >= 2))
+    r = {k: v[emit] for k, v in run.items()}
+    or0 = lambda x, none: np.where(x == none, 0, x)
+    mean = lambda total, n: np.where(n > 0, total / np.maximum(n, 1), 0.0)
+    us, own = 1e6, {"hdr": hdr[emit], "ts": ts[emit]}
     feats = {
-        'Destination Port': dst_port.astype("float64"),
-        'Total Fwd Packets': nF, 'Total Length of Fwd Packets': sumF,
-        'Fwd Packet Length Max': maxF, 'Fwd Packet Length Mean': avgF, 'Fwd Packet Length Std': stdF,
-        'Bwd Packet Length Max': z(maxB), 'Bwd Packet Length Min': z(minB),
-        'Bwd Packet Length Mean': avgB, 'Min Packet Length': z(minFB), 'Packet Length Mean': avgFB,
-        'Fwd Packets/s': nF / np.maximum((ts - start_us) / us, min_duration),
-        'Fwd Header Length': hdr, 'Fwd Header Length.1': hdr,
-        'Fwd IAT Total': gF_sum / us,
-        'Fwd IAT Mean': np.where(gF_n > 0, gF_sum / np.maximum(gF_n, 1) / us, 0.0),
-        'Fwd IAT Std': z(std_pop(s1F, s2F, gF_n)) / us,
-        'Fwd IAT Max': z(gF_max) / us,
-        'Bwd IAT Mean': np.where(gB_n > 0, gB_sum / np.maximum(gB_n, 1) / us, 0.0),
-        'Flow IAT Std': z(std_pop(s1FB, s2FB, gFB_n)) / us,
-        'Average Packet Size': avgFB, 'Avg Fwd Segment Size': avgF, 'Avg Bwd Segment Size': avgB,
-        'Subflow Fwd Packets': nF, 'Subflow Fwd Bytes': sumF, 'Subflow Bwd Packets': nB,
-        'Down/Up Ratio': nB / np.maximum(nF, 1),
-        'Init_Win_bytes_forward': (pdf["tcp_window"].fillna(0).to_numpy("float64") if key[4] == 6
-                                   else np.zeros(n)),
-        'Init_Win_bytes_backward': np.zeros(n),
-        'act_data_pkt_fwd': act,
-    }
-    emit = is_init & (nF >= 2)
-    cols = {"packet_id": pdf["packet_id"].to_numpy()[emit],
-            "ts": pd.to_datetime(ts[emit], unit="us", utc=True),
-            "src_ip": src_ip[emit], "dst_ip": dst_ip[emit], "src_port": src_port[emit],
-            "dst_port": dst_port[emit], "proto": np.full(int(emit.sum()), key[4], dtype="int32"),
-            "pkt_len": ln[emit].astype("int32")}
-    cols.update({name: np.asarray(feats[name], dtype="float64")[emit] for name in FEATURES})
-    out = pd.DataFrame(cols)
-
-    last = n - 1
-    nz = lambda a: None if np.isnan(a[last]) else int(a[last])
-    lastv = lambda m, prev: int(ts[m][-1]) if m.any() else prev
-    new = {
-        "init_lo": bool(init_lo), "seen": bool(seen[last]), "start_us": int(start_us),
-        "nF": int(nF[last]), "sumF": int(sumF[last]), "sqF": int(sqF[last]), "maxF": nz(maxF),
-        "nB": int(nB[last]), "sumB": int(sumB[last]), "maxB": nz(maxB), "minB": nz(minB),
-        "nFB": int(nFB[last]), "sumFB": int(sumFB[last]), "minFB": nz(minFB),
-        "lastF": lastv(isF, g("lastF", None)), "lastB": lastv(isB, g("lastB", None)),
-        "lastFB": lastv(isFB, g("lastFB", None)),
-        "gF_n": int(gF_n[last]), "gF_sum": int(gF_sum[last]), "gF_max": nz(gF_max),
-        "gB_n": int(gB_n[last]), "gB_sum": int(gB_sum[last]), "gFB_n": int(gFB_n[last]),
-        "gF_k": kF, "gF_s1": float(s1F[last]), "gF_s2": float(s2F[last]),
-        "gFB_k": kFB, "gFB_s1": float(s1FB[last]), "gFB_s2": float(s2FB[last]),
-        "hist": [int(v) for v in hist[last]],
+        'Destination Port': p["dst_port"][emit],
+        'Total Fwd Packets': r["nF"], 'Total Length of Fwd Packets': r["sumF"],
+        'Fwd Packet Length Max': or0(r["maxF"], _NONE), 'Fwd Packet Length Mean': mean(r["sumF"], r["nF"]),
+        'Fwd Packet Length Std': _std(r["nF"], r["sumF"], r["sqF"].astype(object)),
+        'Bwd Packet Length Max': or0(r["maxB"], _NONE), 'Bwd Packet Length Min': or0(r["minB"], _BIG),
+        'Bwd Packet Length Mean': mean(r["sumB"], r["nB"]),
+        'Min Packet Length': or0(r["minFB"], _BIG), 'Packet Length Mean': mean(r["sumFB"], r["nFB"]),
+        'Fwd Packets/s': r["nF"] / np.maximum((own["ts"] - state["start_us"][seg.seg[emit]]) / us, min_duration),
+        'Fwd Header Length': own["hdr"], 'Fwd Header Length.1': own["hdr"],
+        'Fwd IAT Total': r["gF_sum"] / us, 'Fwd IAT Mean': mean(r["gF_sum"], r["gF_n"]) / us,
+        'Fwd IAT Std': _std(r["gF_n"], r["gF_sum"], r["gF_sq"]) / us, 'Fwd IAT Max': or0(r["gF_max"], _NONE) / us,
+        'Bwd IAT Mean': mean(r["gB_sum"], r["gB_n"]) / us,
+        'Flow IAT Std': _std(r["gFB_n"], r["gFB_sum"], r["gFB_sq"]) / us,
+        'Average Packet Size': mean(r["sumFB"], r["nFB"]), 'Avg Fwd Segment Size': mean(r["sumF"], r["nF"]),
+        'Avg Bwd Segment Size': mean(r["sumB"], r["nB"]),
+        'Subflow Fwd Packets': r["nF"], 'Subflow Fwd Bytes': r["sumF"], 'Subflow Bwd Packets': r["nB"],
+        'Down/Up Ratio': r["nB"] / np.maximum(r["nF"], 1),
+        'Init_Win_bytes_forward': p["win"][emit], 'Init_Win_bytes_backward': zero[emit],
+        'act_data_pkt_fwd': r["above"][np.arange(len(emit)), np.clip(own["hdr"] // 4, 0, LEVELS - 1)],
     }
-    for k in ("e_pid", "e_ts", "e_len", "e_feats"):
-        new[k] = st[k] if st else None
-    if len(out):
-        i = np.flatnonzero(emit)[-1]
-        new.update({"e_pid": int(cols["packet_id"][-1]), "e_ts": int(ts[i]), "e_len": int(ln[i]),
-                    "e_feats": [float(cols[n][-1]) for n in FEATURES]})
-    state.update((_pack(new),))
-    if idle_ms:
-        state.setTimeoutTimestamp(int(ts[last] // 1000) + idle_ms)
-    if len(out) and not summary:
-        yield out
-
-
-def stream_flow_features(packets: DataFrame, idle_seconds: float | None = None,
-                         min_duration: float = MIN_DURATION_S) -> DataFrame:
-    """ST1 (+ ST3 with ``idle_seconds``): FL1 on a streaming packet DataFrame."""
+    table = np.column_stack([np.asarray(feats[n], np.float64) for n in FEATURES]) if len(emit) else np.empty((0, len(FEATURES)))
+
+    after = state.copy()
+    for k, v in run.items():
+        last = v[seg.last_of]
+        if k.endswith("_sq"):
+            after[k][:, 0] = np.array([x >> 64 for x in last], np.uint64)
+            after[k][:, 1] = np.array([x & (2**64 - 1) for x in last], np.uint64)
+        else:
+            after[k] = last
+    after["last_us"] = ts[seg.last_of]
+    if len(emit):
+        at = np.searchsorted(emit, seg.last_of, "right") - 1   # the run's last emission, if it has one
+        has = (at >= 0) & (emit[np.maximum(at, 0)] >= seg.first_of)
+        row = emit[at[has]]
+        for k, v in (("e_pid", p["packet_id"][row]), ("e_us", ts[row]), ("e_len", ln[row]), ("e_feats", table[at[has]]), ("emitted", True)):
+            after[k][has] = v
+    return emit, table, after
+
+
+def _rows(kind: str, conv: np.ndarray, from_lo: np.ndarray, pid, us, ln, feats: np.ndarray | None) -> pd.DataFrame:
+    """Output rows; the endpoints are read back from the conversation's key."""
+    parts = [c.split(SEP) for c in conv]
+    ends = [(x[0], x[2], int(x[1]), int(x[3])) if lo else (x[2], x[0], int(x[3]), int(x[1])) for x, lo in zip(parts, from_lo)]
+    src, dst, sport, dport = zip(*ends) if ends else ((), (), (), ())
+    out = {"kind": [kind] * len(parts), "packet_id": np.asarray(pid, np.int64), "ts": pd.to_datetime(np.asarray(us, np.int64), unit="us", utc=True),
+           "src_ip": list(src), "dst_ip": list(dst), "src_port": np.array(sport, np.int32), "dst_port": np.array(dport, np.int32),
+           "proto": np.array([int(x[4]) for x in parts], np.int32), "pkt_len": np.asarray(ln, np.int32)}
+    values = np.full((len(parts), len(FEATURES)), np.nan) if feats is None else feats
+    out.update({n: values[:, i] for i, n in enumerate(FEATURES)})
+    return pd.DataFrame(out)
+
+
+class FlowTracker(StatefulProcessor):
+    """Follows the conversations of one shard."""
+
+    def __init__(self, emit: tuple[str, ...], min_duration: float, delayed: bool, slot_us: int, idle_us: int | None):
+        self.emit, self.min_duration, self.delayed, self.slot_us, self.idle_us = emit, min_duration, delayed, slot_us, idle_us
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.flows = handle.getMapState("flows", "conv string", "state binary")
+        if self.delayed:
+            self.waiting = handle.getMapState("waiting", "slot long", "packets binary")
+        if self.idle_us is not None:
+            self.closing = handle.getMapState("closing", "slot long", "convs string")
+        self.seen: dict = {}
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        packets = pa.concat_tables([pa.Table.from_pandas(x[PACKET_ROWS.names], PACKET_ROWS, preserve_index=False) for x in rows])
+        if not self.delayed:
+            yield from self.track(packets)
+            return
+        ts = packets["ts_us"].to_numpy()
+        late = ts < timerValues.getCurrentWatermarkInMs() * 1000
+        if late.any():
+            x = packets.filter(pa.array(late)).to_pandas()
+            yield _rows("late", x.conv.to_numpy(), x.from_lo.to_numpy(), x.packet_id, x.ts_us, x.pkt_len, None)
+            packets, ts = packets.filter(pa.array(~late)), ts[~late]
+        slots = np.floor_divide(ts, self.slot_us)
+        for slot in np.unique(slots).tolist():
+            mine = packets.filter(pa.array(slots == slot))
+            old = self.waiting.getValue((slot,))
+            if old is None:
+                self.wake_after(slot)
+            else:
+                mine = pa.concat_tables([pa.ipc.open_stream(bytes(old[0])).read_all(), mine])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, PACKET_ROWS) as w:
+                w.write_table(mine)
+            self.waiting.updateValue((slot,), (sink.getvalue().to_pybytes(),))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        if self.seen.get(key) == now:   # several timers of a shard ring at one watermark
+            return
+        self.seen[key] = now
+        due = lambda state: sorted(s for (s,) in list(state.keys()) if (s + 1) * self.slot_us <= now)
+        if self.delayed:
+            held, n = [], 0
+            for slot in due(self.waiting):
+                held.append(pa.ipc.open_stream(bytes(self.waiting.getValue((slot,))[0])).read_all())
+                self.waiting.removeKey((slot,))
+                n += held[-1].num_rows
+                if n >= CHUNK:
+                    yield from self.track(pa.concat_tables(held))
+                    held, n = [], 0
+            if held:
+                yield from self.track(pa.concat_tables(held))
+        if self.idle_us is not None:
+            for slot in due(self.closing):
+                convs = self.closing.getValue((slot,))[0].split("\n")
+                self.closing.removeKey((slot,))
+                yield from self.close_idle(convs, (slot + 1) * self.slot_us)
+
+    def wake_after(self, slot: int) -> None:
+        self.handle.registerTimer((slot + 1) * self.slot_us // 1000)
+
+    def track(self, packets: pa.Table) -> Iterator[pd.DataFrame]:
+        packets = packets.sort_by([("conv", "ascending"), ("ts_us", "ascending"), ("packet_id", "ascending")])
+        for at in range(0, packets.num_rows, CHUNK):
+            yield from self.track_sorted(packets.slice(at, CHUNK))
+
+    def track_sorted(self, packets: pa.Table) -> Iterator[pd.DataFrame]:
+        conv = np.array(packets["conv"].to_pylist(), object)
+        p = {k: packets[k].to_numpy() for k in PACKET_ROWS.names[1:]}
+        n = len(conv)
+        starts = np.flatnonzero(np.append(True, conv[1:] != conv[:-1]))   # of conversations
+        keys = conv[starts]
+        held = _fresh(len(keys))
+        for i, k in enumerate(keys):
+            if (old := self.flows.getValue((k,))) is not None:
+                held[i] = np.frombuffer(bytes(old[0]), STATE)[0]
+        opens = np.zeros(n, bool)
+        opens[starts] = True
+        if self.idle_us is not None:
+            before = np.append(0, p["ts_us"][:-1])
+            before[starts] = np.where(held["start_us"] == _NONE, p["ts_us"][starts], held["last_us"])
+            idle = p["ts_us"] - before > self.idle_us
+            ended = idle[starts]
+            yield from self.sessions(keys[ended], held[ended])
+            held[ended] = _fresh(1)[0]
+            opens |= idle
+        seg = _Segments(np.flatnonzero(opens), n)
+        # a conversation's first run goes on from its state, later ones begin anew
+        which = np.searchsorted(starts, seg.first_of, "right") - 1
+        state = _fresh(len(seg.first_of))
+        goes_on = seg.first_of == starts[which]
+        state[goes_on] = held[which[goes_on]]
+        p["dst_port"] = np.array([int(c[3] if lo else c[1]) for c, lo in
+                                  zip((k.split(SEP) for k in conv), p["from_lo"])], np.int64)
+        if "kept" in self.emit:
+            yield _rows("kept", conv, p["from_lo"], p["packet_id"], p["ts_us"], p["pkt_len"], None)
+        emit, feats, after = advance(seg, p, state, self.min_duration)
+        if "flow" in self.emit and len(emit):
+            yield _rows("flow", conv[emit], p["from_lo"][emit], p["packet_id"][emit], p["ts_us"][emit], p["pkt_len"][emit], feats)
+        last = np.append(which[1:] != which[:-1], True)   # the conversation's open run
+        yield from self.sessions(keys[which[~last]], after[~last])
+        for k, s in zip(keys[which[last]], after[last]):
+            self.flows.updateValue((k,), (s.tobytes(),))
+        if self.idle_us is not None:
+            slots = np.floor_divide(after["last_us"][last] + self.idle_us, self.slot_us)
+            for slot in np.unique(slots).tolist():
+                old = self.closing.getValue((slot,))
+                if old is None:
+                    self.wake_after(slot)
+                mine = [*([] if old is None else [old[0]]), *keys[which[last]][slots == slot]]
+                self.closing.updateValue((slot,), ("\n".join(mine),))
+
+    def sessions(self, keys: np.ndarray, states: np.ndarray) -> Iterator[pd.DataFrame]:
+        """The last emissions of closed sessions."""
+        has = states["emitted"]
+        if "session" in self.emit and has.any():
+            s = states[has]
+            yield _rows("session", keys[has], s["init_lo"], s["e_pid"], s["e_us"], s["e_len"], s["e_feats"])
+
+    def close_idle(self, convs: list[str], end_us: int) -> Iterator[pd.DataFrame]:
+        keys, states = [], []
+        for k in dict.fromkeys(convs):
+            old = self.flows.getValue((k,))
+            if old is not None and (s := np.frombuffer(bytes(old[0]), STATE))["last_us"][0] + self.idle_us < end_us:
+                self.flows.removeKey((k,))
+                keys.append(k)
+                states.append(s)
+        if keys:
+            yield from self.sessions(np.array(keys, object), np.concatenate(states))
+
+    def close(self) -> None:
+        pass
+
+
+def _keep_state_in_rocksdb(spark: SparkSession) -> None:
+    """transformWithState needs this provider; set where another one is."""
+    name, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    if spark.conf.get(name) != provider:
+        spark.conf.set(name, provider)
+
+
+def track_flows(packets: DataFrame, emit: tuple[str, ...] = ("flow",), delay_seconds: float | None = None,
+                idle_seconds: float | None = None, slot_seconds: float = 60, shards: int = 64,
+                min_duration: float = MIN_DURATION_S) -> DataFrame:
+    """Rows of kind ``flow`` (emissions), ``session`` (closed sessions), ``kept`` (each
+    tracked packet), as ``emit`` asks, and ``late`` (packets behind the watermark) from
+    a streaming packet DataFrame."""
     from packetlens.session import ship_package
-    ship_package(packets.sparkSession)
-    prepared = _prepared(packets)
-    cols = INPUT_COLS
-    timeout = GroupStateTimeout.NoTimeout
-    idle_ms = None
-    if idle_seconds:
-        idle_ms = int(idle_seconds * 1000)
-        timeout = GroupStateTimeout.EventTimeTimeout
-        prepared = prepared.withWatermark("ts", f"{int(idle_seconds)} seconds")
-        cols = INPUT_COLS + ["ts"]
-
-    def fn(key, batches, state):
-        yield from _update(key, batches, state, min_duration, idle_ms)
-
-    return (prepared.select(*CONV, *cols)
-            .groupBy(*CONV)
-            .applyInPandasWithState(fn, OUTPUT, STATE, "append", timeout))
-
-
-def stream_flow_summary(packets: DataFrame, idle_seconds: float,
-                        min_duration: float = MIN_DURATION_S) -> DataFrame:
-    """ST2 + ST3: one row per closed conversation (idle for ``idle_seconds`` of
-    event time): its last emission, as ``flow_summary`` gives it. State is
-    one fixed-size row per open conversation; nothing is collected."""
-    from packetlens.session import ship_package
-    ship_package(packets.sparkSession)
-    prepared = _prepared(packets).withWatermark("ts", f"{int(idle_seconds)} seconds")
-    cols = INPUT_COLS + ["ts"]          # the watermark column must stay in the input
-    idle_ms = int(idle_seconds * 1000)
-
-    def fn(key, batches, state):
-        yield from _update(key, batches, state, min_duration, idle_ms, summary=True)
-
-    return (prepared.select(*CONV, *cols)
-            .groupBy(*CONV)
-            .applyInPandasWithState(fn, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout))
+    spark = packets.sparkSession
+    ship_package(spark)
+    _keep_state_in_rocksdb(spark)
+    timed = delay_seconds is not None
+    if idle_seconds is not None and not timed:
+        raise ValueError("idle_seconds needs delay_seconds: the watermark closes idle sessions")
+    src = packets.withWatermark("ts", f"{int(delay_seconds * 1000)} milliseconds") if timed else packets
+    prepared = _prepared(src)
+    # the time travels as a number: late packets reach the tracker instead of being dropped
+    rows = prepared.select(
+        F.pmod(F.xxhash64(*CONV), F.lit(shards)).cast("int").alias("shard"), F.concat_ws(SEP, *[F.col(c).cast("string") for c in CONV]).alias("conv"),
+        "packet_id", "ts_us", F.col("pkt_len").cast("long"), "from_lo", F.col("hdr").cast("long"),
+        F.when(F.col("proto") == 6, F.coalesce("tcp_window", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("win"))
+    tracker = FlowTracker(tuple(emit), min_duration, timed, max(1000, int(slot_seconds * 1000) * 1000),
+                          None if idle_seconds is None else int(idle_seconds * 1e6))
+    return rows.groupBy("shard").transformWithStateInPandas(tracker, TRACKED, "Append", "EventTime" if timed else "None")
+
+
+def stream_flow_features(packets: DataFrame, delay_seconds: float | None = None, **options) -> DataFrame:
+    """ST1: FL1 on a streaming packet DataFrame. With ``delay_seconds`` packets may
+    come in any order within the delay; without, micro-batches are in time order."""
+    out = track_flows(packets, ("flow",), delay_seconds, **options)
+    return out.where("kind = 'flow'").drop("kind")
+
+
+def stream_flow_summary(packets: DataFrame, idle_seconds: float, delay_seconds: float | None = None, **options) -> DataFrame:
+    """ST2 + ST3: one row per closed session (a conversation silent for more than
+    ``idle_seconds``): its last emission. The delay is the idle time unless given."""
+    out = track_flows(packets, ("session",), idle_seconds if delay_seconds is None else delay_seconds, idle_seconds, **options)
+    return out.where("kind = 'session'").drop("kind")
