@@ -269,23 +269,17 @@ def evaluate_models(df: DataFrame, features, label: str, benign: str, k: int = 8
     threshold, trees = probability > 0.5, hybrid = live verdict. One metrics
     row per model (see ``stats.evaluate``).
     """
-    from packetlens.operators.stats import evaluate
+    from packetlens.operators.stats import evaluate_all
     train, test = df.randomSplit([1 - test_fraction, test_fraction], seed=seed)
     h = fit_hybrid(train, features, label, benign, k=k, quantile=quantile, **tree_kw)
     scored = h.score_live(test).withColumn("truth", F.col(label).cast("int"))
     thr = F.lit(float(h.threshold))
-    parts = {
-        "anomaly": scored.select("truth", (F.col("dl_error") > thr).cast("int").alias("prediction"),
-                                 F.col("dl_error").alias("score")),
-        "trees": scored.select("truth", (F.col("ml_prob") > 0.5).cast("int").alias("prediction"),
-                               F.col("ml_prob").alias("score")),
-        "hybrid": scored.select("truth", (F.col("label") == "ATTACK").cast("int").alias("prediction"),
-                                F.col("final_score").alias("score")),
-    }
-    out = None
-    for name, part in parts.items():
-        m = evaluate(part).withColumn("model", F.lit(name))
-        out = m if out is None else out.unionByName(m)
+    verdicts = {"anomaly": (F.col("dl_error") > thr, "dl_error"), "trees": (F.col("ml_prob") > 0.5, "ml_prob"),
+                "hybrid": (F.col("label") == "ATTACK", "final_score")}
+    # one long table: the scored rows are read once for all models
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("model"), hit.cast("int").alias("prediction"), F.col(score).alias("score"))
+                               for name, (hit, score) in verdicts.items()]))
+    out = evaluate_all(scored.select("truth", each.alias("x")).select("truth", "x.*"))
     return out.withColumn("threshold", thr)
 
 

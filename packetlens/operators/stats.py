@@ -2,14 +2,14 @@
 
 No step gathers a whole column in one task or on the driver:
 
-* ``exact_quantile`` narrows the rank to one value range with rounds of
-  bucket counts (approximate-quantile and equal-width split points, bucket
-  counts via ``Bucketizer`` + ``groupBy``), and only collects the distinct
-  values of the final range once it is below ``max_local`` rows.
-* ``auc`` groups rows per distinct score first (hot scores collapse in the
-  partial aggregate), then computes the running negative count with a
-  two-level prefix sum: bucket totals (a few thousand rows) and a window
-  inside each bucket.
+* ``exact_quantile`` reads the values twice: a mergeable quantile sketch (KLL) gives a
+  narrow band around the rank, then one pass counts what lies below the band and
+  ranks the distinct values inside it. If the sketch missed, the band is widened, so
+  the result is exact; only two numbers reach the driver.
+* ``evaluate_all`` reads the scored rows of any number of models once: one grouped
+  histogram (model, score) holds the confusion counts and gives the areas under the
+  curves, with a two-level prefix sum: bucket totals (a few thousand rows) and a
+  window inside each bucket.
 """
 
 from __future__ import annotations
@@ -28,70 +28,6 @@ def _finite(c: Column) -> Column:
     return is_finite(c)
 
 
-def _split_points(sub: DataFrame, lo: float, hi: float, bins: int) -> list[float]:
-    probs = [i / bins for i in range(1, bins)]
-    approx = sub.agg(F.percentile_approx("x", probs, 4 * bins).alias("q")).first()["q"] or []
-    width = [lo + (hi - lo) * i / bins for i in range(1, bins)]
-    pts = sorted({float(v) for v in list(approx) + width if lo < v <= hi})
-    return [float("-inf")] + pts + [float("inf")]
-
-
-def select_ranks(values: DataFrame, ranks: list[int], n: int, max_local: int = 100_000,
-                 bins: int = 256, extremes: tuple[float, float] | None = None) -> dict[int, float]:
-    """Values at the given 0-based ranks of column ``x`` (n rows), exactly.
-
-    Each round keeps the value range that holds all wanted ranks (adjacent
-    ranks usually share one bucket), until at most ``max_local`` rows remain;
-    only the distinct values of that range, with counts, reach the driver.
-    """
-    lo_r, hi_r = min(ranks), max(ranks)
-    lo, hi = extremes if extremes else (None, None)
-    offset, count = 0, n
-    while True:
-        sub = values if (lo is None or count == n) else values.where((F.col("x") >= lo) & (F.col("x") <= hi))
-        if count <= max_local or (lo is not None and lo == hi):
-            if lo is not None and lo == hi:
-                return {r: lo for r in ranks}
-            rows = sub.groupBy("x").agg(F.count(F.lit(1)).alias("c")).orderBy("x").collect()
-            out, seen = {}, offset
-            for r in rows:
-                for k in ranks:
-                    if k not in out and seen + r["c"] > k:
-                        out[k] = float(r["x"])
-                seen += r["c"]
-            if len(out) != len(ranks):
-                raise RuntimeError("rank outside range")
-            return out
-        if lo is None:
-            ext = sub.agg(F.min("x").alias("a"), F.max("x").alias("b")).first()
-            lo, hi = float(ext["a"]), float(ext["b"])
-            if lo == hi:
-                return {r: lo for r in ranks}
-        splits = _split_points(sub, lo, hi, bins)
-        bz = Bucketizer(splits=splits, inputCol="x", outputCol="b", handleInvalid="keep")
-        stats = (bz.transform(sub).groupBy("b")
-                 .agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("a"), F.max("x").alias("z"))
-                 .orderBy("b").collect())
-        seen, first, last, new_offset, new_count = offset, None, None, offset, 0
-        for r in stats:
-            if first is None and seen + r["c"] > lo_r:
-                first, new_offset = r, seen
-            if first is not None:
-                new_count += r["c"]
-            if seen + r["c"] > hi_r:
-                last = r
-                break
-            seen += r["c"]
-        if first is None or last is None:
-            raise RuntimeError("rank outside range")
-        lo, hi, offset, count = float(first["a"]), float(last["z"]), new_offset, new_count
-
-
-def kth_smallest(values: DataFrame, k: int, n: int, **kw) -> float:
-    """The k-th smallest (0-based) of column ``x`` of ``values`` (n rows)."""
-    return select_ranks(values, [k], n, **kw)[k]
-
-
 def _materialise(x: DataFrame, name: str) -> DataFrame:
     """Write the single value column once to the shared checkpoint folder; the
     selection rounds then scan it (with range filters pushed to parquet)
@@ -102,24 +38,56 @@ def _materialise(x: DataFrame, name: str) -> DataFrame:
     return x.sparkSession.read.parquet(path)
 
 
-def exact_quantile(df: DataFrame, col: str, q: float, with_count: bool = False, **kw):
-    """Linear-interpolation quantile (``percentile`` / ``quantile_cont``), exact."""
+def _band(x: DataFrame, at: float, eps: float, size: int) -> tuple:
+    """Rows, least and greatest value, and values about ``eps`` (a share of the rows)
+    below and above the rank ``at``: one pass."""
+    k = F.lit(size)
+    sketched = x.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("a"), F.max("x").alias("z"), F.kll_sketch_agg_double("x", k).alias("s"))
+    lo = F.col("a") if at <= eps else F.kll_sketch_get_quantile_double("s", F.lit(at - eps))
+    hi = F.col("z") if at + eps >= 1 else F.kll_sketch_get_quantile_double("s", F.lit(at + eps))
+    return tuple(sketched.select("n", "a", "z", F.when(F.col("n") > 0, lo), F.when(F.col("n") > 0, hi)).first())
+
+
+def _ranked_inside(x: DataFrame, lo: float, hi: float, ranks: list[int]) -> list[float] | None:
+    """The values at the 0-based ``ranks`` if they lie in ``lo .. hi``, else None: one pass
+    that counts what is below the band and each distinct value inside."""
+    cells = (x.where(F.col("x") <= hi).groupBy(F.when(F.col("x") >= lo, F.col("x")).alias("v")).agg(F.count(F.lit(1)).alias("c")))
+    # the band's distinct values alone come together here; null (below) sorts first
+    upto = F.sum("c").over(Window.orderBy(F.col("v").asc_nulls_first()))
+    run = cells.select("v", upto.alias("upto"), (upto - F.col("c")).alias("before"))
+    hit = lambda k: F.min(F.when((F.col("before") <= k) & (F.col("upto") > k), F.col("v")))
+    got = run.where("v is not null").agg(*[hit(k).alias(f"r{i}") for i, k in enumerate(ranks)]).first()
+    return None if None in tuple(got) else [float(v) for v in got]
+
+
+def exact_quantile(df: DataFrame, col: str, q: float, with_count: bool = False, max_local: int = 2_000_000, bins: int = 4096):
+    """Linear-interpolation quantile (``percentile`` / ``quantile_cont``), exact.
+
+    ``bins`` is the sketch's size, which sets the width of the band. A band of more than
+    ``max_local`` rows is sketched again before its values are ranked."""
     x = _materialise(df.select(F.col(fcol(col)).cast("double").alias("x")).where(_finite(F.col("x"))),
                      "quantile-values")
-    agg = x.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("a"), F.max("x").alias("b")).first()
-    n = int(agg["n"])
+    size = max(8, min(bins, 65_535))
+    eps = 3 * 2.3 / size ** 0.9      # three times the sketch's usual error in rank
+    n, least, most, lo, hi = _band(x, q, eps, size)
     if n == 0:
         return (None, 0) if with_count else None
-    kw.setdefault("extremes", (float(agg["a"]), float(agg["b"])))
     pos = q * (n - 1)
     k = int(math.floor(pos))
-    frac = pos - k
-    ranks = [k, k + 1] if (frac != 0 and k + 1 < n) else [k]
-    got = select_ranks(x, ranks, n, **kw)
-    a = got[k]
-    if len(ranks) == 2:
-        a = a + frac * (got[k + 1] - a)
-    return (a, n) if with_count else a
+    ranks = [k, k + 1] if (pos != k and k + 1 < n) else [k]
+    width, rows = eps, 2 * eps * n
+    while rows > max_local and lo < hi:
+        below = x.where(F.col("x") < lo).count()
+        inside = x.where((F.col("x") >= lo) & (F.col("x") <= hi))
+        m, _, _, a, z = _band(inside, min(max((k - below) / max(inside.count(), 1), 0.0), 1.0), eps, size)
+        if (a, z) == (lo, hi):
+            break
+        lo, hi, rows = a, z, 2 * eps * m
+    while (got := _ranked_inside(x, lo, hi, ranks)) is None:
+        width *= 4       # the sketch missed: a wider band, in the end all values
+        lo, hi = _band(x, q, width, size)[3:] if width < 1 else (least, most)
+    value = got[0] if len(got) == 1 else got[0] + (pos - k) * (got[1] - got[0])
+    return (value, n) if with_count else value
 
 
 def calibrate_threshold(errors: DataFrame, err: str = "dl_error", q: float = 0.9,
@@ -131,49 +99,77 @@ def calibrate_threshold(errors: DataFrame, err: str = "dl_error", q: float = 0.9
     return spark.createDataFrame([(v, n)], "threshold double, n bigint")
 
 
-def auc(df: DataFrame, truth: str = "truth", score: str = "score", buckets: int = 1024) -> float | None:
-    """Area under the ROC curve (ties count one half), exact."""
-    g = (df.where(F.col(score).isNotNull())
-         .groupBy(F.col(score).cast("double").alias("s"))
-         .agg(F.sum(F.col(truth).cast("long")).alias("pos"),
-              F.sum((1 - F.col(truth)).cast("long")).alias("neg")))
-    tot = g.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
-    P, N = tot["P"] or 0, tot["N"] or 0
-    if P == 0 or N == 0:
-        return None
+def _histogram(df: DataFrame, truth: str, prediction: str | None, score: str | None, by: list[str]) -> DataFrame:
+    """One row for each ``by`` and distinct score with its counts, written once: the
+    only pass over the scored rows. A hot score collapses in the partial aggregate."""
+    from packetlens.session import write_once
+    t = F.col(truth) == 1
+    p = F.col(prediction) == 1 if prediction else F.lit(None).cast("boolean")
+    s = F.col(score).cast("double") if score else F.lit(None).cast("double")
+    n = lambda c: F.sum(c.cast("long"))
+    return write_once(df.groupBy(*by, s.alias("s")).agg(
+        F.count(F.lit(1)).alias("n"), n(t & p).alias("tp"), n(~t & p).alias("fp"), n(~t & ~p).alias("tn"), n(t & ~p).alias("fn"),
+        F.sum(F.col(truth).cast("long")).alias("pos"), F.sum((1 - F.col(truth)).cast("long")).alias("neg")), "score-histogram")
+
+
+def _areas(cells: DataFrame, by: str, buckets: int) -> dict:
+    """Area under each model's ROC curve (ties count one half), exact, from its histogram."""
+    cells = cells.where(F.col("s").isNotNull())
     probs = [i / buckets for i in range(1, buckets)]
-    pts = g.agg(F.percentile_approx("s", probs, 10 * buckets).alias("q")).first()["q"] or []
-    splits = [float("-inf")] + sorted({float(v) for v in pts}) + [float("inf")]
-    b = Bucketizer(splits=splits, inputCol="s", outputCol="b").transform(g)
-    per_bucket = b.groupBy("b").agg(F.sum("neg").alias("bn"))
-    # Bounded: at most `buckets` rows.
-    before = per_bucket.withColumn(
-        "base", F.coalesce(F.sum("bn").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)),
-                           F.lit(0)))
-    w = Window.partitionBy("b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    run = b.join(F.broadcast(before.select("b", "base")), "b").withColumn(
+    facts = cells.groupBy(by).agg(F.percentile_approx("s", probs, 10 * buckets).alias("q"), F.sum("pos").alias("P"), F.sum("neg").alias("N")).collect()
+    bucket, areas = F.lit(None).cast("double"), {}
+    for i, r in enumerate(facts):    # a row a model
+        areas[r[by]] = None
+        splits = [float("-inf")] + sorted({float(v) for v in r["q"]}) + [float("inf")]
+        cells = Bucketizer(splits=splits, inputCol="s", outputCol=f"_b{i}").transform(cells)
+        bucket = F.when(F.col(by).eqNullSafe(F.lit(r[by])), F.col(f"_b{i}")).otherwise(bucket)
+    b = cells.withColumn("b", bucket)
+    per_bucket = b.groupBy(by, "b").agg(F.sum("neg").alias("bn"))
+    # bounded: at most `buckets` rows a model
+    earlier = Window.partitionBy(by).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    before = per_bucket.select(F.col(by).alias("_m"), F.col("b").alias("_k"), F.coalesce(F.sum("bn").over(earlier), F.lit(0)).alias("base"))
+    w = Window.partitionBy(by, "b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    run = b.join(F.broadcast(before), F.col(by).eqNullSafe(F.col("_m")) & (F.col("b") == F.col("_k"))).withColumn(
         "below", F.col("base") + F.coalesce(F.sum("neg").over(w), F.lit(0)))
-    u = run.agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") * 0.5)).alias("u")).first()["u"]
-    return float(u) / (float(P) * float(N))
+    won = {r[by]: r["u"] for r in run.groupBy(by).agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") * 0.5)).alias("u")).collect()}
+    return areas | {r[by]: float(won[r[by]]) / (float(r["P"]) * float(r["N"])) for r in facts if r["P"] and r["N"]}
 
 
-def evaluate(df: DataFrame, truth: str = "truth", prediction: str = "prediction",
-             score: str | None = "score") -> DataFrame:
-    """Confusion counts, accuracy, precision, recall, F1 and AUC in one row."""
-    t, p = F.col(truth) == 1, F.col(prediction) == 1
-    n = lambda c: F.sum(c.cast("long"))
-    c = df.agg(F.count(F.lit(1)).alias("n"), n(t & p).alias("tp"), n(~t & p).alias("fp"),
-               n(~t & ~p).alias("tn"), n(t & ~p).alias("fn"))
+def auc(df: DataFrame, truth: str = "truth", score: str = "score", buckets: int = 1024) -> float | None:
+    """Area under the ROC curve (ties count one half), exact."""
+    cells = _histogram(df.withColumn("_all", F.lit(0)), truth, None, score, ["_all"])
+    return _areas(cells, "_all", buckets).get(0)
+
+
+def _metrics(cells: DataFrame, by: list[str]) -> DataFrame:
+    """Counts and ratios from the histogram, one row for each ``by``."""
+    c = cells.groupBy(*by).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *[F.sum(k).alias(k) for k in ("tp", "fp", "tn", "fn")])
     prec = F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fp"))
     rec = F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fn"))
-    out = c.select(
-        "n", "tp", "fp", "tn", "fn",
+    return c.select(
+        *by, "n", "tp", "fp", "tn", "fn",
         F.try_divide((F.col("tp") + F.col("tn")).cast("double"), F.col("n")).alias("accuracy"),
         prec.alias("precision"), rec.alias("recall"),
-        F.try_divide(2 * prec * rec, prec + rec).alias("f1"),
-    )
-    a = auc(df, truth, score) if score else None
-    return out.withColumn("auc", F.lit(a).cast("double"))
+        F.try_divide(2 * prec * rec, prec + rec).alias("f1"))
+
+
+def evaluate(df: DataFrame, truth: str = "truth", prediction: str = "prediction",
+             score: str | None = "score") -> DataFrame:
+    """Confusion counts, accuracy, precision, recall, F1 and AUC in one row."""
+    cells = _histogram(df.withColumn("_all", F.lit(0)), truth, prediction, score, ["_all"])
+    a = _areas(cells, "_all", 1024).get(0) if score else None
+    return _metrics(cells, []).withColumn("auc", F.lit(a).cast("double"))
+
+
+def evaluate_all(df: DataFrame, model: str = "model", truth: str = "truth", prediction: str = "prediction",
+                 score: str = "score") -> DataFrame:
+    """M14 for every model of a long table (model, truth, prediction, score): a row each."""
+    cells = _histogram(df, truth, prediction, score, [model])
+    areas = _areas(cells, model, 1024)
+    a = F.lit(None).cast("double")
+    for name, value in areas.items():
+        a = F.when(F.col(model).eqNullSafe(F.lit(name)), F.lit(value).cast("double")).otherwise(a)
+    return _metrics(cells, [model]).withColumn("auc", a)
 
 
 def error_share_topk(df: DataFrame, residuals: list[str], k: int = 3,
