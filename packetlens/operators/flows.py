@@ -132,20 +132,33 @@ def flow_features(packets: DataFrame, mode: str = "compat", strategy: str = "aut
         return flow_features_bucketed(packets, bucket_seconds, min_duration)
     if strategy != "auto":
         raise ValueError(f"unknown strategy {strategy!r}")
+    cold, hot = split_hot(packets, hot_rows, target_rows or max(1, hot_rows // 4))
+    if hot is None:
+        return _flow_features_window(cold, min_duration)
+    return (_flow_features_window(cold, min_duration)
+            .unionByName(flow_features_bucketed(hot, bucket_seconds, min_duration,
+                                                bucket_col="bucket_us", hot_rows=0)))
+
+
+def split_hot(packets: DataFrame, hot_rows: int, target_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """Packets of conversations up to ``hot_rows`` packets, and those of the others
+    with ``bucket_us`` (None: there are no others).
+
+    A table of at most ``hot_rows`` rows has no others; its rows are counted from the
+    files' footers where nothing is filtered. Else the conversations are counted in
+    one narrow pass. Their keys are few (rows / ``hot_rows`` at most) and written once to the
+    shared checkpoint folder, so that the test and the two joins don't recompute them.
+    """
     from packetlens.session import checkpoint_dir
+    if packets.count() <= hot_rows:
+        return packets, None
     checkpoint_dir(packets.sparkSession)
-    # Small and bounded; written once to the shared checkpoint folder so the
-    # emptiness test and the two joins below do not recompute it.
-    hot_keys = hot_conversations(packets, hot_rows, target_rows or max(1, hot_rows // 4)).checkpoint(eager=True)
-    if hot_keys.isEmpty():
-        return _flow_features_window(packets, min_duration)
-    keyed = with_conversation(packets)
-    hot = F.broadcast(hot_keys)
-    cold_part = keyed.join(hot.select(*CONV), CONV, "left_anti").select(*packets.columns)
-    hot_part = keyed.join(hot, CONV, "inner").select(*packets.columns, "bucket_us")
-    return (_flow_features_window(cold_part, min_duration)
-            .unionByName(flow_features_bucketed(hot_part, bucket_seconds, min_duration,
-                                                bucket_col="bucket_us", hot_rows=0)))
+    keys = hot_conversations(packets, hot_rows, target_rows).checkpoint(eager=True)
+    if keys.isEmpty():
+        return packets, None
+    keyed, few = with_conversation(packets), F.broadcast(keys)
+    return (keyed.join(few.select(*CONV), CONV, "left_anti").select(*packets.columns),
+            keyed.join(few, CONV, "inner").select(*packets.columns, "bucket_us"))
 
 
 def _flow_features_window(packets: DataFrame, min_duration: float = MIN_DURATION_S) -> DataFrame:
@@ -159,13 +172,20 @@ def flow_sessions(packets: DataFrame, idle_seconds: float, min_duration: float =
     packets are numbered by islands between such gaps, and an island is treated
     like a conversation. Sessions that never emit have no row.
     """
-    p = _prepared(packets)
+    return _last_emissions(_with_islands(_prepared(packets), idle_seconds), [*CONV, "session"], min_duration)
+
+
+def _with_islands(p: DataFrame, idle_seconds: float) -> DataFrame:
     at = Window.partitionBy(*CONV).orderBy(*ORDER)
     opens = F.coalesce(F.col("ts_us") - F.lag("ts_us").over(at) > int(idle_seconds * US), F.lit(False))
-    # islands: the same partitioning and order as the running windows below, so one exchange
-    p = p.withColumn("opens", opens.cast("int")).withColumn("session", F.sum("opens").over(at.rowsBetween(Window.unboundedPreceding, 0)))
-    by = [*CONV, "session"]
-    rows = _window_features(p, by, min_duration, keep=[*KEEP, *[c for c in by if c not in KEEP]])
+    # the same partitioning and order as the running windows that follow: one exchange
+    return (p.withColumn("opens", opens.cast("int"))
+            .withColumn("session", F.sum("opens").over(at.rowsBetween(Window.unboundedPreceding, 0))))
+
+
+def _last_emissions(prepared: DataFrame, by: list[str], min_duration: float) -> DataFrame:
+    """The last row that each group of ``by`` emits."""
+    rows = _window_features(prepared, by, min_duration, keep=[*KEEP, *[c for c in by if c not in KEEP]])
     last = Window.partitionBy(*by).orderBy(*ORDER)
     return rows.withColumn("later", F.lead("packet_id").over(last)).where("later is null").select(*KEEP, *[F.col(fcol(n)) for n in FEATURES])
 
@@ -286,11 +306,24 @@ def _with_facts(p: DataFrame, facts: DataFrame, hot_rows: int) -> DataFrame:
 def flow_summary(packets: DataFrame, bucket_seconds: int | None = None,
                  min_duration: float = MIN_DURATION_S, target_rows: int = HOT_ROWS // 4,
                  hot_rows: int = HOT_ROWS // 4) -> DataFrame:
-    """FL2: the 30 features once per conversation, at its last emission.
+    """FL2: the 30 features once per conversation, at its last emission (the last row
+    of ``flow_features``).
+
+    Conversations up to ``hot_rows`` packets take the running windows of one exchange; the
+    others, and all if ``bucket_seconds`` is given, the form below without a window
+    over a conversation.
+    """
+    if bucket_seconds:
+        return flow_summary_bucketed(packets, bucket_seconds, min_duration, target_rows, hot_rows)
+    cold, hot = split_hot(packets, hot_rows, target_rows)
+    out = _last_emissions(_prepared(cold), CONV, min_duration)
+    return out if hot is None else out.unionByName(flow_summary_bucketed(hot.drop("bucket_us"), None, min_duration, target_rows, hot_rows))
+
 
-    Same schema as ``flow_features`` and equal to its last row per
-    conversation, but no window spans a conversation, so a conversation
-    holding a large share of all packets does not land in one task:
+def flow_summary_bucketed(packets: DataFrame, bucket_seconds: int | None = None, min_duration: float = MIN_DURATION_S,
+                          target_rows: int = HOT_ROWS // 4, hot_rows: int = HOT_ROWS // 4) -> DataFrame:
+    """FL2 where no window spans a conversation, so a conversation holding a large
+    share of all packets does not land in one task:
 
     1. per (conversation, direction) first / last packet -> per conversation
        the initiator, the first reply and the initiator's last packet
