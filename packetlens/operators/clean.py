@@ -9,28 +9,25 @@ from packetlens.functions.columns import is_finite
 from packetlens.schemas import FEATURES, fcol
 
 
-def strip_headers(df: DataFrame) -> DataFrame:
-    """Trim stray spaces around column names."""
-    return df.toDF(*[c.strip() for c in df.columns])
-
-
 def drop_label(df: DataFrame, label: str = "Label") -> DataFrame:
     """P6."""
     return df.drop(label)
 
 
 def feature_projection(df: DataFrame, keep: list[str] | None = None,
-                       features: list[str] = FEATURES) -> DataFrame:
+                       features: list[str] = FEATURES, fill_nulls: bool = True) -> DataFrame:
     """The model columns in model order, as double.
 
     Unknown columns are dropped, missing ones are 0.0, nulls and values that
-    do not parse as numbers are 0.0. ``keep`` columns (row ids) are carried.
+    do not parse as numbers are 0.0 (null without ``fill_nulls``, for P5 to drop).
+    ``keep`` columns (row ids) are carried.
     """
     have = set(df.columns)
     cols = []
     for name in features:
         if name in have:
-            c = F.coalesce(F.col(fcol(name)).try_cast("double"), F.lit(0.0))
+            c = F.col(fcol(name)).try_cast("double")
+            c = F.coalesce(c, F.lit(0.0)) if fill_nulls else c
         else:
             c = F.lit(0.0)
         cols.append(c.alias(name))

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from packetlens.functions.columns import THRESHOLD, dl_score
 from packetlens.operators.clean import drop_nonfinite, impute_nonfinite
 from packetlens.operators.scoring import ensemble_batch, ensemble_live
+from packetlens.session import write_once
 from packetlens.schemas import fcol
 
 VEC = "_vec"
@@ -215,9 +216,10 @@ class HybridModel:
         return ensemble_live(p, "dl_error", "ml_prob", threshold=self.threshold)
 
     def score_batch(self, df: DataFrame) -> DataFrame:
-        """M8: drop rows with non-finite features (P5) -> error -> min-max over the batch -> 0.5/0.5 ensemble -> verdict."""
+        """M8: drop rows with non-finite features (P5) -> error -> min-max over the batch -> 0.5/0.5 ensemble -> verdict.
+        Errors and probabilities are written once: the extremes and the verdicts read them."""
         e = self.anomaly.errors(finite_only(df, self.anomaly.features), "dl_error")
-        p = self.trees.probability(e, "ml_prob")
+        p = write_once(self.trees.probability(e, "ml_prob"), "batch-scores")
         return ensemble_batch(p, "dl_error", "ml_prob")
 
 
@@ -254,11 +256,6 @@ def tree_only_labels(df: DataFrame, features, label: str, max_iter: int = 20, ma
     return inv.transform(model.transform(d)).drop(VEC, "_y", "_z", "_prob", "_raw", "_pred")
 
 
-def dl_scores(df: DataFrame, err: str = "dl_error", threshold: float = THRESHOLD) -> DataFrame:
-    """M3 alone."""
-    return df.withColumn("dl_score", dl_score(err, threshold))
-
-
 def evaluate_models(df: DataFrame, features, label: str, benign: str, k: int = 8,
                     test_fraction: float = 0.2, seed: int = 17, quantile: float | None = 0.9,
                     **tree_kw) -> DataFrame:

@@ -451,3 +451,16 @@ SELECT strftime(ts, '%H:%M:%S') AS "Time", '?' AS "Src IP", CAST(port AS VARCHAR
        printf('%.3f', CAST(round(CAST(final_score AS DECIMAL(18, 9)), 3) AS DOUBLE)) AS "Score",
        label AS "Verdict", CASE WHEN label = 'ATTACK' THEN '⚠ ATTACK' ELSE '✓ NORMAL' END AS "Display"
 FROM gated"""
+
+_ORDER10 = ", ".join(f'"{n}" NULLS FIRST' for n in ["Flow ID", "line", *FEATURES])
+SQL["csv_head"] = ("WITH " + RAW_FLOWS + """,
+p AS (SELECT CAST("Flow ID" AS DOUBLE) AS "Flow ID", CAST(line AS DOUBLE) AS line, """
+                   + ", ".join(f'TRY_CAST("{n}" AS DOUBLE) AS "{n}"' if n in _PRESENT else f'0.0::DOUBLE AS "{n}"' for n in FEATURES) + f""" FROM raw),
+t AS (SELECT * FROM p ORDER BY {_ORDER10} LIMIT 10)
+SELECT "Flow ID", line, {FEATS6} FROM t""")
+
+SQL["threshold_file"] = (SQL["threshold_p90"].partition("SELECT " + r6("quantile_cont(err, 0.9)", "threshold"))[0].rstrip() + """,
+q AS (SELECT quantile_cont(err, 0.9) AS threshold FROM e WHERE "Label" = 'BENIGN')
+SELECT "Label" = 'BENIGN' AS benign, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN err >= threshold THEN 1 ELSE 0 END) AS BIGINT) AS n_above,
+       """ + r6("threshold", "threshold") + """
+FROM e, q GROUP BY benign, threshold""")

@@ -15,20 +15,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packetlens.functions.columns import attack_type, rule_flags
+from packetlens.functions.columns import attack_type, dl_score, rule_flags
 from packetlens.operators import reports as R
 from packetlens.operators.flows import (
     flow_features, flow_features_bucketed, flow_sessions, flow_summary, quarantined_packets, valid_packets,
 )
 from packetlens.operators.scoring import ensemble_batch, ensemble_live, live_gate
 from packetlens.plans.detection import (
-    EVENT_DDOS_RATE, EVENT_SCAN_RATE, detect_batch, detection_report, fit_detector, flow_attack_breakdown, score_rows, typed_flows,
+    EVENT_DDOS_RATE, EVENT_SCAN_RATE, FLOW_KEY, batch_verdicts, csv_flows, detect_batch, detection_quality, detection_report, fit_chosen,
+    fit_detector, flow_attack_breakdown, held_out, score_rows, typed_flows, wide_flows,
 )
+from packetlens.operators.dense import fit_dense, load_dense
 from packetlens.operators import clean as C
 from packetlens.operators import models as M
 from packetlens.operators import stats as S
 from packetlens.schemas import FEATURES, fcol
 from packetlens.session import scratch_path, write_once
+from packetlens.sources.files import read_flow_csv, read_threshold, split_flow_csv, write_flow_csv, write_scores, write_threshold
 from packetlens.sources.fixtures import (
     doc_predictions, flows_from_lineitem, packets_from_events, scored_from_lineitem, table,
     vectors_from_embeddings,
@@ -425,8 +428,6 @@ def q_stream_alerts(spark, sf):
 
 def q_csv_scan(spark, sf):
     """S1 -> S2 -> P6 -> P3 over a flow CSV that Spark writes from lineitem."""
-    from packetlens.session import scratch_path
-    from packetlens.sources.files import read_flow_csv, write_flow_csv
     path = scratch_path(spark, "flow-csv")
     write_flow_csv(_raw_flows(spark, sf), path)
     df = C.drop_label(read_flow_csv(spark, path))
@@ -456,8 +457,6 @@ def q_packet_quarantine(spark, sf):
 def q_csv_quarantine(spark, sf):
     """S1 + P7: a flow CSV whose numbers are text on some rows; good and malformed
     rows are counted per label with the total of a column of the good ones."""
-    from packetlens.session import scratch_path
-    from packetlens.sources.files import read_flow_csv, split_flow_csv, write_flow_csv
     path = scratch_path(spark, "flow-csv")
     rows = _raw_flows(spark, sf)
     broken = F.when((F.col("Flow ID") + F.col("line")) % 9 == 0, F.lit("n/a")).otherwise(
@@ -492,11 +491,73 @@ def q_detect_report(spark, sf):
     return detection_report(_detected(spark, sf))
 
 
+def q_detect_quality(spark, sf):
+    """M14 of the composed job on conversations that its model has not seen."""
+    return detection_quality(_detected(spark, sf))
+
+
+def _typed(spark, sf, name):
+    return write_once(typed_flows(_packets(spark, sf), EVENT_DDOS_RATE, EVENT_SCAN_RATE)
+                      .withColumn("attack", (F.col("attack_type") != "Other").cast("int")), name)
+
+
 def q_permutation_importance(spark, sf):
-    flows = write_once(typed_flows(_packets(spark, sf), EVENT_DDOS_RATE, EVENT_SCAN_RATE)
-                       .withColumn("attack", (F.col("attack_type") != "Other").cast("int")), "importance-flows")
-    model = M.fit_trees(flows, list(FEATURES), "attack", **_SMALL_TREES)
-    return M.permutation_importance(flows, model, "attack", "packet_id")
+    """M15 (b) on held-out conversations."""
+    flows = _typed(spark, sf, "importance-flows")
+    model = M.fit_trees(flows.where(~held_out(FLOW_KEY)), list(FEATURES), "attack", **_SMALL_TREES)
+    return M.permutation_importance(flows.where(held_out(FLOW_KEY)), model, "attack", "packet_id")
+
+
+def q_feature_choice(spark, sf):
+    """M10 + T3 on a flow table of 79 columns: the 30 names in the order that the saved and reloaded
+    model scores with, and each one's importance."""
+    path = scratch_path(spark, "chosen")
+    chosen = fit_chosen(write_once(wide_flows(_typed(spark, sf, "wide-flows")), "wide-flows"), path, forest={"num_trees": 20}, **_SMALL_TREES)
+    names = M.load_hybrid(spark, path).anomaly.features
+    at = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("feature"))
+    return chosen.select(at.cast("int").alias("position"), "feature", "importance")
+
+
+def _csv(spark, sf):
+    path = scratch_path(spark, "flow-csv")
+    write_flow_csv(_raw_flows(spark, sf), path)
+    return csv_flows(spark, path, _IDS)
+
+
+def q_csv_verdicts(spark, sf):
+    """From a flow CSV to written verdicts of the whole batch; the
+    models are fitted on four fifths of the flows."""
+    flows = write_once(_csv(spark, sf).withColumn("attack", (F.col("Label") == "DDoS").cast("int")), "csv-flows")
+    train = flows.where(~held_out(["Flow ID"])).withColumn("benign", F.col("attack") == 0)
+    model = M.fit_hybrid(train, list(FEATURES), "attack", "benign", quantile=None, **_SMALL_TREES)
+    path = scratch_path(spark, "csv-verdicts")
+    write_scores(batch_verdicts(flows.drop("attack"), model, _IDS), path)
+    return spark.read.parquet(path)
+
+
+def q_csv_head(spark, sf):
+    """The first ten rows of a flow CSV, in an explicit order."""
+    rows = C.drop_label(_csv(spark, sf))
+    return for_check(C.head(rows, 10, [*_IDS, *FEATURES]))
+
+
+def q_threshold_file(spark, sf):
+    """The calibrated threshold is written as JSON, read back and applied."""
+    errors = write_once(_centroid_errors(spark, sf).select("benign", "dl_error"), "threshold-errors")
+    path = scratch_path(spark, "threshold-json")
+    write_threshold(spark, path, S.calibrate_threshold(errors, "dl_error", 0.9, benign="benign").first()["threshold"])
+    threshold = read_threshold(spark, path)
+    scored = errors.withColumn("dl_score", dl_score("dl_error", threshold))
+    return for_check(scored.groupBy("benign").agg(
+        F.count(F.lit(1)).alias("n"), F.sum((F.col("dl_score") >= 1).cast("long")).alias("n_above")).withColumn("threshold", F.lit(threshold)))
+
+
+def q_dense_error(spark, sf):
+    """M2 as a dense autoencoder, trained on the benign flows, saved and reloaded."""
+    flows = write_once(_clean_flows(spark, sf).withColumn("benign", F.col("Label") == "BENIGN"), "dense-flows")
+    path = scratch_path(spark, "dense-model")
+    fit_dense(flows, list(FEATURES), "benign", steps=20).save(spark, path)
+    return load_dense(spark, path).errors(flows).select(*[F.col(fcol(c)) for c in _IDS], "Label", "dl_error")
 
 
 QUERIES = {
@@ -541,7 +602,13 @@ QUERIES = {
     "log_records": q_log_records,
     "detect_flows": q_detect_flows,
     "detect_report": q_detect_report,
+    "detect_quality": q_detect_quality,
     "permutation_importance": q_permutation_importance,
+    "feature_choice": q_feature_choice,
+    "csv_verdicts": q_csv_verdicts,
+    "csv_head": q_csv_head,
+    "threshold_file": q_threshold_file,
+    "dense_error": q_dense_error,
     "stream_flow_features": q_stream_flow_features,
     "stream_flow_summary": q_stream_flow_summary,
     "flow_sessions": q_flow_sessions,

@@ -81,6 +81,11 @@ def read_threshold(spark: SparkSession, path: str, default: float = 0.5) -> floa
     return float(rows[0][0]) if rows else default
 
 
+def write_threshold(spark: SparkSession, path: str, value: float) -> None:
+    """The threshold as a JSON text file, as ``read_threshold`` reads it."""
+    spark.createDataFrame([(threshold_json(value),)], "value string").coalesce(1).write.text(path)
+
+
 def threshold_json(value: float) -> str:
     return json.dumps({"threshold": value})
 
@@ -94,4 +99,4 @@ def write_scores(df: DataFrame, path: str, partition_by: list[str] | None = None
 
 
 __all__ = ["read_flow_csv", "write_flow_csv", "flow_csv_schema", "dedupe_names", "read_packets",
-           "read_threshold", "threshold_json", "write_scores"]
+           "read_threshold", "write_threshold", "threshold_json", "write_scores"]

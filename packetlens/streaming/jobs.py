@@ -145,13 +145,3 @@ def stream_timeline(scores: DataFrame, ts: str = "ts", bucket: str = "7 days",
 def stream_alerts(scores: DataFrame) -> DataFrame:
     """ST7: ATTACK rows with severity, appended; newest-N is read from the sink."""
     return scores.where(F.col("label") == "ATTACK").withColumn("severity", severity("final_score"))
-
-
-def dropped_late_rows(q: StreamingQuery) -> int:
-    """ST8: rows dropped by the watermark over the query's recorded progress."""
-    total = 0
-    for p in q.recentProgress:
-        for op in p.get("stateOperators", []) if isinstance(p, dict) else p.stateOperators:
-            v = op.get("numRowsDroppedByWatermark", 0) if isinstance(op, dict) else op.numRowsDroppedByWatermark
-            total += int(v or 0)
-    return total
