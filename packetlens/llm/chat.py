@@ -23,8 +23,9 @@ conversation in one task: its digests run over the whole of it.
 
 Defined results: null role or text is empty; a null conversation id is a
 conversation of its own; rows are taken in the order of turn (nulls first),
-role and text, so ties and repeated rows are turns like any other; an empty
-table gives an empty result; other columns aren't read.
+role and text, so ties and repeated rows are turns like any other; texts of any
+length are rendered whole; an empty table gives an empty result; other columns
+aren't read, so none can clash.
 """
 
 from __future__ import annotations
@@ -106,10 +107,13 @@ def render_spans(turns: Iterator[Turn], template: Template, lookback: int | None
         now = template([*seen, turn])
         common = len(before) if now.startswith(before) else len(os.path.commonprefix([before, now]))
         gain, back = now[common:], len(before) - common
-        # the same prefix with a marker as the text
-        probe = template([*seen, (turn[0], _MARK)])
-        at = probe.find(_MARK, max(0, common - len(_MARK)))
-        head, tail = (probe[common:at], probe[at + len(_MARK):]) if at >= common else ("", None)
+        # the same prefix with a marker as the text, one that occurs nowhere in it
+        mark, tries = _MARK, 0
+        while mark in now or mark in before:
+            mark, tries = f"{_MARK}{tries}{_MARK}", tries + 1
+        probe = template([*seen, (turn[0], mark)])
+        at = probe.find(mark)
+        head, tail = (probe[common:at], probe[at + len(mark):]) if at >= common else ("", None)
         if tail is not None and gain.startswith(head) and gain.endswith(tail) and len(gain) >= len(head) + len(tail):
             span = (len(head), len(gain) - len(tail))
         else:
