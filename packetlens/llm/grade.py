@@ -14,8 +14,9 @@ only the weights (``FEATURES`` floats) are broadcast.
 
 Defined results: null text has no words; ratings of absent documents and
 ratings with nulls are left out; with no ratings all weights are zero and the
-thresholds are even; repeated rows are scored alike; an empty table gives an
-empty result; other columns aren't read.
+thresholds are even; repeated rows are scored alike; texts of any length are read
+whole; an empty table gives an empty result; other columns aren't read, so none
+can clash.
 """
 
 from __future__ import annotations
@@ -143,8 +144,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], select_grade: i
         for b in batches:
             x = b.column(1)
             ends = np.concatenate([[0], np.cumsum(x.value_lengths().to_numpy(zero_copy_only=False))])
-            total = np.concatenate([[0.0], np.cumsum(weights.value[x.flatten().to_numpy(zero_copy_only=False)])])
-            s = np.round(total[ends[1:]] - total[ends[:-1]], 9)
+            # each row is summed by itself, so its score doesn't depend on the rows around it
+            s, some = np.zeros(b.num_rows), np.flatnonzero(np.diff(ends))
+            if len(some):
+                s[some] = np.add.reduceat(weights.value[x.flatten().to_numpy(zero_copy_only=False)], ends[some])
+            s = np.round(s, 9)
             p = _sigmoid(s[:, None] - cuts[None, :])
             tail = p[:, select_grade - 1]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p.sum(axis=1)), pa.array(tail), pa.array(tail >= least)],
