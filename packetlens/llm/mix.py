@@ -20,8 +20,9 @@
 Defined results: null text has size 0; a null source is a source of its own,
 last in order; empty sources get target 0; documents of size 0 are never taken;
 repeated rows are documents like any other (in the mixed corpus their copies
-carry the columns of one of them); an empty table gives an empty
-result. Everything is computed from row contents, so reruns agree.
+carry the columns of one of them); texts of any length are counted whole; the
+input's columns are kept under ``row``, so none can clash; an empty table gives an
+empty result. Everything is computed from row contents, so reruns agree.
 """
 
 from __future__ import annotations
@@ -171,10 +172,22 @@ def mix_decisions(docs: DataFrame, **options) -> DataFrame:
 def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The mixed corpus: a document once per copy, in training order, with the columns of the input."""
     plan = plan_mix(docs, key=key, text=text, **options).where("copies > 0").select("id", "h", "positions")
-    # equal rows have equal keys: one plan row holds the positions of them all
-    plan = small(materialise(plan.groupBy("id", "h").agg(F.flatten(F.collect_list("positions")).alias("positions"),
-                                                         F.count(F.lit(1)).alias("rows")), "mix-plan"))
+    plan = materialise(plan, "mix-plan")
     row = packed(docs).select("row", F.col("row")[key].alias("k"), order_key(F.col("row")[key], F.col("row")[text]).alias("rh"))
-    joined = row.join(plan, F.col("k").eqNullSafe(F.col("id")) & (F.col("rh") == F.col("h")))
-    once = joined.where("rows = 1").unionByName(joined.where("rows > 1").dropDuplicates(["k", "rh"]))
-    return unpacked(training_order(once.select("row", "id", F.explode("positions").alias("position"))), docs.columns)
+    # equal rows have equal keys: of such rows one is kept and joined to the plan's rows of them all
+    repeated = materialise(plan.groupBy("id", "h").count().where("count > 1").select("id", "h"), "mix-repeated")
+    of = lambda left, right: left.eqNullSafe(right)
+
+    def placed(rows: DataFrame, plan: DataFrame) -> DataFrame:
+        joined = rows.join(small(plan), of(F.col("k"), F.col("id")) & (F.col("rh") == F.col("h")))
+        return joined.select("row", "id", F.explode("positions").alias("position"))
+
+    if repeated.isEmpty():
+        out = placed(row, plan)
+    else:
+        again = small(repeated.select(F.col("id").alias("i"), F.col("h").alias("g")))
+        in_rows, in_plan = of(F.col("k"), F.col("i")) & (F.col("rh") == F.col("g")), of(F.col("id"), F.col("i")) & (F.col("h") == F.col("g"))
+        once = row.join(again, in_rows, "left_semi").dropDuplicates(["k", "rh"])
+        out = placed(row.join(again, in_rows, "left_anti"), plan.join(again, in_plan, "left_anti")).unionByName(
+            placed(once, materialise(plan.join(again, in_plan, "left_semi"), "mix-repeated-plan")))
+    return unpacked(training_order(out), docs.columns)
