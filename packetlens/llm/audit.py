@@ -48,7 +48,7 @@ from packetlens.llm.common import materialise
 NOT_TERM = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 SMOOTHING = 5
 SLICE_BYTES = 4 << 20  # texts split at once
-MERGE_ROWS = 1_000_000  # partial counts a task holds before it hands them on
+MERGE_ROWS = 400_000  # partial counts a task holds before it hands them on
 _BLOCK = 1 << 20  # cells of a (source, term) matrix
 
 
