@@ -15,7 +15,9 @@ tokenizer file is read once on the driver (a vocabulary, bounded) and broadcast.
 Defined results: null text is encoded as the empty text (no ids); texts of any
 length are encoded whole; strings of added tokens inside a text get that
 token's id, as in the library; repeated rows are encoded alike; an empty table
-gives an empty result; the input's other columns are carried under ``row``.
+gives an empty result; the input's other columns are carried under ``row``. Of
+``encoded_documents``, an input column named ``token_ids`` or ``n_tokens`` gives way to
+the new one.
 """
 
 from __future__ import annotations

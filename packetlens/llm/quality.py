@@ -22,7 +22,8 @@ repeated words per word, and the share of upper-case letters.
 Defined results: null text has no words and fails the base rule, as does any
 text of under ``min_words`` words; null language or source is a group of its
 own; repeated rows are judged alike; an empty table gives an empty result;
-texts of any length are read whole.
+texts of any length are read whole; the input's columns are kept under ``row``, so
+none can clash.
 """
 
 from __future__ import annotations

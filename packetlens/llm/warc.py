@@ -18,7 +18,8 @@ A file holds at most ``records_per_file`` records, a group one page's segments.
 Defined results: null html is an empty payload; a null url leaves the target
 out; a null page id is written as such and read back as null; repeated rows are
 records with one id and come back as often as they were written; an empty table
-gives an empty archive and no pages; other columns aren't read.
+gives an empty archive and no pages; payloads of any length are written and read
+whole, in segments; other columns aren't read, so none can clash.
 """
 
 from __future__ import annotations

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from packetlens.llm import bpe, chat, grade, nearjoin, warc
+from packetlens.llm import grade as grade_module
 from packetlens.session import scratch_path
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -274,3 +275,53 @@ def test_bpe_words_of_few_letters_match_the_library():
     for text, ids in zip(texts, encoder.encode(texts)):
         assert list(memoryview(ids).cast("I")) == library.encode(text, add_special_tokens=False).ids
         assert encoder.decode(ids) == text
+
+
+def test_ordinal_fit_against_plain_descent():
+    """The penalised loss of ``fit_ordinal`` isn't above that of a slow, independent descent."""
+    rng = np.random.default_rng(6)
+    n, d, l1 = 300, 12, 6e-4
+    x = rng.random((n, d)) < 0.3
+    true = rng.normal(0, 2, d)
+    noisy = x @ true + rng.logistic(0, 1, n)
+    grade = (noisy > np.quantile(noisy, 0.3)).astype(int) + (noisy > np.quantile(noisy, 0.7))
+
+    def loss(w, cuts):
+        tail = 1 / (1 + np.exp(-(x @ w)[:, None] + cuts))
+        full = np.column_stack([np.ones(n), tail, np.zeros(n)])
+        chance = full[np.arange(n), grade] - full[np.arange(n), grade + 1]
+        return -np.log(np.maximum(chance, 1e-12)).mean() + l1 * np.abs(w).sum()
+
+    w, cuts = np.zeros(d), np.array([-0.8, 0.8])
+    rate = 1.0
+    for _ in range(4000):      # numeric slopes, halving the step where the loss rises
+        at = np.append(w, cuts)
+        slope = np.array([(loss(*np.split(at + e, [d])) - loss(*np.split(at - e, [d]))) / 2e-5 for e in np.eye(d + 2) * 1e-5])
+        new = at - rate * slope
+        if loss(*np.split(new, [d])) < loss(w, cuts):
+            w, cuts = np.split(new, [d])
+        else:
+            rate /= 2
+            if rate < 1e-7:
+                break
+    weights, got = grade_fit = grade_module.fit_ordinal([np.flatnonzero(r) for r in x], grade, 2, steps=3000, l1=l1)
+    assert loss(weights[:d], got) <= loss(w, cuts) + 1e-3 and grade_fit[1][0] < grade_fit[1][1]
+    assert np.abs(weights[:d] - w).max() < 0.2 and not weights[d:].any()
+
+
+def test_scores_do_not_depend_on_neighbours(spark):
+    rng = np.random.default_rng(1)
+    model = (rng.normal(0, 1, grade_module.FEATURES), np.array([-1.0, 1.0]))
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 999, i % 40))) for i in range(200)] + [(900, None), (901, ""), (902, "z " * 50_000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    a = {r.doc_id: tuple(r) for r in grade_module.score(d.coalesce(1), model).collect()}
+    b = {r.doc_id: tuple(r) for r in grade_module.score(d.repartition(7).sortWithinPartitions(F.desc("doc_id")), model).collect()}
+    assert a == b and len(a) == 203
+
+
+def test_spans_next_to_the_marker():
+    """A template without separators, and texts that hold the marker's character."""
+    glued = chat.local(reach=0)(lambda turns: "".join(t for _, t in turns))
+    turns = [("u", "a\ue000"), ("a", "\ue000b"), ("a", "\ue0000\ue000"), ("a", ""), ("a", "x" * 200_000)]
+    spans = list(chat.render_spans(iter(turns), glued))
+    assert [(g[s:e], back) for g, back, s, e in spans] == [(t, 0) for _, t in turns]
