@@ -183,6 +183,47 @@ def _with_islands(p: DataFrame, idle_seconds: float) -> DataFrame:
             .withColumn("session", F.sum("opens").over(at.rowsBetween(Window.unboundedPreceding, 0))))
 
 
+def _session_aggregates() -> dict[str, Column]:
+    return {"first": F.min(F.struct("ts_us", "packet_id", "from_lo")), "last_us": F.max("ts_us"), "packets": F.count(F.lit(1)),
+            "bytes": F.sum("pkt_len"), "lo_packets": F.sum(F.col("from_lo").cast("long")),
+            "lo_bytes": F.sum(F.when(F.col("from_lo"), F.col("pkt_len")).otherwise(0)),
+            "longest": F.max("pkt_len"), "shortest": F.min("pkt_len")}
+
+
+def _facts_by_role(grouped) -> DataFrame:
+    """One row a session from order-free aggregates: its conversation (initiator first),
+    span, and packets and bytes of both sides. Nothing is collected."""
+    s = grouped.agg(*[v.alias(k) for k, v in _session_aggregates().items()])
+    lo = F.col("first.from_lo")
+    ours = lambda a, whole: F.when(lo, F.col(a)).otherwise(F.col(whole) - F.col(a)).cast("long")
+    theirs = lambda a, whole: F.when(lo, F.col(whole) - F.col(a)).otherwise(F.col(a)).cast("long")
+    end = lambda k, mine: F.when(lo if mine else ~lo, F.col(f"lo_{k}")).otherwise(F.col(f"hi_{k}"))
+    return s.select(
+        end("ip", True).alias("src_ip"), end("port", True).alias("src_port"), end("ip", False).alias("dst_ip"), end("port", False).alias("dst_port"), "proto",
+        F.timestamp_micros("first.ts_us").alias("start"), F.timestamp_micros("last_us").alias("end"),
+        ours("lo_packets", "packets").alias("fwd_packets"), theirs("lo_packets", "packets").alias("bwd_packets"),
+        ours("lo_bytes", "bytes").alias("fwd_bytes"), theirs("lo_bytes", "bytes").alias("bwd_bytes"), "shortest", "longest")
+
+
+def session_facts(packets: DataFrame, idle_seconds: float) -> DataFrame:
+    """Sessions as gaps and islands: a packet that comes ``idle_seconds`` or more after the
+    conversation's packet before opens a new one. One row each; the batch twin of
+    ``stream_sessions``."""
+    at = Window.partitionBy(*CONV).orderBy(*ORDER)
+    p = _prepared(packets)
+    opens = F.coalesce(F.col("ts_us") - F.lag("ts_us").over(at) >= int(idle_seconds * US), F.lit(False)).cast("int")
+    p = p.withColumn("opens", opens).withColumn("session", F.sum("opens").over(at.rowsBetween(Window.unboundedPreceding, 0)))
+    return _facts_by_role(p.groupBy(*CONV, "session"))
+
+
+def stream_sessions(packets: DataFrame, idle_seconds: float, delay_seconds: float) -> DataFrame:
+    """ST2 on the JVM alone: closed sessions of a packet stream by ``session_window``, which merges
+    sessions in state as packets come in any order within the delay. State is one row
+    of aggregates a session."""
+    timed = _prepared(packets.withWatermark("ts", f"{int(delay_seconds * 1000)} milliseconds"))
+    return _facts_by_role(timed.groupBy(F.session_window("ts", f"{int(idle_seconds * 1000)} milliseconds"), *CONV))
+
+
 def _last_emissions(prepared: DataFrame, by: list[str], min_duration: float) -> DataFrame:
     """The last row that each group of ``by`` emits."""
     rows = _window_features(prepared, by, min_duration, keep=[*KEEP, *[c for c in by if c not in KEEP]])

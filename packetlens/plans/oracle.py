@@ -464,3 +464,21 @@ q AS (SELECT quantile_cont(err, 0.9) AS threshold FROM e WHERE "Label" = 'BENIGN
 SELECT "Label" = 'BENIGN' AS benign, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN err >= threshold THEN 1 ELSE 0 END) AS BIGINT) AS n_above,
        """ + r6("threshold", "threshold") + """
 FROM e, q GROUP BY benign, threshold""")
+
+SQL["session_facts"] = "WITH " + PACKETS + """,
+c AS (SELECT *, epoch_us(ts) AS us, src_ip || ':' || src_port AS a, dst_ip || ':' || dst_port AS b FROM packets
+      WHERE proto IN (6, 17) AND NOT (src_ip = dst_ip AND src_port = dst_port)),
+o AS (SELECT *, CASE WHEN us - lag(us) OVER w >= 86400000000 THEN 1 ELSE 0 END AS opens FROM c
+      WINDOW w AS (PARTITION BY least(a, b), greatest(a, b), proto ORDER BY ts, packet_id)),
+i AS (SELECT *, sum(opens) OVER (PARTITION BY least(a, b), greatest(a, b), proto ORDER BY ts, packet_id
+                                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM o),
+f AS (SELECT *, first_value(a) OVER (PARTITION BY least(a, b), greatest(a, b), proto, island ORDER BY ts, packet_id) = a AS fwd FROM i)
+SELECT arg_min(src_ip, (us, packet_id)) AS src_ip, arg_min(src_port, (us, packet_id)) AS src_port,
+       arg_min(dst_ip, (us, packet_id)) AS dst_ip, arg_min(dst_port, (us, packet_id)) AS dst_port, proto,
+       CAST(min(ts) AS TIMESTAMP) AS "start", CAST(max(ts) AS TIMESTAMP) AS "end",
+       CAST(count(*) FILTER (WHERE fwd) AS BIGINT) AS fwd_packets, CAST(count(*) FILTER (WHERE NOT fwd) AS BIGINT) AS bwd_packets,
+       CAST(coalesce(sum(pkt_len) FILTER (WHERE fwd), 0) AS BIGINT) AS fwd_bytes,
+       CAST(coalesce(sum(pkt_len) FILTER (WHERE NOT fwd), 0) AS BIGINT) AS bwd_bytes, min(pkt_len) AS shortest, max(pkt_len) AS longest
+FROM f GROUP BY least(a, b), greatest(a, b), proto, island"""
+# the closing marker is a session of its own, never followed and so never closed
+SQL["stream_sessions"] = SQL["session_facts"]

@@ -18,7 +18,8 @@ from pyspark.sql import types as T
 from packetlens.functions.columns import attack_type, dl_score, rule_flags
 from packetlens.operators import reports as R
 from packetlens.operators.flows import (
-    flow_features, flow_features_bucketed, flow_sessions, flow_summary, quarantined_packets, valid_packets,
+    flow_features, flow_features_bucketed, flow_sessions, flow_summary, quarantined_packets, session_facts, stream_sessions,
+    valid_packets,
 )
 from packetlens.operators.scoring import ensemble_batch, ensemble_live, live_gate
 from packetlens.plans.detection import (
@@ -338,6 +339,18 @@ def q_flow_sessions(spark, sf):
     return for_check(flow_sessions(_packets(spark, sf), STREAM_IDLE_S))
 
 
+def q_session_facts(spark, sf):
+    return for_check(session_facts(_packets(spark, sf), STREAM_IDLE_S))
+
+
+def q_stream_sessions(spark, sf):
+    """ST2 by ``session_window``: closed sessions of the shuffled stream."""
+    from packetlens.streaming.jobs import run_append
+    stream, delay = _shuffled_packets(spark, sf, "windows")
+    out, _ = run_append(stream_sessions(stream, STREAM_IDLE_S, delay), "sessions")
+    return for_check(spark.read.parquet(out))
+
+
 def q_stream_late(spark, sf):
     """ST8: every tenth packet comes after all others; those behind the watermark are
     routed aside, and kept and late ones add up to the input."""
@@ -612,6 +625,8 @@ QUERIES = {
     "stream_flow_features": q_stream_flow_features,
     "stream_flow_summary": q_stream_flow_summary,
     "flow_sessions": q_flow_sessions,
+    "session_facts": q_session_facts,
+    "stream_sessions": q_stream_sessions,
     "stream_late": q_stream_late,
     "stream_detect": q_stream_detect,
     "stream_scores": q_stream_scores,

@@ -8,7 +8,7 @@ import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from packetlens.operators.flows import flow_features, flow_sessions, quarantined_packets
+from packetlens.operators.flows import flow_features, flow_sessions, quarantined_packets, session_facts, stream_sessions
 from packetlens.plans.detection import detect, fit_detector, typed_flows
 from packetlens.operators.models import load_hybrid, save_hybrid
 from packetlens.operators.reports import session_counters
@@ -174,3 +174,15 @@ def test_state_is_exact_for_long_gaps(spark):
     out, _ = jobs.run_append(stream_flow_features(jobs.read_stream(spark, path, PACKET, max_files=1)), "gaps")
     got, want = rows_of(spark.read.parquet(out)), rows_of(flow_features(p))
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9, abs=1e-6) for k in got)
+
+
+@pytest.mark.parametrize("files", [1, 4, 16])
+def test_session_windows_equal_islands(spark, some_packets, files):
+    path = as_files(spark, some_packets, files, "windows")
+    last = some_packets.agg(F.max("ts")).first()[0]
+    jobs.land_flush(spark, path, last + dt.timedelta(days=60))
+    out, _ = jobs.run_append(stream_sessions(jobs.read_stream(spark, path, PACKET, max_files=1), 3600, 40 * 86400), "windows")
+    want = session_facts(some_packets, 3600)
+    got = spark.read.parquet(out)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
+    assert want.agg(F.sum("fwd_packets") + F.sum("bwd_packets")).first()[0] == some_packets.where("src_ip <> dst_ip").count()
