@@ -206,14 +206,9 @@ def _facts_by_role(grouped) -> DataFrame:
 
 
 def session_facts(packets: DataFrame, idle_seconds: float) -> DataFrame:
-    """Sessions as gaps and islands: a packet that comes ``idle_seconds`` or more after the
-    conversation's packet before opens a new one. One row each; the batch twin of
-    ``stream_sessions``."""
-    at = Window.partitionBy(*CONV).orderBy(*ORDER)
-    p = _prepared(packets)
-    opens = F.coalesce(F.col("ts_us") - F.lag("ts_us").over(at) >= int(idle_seconds * US), F.lit(False)).cast("int")
-    p = p.withColumn("opens", opens).withColumn("session", F.sum("opens").over(at.rowsBetween(Window.unboundedPreceding, 0)))
-    return _facts_by_role(p.groupBy(*CONV, "session"))
+    """Sessions as gaps and islands: a conversation that was silent for more than
+    ``idle_seconds`` starts anew. One row each; the batch twin of ``stream_sessions``."""
+    return _facts_by_role(_with_islands(_prepared(packets), idle_seconds).groupBy(*CONV, "session"))
 
 
 def stream_sessions(packets: DataFrame, idle_seconds: float, delay_seconds: float) -> DataFrame:

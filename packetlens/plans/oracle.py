@@ -468,7 +468,7 @@ FROM e, q GROUP BY benign, threshold""")
 SQL["session_facts"] = "WITH " + PACKETS + """,
 c AS (SELECT *, epoch_us(ts) AS us, src_ip || ':' || src_port AS a, dst_ip || ':' || dst_port AS b FROM packets
       WHERE proto IN (6, 17) AND NOT (src_ip = dst_ip AND src_port = dst_port)),
-o AS (SELECT *, CASE WHEN us - lag(us) OVER w >= 86400000000 THEN 1 ELSE 0 END AS opens FROM c
+o AS (SELECT *, CASE WHEN us - lag(us) OVER w > 86400000000 THEN 1 ELSE 0 END AS opens FROM c
       WINDOW w AS (PARTITION BY least(a, b), greatest(a, b), proto ORDER BY ts, packet_id)),
 i AS (SELECT *, sum(opens) OVER (PARTITION BY least(a, b), greatest(a, b), proto ORDER BY ts, packet_id
                                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM o),
