@@ -23,6 +23,15 @@ SF = "/root/testdata/sf0.001"
 BASE = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
 
 
+@pytest.fixture(scope="module", autouse=True)
+def few_state_stores(spark):
+    """Each shuffle partition commits a state store in every micro-batch."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def packet(i, sec, a, b, ln=60, proto=6):
     hosts = [("10.0.0.1", 1000), ("10.0.0.2", 80), ("10.0.0.3", 22), ("10.0.0.4", 5000)]
     return (i, BASE + dt.timedelta(seconds=sec), float(sec), hosts[a][0], hosts[b][0], hosts[a][1], hosts[b][1], proto, ln, 5,
