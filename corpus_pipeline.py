@@ -1,5 +1,11 @@
 """A training-corpus pipeline over ``documents``: each stage calls one corpus
-operator, and its result is written as Parquet and read again by the next."""
+operator, and its result is written as Parquet and read again by the next.
+
+Defined results of every stage: null text counts as empty and fails the quality rules; null
+language or source is a group of its own; texts of any length are read whole; of repeated rows one
+stays after near dedup, and ties go to the smaller id; an empty table stays empty; columns
+beside those of ``documents`` are carried, and the last stage's ``token_ids`` and ``n_tokens``
+take the place of input columns of these names."""
 
 from __future__ import annotations
 
