@@ -83,3 +83,12 @@ def test_line_dedup_stage_drops_lines(spark):
     got = corpus_pipeline.line_dedup(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
     assert dict(zip(want.doc_id, want.text)) == {r.doc_id: r.text for r in got.select("doc_id", "text").collect()}
     assert want.n_dropped.sum() == 164 and (want.n_dropped > 0).sum() == 128
+
+
+def test_all_corpus_queries_are_registered():
+    """The entry skips the corpus operators where they are absent; here they are present."""
+    import __spark_entry__
+    names = __spark_entry__.queries()
+    numbers = sorted(int(n[2:].split("_")[0]) for n in names if re.match(r"op\d+_", n))
+    assert numbers == list(range(1, 14)) and "pipeline" in names
+    assert {"op1_curriculum_mix", "op3_adaptive_quality", "op11_source_audit", "op12_segment_negatives"} <= set(__spark_entry__.oracle_sql())
