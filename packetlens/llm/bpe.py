@@ -41,8 +41,8 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 # versions; texts with other characters are split by the library itself.
 SETTLED = r"[\u0000-ɏЀ-ҁḀ-ỿ‐-⁞₠-₫ぁ-ゖ一-龥가-힣]*"
 
-CHUNK_WORDS = 1_000_000
-KNOWN_WORDS = 1_000_000
+CHUNK_WORDS = 200_000
+KNOWN_WORDS = 400_000
 KNOWN_PAIRS = 1_000_000
 
 
@@ -280,8 +280,8 @@ def encode_texts(docs: DataFrame, text: str = "text", tokenizer: str | None = No
             encoder = _ENCODERS[key] = TrieEncoder(file.value)
         for batch in batches:
             # small slices: a slice's ids and decoded texts are held at once
-            for at in range(0, batch.num_rows, 2048):
-                rows = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, 512):
+                rows = batch.slice(at, 512)
                 ids = list(encoder.encode(rows.column(1).to_pylist()))
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0), pa.array(ids, pa.binary()), pa.array([encoder.decode(x) for x in ids], pa.string())],
