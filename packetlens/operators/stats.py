@@ -180,15 +180,18 @@ def error_share_topk(df: DataFrame, residuals: list[str], k: int = 3,
     share is r^2 / sum(r^2) (0 when the row has no error). Ties are broken by
     feature name. One output row per (input row, rank).
     """
-    sq = [F.col(fcol(c)) * F.col(fcol(c)) for c in residuals]
-    total = sum(sq[1:], sq[0])
+    keys = [F.col(fcol(c)) for c in (keep or [])]
+    # squares and their sum are columns: inside the shares' conditions every share would add them up anew
+    df = df.select(*keys, F.array(*[F.col(fcol(c)) * F.col(fcol(c)) for c in residuals]).alias("_sq"))
+    df = df.withColumn("_total", F.aggregate("_sq", F.lit(0.0), lambda a, v: a + v))
+    sq, total = [F.col("_sq")[i] for i in range(len(residuals))], F.col("_total")
     # (0 - share, name) ascending = share descending, ties by name; built-in
     # sort_array, no lambda comparator in the per-row path.
     items = F.array(*[F.struct(
         (F.lit(0.0) - F.coalesce(F.try_divide(s, total), F.lit(0.0))).alias("neg"),
         F.lit(c).alias("feature")) for s, c in zip(sq, residuals)])
     ranked = F.slice(F.sort_array(items, asc=True), 1, k)
-    out = df.select(*[F.col(fcol(c)) for c in (keep or [])], F.posexplode(ranked).alias("pos", "item"))
-    return out.select(*[F.col(fcol(c)) for c in (keep or [])], (F.col("pos") + 1).alias("rank"),
+    out = df.select(*keys, F.posexplode(ranked).alias("pos", "item"))
+    return out.select(*keys, (F.col("pos") + 1).alias("rank"),
                       F.col("item.feature").alias("feature"),
                       (F.lit(0.0) - F.col("item.neg")).alias("share"))
