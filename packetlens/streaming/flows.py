@@ -23,7 +23,9 @@ tracker's FIFO eviction.
 State of a conversation is one record of fixed size, with exact integer moments (sums of
 squared gaps as 128 bits), so values don't depend on how packets are dealt to
 micro-batches. A waiting packet takes some 60 bytes. One conversation's packets are
-followed in one task, in chunks of ``CHUNK`` packets.
+followed in one task. Packets come in, and are released and sorted, some ``RELEASE`` at a
+time, and are computed in chunks of ``CHUNK``, so that a worker's memory depends neither on the
+size of a micro-batch nor on how much waits.
 """
 
 from __future__ import annotations
@@ -42,7 +44,8 @@ from packetlens.operators.flows import CONV, MAX_HDR_LEVEL, MIN_DURATION_S, _pre
 from packetlens.schemas import FEATURES
 
 LEVELS = MAX_HDR_LEVEL + 1
-CHUNK = 200_000
+RELEASE = 200_000    # packets (some 100 bytes each) sorted together
+CHUNK = 20_000       # packets computed together (some 4 kB each, most of it the running counts by level)
 SEP = "\x1f"
 _NONE, _BIG = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
@@ -232,10 +235,18 @@ class FlowTracker(StatefulProcessor):
         self.seen: dict = {}
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        packets = pa.concat_tables([pa.Table.from_pandas(x[PACKET_ROWS.names], PACKET_ROWS, preserve_index=False) for x in rows])
-        if not self.delayed:
-            yield from self.track(packets)
-            return
+        came, n = [], 0
+        for x in rows:
+            came.append(pa.Table.from_pandas(x[PACKET_ROWS.names], PACKET_ROWS, preserve_index=False))
+            n += len(x)
+            if self.delayed and n >= RELEASE:
+                yield from self.keep_waiting(pa.concat_tables(came), timerValues)
+                came, n = [], 0
+        if came:
+            packets = pa.concat_tables(came)
+            yield from self.keep_waiting(packets, timerValues) if self.delayed else self.track(packets)
+
+    def keep_waiting(self, packets: pa.Table, timerValues) -> Iterator[pd.DataFrame]:
         ts = packets["ts_us"].to_numpy()
         late = ts < timerValues.getCurrentWatermarkInMs() * 1000
         if late.any():
@@ -267,7 +278,7 @@ class FlowTracker(StatefulProcessor):
                 held.append(pa.ipc.open_stream(bytes(self.waiting.getValue((slot,))[0])).read_all())
                 self.waiting.removeKey((slot,))
                 n += held[-1].num_rows
-                if n >= CHUNK:
+                if n >= RELEASE:
                     yield from self.track(pa.concat_tables(held))
                     held, n = [], 0
             if held:
@@ -347,6 +358,9 @@ class FlowTracker(StatefulProcessor):
                 self.flows.removeKey((k,))
                 keys.append(k)
                 states.append(s)
+                if len(keys) >= CHUNK:
+                    yield from self.sessions(np.array(keys, object), np.concatenate(states))
+                    keys, states = [], []
         if keys:
             yield from self.sessions(np.array(keys, object), np.concatenate(states))
 

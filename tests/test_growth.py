@@ -21,3 +21,65 @@ def test_error_share_adds_the_squares_up_once(spark):
     df = spark.range(40).select("id", *[(F.rand(i) - 0.5).alias(n) for i, n in enumerate(names)])
     plan = error_share_topk(df, names, keep=["id"])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("r11#") < 12      # a few per step, not one for every share
+
+
+class _Map(dict):
+    def getValue(self, k):
+        return self.get(k)
+
+    def updateValue(self, k, v):
+        self[k] = v
+
+    removeKey = dict.__delitem__
+
+
+class _Handle:
+    def __init__(self):
+        self.maps = {}
+
+    def getMapState(self, name, key, value):
+        return self.maps.setdefault(name, _Map())
+
+    def registerTimer(self, ms):
+        pass
+
+
+class _At:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def _tracked(frames, idle_us=None):
+    tracker = flows.FlowTracker(("flow", "session"), 0.5, True, 60_000_000, idle_us)
+    tracker.init(_Handle())
+    out = [*tracker.handleInputRows((0,), iter(frames), _At(0)), *tracker.handleExpiredTimer((0,), _At(10**9), None)]
+    return pd.concat(out).sort_values(["kind", "packet_id"]).reset_index(drop=True)
+
+
+def _frames(n, of):
+    rng = np.random.default_rng(3)
+    conv = [flows.SEP.join(("10.0.0.1", str(c), "9.9.9.9", "80", "6")) for c in rng.integers(0, n // 8, n)]
+    rows = pd.DataFrame({"conv": conv, "packet_id": np.arange(n), "ts_us": rng.integers(0, 600_000_000, n), "pkt_len": rng.integers(40, 1500, n),
+                         "from_lo": rng.random(n) < 0.7, "hdr": 40, "win": 100})
+    return [rows[at:at + of] for at in range(0, n, of)]
+
+
+def test_tracker_works_in_bounded_pieces(monkeypatch):
+    """A shard's packets of one release are computed some at a time, whatever their number."""
+    sizes, advance = [], flows.advance
+    monkeypatch.setattr(flows, "advance", lambda seg, *a: sizes.append(seg.n) or advance(seg, *a))
+    _tracked(_frames(50_000, 10_000))
+    assert sum(sizes) == 50_000 and max(sizes) <= 20_000
+
+
+def test_tracker_pieces_give_the_same_rows(monkeypatch):
+    whole = _tracked(_frames(3000, 500), 30_000_000)
+    sizes, wait = [], flows.FlowTracker.keep_waiting
+    monkeypatch.setattr(flows.FlowTracker, "keep_waiting", lambda self, p, t: sizes.append(p.num_rows) or wait(self, p, t))
+    monkeypatch.setattr(flows, "RELEASE", 700)
+    monkeypatch.setattr(flows, "CHUNK", 90)
+    pd.testing.assert_frame_equal(_tracked(_frames(3000, 500), 30_000_000), whole)
+    assert sizes == [1000, 1000, 1000]
