@@ -30,6 +30,8 @@ from packetlens.session import write_once
 from packetlens.schemas import fcol
 
 VEC = "_vec"
+# Rows in a partition that trees are fitted on: Spark ML keeps some 600 bytes a row of 30 features.
+TREE_ROWS = 500_000
 
 
 def with_vector(df: DataFrame, features) -> DataFrame:
@@ -123,6 +125,14 @@ def fit_anomaly(df: DataFrame, features, k: int = 8, benign: str | None = None)
     return AnomalyModel(pipe, features, dims)
 
 
+def in_tree_parts(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` in partitions of about ``rows`` rows at most. Files are read by their packed size, so
+    a partition of a well-packed table holds millions of rows, which tree learning keeps
+    unpacked and reads again in one task at every level."""
+    need = -(-df.count() // (rows or TREE_ROWS))
+    return df if need <= max(1, df.rdd.getNumPartitions()) else df.repartition(need)
+
+
 def _named_outputs(est):
     est.setProbabilityCol("_prob")
     est.setRawPredictionCol("_raw")
@@ -151,7 +161,7 @@ def fit_trees(df: DataFrame, features, label: str, max_iter: int = 300, max_dept
     gbt = _named_outputs(GBTClassifier(
         featuresCol=VEC, labelCol="_y", maxIter=max_iter, maxDepth=max_depth, stepSize=step,
         subsamplingRate=subsample, featureSubsetStrategy=colsample, predictionCol="_pred", seed=seed))
-    return TreeModel(Pipeline(stages=[gbt]).fit(d), features)
+    return TreeModel(Pipeline(stages=[gbt]).fit(in_tree_parts(d.select(VEC, "_y"))), features)
 
 
 def rank_features(df: DataFrame, features, label: str, names: list[str] | None = None,
@@ -159,7 +169,7 @@ def rank_features(df: DataFrame, features, label: str, names: list[str] | None =
     """M10 + T3: random-forest importance, highest first, top ``top``."""
     d = with_vector(df, features).withColumn("_y", F.col(label).cast("double"))
     rf = RandomForestClassifier(featuresCol=VEC, labelCol="_y", numTrees=num_trees, seed=seed)
-    imp = rf.fit(d).featureImportances.toArray().tolist()
+    imp = rf.fit(in_tree_parts(d.select(VEC, "_y"))).featureImportances.toArray().tolist()
     names = names or (list(features) if not isinstance(features, str) else [f"x{i}" for i in range(len(imp))])
     spark = df.sparkSession
     t = spark.createDataFrame(list(zip(names, [float(v) for v in imp])), "feature string, importance double")
@@ -250,7 +260,9 @@ def tree_only_labels(df: DataFrame, features, label: str, max_iter: int = 20, ma
     sc = StandardScaler(inputCol=VEC, outputCol="_z", withMean=True, withStd=True)
     gbt = _named_outputs(GBTClassifier(featuresCol="_z", labelCol="_y", maxIter=max_iter,
                                        maxDepth=max_depth, predictionCol="_pred", seed=seed))
-    model = Pipeline(stages=[idx, sc, gbt]).fit(d)
+    prepared = Pipeline(stages=[idx, sc]).fit(d)
+    trees = gbt.fit(in_tree_parts(prepared.transform(d).select("_z", "_y")))
+    model = PipelineModel([*prepared.stages, trees])
     inv = IndexToString(inputCol="_pred", outputCol="predicted_label",
                         labels=model.stages[0].labels)
     return inv.transform(model.transform(d)).drop(VEC, "_y", "_z", "_prob", "_raw", "_pred")

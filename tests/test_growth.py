@@ -83,3 +83,12 @@ def test_tracker_pieces_give_the_same_rows(monkeypatch):
     monkeypatch.setattr(flows, "CHUNK", 90)
     pd.testing.assert_frame_equal(_tracked(_frames(3000, 500), 30_000_000), whole)
     assert sizes == [1000, 1000, 1000]
+
+
+def test_trees_are_fitted_on_bounded_partitions(spark, monkeypatch):
+    df = spark.range(2000).coalesce(1).select("id", (F.col("id") % 10).cast("double").alias("a"), F.when(F.col("id") % 10 > 4, "x").otherwise("y").alias("kind"))
+    monkeypatch.setattr(M, "TREE_ROWS", 300)
+    sizes = [r[0] for r in M.in_tree_parts(df).groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(sizes) == 7 and max(sizes) < 600
+    out = M.tree_only_labels(df, ["a"], "kind", max_iter=2, max_depth=2)
+    assert out.where("kind = predicted_label").count() == 2000
