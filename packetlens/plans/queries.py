@@ -307,17 +307,17 @@ STREAM_IDLE_S = 86400
 def _shuffled_packets(spark, sf, name):
     """The packets as a bounded stream of files that each span the whole time, closed
     by a marker, and the delay that covers their disorder."""
-    from packetlens.streaming.jobs import land_flush, land_in_files, read_stream
+    from packetlens.streaming.jobs import land_batches, land_flush, read_stream
     packets = _packets(spark, sf)
-    path = land_in_files(packets, name, STREAM_FILES)
+    path, each = land_batches(packets, name, STREAM_FILES, F.col("packet_id"))
     first, last = spark.read.parquet(path).agg(F.min("ts"), F.max("ts")).first()
     delay = (last - first).total_seconds() + 1
     land_flush(spark, path, last + timedelta(seconds=2 * delay + 2 * STREAM_IDLE_S))
-    return read_stream(spark, path, packets.schema, max_files=1), delay
+    return read_stream(spark, path, packets.schema, max_files=each), delay
 
 
 def q_stream_flow_features(spark, sf):
-    """ST1 + S4: packets out of order, one file a micro-batch."""
+    """ST1 + S4: packets out of order, a quarter of the files a micro-batch."""
     from packetlens.streaming.flows import stream_flow_features
     from packetlens.streaming.jobs import run_append
     stream, delay = _shuffled_packets(spark, sf, "packets")
@@ -353,16 +353,21 @@ def q_stream_sessions(spark, sf):
 
 def q_stream_late(spark, sf):
     """ST8: every tenth packet comes after all others; those behind the watermark are
-    routed aside, and kept and late ones add up to the input."""
+    routed aside, and kept and late ones add up to the input. The stream runs to the end of each
+    landing and goes on from its checkpoint with the next: a landing may have any number of files."""
     from packetlens.streaming.flows import track_flows
     from packetlens.streaming.jobs import land_flush, read_stream, run_append
     packets, path = _packets(spark, sf), scratch_path(spark, "landing-late")
-    held = F.col("packet_id") % 10 == 0
+    held, base = F.col("packet_id") % 10 == 0, scratch_path(spark, "sink-late")
+
+    def run() -> str:
+        stream = read_stream(spark, path, packets.schema)
+        return run_append(track_flows(stream, ("kept",), delay_seconds=7 * 86400, slot_seconds=86400), "late", base=base)[0]
     for part in (packets.where(~held), packets.where(held)):
-        part.coalesce(1).write.mode("append").parquet(path)
+        part.write.mode("append").parquet(path)
+        run()
     land_flush(spark, path, packets.agg(F.max("ts")).first()[0] + timedelta(days=60))
-    stream = read_stream(spark, path, packets.schema, max_files=1)
-    out, _ = run_append(track_flows(stream, ("kept",), delay_seconds=7 * 86400, slot_seconds=86400), "late")
+    out = run()
     rows = spark.read.parquet(out).where("packet_id >= 0")
     return rows.groupBy(F.col("kind").alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sum("packet_id").alias("id_sum"))
 
@@ -386,10 +391,9 @@ class Interrupted(Exception):
 def q_stream_scores_resumed(spark, sf):
     """S4 + S5: a bounded stream that stops after writing a batch and before
     publishing it, and is started again from its checkpoint."""
-    from packetlens.streaming.jobs import read_stream, run_batches, stream_scores
-    scored = _scored(spark, sf)
-    landing, base = scratch_path(spark, "landing-resumed"), scratch_path(spark, "resumed")
-    scored.repartition(STREAM_FILES).write.parquet(landing)
+    from packetlens.streaming.jobs import land_batches, read_stream, run_batches, stream_scores
+    scored, base = _scored(spark, sf), scratch_path(spark, "resumed")
+    landing, each = land_batches(scored, "resumed", STREAM_FILES)
     calls = []
 
     def stopping(written):
@@ -399,7 +403,7 @@ def q_stream_scores_resumed(spark, sf):
         return written["scores"].limit(0)
 
     def start():
-        stream = stream_scores(read_stream(spark, landing, scored.schema, max_files=1))
+        stream = stream_scores(read_stream(spark, landing, scored.schema, max_files=each))
         return run_batches(stream, base, lambda batch: {"scores": batch}, {"nothing": stopping})[0]
     try:
         start()

@@ -15,7 +15,7 @@ import datetime
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -43,10 +43,10 @@ def read_stream(spark: SparkSession, path: str, schema, max_files: int | None =
     return r.parquet(path)
 
 
-def run_append(stream: DataFrame, name: str, mode: str = "append") -> tuple[str, StreamingQuery]:
-    """Run to the end of the available input into a parquet sink; returns its path."""
-    spark = stream.sparkSession
-    base = scratch_path(spark, f"sink-{name}")
+def run_append(stream: DataFrame, name: str, mode: str = "append", base: str | None = None) -> tuple[str, StreamingQuery]:
+    """Run to the end of the available input into a parquet sink; returns its path. Called
+    again with the same ``base`` it goes on where it ended."""
+    base = base or scratch_path(stream.sparkSession, f"sink-{name}")
     q = (stream.writeStream.format("parquet").outputMode(mode)
          .option("checkpointLocation", os.path.join(base, "_checkpoint"))
          .trigger(availableNow=True).start(os.path.join(base, "data")))
@@ -82,6 +82,16 @@ def land_in_files(packets: DataFrame, name: str, files: int) -> str:
     return path
 
 
+def land_batches(df: DataFrame, name: str, batches: int, by: Column | None = None) -> tuple[str, int]:
+    """A landing folder for ``batches`` micro-batches, and how many files one of them takes: as many
+    as ``df`` has partitions, so that files don't grow with the table and a micro-batch is
+    written and read by many tasks. Rows are dealt by a hash of ``by``, else in turn."""
+    each = max(1, df.rdd.getNumPartitions())
+    path = scratch_path(df.sparkSession, f"landing-{name}")
+    df.repartition(batches * each, *[] if by is None else [F.xxhash64(by)]).write.parquet(path)
+    return path, each
+
+
 def land_flush(spark: SparkSession, path: str, after: datetime.datetime) -> None:
     """Add a marker packet at ``after`` to a landing folder of packets: it moves the watermark on,
     so that everything that still waits is released. Its conversation has one packet

@@ -85,6 +85,34 @@ def test_tracker_pieces_give_the_same_rows(monkeypatch):
     assert sizes == [1000, 1000, 1000]
 
 
+def test_landing_has_as_many_files_a_batch_as_the_table_has_partitions(spark):
+    path, each = jobs.land_batches(spark.range(4000).repartition(3), "growth", 4, F.col("id"))
+    assert each == 3 and len([f for f in os.listdir(path) if f.endswith(".parquet")]) == 12
+
+
+@pytest.fixture
+def few_state_stores(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_stream_late_lands_in_many_files(spark, monkeypatch, few_state_stores):
+    """Late rows are those behind the first landing's watermark, however many files it has."""
+    packets = packets_from_events(table(spark, SF, "events")).repartition(3).localCheckpoint()
+    paths, scratch = {}, Q.scratch_path
+    monkeypatch.setattr(Q, "_packets", lambda spark, sf: packets)
+    monkeypatch.setattr(Q, "scratch_path", lambda spark, name: paths.setdefault(name, scratch(spark, name)))
+    got = {r["part"]: (r["n"], r["id_sum"]) for r in Q.q_stream_late(spark, SF).collect()}
+    held = F.col("packet_id") % 10 == 0
+    mark = packets.where(~held).agg(F.expr("max(unix_millis(ts)) - 7 * 86400000")).first()[0]
+    late = held & (F.unix_micros("ts") < mark * 1000)
+    want = {kind: tuple(packets.where(cond).agg(F.count("*"), F.sum("packet_id")).first()) for kind, cond in (("late", late), ("kept", ~late))}
+    assert got == want and want["late"][0] > 0
+    assert len([f for f in os.listdir(paths["landing-late"]) if f.endswith(".parquet")]) == 7
+
+
 def test_trees_are_fitted_on_bounded_partitions(spark, monkeypatch):
     df = spark.range(2000).coalesce(1).select("id", (F.col("id") % 10).cast("double").alias("a"), F.when(F.col("id") % 10 > 4, "x").otherwise("y").alias("kind"))
     monkeypatch.setattr(M, "TREE_ROWS", 300)
