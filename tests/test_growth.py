@@ -120,3 +120,13 @@ def test_trees_are_fitted_on_bounded_partitions(spark, monkeypatch):
     assert len(sizes) == 7 and max(sizes) < 600
     out = M.tree_only_labels(df, ["a"], "kind", max_iter=2, max_depth=2)
     assert out.where("kind = predicted_label").count() == 2000
+
+
+def test_dense_rows_are_multiplied_in_blocks():
+    x = np.random.default_rng(1).normal(size=(1300, 5))
+    layers = dense.initial_layers(5, (4, 2, 4))
+    parts = [dense.gradient(b, layers) for b in dense.blocks(x)]
+    loss, g = dense.gradient(x, layers)
+    assert [len(b) for b in dense.blocks(x)] == [512, 512, 276]
+    assert sum(p[0] for p in parts) == pytest.approx(loss)
+    assert np.allclose(sum(dense._flat(p[1]) for p in parts), dense._flat(g))
