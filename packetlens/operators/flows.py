@@ -65,12 +65,29 @@ def with_conversation(packets: DataFrame) -> DataFrame:
     """FL3: canonical conversation key and the packet's direction flag."""
     src = F.struct(F.col("src_ip").alias("ip"), F.col("src_port").alias("port"))
     dst = F.struct(F.col("dst_ip").alias("ip"), F.col("dst_port").alias("port"))
-    lo, hi = F.least(src, dst), F.greatest(src, dst)
-    return packets.withColumns({
-        "lo_ip": lo["ip"], "lo_port": lo["port"], "hi_ip": hi["ip"], "hi_port": hi["port"],
-        "from_lo": (F.col("src_ip") == lo["ip"]) & (F.col("src_port") == lo["port"]),
+    end = lambda c, low: F.when(F.col("_up") == low, F.col(f"src_{c}")).otherwise(F.col(f"dst_{c}"))
+    # the ends are compared once a row: every reference to a comparison would be one more
+    return packets.withColumn("_up", src <= dst).withColumns({
+        "lo_ip": end("ip", True), "lo_port": end("port", True), "hi_ip": end("ip", False), "hi_port": end("port", False),
+    }).withColumns({
+        "from_lo": (F.col("src_ip") == F.col("lo_ip")) & (F.col("src_port") == F.col("lo_port")),
         "self_talk": (F.col("src_ip") == F.col("dst_ip")) & (F.col("src_port") == F.col("dst_port")),
-    })
+    }).drop("_up")
+
+
+def extent(packets: DataFrame) -> tuple[int, list[int]]:
+    """The number of packets and the header levels (length / 4) that occur, at most 31: one narrow
+    pass. Running counts of longer packets are kept for these levels alone."""
+    level = (header_len() / 4).cast("int")
+    n, mask = packets.select(F.when(level.between(0, MAX_HDR_LEVEL), level).alias("_level")).agg(
+        F.count(F.lit(1)), F.bit_or(F.expr("shiftleft(1, _level)"))).first()
+    return n, [m for m in range(MAX_HDR_LEVEL + 1) if (mask or 0) >> m & 1]
+
+
+def _at_level(hdr: str, counts: dict[int, Column]) -> Column:
+    """The count of ``hdr``'s level."""
+    level = (F.col(hdr) / 4).cast("int")
+    return F.coalesce(*[F.when(level == m, c) for m, c in counts.items()], F.lit(0))
 
 
 def _prepared(packets: DataFrame) -> DataFrame:
@@ -127,30 +144,30 @@ def flow_features(packets: DataFrame, mode: str = "compat", strategy: str = "aut
     if mode != "compat":
         raise ValueError(f"unknown mode {mode!r}; only 'compat' is defined")
     if strategy == "window":
-        return _flow_features_window(packets, min_duration)
+        return _flow_features_window(packets, min_duration, extent(packets)[1])
     if strategy == "bucketed":
         return flow_features_bucketed(packets, bucket_seconds, min_duration)
     if strategy != "auto":
         raise ValueError(f"unknown strategy {strategy!r}")
-    cold, hot = split_hot(packets, hot_rows, target_rows or max(1, hot_rows // 4))
+    n, levels = extent(packets)
+    cold, hot = split_hot(packets, hot_rows, target_rows or max(1, hot_rows // 4), n)
     if hot is None:
-        return _flow_features_window(cold, min_duration)
-    return (_flow_features_window(cold, min_duration)
+        return _flow_features_window(cold, min_duration, levels)
+    return (_flow_features_window(cold, min_duration, levels)
             .unionByName(flow_features_bucketed(hot, bucket_seconds, min_duration,
                                                 bucket_col="bucket_us", hot_rows=0)))
 
 
-def split_hot(packets: DataFrame, hot_rows: int, target_rows: int) -> tuple[DataFrame, DataFrame | None]:
+def split_hot(packets: DataFrame, hot_rows: int, target_rows: int, n: int | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Packets of conversations up to ``hot_rows`` packets, and those of the others
     with ``bucket_us`` (None: there are no others).
 
-    A table of at most ``hot_rows`` rows has no others; its rows are counted from the
-    files' footers where nothing is filtered. Else the conversations are counted in
+    A table of at most ``hot_rows`` rows (``n``, counted if not given) has no others. Else the conversations are counted in
     one narrow pass. Their keys are few (rows / ``hot_rows`` at most) and written once to the
     shared checkpoint folder, so that the test and the two joins don't recompute them.
     """
     from packetlens.session import checkpoint_dir
-    if packets.count() <= hot_rows:
+    if (packets.count() if n is None else n) <= hot_rows:
         return packets, None
     checkpoint_dir(packets.sparkSession)
     keys = hot_conversations(packets, hot_rows, target_rows).checkpoint(eager=True)
@@ -161,8 +178,8 @@ def split_hot(packets: DataFrame, hot_rows: int, target_rows: int) -> tuple[Data
             keyed.join(few, CONV, "inner").select(*packets.columns, "bucket_us"))
 
 
-def _flow_features_window(packets: DataFrame, min_duration: float = MIN_DURATION_S) -> DataFrame:
-    return _window_features(_prepared(packets), CONV, min_duration)
+def _flow_features_window(packets: DataFrame, min_duration: float, levels: list[int]) -> DataFrame:
+    return _window_features(_prepared(packets), CONV, min_duration, levels=levels)
 
 
 def flow_sessions(packets: DataFrame, idle_seconds: float, min_duration: float = MIN_DURATION_S) -> DataFrame:
@@ -226,7 +243,8 @@ def _last_emissions(prepared: DataFrame, by: list[str], min_duration: float) ->
     return rows.withColumn("later", F.lead("packet_id").over(last)).where("later is null").select(*KEEP, *[F.col(fcol(n)) for n in FEATURES])
 
 
-def _window_features(prepared: DataFrame, by: list[str], min_duration: float, keep: list[str] = KEEP) -> DataFrame:
+def _window_features(prepared: DataFrame, by: list[str], min_duration: float, keep: list[str] = KEEP,
+                     levels: list[int] | None = None) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(*ORDER)
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -252,9 +270,9 @@ def _window_features(prepared: DataFrame, by: list[str], min_duration: float, ke
     lenF, lenB, lenFB = on("isF"), on("isB"), on("isFB")
     # act_data_pkt_fwd compares earlier forward lengths with the *current*
     # header length. Running counts of F lengths above each header level
-    # (31 levels) keep this linear instead of collecting lists.
-    above = [F.sum(F.when(F.col("isF") & (F.col("lvl") >= m), 1).otherwise(0)).over(run)
-             for m in range(MAX_HDR_LEVEL + 1)]
+    # (``levels``, by default all 31) keep this linear instead of collecting lists.
+    levels = range(MAX_HDR_LEVEL + 1) if levels is None else levels
+    above = {f"above{m}": F.sum(F.when(F.col("isF") & (F.col("lvl") >= m), 1).otherwise(0)).over(run) for m in levels}
     agg = {
         "nF": F.sum(F.col("isF").cast("int")).over(run),
         "nB": F.sum(F.col("isB").cast("int")).over(run),
@@ -275,11 +293,10 @@ def _window_features(prepared: DataFrame, by: list[str], min_duration: float, ke
         "iatB_n": F.count("iatB").over(run),
         "iatFB_std": F.stddev_pop("iatFB").over(run),
         "start_us": F.first("ts_us").over(run),
-        "above": F.array(*above),
+        **above,
     }
     df = df.withColumns(agg).where(F.col("is_init") & (F.col("nF") >= 2))
 
-    hdr_level = (F.col("hdr") / 4).cast("int")
     duration = F.greatest((F.col("ts_us") - F.col("start_us")) / US, F.lit(min_duration))
     d = lambda c: F.col(c).cast("double")
     c0 = lambda c: F.coalesce(F.col(c).cast("double"), z)
@@ -318,7 +335,7 @@ def _window_features(prepared: DataFrame, by: list[str], min_duration: float, ke
         'Init_Win_bytes_forward': F.when(F.col("proto") == 6, F.col("tcp_window"))
                                    .otherwise(F.lit(0)).cast("double"),
         'Init_Win_bytes_backward': z,
-        'act_data_pkt_fwd': F.element_at(F.col("above"), hdr_level + 1).cast("double"),
+        'act_data_pkt_fwd': _at_level("hdr", {m: F.col(f"above{m}") for m in levels}).cast("double"),
     }
     return df.select(*keep, *[feats[name].alias(name) for name in FEATURES])
 

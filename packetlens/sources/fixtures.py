@@ -34,9 +34,10 @@ def packets_from_events(events: DataFrame) -> DataFrame:
     and destination swap. Port and window values are derived from the ids.
     """
     svc = F.get_json_object("props", "$.k").cast("int") % 8
+    # exploded from one element: later filters stay above, so that a text is parsed once, not at each reference
     e = events.select(
         "event_id", "user_id", "event_type", "value",
-        F.col("ts").cast("timestamp").alias("ts"), svc.alias("svc"))
+        F.col("ts").cast("timestamp").alias("ts"), F.explode(F.array(svc)).alias("svc"))
     is_reply = F.col("event_type").isin("view", "click") & (F.col("event_id") % 3 == 0)
     client_ip = F.concat(F.lit("10.0."), (F.col("user_id") / 256).cast("bigint").cast("string"),
                          F.lit("."), (F.col("user_id") % 256).cast("string"))

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from packetlens.operators import dense, models as M
+from packetlens.operators import dense, flows as flow_steps, models as M
 from packetlens.operators.stats import error_share_topk
 from packetlens.plans import queries as Q
 from packetlens.sources.fixtures import packets_from_events, table
@@ -130,3 +130,23 @@ def test_dense_rows_are_multiplied_in_blocks():
     assert [len(b) for b in dense.blocks(x)] == [512, 512, 276]
     assert sum(p[0] for p in parts) == pytest.approx(loss)
     assert np.allclose(sum(dense._flat(p[1]) for p in parts), dense._flat(g))
+
+
+def test_packet_source_is_parsed_once(spark):
+    """Filters over the packets don't repeat the parsing of an event's text."""
+    plan = flow_steps._prepared(packets_from_events(table(spark, SF, "events")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("get_json_object") == 1
+
+
+def test_running_counts_are_kept_for_header_levels_that_occur(spark):
+    packets = packets_from_events(table(spark, SF, "events"))
+    assert flow_steps.extent(packets) == (packets.count(), [7, 10, 11, 12, 13])
+    plan = flow_steps.flow_features(packets, strategy="window")._jdf.queryExecution().optimizedPlan().toString()
+    assert "above13" in plan and "above14" not in plan
+
+
+def test_queries_run_with_methods_that_the_jvm_compiles(spark):
+    import __spark_entry__ as entry
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    entry.queries()["flow_features"](spark, SF)
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
