@@ -505,12 +505,13 @@ def flow_features_bucketed(packets: DataFrame, bucket_seconds: int = 300,
     1. roles from partial aggregates (initiator, first reply) -- a few rows
        per conversation, joined back (by broadcast for conversations above
        ``hot_rows`` packets, whose number is bounded and counted);
-    2. per bucket the last timestamp of each role, prefix-max over earlier
-       buckets -> each row's previous same-role timestamp is exact;
-    3. running values inside the bucket (window over (conversation, bucket))
-       plus a carry of bucket totals of earlier buckets (a window over the
-       per-bucket table, one row per bucket).
+    2. running values inside the bucket (window over (conversation, bucket)),
+       written once; those at a bucket's last packet are its totals;
+    3. a carry of the totals of earlier buckets (a window over the per-bucket
+       table, one row per bucket), which also closes the gap from each role's last
+       packet before the bucket to its first one inside, joined to the rows once.
 
+    Sums of gaps are differences of times, their counts those of packets less one.
     Standard deviations use exact integer moments (counts, sums and sums of
     squares as DECIMAL(38,0)), which are associative, so the carry + local
     combination is exact. ``bucket_col`` (microseconds per bucket, per row)
@@ -518,82 +519,75 @@ def flow_features_bucketed(packets: DataFrame, bucket_seconds: int = 300,
     any bucketing monotone in time gives the same result.
     """
     width = F.col(bucket_col) if bucket_col else F.lit(int(bucket_seconds * US))
-    p = _prepared(packets).withColumns({
-        "o": F.struct("ts_us", "packet_id"),
-        "bucket": F.floor(F.col("ts_us") / width).cast("long"),
-        "lvl": F.floor((F.col("pkt_len") - 1) / 4).cast("int"),
-    })
-    dirs = p.groupBy(*CONV, "from_lo").agg(F.min("o").alias("first_o"), F.count(F.lit(1)).alias("n"))
+    levels = extent(packets)[1]
+    p = _prepared(packets).select(
+        *CONV, "from_lo", "packet_id", "ts", "ts_us", "pkt_len", "hdr", "tcp_window",
+        F.floor(F.col("ts_us") / width).cast("long").alias("bucket"))
+    o = F.struct("ts_us", "packet_id")
+    dirs = p.groupBy(*CONV, "from_lo").agg(F.min(o).alias("first_o"), F.count(F.lit(1)).alias("n"))
     facts = dirs.groupBy(*CONV).agg(
         F.min_by("from_lo", "first_o").alias("init_from_lo"),
         F.min("first_o.ts_us").alias("start_us"), F.sum("n").alias("conv_n"),
         F.when(F.count(F.lit(1)) == 2, F.max("first_o")).alias("reply_o"))
     r = _with_facts(p, facts, hot_rows).withColumn("is_init", F.col("from_lo") == F.col("init_from_lo"))
     r = r.withColumns({
-        "isF": F.col("is_init") & (F.col("reply_o").isNull() | (F.col("o") < F.col("reply_o"))),
-        "isB": ~F.col("is_init"),
-    }).withColumn("isFB", F.col("isF") | F.col("isB"))
-    roles = ("isF", "isB", "isFB")
+        "isF": F.col("is_init") & (F.col("reply_o").isNull() | (o < F.col("reply_o"))),
+        "isB": ~F.col("is_init"), "reply_us": F.col("reply_o.ts_us"),
+    }).withColumn("isX", F.col("isF") | F.col("isB")).drop("reply_o", "init_from_lo", "conv_n")
 
-    # 2. previous same-role timestamp across bucket boundaries
-    earlier = Window.partitionBy(*CONV).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    last_ts = (r.groupBy(*CONV, "bucket")
-               .agg(*[F.max(F.when(F.col(f), F.col("ts_us"))).alias(f"m{f}") for f in roles])
-               .select(*CONV, "bucket", *[F.max(f"m{f}").over(earlier).alias(f"c{f}") for f in roles]))
-    g = r.join(last_ts, CONV + ["bucket"])
+    # 2. running values inside the bucket
     wb = Window.partitionBy(*CONV, "bucket").orderBy("ts_us", "packet_id")
     before = wb.rowsBetween(Window.unboundedPreceding, -1)
     run = wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    g = g.withColumns({
-        f"iat{f[2:]}": F.when(F.col(f), F.col("ts_us") - F.coalesce(
-            F.last(F.when(F.col(f), F.col("ts_us")), ignorenulls=True).over(before), F.col(f"c{f}")))
-        for f in roles})
+    dec = "decimal(38,0)"
 
-    # 3. additive moments: running inside the bucket, totals per bucket
     def on(flag, c="pkt_len"):
-        return F.when(F.col(flag), F.col(c))
-
-    dec = "decimal(38,0)"
-    sums = {
-        "nF": F.col("isF").cast("long"), "nB": F.col("isB").cast("long"), "nFB": F.col("isFB").cast("long"),
-        "sF": on("isF").cast("long"), "qF": on("isF").cast("long") * on("isF").cast("long"),
-        "sB": on("isB").cast("long"), "sFB": on("isFB").cast("long"),
-        "gFn": F.col("iatF").isNotNull().cast("long"), "gFs": F.col("iatF"),
-        "gFq": F.col("iatF").cast(dec) * F.col("iatF").cast(dec),
-        "gBn": F.col("iatB").isNotNull().cast("long"), "gBs": F.col("iatB"),
-        "gXn": F.col("iatFB").isNotNull().cast("long"), "gXs": F.col("iatFB"),
-        "gXq": F.col("iatFB").cast(dec) * F.col("iatFB").cast(dec),
-    }
-    for m in range(MAX_HDR_LEVEL + 1):
-        sums[f"h{m}"] = (F.col("isF") & (F.col("lvl") >= m)).cast("long")
-    maxes = {"xF": on("isF"), "xB": on("isB"), "gFx": F.col("iatF")}
-    mins = {"iB": on("isB"), "iX": on("isFB")}
-
-    g = g.withColumns({**{f"_{k}": v for k, v in sums.items()}, **{f"_{k}": v for k, v in maxes.items()},
-                       **{f"_{k}": v for k, v in mins.items()}})
-    local = {k: F.sum(f"_{k}").over(run) for k in sums}
-    local.update({k: F.max(f"_{k}").over(run) for k in maxes})
-    local.update({k: F.min(f"_{k}").over(run) for k in mins})
-    g = g.withColumns({f"l{k}": v for k, v in local.items()})
-
-    totals = g.groupBy(*CONV, "bucket").agg(
-        *[F.sum(f"_{k}").alias(f"t{k}") for k in sums],
-        *[F.max(f"_{k}").alias(f"t{k}") for k in maxes],
-        *[F.min(f"_{k}").alias(f"t{k}") for k in mins])
+        return F.when(F.col(flag), F.col(c).cast("long"))
+
+    def square(gap):
+        return gap.cast(dec) * gap.cast(dec)
+
+    g = r.withColumns({f"gap{k}": F.when(F.col(f"is{k}"), F.col("ts_us") - F.last(on(f"is{k}", "ts_us"), ignorenulls=True).over(before))
+                       for k in "FX"})
+    sums = {"nF": F.col("isF").cast("long"), "nB": F.col("isB").cast("long"), "sF": on("isF"), "sB": on("isB"), "qF": on("isF") * on("isF"),
+            "gFq": square(F.col("gapF")), "gXq": square(F.col("gapX")),
+            **{f"h{m}": (F.col("isF") & (F.floor((F.col("pkt_len") - 1) / 4) >= m)).cast("long") for m in levels}}
+    maxes = {"xF": on("isF"), "xB": on("isB"), "gFx": F.col("gapF"), "tF": on("isF", "ts_us"), "tB": on("isB", "ts_us")}
+    mins = {"iF": on("isF"), "iB": on("isB")}
+    firsts = {"eF": on("isF", "ts_us"), "eX": on("isX", "ts_us")}
+    g = g.withColumns({**{k: F.coalesce(F.sum(v).over(run), F.lit(0)) for k, v in sums.items()},
+                       **{k: F.max(v).over(run) for k, v in maxes.items()},
+                       **{k: F.min(v).over(run) for k, v in {**mins, **firsts}.items()},
+                       "closes": F.lead("packet_id").over(wb).isNull()})
+    g = write_once(g.where(F.col("is_init") | F.col("closes"))
+                   .drop("isF", "isB", "isX", "gapF", "gapX"), "flow-running")
+
+    # 3. totals of earlier buckets
+    earlier = Window.partitionBy(*CONV).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = g.where("closes").select(*CONV, "bucket", *sums, *maxes, *mins, *firsts).withColumns({
+        "dF": F.col("eF") - F.max("tF").over(earlier),
+        "dX": F.col("eX") - F.max(F.greatest("tF", "tB")).over(earlier)})
+    totals = totals.withColumns({"gFx": F.greatest("gFx", "dF"), **{
+        f"g{k}q": F.col(f"g{k}q") + F.coalesce(square(F.col(f"d{k}")), F.lit(0).cast(dec)) for k in "FX"}})
     carry = totals.select(
-        *CONV, "bucket",
-        *[F.sum(f"t{k}").over(earlier).alias(f"c{k}") for k in sums],
-        *[F.max(f"t{k}").over(earlier).alias(f"c{k}") for k in maxes],
-        *[F.min(f"t{k}").over(earlier).alias(f"c{k}") for k in mins])
-    g = g.join(carry, CONV + ["bucket"])
-
-    def tot(k):
-        return F.coalesce(F.col(f"c{k}"), F.lit(0)) + F.coalesce(F.col(f"l{k}"), F.lit(0))
-
-    g = g.withColumns({k: tot(k) for k in sums})
-    g = g.withColumns({k: F.greatest(F.col(f"c{k}"), F.col(f"l{k}")) for k in maxes})
-    g = g.withColumns({k: F.least(F.col(f"c{k}"), F.col(f"l{k}")) for k in mins})
-    g = g.where(F.col("is_init") & (F.col("nF") >= 2))
+        *CONV, "bucket", "dF", "dX",
+        *[F.sum(k).over(earlier).alias(f"c{k}") for k in sums],
+        *[F.max(k).over(earlier).alias(f"c{k}") for k in maxes],
+        *[F.min(k).over(earlier).alias(f"c{k}") for k in mins])
+    g = g.where("is_init").drop("closes", *firsts).join(carry, CONV + ["bucket"])
+    # a bucket's first gap counts from the role's first packet inside on
+    g = g.withColumns({"dF": F.when(F.col("nF") > 0, F.col("dF")), "dX": F.when(F.col("nF") + F.col("nB") > 0, F.col("dX"))})
+    g = g.withColumns({**{k: F.coalesce(F.col(f"c{k}"), F.lit(0)) + F.col(k) for k in sums},
+                       **{k: F.greatest(f"c{k}", k) for k in maxes}, **{k: F.least(f"c{k}", k) for k in mins}})
+    g = g.where(F.col("nF") >= 2).withColumns({
+        "gFx": F.greatest("gFx", "dF"), **{f"g{k}q": F.col(f"g{k}q") + F.coalesce(square(F.col(f"d{k}")), F.lit(0).cast(dec)) for k in "FX"},
+        "gFn": F.col("nF") - 1, "gFs": F.col("tF") - F.col("start_us"),
+        "gBn": F.col("nB") - 1, "gBs": F.col("tB") - F.col("reply_us"),
+        "nX": F.col("nF") + F.col("nB"), "gXs": F.greatest("tF", "tB") - F.col("start_us"),
+        "sX": F.col("sF") + F.col("sB"), "iX": F.least("iF", "iB")}).withColumn("gXn", F.col("nX") - 1)
+    ends = [F.when(F.col("from_lo"), F.col(f"{a}_{c}")).otherwise(F.col(f"{b}_{c}")).alias(f"{name}_{c}")
+            for c in ("ip", "port") for name, a, b in (("src", "lo", "hi"), ("dst", "hi", "lo"))]
+    g = g.select("*", *ends)
 
     z = F.lit(0.0)
     d = lambda c: F.col(c).cast("double")
@@ -603,8 +597,7 @@ def flow_features_bucketed(packets: DataFrame, bucket_seconds: int = 300,
         return F.when(F.col(b) > 0, F.col(a).cast("double") / F.col(b)).otherwise(z)
 
     duration = F.greatest((F.col("ts_us") - F.col("start_us")) / US, F.lit(min_duration))
-    level = F.least(F.greatest((F.col("hdr") / 4).cast("int"), F.lit(0)), F.lit(MAX_HDR_LEVEL))
-    act = F.element_at(F.array(*[F.col(f"h{m}") for m in range(MAX_HDR_LEVEL + 1)]), level + 1)
+    act = _at_level("hdr", {m: F.col(f"h{m}") for m in levels})
     feats = {
         'Destination Port': d("dst_port"),
         'Total Fwd Packets': d("nF"), 'Total Length of Fwd Packets': d("sF"),
@@ -612,7 +605,7 @@ def flow_features_bucketed(packets: DataFrame, bucket_seconds: int = 300,
         'Fwd Packet Length Std': F.coalesce(_exact_std(F.col("nF"), F.col("sF"), F.col("qF")), z),
         'Bwd Packet Length Max': c0("xB"), 'Bwd Packet Length Min': c0("iB"),
         'Bwd Packet Length Mean': ratio("sB", "nB"),
-        'Min Packet Length': c0("iX"), 'Packet Length Mean': ratio("sFB", "nFB"),
+        'Min Packet Length': c0("iX"), 'Packet Length Mean': ratio("sX", "nX"),
         'Fwd Packets/s': F.col("nF") / duration,
         'Fwd Header Length': d("hdr"), 'Fwd Header Length.1': d("hdr"),
         'Fwd IAT Total': F.col("gFs").cast("double") / US,
@@ -621,7 +614,7 @@ def flow_features_bucketed(packets: DataFrame, bucket_seconds: int = 300,
         'Fwd IAT Max': c0("gFx") / US,
         'Bwd IAT Mean': ratio("gBs", "gBn") / US,
         'Flow IAT Std': F.coalesce(_exact_std(F.col("gXn"), F.col("gXs"), F.col("gXq")), z) / US,
-        'Average Packet Size': ratio("sFB", "nFB"), 'Avg Fwd Segment Size': ratio("sF", "nF"),
+        'Average Packet Size': ratio("sX", "nX"), 'Avg Fwd Segment Size': ratio("sF", "nF"),
         'Avg Bwd Segment Size': ratio("sB", "nB"), 'Subflow Fwd Packets': d("nF"),
         'Subflow Fwd Bytes': d("sF"), 'Subflow Bwd Packets': d("nB"),
         'Down/Up Ratio': F.col("nB") / F.greatest(F.col("nF"), F.lit(1)).cast("double"),

@@ -150,3 +150,10 @@ def test_queries_run_with_methods_that_the_jvm_compiles(spark):
     spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
     entry.queries()["flow_features"](spark, SF)
     assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+
+
+def test_bucketed_rows_are_computed_once(spark):
+    """The running values are written once; what is left joins the carry to them and doesn't go back to the packets."""
+    packets = packets_from_events(table(spark, SF, "events"))
+    plan = flow_steps.flow_features_bucketed(packets, bucket_seconds=86400)._jdf.queryExecution().optimizedPlan().toString()
+    assert "get_json_object" not in plan and plan.count("Join ") == 1
