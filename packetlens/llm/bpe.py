@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packetlens.llm.common import packed
+from packetlens.llm.common import bound_batches, packed
 
 # The public pattern of byte-level BPE vocabularies (fixed value).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -41,9 +41,9 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 # versions; texts with other characters are split by the library itself.
 SETTLED = r"[\u0000-ɏЀ-ҁḀ-ỿ‐-⁞₠-₫ぁ-ゖ一-龥가-힣]*"
 
-CHUNK_WORDS = 200_000
-KNOWN_WORDS = 400_000
-KNOWN_PAIRS = 1_000_000
+CHUNK_WORDS = 100_000
+KNOWN_WORDS = 300_000
+KNOWN_PAIRS = 250_000
 
 
 def byte_letters() -> list[str]:
@@ -266,11 +266,16 @@ def encode_texts(docs: DataFrame, text: str = "text", tokenizer: str | None = No
     """``row`` (the columns ``keep``, by default all), ``ids`` (little-endian
     unsigned 32-bit integers) and ``decoded`` (their decoding) per input row."""
     spark = docs.sparkSession
+    bound_batches(spark)
     with open(tokenizer or tokenizer_path(), "rb") as f:
         file = spark.sparkContext.broadcast(f.read())
     kept = docs.select(*[docs[f"`{c}`"] for c in (keep or docs.columns)])
     src = packed(docs).select(F.struct(*[F.col("row")[c].alias(c) for c in kept.columns]).alias("row"),
                               F.coalesce(F.col("row")[text], F.lit("")).alias("body"))
+    # a text that is carried anyway goes to the workers once
+    carried = kept.columns.index(text) if text in kept.columns and kept.schema[text].dataType == T.StringType() else None
+    if carried is not None:
+        src = src.select("row")
 
     def run(batches):
         key = hash(file.value)
@@ -280,9 +285,10 @@ def encode_texts(docs: DataFrame, text: str = "text", tokenizer: str | None = No
             encoder = _ENCODERS[key] = TrieEncoder(file.value)
         for batch in batches:
             # small slices: a slice's ids and decoded texts are held at once
-            for at in range(0, batch.num_rows, 512):
-                rows = batch.slice(at, 512)
-                ids = list(encoder.encode(rows.column(1).to_pylist()))
+            for at in range(0, batch.num_rows, 256):
+                rows = batch.slice(at, 256)
+                texts = rows.column(1) if carried is None else rows.column(0).field(carried)
+                ids = list(encoder.encode(t or "" for t in texts.to_pylist()))
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0), pa.array(ids, pa.binary()), pa.array([encoder.decode(x) for x in ids], pa.string())],
                     names=["row", "ids", "decoded"])

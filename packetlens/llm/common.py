@@ -17,11 +17,23 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 << 20
 
+# Rows go to Python workers in Arrow batches of about so many bytes (Spark's default: 10,000 rows or 64 MB).
+# A batch is held by the JVM, outside its heap, and by the worker, and the next beside it.
+BATCH_BYTES = 4 << 20
+
 
 def prepare(spark: SparkSession) -> None:
-    """Shared folder and package for the executors; safe to call again."""
+    """Shared folder and package for the executors, bounded batches; safe to call again."""
     checkpoint_dir(spark)
     ship_package(spark)
+    bound_batches(spark)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Limit the session's Arrow batches to ``BATCH_BYTES``; a lower limit stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

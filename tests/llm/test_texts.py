@@ -6,11 +6,13 @@ import re
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from packetlens.llm import bpe, chat, grade, nearjoin, warc
 from packetlens.llm import grade as grade_module
+from packetlens.llm.common import BATCH_BYTES
 from packetlens.session import scratch_path
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -122,6 +124,34 @@ def test_encode_texts_keeps_columns(spark, encoder):
     assert bpe.encoded_documents(d.limit(0)).count() == 0
 
 
+def test_encoding_gets_small_batches_with_one_text(spark, encoder):
+    """A worker's batches have bounded bytes, and a carried text goes to it once."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "64m")
+        d = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.when(F.col("id") > 0, F.concat(F.repeat(F.lit("word "), 1000), "id")).alias("text"))
+        out = bpe.encode_texts(d)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "body" not in plan
+        assert "body" in bpe.encode_texts(d, keep=["doc_id"])._jdf.queryExecution().optimizedPlan().toString()
+
+        def sizes(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "bytes": [b.nbytes]})
+
+        got = d.mapInArrow(sizes, "n long, bytes long").collect()
+        assert sum(r.n for r in got) == 3000 and max(r.bytes for r in got) < 2 * BATCH_BYTES
+        whole = {r.doc_id: (r.x, r.decoded) for r in out.select("row.doc_id", F.col("ids").alias("x"), "decoded").collect()}
+        slim = {r.doc_id: (r.x, r.decoded) for r in bpe.encode_texts(d, keep=["doc_id"]).select("row.doc_id", F.col("ids").alias("x"), "decoded").collect()}
+        assert whole == slim and len(whole) == 3000 and whole[0] == (b"", "") and whole[7][1] == "word " * 1000 + "7"
+        spark.conf.set(key, "1m")     # a lower limit stays
+        bpe.encode_texts(d)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_chat_round_trip(spark):
     texts = ["<|im_end|><|im_start|>assistant ok", "<\\|x", "<\\\\|", "a<", "", None, "é" * 3000, "<|im_end|>\n", "\ue000 <|"]
     for t in texts:
