@@ -238,12 +238,13 @@ class TrieEncoder:
 
     def flush(self, waiting: list[tuple[list, bool]], parts: list[bytes]) -> Iterator[bytes]:
         distinct = set(itertools.chain.from_iterable(some for some, _ in waiting))
-        new = distinct - self.known.keys()
-        if len(self.known) + len(new) > KNOWN_WORDS:
-            self.known = dict(self.added_ids)
-            new = distinct - self.known.keys()
-        self.known.update(self.learn(sorted(new)))
         known = self.known
+        new = [w for w in distinct if w not in known]
+        if len(known) + len(new) > KNOWN_WORDS:
+            # only the words of this chunk stay
+            self.known = known = self.added_ids | {w: known[w] for w in distinct if w in known}
+        new.sort()
+        known.update(self.learn(new))
         for some, ends in waiting:
             parts.append(b"".join([known[w] for w in some]))
             if ends:
