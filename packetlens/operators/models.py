@@ -255,17 +255,21 @@ def tree_only_labels(df: DataFrame, features, label: str, max_iter: int = 20, ma
                      seed: int = 7) -> DataFrame:
     """M9: string label -> index -> scaler -> trees -> predicted label string."""
     from pyspark.ml.feature import IndexToString, StringIndexer
-    d = with_vector(df, features)
+
+    from packetlens.operators.boost import fit_boosted
     idx = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc")
     sc = StandardScaler(inputCol=VEC, outputCol="_z", withMean=True, withStd=True)
-    gbt = _named_outputs(GBTClassifier(featuresCol="_z", labelCol="_y", maxIter=max_iter,
-                                       maxDepth=max_depth, predictionCol="_pred", seed=seed))
-    prepared = Pipeline(stages=[idx, sc]).fit(d)
-    trees = gbt.fit(in_tree_parts(prepared.transform(d).select("_z", "_y")))
-    model = PipelineModel([*prepared.stages, trees])
-    inv = IndexToString(inputCol="_pred", outputCol="predicted_label",
-                        labels=model.stages[0].labels)
-    return inv.transform(model.transform(d)).drop(VEC, "_y", "_z", "_prob", "_raw", "_pred")
+    index, scaler = Pipeline(stages=[idx, sc]).fit(with_vector(df, features)).stages
+    if len(index.labels) > 2:
+        raise ValueError(f"boosted trees tell two labels apart, the table holds {len(index.labels)}")
+    if isinstance(features, str):
+        values = [F.col(features)[i].cast("double") for i in range(len(scaler.mean))]
+    else:
+        values = [F.col(fcol(c)).cast("double") for c in features]
+    trees = fit_boosted(index.transform(df), values, "_y", scaler.mean.toArray(), scaler.std.toArray(),
+                        max_iter=max_iter, max_depth=max_depth, seed=seed)
+    inv = IndexToString(inputCol="_pred", outputCol="predicted_label", labels=index.labels)
+    return inv.transform(trees.predict(df, values, "_pred")).drop("_pred")
 
 
 def evaluate_models(df: DataFrame, features, label: str, benign: str, k: int = 8,

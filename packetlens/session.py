@@ -92,13 +92,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def write_once(df, name: str):
+def write_once(df, name: str, **options):
     """Write ``df`` to a fresh folder of the shared checkpoint folder and read it
     back: later passes read the files, and lost executors repeat one step only.
     The folder is removed when the session's JVM ends."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path)
